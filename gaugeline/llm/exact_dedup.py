@@ -65,8 +65,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = shared.groupBy("sha").agg(
         F.min("id").alias("keep_id"), F.sum("copies").alias("group_size")
     )
-    told = shared.join(groups, "sha").select("id", "keep_id", "group_size", "sha", "copies").unionByName(
-        alone.select("id", F.col("id").alias("keep_id"), F.col("copies").alias("group_size"), "sha", "copies")
+    groups = materialise(groups, "exact-groups")
+    # of groups above 1 / (4 x partitions) of the rows there are fewer than 4 x partitions: these are broadcast, the others joined by shuffle
+    hot_size = shared.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0] // (4 * tables.partitions(docs))
+    columns = ["id", "keep_id", "group_size", "sha", "copies"]
+    hot = F.broadcast(groups.where(F.col("group_size") > hot_size).select(F.col("sha").alias("hot_sha"), "keep_id", "group_size"))
+    marked = shared.join(hot, F.col("sha") == F.col("hot_sha"), "left")
+    told = (
+        marked.where("hot_sha is not null").select(*columns)
+        .unionByName(marked.where("hot_sha is null").select("id", "sha", "copies").join(groups.where(F.col("group_size") <= hot_size), "sha").select(*columns))
+        .unionByName(alone.select("id", F.col("id").alias("keep_id"), F.col("copies").alias("group_size"), "sha", "copies"))
     )
     return told.select("id", "keep_id", "group_size", "sha", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("nth")).select(
         "id", "keep_id", F.col("group_size").cast("long").alias("group_size"), (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"), "sha"
