@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from gaugeline.llm import chat, digest, exact_dedup, mixing, pii, quality, toxicity
+from gaugeline.llm import chat, digest, exact_dedup, mixing, near_dedup, pieces, pii, quality, toxicity
 
 _QUERIES = {
+    "op1_near_dedup": (near_dedup.op1_near_dedup, None),
     "op2_digest": (digest.op2_digest, None),
     "op3_pii": (pii.op3_pii, None),
     "op4_toxicity": (toxicity.op4_toxicity, None),
+    "op5_pieces": (pieces.op5_pieces, None),
     "op7_quality": (quality.op7_quality, None),
     "op6_chat_formatting": (chat.op6_chat, chat.OP6_SQL),
     "op9_exact_dedup": (exact_dedup.op9_exact_dedup, exact_dedup.OP9_SQL),
