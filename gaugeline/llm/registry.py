@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeline.llm import chat, digest, exact_dedup, mixing, near_dedup, pieces, pii, quality, toxicity
+from gaugeline.llm import chat, digest, exact_dedup, line_dedup, mixing, near_dedup, pieces, pii, quality, toxicity
 
 _QUERIES = {
     "op1_near_dedup": (near_dedup.op1_near_dedup, None),
@@ -12,6 +12,7 @@ _QUERIES = {
     "op5_pieces": (pieces.op5_pieces, None),
     "op7_quality": (quality.op7_quality, None),
     "op6_chat_formatting": (chat.op6_chat, chat.OP6_SQL),
+    "op8_line_dedup": (line_dedup.op8_line_dedup, None),
     "op9_exact_dedup": (exact_dedup.op9_exact_dedup, exact_dedup.OP9_SQL),
     "op10_mixing": (mixing.op10_mixing, mixing.OP10_SQL),
 }
