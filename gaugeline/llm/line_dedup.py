@@ -10,10 +10,15 @@ counters, then the word's hash, so the order is the same everywhere. Matching
 sets must share a word among their first n - ceil(SIMILARITY n) + 1 in that
 order (prefix filter), have near sizes (length filter), and enough room behind
 the shared word (positional filter); what passes is verified on the full sets.
-A bitmap filter goes first: the parity of a set's words in 64 bits differs in no
-more bits than the sets differ in words. Equal sets are one node from the start,
-so a line that stands everywhere makes no pairs. Words that only one line has are
-no join keys; sets of under four words match only equal ones.
+A bitmap filter goes first: the parity of a set's words, in 64 bits and for longer
+lines in 256, differs in no more bits than the sets differ in words.
+
+Sets that share a key word are met in one sorted stream. A set needs one earlier
+match only, so it is paired with the NEAREST earlier ones that pass all filters,
+not with all; a set for which none of these holds although others were left
+untried is tried against all of them in a second round. Equal sets are one node
+from the start, so a line that stands everywhere makes no pairs. Words that only
+one line has are no keys; sets of under four words match only equal ones.
 
 Null texts count as empty; null ids are last; rows that repeat both id and text
 count as one document and get one result. Texts are split at line feeds, and the
@@ -35,6 +40,11 @@ from gaugeline.scratch import materialise
 
 SIMILARITY = 0.8
 BUCKETS = 1 << 22
+#: Passing earlier sets that a set is first paired with.
+NEAREST = 3
+#: Words from which a set has the wide bitmap.
+WIDE = 72
+_KEY = np.dtype([("key", "<u4"), ("place", "<u2")])
 #: Bits of the filter that tells which lines verification needs, in 2 ** FILTER bits.
 FILTER = 23
 LEAST = 4
@@ -58,10 +68,19 @@ def _lines(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
         yield lo, hi, row, number, words, line
 
 
-def _sets(words: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each line's different words, by line and then hash."""
-    order = np.lexsort((words, line))
-    w, n = words[order], line[order]
+def _sets(words: np.ndarray, line: np.ndarray, rare: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Each line's different words, by line, then rarity if given, then hash."""
+    if rare is None:
+        packed = line.astype(np.uint64) << np.uint64(40) | words >> np.uint64(24)
+    else:
+        packed = line.astype(np.uint64) << np.uint64(40) | np.minimum(rare, 0xFFFF).astype(np.uint64) << np.uint64(24) | words >> np.uint64(40)
+    order = np.argsort(packed)
+    packed, w = packed[order], words[order]
+    tied = packed[1:] == packed[:-1]
+    if (tied & (w[1:] != w[:-1])).any() or (len(line) and line.max() >= 1 << 24):  # what the packed bits cannot tell
+        order = np.lexsort((words, line) if rare is None else (words, np.minimum(rare, 0xFFFF), line))
+        w = words[order]
+    n = line[order]
     new = np.ones(len(w), bool)
     new[1:] = (w[1:] != w[:-1]) | (n[1:] != n[:-1])
     return w[new], n[new]
@@ -79,101 +98,151 @@ def _set_hash(words: np.ndarray, line: np.ndarray, lines: int) -> tuple[np.ndarr
 
 
 def rarity(texts: DataFrame) -> np.ndarray:
-    """In how many different lines of a partition, summed over partitions, each bucket's words stand; a table of fixed size."""
+    """How often each bucket's words stand in all texts; a table of fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int32)
         for batch in batches:
-            for _, _, row, _, words, line in _lines(batch.column(0)):
-                w, n = _sets(words, line)
-                a, _, size = _set_hash(w, n, len(row))
-                _, first = np.unique(a, return_index=True)
-                some = np.zeros(len(row), bool)
-                some[first] = True
-                bucket, n = np.unique((w[some[n]] % np.uint64(BUCKETS)).astype(np.int64), return_counts=True)
-                counts[bucket] += n.astype(np.int32)
+            for lo, hi in textkit.chunks(batch.column(0)):
+                data, offsets = textkit.buffers(pc.utf8_lower(batch.column(0).slice(lo, hi - lo)))
+                starts, ends, _ = textkit.words(data, offsets, textkit.NOT_ALNUM)
+                np.add.at(counts, (textkit.word_hashes(data, starts, ends) % np.uint64(BUCKETS)).astype(np.int64), 1)
         used = np.flatnonzero(counts)
         for at in range(0, len(used), 1 << 16):
             some = used[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some].astype(np.int64))], ["bucket", "n"])
 
-    got = texts.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
-    out = np.zeros(BUCKETS, np.int32)
+    got = texts.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.least(F.sum("n"), F.lit(0xFFFF)).cast("int").alias("n")).toArrow()
+    out = np.zeros(BUCKETS, np.uint16)
     out[got["bucket"].to_numpy()] = got["n"].to_numpy()
     return out
 
 
+def _parity(words: np.ndarray, edge: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Bits in which each line has an odd number of words: 256 in four columns."""
+    out = np.zeros((len(edge) - 1, 4), np.uint64)
+    if len(some):
+        bit = np.uint64(1) << (words >> np.uint64(58))
+        part = words >> np.uint64(56) & np.uint64(3)
+        for k in range(4):
+            out[some, k] = np.bitwise_xor.reduceat(np.where(part == k, bit, np.uint64(0)), edge[:-1][some])
+    return out
+
+
 def line_sets(docs: DataFrame, counts: np.ndarray, kind: str) -> DataFrame:
-    """(id, th, line, a, b, n, bits, keys) of each line with words; keys, its prefix, only where a set is new to its task."""
+    """(id, th, line, a, b, n, bits, wide, keys) of each line with words; keys, its prefix, only where a set is new to its task."""
     shipped = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for lo, hi, row, number, words, line in _lines(batch.column(2)):
-                w, of = _sets(words, line)
+                w, of = _sets(words, line, shipped.value[(words % np.uint64(BUCKETS)).astype(np.int64)])
                 a, b, size = _set_hash(w, of, len(row))
                 edge = np.concatenate([[0], np.cumsum(size)])
-                bits = np.zeros(len(row), np.uint64)
                 some = np.flatnonzero(size)
-                if len(some):
-                    bits[some] = np.bitwise_xor.reduceat(np.uint64(1) << (w >> np.uint64(58)), edge[:-1][some])
-                rare = shipped.value[(w % np.uint64(BUCKETS)).astype(np.int64)]
-                order = np.lexsort((w, rare, of))
-                w, shared = w[order], rare[order] > 1
+                parity = _parity(w, edge, some)
+                bits = parity[:, 0] ^ parity[:, 1] ^ parity[:, 2] ^ parity[:, 3]
+                shared = shipped.value[(w % np.uint64(BUCKETS)).astype(np.int64)] > 1
                 prefix = size - np.ceil(SIMILARITY * size - 1e-9).astype(np.int64) + 1
-                keys = []
+                short = np.empty(len(w), _KEY)
+                short["key"] = (w & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                short["place"] = np.minimum(np.arange(len(w)) - edge[of], 0xFFFF)
+                use = shared & (np.arange(len(w)) - edge[of] < prefix[of]) & (size[of] >= LEAST)
+                short, at = short[use], np.concatenate([[0], np.cumsum(np.bincount(of[use], minlength=len(row)))])
+                keys, wide = [], []
                 for i in some.tolist():
-                    if size[i] < LEAST or (node := int(a[i])) in seen:
-                        keys.append(None)
-                        continue
-                    if len(seen) < 1 << 20:  # what it forgets is only found again
+                    fresh = at[i + 1] > at[i] and (node := int(a[i])) not in seen
+                    if fresh and len(seen) < 1 << 20:  # what it forgets is only found again
                         seen.add(node)
-                    cut = slice(edge[i], edge[i] + prefix[i])
-                    place = np.flatnonzero(shared[cut])
-                    keys.append(np.stack([w[cut][place], place.astype(np.uint64)], 1).tobytes() if len(place) else None)
+                    keys.append(short[at[i] : at[i + 1]].tobytes() if fresh else None)
+                    wide.append(parity[i].tobytes() if fresh and size[i] >= WIDE else None)
                 rows = pa.array(lo + row[some])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), *[pa.array(x[some]) for x in (number.astype(np.int32), textkit.signed(a), textkit.signed(b), size.astype(np.int32), textkit.signed(bits))], pa.array(keys, pa.binary())],
-                    ["id", "th", "line", "a", "b", "n", "bits", "keys"],
+                    [batch.column(0).take(rows), batch.column(1).take(rows), *[pa.array(x[some]) for x in (number.astype(np.int32), textkit.signed(a), textkit.signed(b), size.astype(np.int32), textkit.signed(bits))], pa.array(wide, pa.binary()), pa.array(keys, pa.binary())],
+                    ["id", "th", "line", "a", "b", "n", "bits", "wide", "keys"],
                 )
 
-    return docs.mapInArrow(run, f"id {kind}, th long, line int, a long, b long, n int, bits long, keys binary")
+    return docs.mapInArrow(run, f"id {kind}, th long, line int, a long, b long, n int, bits long, wide binary, keys binary")
+
 
+def prefixes(sets: DataFrame, kind: str) -> DataFrame:
+    """(key, place, a, n, bits, wide, id, th, line): the words by which sets meet."""
 
-def prefixes(sets: DataFrame) -> DataFrame:
-    """(key, a, bits, size): the words by which sets meet; size packs the set's size and the word's place."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                packed = batch.column(7).to_pylist()
+                rows = np.frombuffer(b"".join(packed), _KEY)
+                of = pa.array(np.repeat(np.arange(len(packed)), [len(x) // _KEY.itemsize for x in packed]))
+                head = [pa.array(np.ascontiguousarray(rows["key"]).view(np.int32)), pa.array(rows["place"].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*head, *[batch.column(i).take(of) for i in range(7)]], ["key", "place", *batch.schema.names[:7]])
+
+    found = sets.where("keys is not null").select("a", "n", "bits", "wide", "id", "th", "line", "keys")
+    return found.mapInArrow(run, f"key int, place int, a long, n int, bits long, wide binary, id {kind}, th long, line int")
+
+
+def _passes(nx, px, ny, py, bx, by) -> np.ndarray:
+    """Length, positional and bitmap filters; x and y in any order."""
+    need = np.ceil(SIMILARITY / (1 + SIMILARITY) * (nx + ny) - 1e-9)
+    room = np.minimum(nx - px, ny - py) + np.minimum(px, py)
+    near = np.minimum(nx, ny) >= SIMILARITY * np.maximum(nx, ny) - 1e-9
+    return near & (room >= need) & (np.bitwise_count(bx ^ by) <= nx + ny - 2 * need)
+
+
+def candidates(rows: DataFrame, nearest: int = NEAREST) -> DataFrame:
+    """(x, y, more): sets by first hash, x before y; more if earlier ones were left untried."""
+
+    def told(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, place, a, n, bits = (group[c].to_numpy() for c in ("key", "place", "a", "n", "bits"))
+        bits = bits.view(np.uint64)
+        long = np.flatnonzero(group["wide"].is_valid().to_numpy())
+        where = np.full(len(key), -1)
+        where[long] = np.arange(len(long))
+        wide = np.frombuffer(b"".join(group["wide"].take(pa.array(long)).to_pylist()), np.uint64).reshape(-1, 4)
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        before = np.arange(len(key)) - np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))  # earlier rows of the key
+        left, lag = np.flatnonzero(before > 0), 1
+        made = np.zeros(len(key), np.int64)
+        while len(left):
+            y, x = left, left - lag
+            ok = (a[x] != a[y]) & _passes(n[x], place[x], n[y], place[y], bits[x], bits[y])
+            y, x = y[ok], x[ok]
+            both = (where[x] >= 0) & (where[y] >= 0)
+            if both.any():
+                need = np.ceil(SIMILARITY / (1 + SIMILARITY) * (n[x] + n[y]) - 1e-9)
+                apart = np.bitwise_count(wide[where[x[both]]] ^ wide[where[y[both]]]).sum(1)
+                keep = np.ones(len(x), bool)
+                keep[both] = apart <= (n[x] + n[y] - 2 * need)[both]
+                y, x = y[keep], x[keep]
+            made[y] += 1
+            lag += 1
+            if len(y):
+                yield pa.RecordBatch.from_arrays([pa.array(a[x]), pa.array(a[y]), pa.array((made[y] >= nearest) & (before[y] >= lag))], ["x", "y", "more"])
+            left = left[(before[left] >= lag) & (made[left] < nearest)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
-            raw = [np.frombuffer(x, np.uint64).reshape(-1, 2) for x in batch.column(3).to_pylist()]
-            if not raw:
-                continue
-            rows = np.concatenate(raw)
-            of = pa.array(np.repeat(np.arange(len(raw)), [len(x) for x in raw]))
-            size = batch.column(2).take(of).to_numpy().astype(np.int64) << 32 | rows[:, 1].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(textkit.signed(np.ascontiguousarray(rows[:, 0]))), batch.column(0).take(of), batch.column(1).take(of), pa.array(size)], ["key", "a", "bits", "size"])
-
-    found = sets.where("keys is not null").select("a", "bits", "n", "keys").mapInArrow(run, "key long, a long, bits long, size long")
-    return found.repartition(tables.partitions(sets), "key").dropDuplicates(["key", "a"])
-
-
-def candidates(sets: DataFrame) -> DataFrame:
-    """(x, y) by first hash: pairs that pass the prefix, length, positional and bitmap filters."""
-    rows = prefixes(sets)
-    x = rows.select("key", F.col("a").alias("x"), F.col("bits").alias("bx"), F.shiftright("size", 32).alias("nx"), F.col("size").bitwiseAND(F.lit(2**32 - 1)).alias("px"))
-    y = rows.select("key", F.col("a").alias("y"), F.col("bits").alias("by"), F.shiftright("size", 32).alias("ny"), F.col("size").bitwiseAND(F.lit(2**32 - 1)).alias("py"))
-    t = SIMILARITY
-    x = x.where(F.col("px") <= F.col("nx") - F.ceil(F.lit(2 * t / (1 + t)) * F.col("nx") - 1e-9))  # the shorter set's prefix may end sooner
-    need = F.ceil(F.lit(t / (1 + t)) * (F.col("nx") + F.col("ny")) - 1e-9)
-    room = F.lit(1) + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) - 1 + F.least("px", "py")
-    passes = (
-        ((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))))
-        & (F.col("nx") >= F.lit(t) * F.col("ny") - 1e-9)
-        & (room >= need)
-        & (F.bit_count(F.col("bx").bitwiseXOR(F.col("by"))) <= F.col("nx") + F.col("ny") - 2 * need)
-    )
-    return x.join(y, (x["key"] == y["key"]) & passes).select("x", "y").distinct()
+            held.append(batch)
+            size += batch.num_rows
+            if size >= 1 << 16:  # whole keys only: the last one may go on
+                group = pa.Table.from_batches(held)
+                key = group["key"].to_numpy()
+                cut = int(np.searchsorted(key, key[-1]))
+                if cut:
+                    yield from told(group.slice(0, cut).combine_chunks())
+                    rest = group.slice(cut).combine_chunks()
+                    held, size = rest.to_batches(), rest.num_rows
+        if held:
+            yield from told(pa.Table.from_batches(held).combine_chunks())
+
+    at_home = rows.repartition(tables.partitions(rows), "key").sortWithinPartitions("key", F.col("id").asc_nulls_last(), "th", "line")
+    found = at_home.select("key", "place", "a", "n", "bits", "wide").mapInArrow(run, "x long, y long, more boolean")
+    return found.groupBy("x", "y").agg(F.max("more").alias("more"))
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -226,19 +295,31 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = materialise(line_sets(named, counts, kind), "lines")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "th", "line")
     firsts = materialise(lines.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("rows")), "line-firsts")
-    pairs = materialise(candidates(lines), "line-pairs")
-    links = verified(named, pairs)
-    known = firsts.select("a", "b", "first")
-    for s in "xy":
-        links = links.join(known.select(F.col("a").alias(f"a{s}"), F.col("b").alias(f"b{s}"), F.col("first").alias(f"f{s}")), [f"a{s}", f"b{s}"])
-    later = F.when(F.col("fx") < F.col("fy"), F.struct(F.col("ay").alias("a"), F.col("by").alias("b"))).otherwise(F.struct(F.col("ax").alias("a"), F.col("bx").alias("b")))
-    late = materialise(links.select(later.alias("l")).select("l.*").distinct().withColumn("late", F.lit(True)), "line-late")
-    fate = materialise(firsts.join(late, ["a", "b"], "left").where("late or rows > 1"), "line-fate")
+    rows = prefixes(lines, kind)
+    pairs = materialise(candidates(rows), "line-pairs")
+    late = _later(verified(named, pairs.select("x", "y")), firsts)
+    # sets that none of their nearest candidates matches, though more were there: against all
+    open_y = pairs.groupBy("y").agg(F.max("more").alias("more")).where("more").join(late.select(F.col("a").alias("y")), "y", "left_anti")
+    open_y = materialise(open_y.select(F.col("y").alias("a")), "line-open")
+    if open_y.count():
+        keys = rows.join(open_y, "a", "left_semi").select("key").distinct()
+        again = candidates(rows.join(keys, "key", "left_semi"), nearest=1 << 30)
+        again = materialise(again.join(open_y.withColumnRenamed("a", "y"), "y", "left_semi").join(pairs, ["x", "y"], "left_anti"), "line-pairs")
+        late = materialise(late.unionByName(_later(verified(named, again.select("x", "y")), firsts)).distinct(), "line-late")
+    fate = materialise(firsts.join(late.withColumn("late", F.lit(True)), ["a", "b"], "left").where("late or rows > 1"), "line-fate")
     told = tables.join_hot(lines.select("id", "th", "line", "a", "b"), fate, ["a", "b"], "rows", ["first", "late"])
     gone = told.where(F.coalesce("late", F.lit(False)) | (place != F.col("first")))
     return gone.groupBy("id", "th").agg(F.array_sort(F.collect_set("line")).alias("gone"))
 
 
+def _later(links: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(a, b) of the later set of each link."""
+    for s in "xy":
+        links = links.join(firsts.select(F.col("a").alias(f"a{s}"), F.col("b").alias(f"b{s}"), F.col("first").alias(f"f{s}")), [f"a{s}", f"b{s}"])
+    later = F.when(F.col("fx") < F.col("fy"), F.struct(F.col("ay").alias("a"), F.col("by").alias("b"))).otherwise(F.struct(F.col("ax").alias("a"), F.col("bx").alias("b")))
+    return materialise(links.select(later.alias("l")).select("l.*").distinct(), "line-late")
+
+
 def drop_later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", told: bool = False) -> DataFrame:
     """The rows of docs with the kept lines as text; told adds __lines and __gone, numbers of lines before and of lines that went."""
     gone = materialise(later_matches(docs, id_col, text_col), "line-gone")
@@ -256,5 +337,12 @@ def drop_later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document: lines, how many go, and their numbers from 0; drop_later_lines() rewrites the texts."""
     docs = tables.documents(spark, sf_dir).select("doc_id", "text")
-    return drop_later_lines(docs, told=True).select("doc_id", F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_removed"), "text")
+    gone = later_matches(docs).withColumnRenamed("id", "of").withColumnRenamed("th", "with")
+    text = tables.text_of("text")
+    lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    mine = docs.select("doc_id", F.xxhash64(text).alias("th"), lines.alias("n_lines"))
+    found = mine.join(gone, F.col("th").eqNullSafe(F.col("with")) & F.col("doc_id").eqNullSafe(F.col("of")), "left")
+    removed = F.coalesce("gone", F.expr("cast(array() as array<int>)"))
+    return found.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
