@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Modules that register queries when imported.
+MODULES = ("analytics",)
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
@@ -25,9 +28,16 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+def _load() -> None:
+    for module in MODULES:
+        importlib.import_module(f"gaugeline.plans.{module}")
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return _QUERIES
 
 
 def oracles() -> dict[str, str]:
+    _load()
     return _ORACLES
