@@ -39,12 +39,17 @@ from gaugeline.llm import tables, textkit
 from gaugeline.scratch import materialise
 
 SIMILARITY = 0.8
-BUCKETS = 1 << 22
+BUCKETS = 1 << 20
 #: Passing earlier sets that a set is first paired with.
 NEAREST = 3
+#: The same for sets that are still open, round by round; the last has no bound.
+ROUNDS = (32, 1 << 30)
 #: Words from which a set has the wide bitmap.
 WIDE = 72
+#: Key buckets of a partition: a task holds the rows of one bucket at a time.
+SPLIT = 16
 _KEY = np.dtype([("key", "<u4"), ("place", "<u2")])
+_ROW = np.dtype([("key", "<u4"), ("place", "<u2"), ("n", "<u4"), ("line", "<i4"), ("a", "<u8"), ("bits", "<u8"), ("order", "<i8")])
 #: Bits of the filter that tells which lines verification needs, in 2 ** FILTER bits.
 FILTER = 23
 LEAST = 4
@@ -68,22 +73,24 @@ def _lines(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
         yield lo, hi, row, number, words, line
 
 
-def _sets(words: np.ndarray, line: np.ndarray, rare: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Each line's different words, by line, then rarity if given, then hash."""
-    if rare is None:
-        packed = line.astype(np.uint64) << np.uint64(40) | words >> np.uint64(24)
-    else:
-        packed = line.astype(np.uint64) << np.uint64(40) | np.minimum(rare, 0xFFFF).astype(np.uint64) << np.uint64(24) | words >> np.uint64(40)
+def _sets(words: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each line's different words, by line and hash."""
+    return _ranked(words, line, np.zeros(len(words), np.uint16))[:2]
+
+
+def _ranked(words: np.ndarray, line: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each line's different words, by line, rarity and hash."""
+    packed = line.astype(np.uint64) << np.uint64(40) | rare.astype(np.uint64) << np.uint64(24) | words >> np.uint64(40)
     order = np.argsort(packed)
     packed, w = packed[order], words[order]
     tied = packed[1:] == packed[:-1]
-    if (tied & (w[1:] != w[:-1])).any() or (len(line) and line.max() >= 1 << 24):  # what the packed bits cannot tell
-        order = np.lexsort((words, line) if rare is None else (words, np.minimum(rare, 0xFFFF), line))
+    if (tied & (w[1:] != w[:-1])).any() or (len(line) and line[-1] >= 1 << 24):  # what the packed bits cannot tell
+        order = np.lexsort((words, rare, line))
         w = words[order]
     n = line[order]
     new = np.ones(len(w), bool)
     new[1:] = (w[1:] != w[:-1]) | (n[1:] != n[:-1])
-    return w[new], n[new]
+    return w[new], n[new], rare[order][new]
 
 
 def _set_hash(words: np.ndarray, line: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,13 +144,13 @@ def line_sets(docs: DataFrame, counts: np.ndarray, kind: str) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             for lo, hi, row, number, words, line in _lines(batch.column(2)):
-                w, of = _sets(words, line, shipped.value[(words % np.uint64(BUCKETS)).astype(np.int64)])
+                w, of, rare = _ranked(words, line, shipped.value[(words % np.uint64(BUCKETS)).astype(np.int64)])
                 a, b, size = _set_hash(w, of, len(row))
                 edge = np.concatenate([[0], np.cumsum(size)])
                 some = np.flatnonzero(size)
                 parity = _parity(w, edge, some)
                 bits = parity[:, 0] ^ parity[:, 1] ^ parity[:, 2] ^ parity[:, 3]
-                shared = shipped.value[(w % np.uint64(BUCKETS)).astype(np.int64)] > 1
+                shared = rare > 1
                 prefix = size - np.ceil(SIMILARITY * size - 1e-9).astype(np.int64) + 1
                 short = np.empty(len(w), _KEY)
                 short["key"] = (w & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -166,21 +173,56 @@ def line_sets(docs: DataFrame, counts: np.ndarray, kind: str) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, th long, line int, a long, b long, n int, bits long, wide binary, keys binary")
 
 
-def prefixes(sets: DataFrame, kind: str) -> DataFrame:
-    """(key, place, a, n, bits, wide, id, th, line): the words by which sets meet."""
+def _order(ids: pa.Array) -> np.ndarray:
+    """64 bits that sort like the ids, exactly for integers and by the first bytes of others; null last."""
+    if pa.types.is_integer(ids.type):
+        return pc.fill_null(ids.cast(pa.int64()), 2**63 - 1).to_numpy(zero_copy_only=False)
+    return np.array([2**63 - 1 if x is None else int.from_bytes(str(x).encode()[:7].ljust(7, b"\0")) for x in ids.to_pylist()], np.int64)
+
+
+def _bits(values: DataFrame) -> np.ndarray:
+    """A bitmap of 2 ** FILTER bits, built by Spark, of a column of longs."""
+    place = F.pmod(F.col(values.columns[0]), F.lit(1 << FILTER)) + 1  # Spark's bitmaps count from 1
+    parts = values.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    out = np.zeros(1 << FILTER, bool)
+    for r in parts.collect():  # at most 2 ** FILTER bits in all
+        at = (int(r["part"]) - 1) * 32768
+        out[at : at + 32768] = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")
+    return out
+
+
+def prefixes(sets: DataFrame, only: np.ndarray | None = None) -> DataFrame:
+    """(bucket, rows, wide): the words by which sets meet, packed by bucket of the word; only: a bitmap of words."""
+    buckets = tables.partitions(sets) * SPLIT
+    shipped = sets.sparkSession.sparkContext.broadcast(None if only is None else np.packbits(only))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use = None if shipped.value is None else np.unpackbits(shipped.value).astype(bool)
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                packed = batch.column(7).to_pylist()
-                rows = np.frombuffer(b"".join(packed), _KEY)
-                of = pa.array(np.repeat(np.arange(len(packed)), [len(x) // _KEY.itemsize for x in packed]))
-                head = [pa.array(np.ascontiguousarray(rows["key"]).view(np.int32)), pa.array(rows["place"].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([*head, *[batch.column(i).take(of) for i in range(7)]], ["key", "place", *batch.schema.names[:7]])
-
-    found = sets.where("keys is not null").select("a", "n", "bits", "wide", "id", "th", "line", "keys")
-    return found.mapInArrow(run, f"key int, place int, a long, n int, bits long, wide binary, id {kind}, th long, line int")
+            for at in range(0, whole.num_rows, 5000):
+                a, n, bits, wide, ids, line, keys = (whole.column(i).slice(at, 5000) for i in range(7))
+                packed = keys.to_pylist()
+                short = np.frombuffer(b"".join(packed), _KEY)
+                of = np.repeat(np.arange(len(packed)), [len(x) // _KEY.itemsize for x in packed])
+                if use is not None:
+                    some = use[short["key"] % (1 << FILTER)]
+                    short, of = short[some], of[some]
+                bucket = short["key"] % buckets
+                order = np.argsort(bucket, kind="stable")
+                short, of, bucket = short[order], of[order], bucket[order]
+                rows = np.empty(len(short), _ROW)
+                rows["key"], rows["place"] = short["key"], short["place"]
+                for name, column in (("n", n), ("line", line), ("a", a), ("bits", bits)):
+                    rows[name] = column.to_numpy(zero_copy_only=False)[of].astype(_ROW[name], casting="unsafe")
+                rows["order"] = _order(ids)[of]
+                bitmaps = [x or b"" for x in wide.to_pylist()]
+                edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+                ends = np.append(edge[1:], len(bucket))
+                blobs = [rows[i:j].tobytes() for i, j in zip(edge, ends)]
+                wides = [b"".join(bitmaps[k] for k in of[i:j].tolist()) for i, j in zip(edge, ends)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[edge].astype(np.int32)), pa.array(blobs, pa.binary()), pa.array(wides, pa.binary())], ["bucket", "rows", "wide"])
+
+    return sets.where("keys is not null").select("a", "n", "bits", "wide", "id", "line", "keys").mapInArrow(run, "bucket int, rows binary, wide binary")
 
 
 def _passes(nx, px, ny, py, bx, by) -> np.ndarray:
@@ -191,71 +233,90 @@ def _passes(nx, px, ny, py, bx, by) -> np.ndarray:
     return near & (room >= need) & (np.bitwise_count(bx ^ by) <= nx + ny - 2 * need)
 
 
-def candidates(rows: DataFrame, nearest: int = NEAREST) -> DataFrame:
+def _by_place(rows: np.ndarray) -> np.ndarray:
+    """The order by key, id and line; by one number where these fit into 64 bits."""
+    key, order, line = (np.ascontiguousarray(rows[c]) for c in ("key", "order", "line"))
+    if len(rows):
+        _, key = np.unique(key, return_inverse=True)
+        since = order - order.min()
+        bits = [int(x.max()).bit_length() for x in (key, since, line)]
+        if sum(bits) <= 63 and since.min() >= 0:
+            return np.argsort(key.astype(np.int64) << (bits[1] + bits[2]) | since << bits[2] | line)
+    return np.lexsort((line, order, key))
+
+
+def _meet(rows: np.ndarray, wide: np.ndarray, nearest: int, only: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """(x, y, more) of one bucket's rows: each set with the nearest sets before it that pass the filters; only: a bitmap of sets to look for."""
+    where = np.full(len(rows), -1)
+    long = np.flatnonzero(rows["n"] >= WIDE)
+    where[long] = np.arange(len(long))
+    order = _by_place(rows)
+    rows, where = rows[order], where[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = rows["key"][1:] != rows["key"][:-1]
+    packed = np.cumsum(new).astype(np.uint64) << np.uint64(40) | np.ascontiguousarray(rows["a"]) >> np.uint64(24)
+    same = np.argsort(packed)  # of equal sets under a word the first row stays
+    begins = np.flatnonzero(np.concatenate([[True], packed[same][1:] != packed[same][:-1]])) if len(same) else same
+    stays = np.sort(np.minimum.reduceat(same, begins)) if len(same) else same
+    rows, where = rows[stays], where[stays]
+    key, a, bits = (np.ascontiguousarray(rows[c]) for c in ("key", "a", "bits"))
+    n, place = rows["n"].astype(np.int64), rows["place"].astype(np.int64)
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    before = np.arange(len(key)) - np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))  # earlier rows of the key
+    left, lag = np.flatnonzero(before > 0), 1
+    if only is not None:
+        left = left[only[(a[left] % np.uint64(1 << FILTER)).astype(np.int64)]]
+    made = np.zeros(len(key), np.int64)
+    while len(left):
+        y, x = left, left - lag
+        ok = _passes(n[x], place[x], n[y], place[y], bits[x], bits[y])
+        y, x = y[ok], x[ok]
+        both = (where[x] >= 0) & (where[y] >= 0)
+        if both.any():
+            need = np.ceil(SIMILARITY / (1 + SIMILARITY) * (n[x] + n[y]) - 1e-9)
+            apart = np.bitwise_count(wide[where[x[both]]] ^ wide[where[y[both]]]).sum(1)
+            keep = np.ones(len(x), bool)
+            keep[both] = apart <= (n[x] + n[y] - 2 * need)[both]
+            y, x = y[keep], x[keep]
+        made[y] += 1
+        lag += 1
+        if len(y):
+            yield pa.RecordBatch.from_arrays([pa.array(textkit.signed(a[x])), pa.array(textkit.signed(a[y])), pa.array((made[y] >= nearest) & (before[y] >= lag))], ["x", "y", "more"])
+        left = left[(before[left] >= lag) & (made[left] < nearest)]
+
+
+def candidates(packed: DataFrame, nearest: int = NEAREST, only: np.ndarray | None = None) -> DataFrame:
     """(x, y, more): sets by first hash, x before y; more if earlier ones were left untried."""
-
-    def told(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, place, a, n, bits = (group[c].to_numpy() for c in ("key", "place", "a", "n", "bits"))
-        bits = bits.view(np.uint64)
-        long = np.flatnonzero(group["wide"].is_valid().to_numpy())
-        where = np.full(len(key), -1)
-        where[long] = np.arange(len(long))
-        wide = np.frombuffer(b"".join(group["wide"].take(pa.array(long)).to_pylist()), np.uint64).reshape(-1, 4)
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        before = np.arange(len(key)) - np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))  # earlier rows of the key
-        left, lag = np.flatnonzero(before > 0), 1
-        made = np.zeros(len(key), np.int64)
-        while len(left):
-            y, x = left, left - lag
-            ok = (a[x] != a[y]) & _passes(n[x], place[x], n[y], place[y], bits[x], bits[y])
-            y, x = y[ok], x[ok]
-            both = (where[x] >= 0) & (where[y] >= 0)
-            if both.any():
-                need = np.ceil(SIMILARITY / (1 + SIMILARITY) * (n[x] + n[y]) - 1e-9)
-                apart = np.bitwise_count(wide[where[x[both]]] ^ wide[where[y[both]]]).sum(1)
-                keep = np.ones(len(x), bool)
-                keep[both] = apart <= (n[x] + n[y] - 2 * need)[both]
-                y, x = y[keep], x[keep]
-            made[y] += 1
-            lag += 1
-            if len(y):
-                yield pa.RecordBatch.from_arrays([pa.array(a[x]), pa.array(a[y]), pa.array((made[y] >= nearest) & (before[y] >= lag))], ["x", "y", "more"])
-            left = left[(before[left] >= lag) & (made[left] < nearest)]
+    shipped = packed.sparkSession.sparkContext.broadcast(None if only is None else np.packbits(only))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
+        now, rows, wide = None, [], []
+        use = None if shipped.value is None else np.unpackbits(shipped.value).astype(bool)
+
+        def done() -> Iterator[pa.RecordBatch]:
+            yield from _meet(np.frombuffer(b"".join(rows), _ROW), np.frombuffer(b"".join(wide), np.uint64).reshape(-1, 4), nearest, use)
+
         for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size >= 1 << 16:  # whole keys only: the last one may go on
-                group = pa.Table.from_batches(held)
-                key = group["key"].to_numpy()
-                cut = int(np.searchsorted(key, key[-1]))
-                if cut:
-                    yield from told(group.slice(0, cut).combine_chunks())
-                    rest = group.slice(cut).combine_chunks()
-                    held, size = rest.to_batches(), rest.num_rows
-        if held:
-            yield from told(pa.Table.from_batches(held).combine_chunks())
-
-    at_home = rows.repartition(tables.partitions(rows), "key").sortWithinPartitions("key", F.col("id").asc_nulls_last(), "th", "line")
-    found = at_home.select("key", "place", "a", "n", "bits", "wide").mapInArrow(run, "x long, y long, more boolean")
-    return found.groupBy("x", "y").agg(F.max("more").alias("more"))
+            for bucket, r, w in zip(*[c.to_pylist() for c in batch.columns]):
+                if bucket != now and rows:
+                    yield from done()
+                    rows, wide = [], []
+                now = bucket
+                rows.append(r)
+                wide.append(w)
+        if rows:
+            yield from done()
+
+    at_home = packed.repartition(tables.partitions(packed), "bucket").sortWithinPartitions("bucket")
+    return at_home.mapInArrow(run, "x long, y long, more boolean").groupBy("x", "y").agg(F.max("more").alias("more"))
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(ax, bx, ay, by) of pairs whose full sets reach the similarity."""
     spark = docs.sparkSession
     ends = pairs.select(F.col("x").alias("a")).unionByName(pairs.select(F.col("y").alias("a"))).distinct()
-    place = F.pmod(F.col("a"), F.lit(1 << FILTER)) + 1  # Spark's bitmaps count from 1
-    bits = ends.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    bitmap = np.zeros(1 << FILTER, bool)
-    for r in bits.collect():  # at most 2 ** FILTER bits in all
-        at = (int(r["part"]) - 1) * 32768
-        bitmap[at : at + 32768] = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")
-    shipped = spark.sparkContext.broadcast(np.packbits(bitmap))
+    shipped = spark.sparkContext.broadcast(np.packbits(_bits(ends)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(shipped.value).astype(bool)
@@ -295,23 +356,35 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = materialise(line_sets(named, counts, kind), "lines")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "th", "line")
     firsts = materialise(lines.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("rows")), "line-firsts")
-    rows = prefixes(lines, kind)
-    pairs = materialise(candidates(rows), "line-pairs")
+    pairs = materialise(candidates(prefixes(lines)), "line-pairs")
     late = _later(verified(named, pairs.select("x", "y")), firsts)
-    # sets that none of their nearest candidates matches, though more were there: against all
-    open_y = pairs.groupBy("y").agg(F.max("more").alias("more")).where("more").join(late.select(F.col("a").alias("y")), "y", "left_anti")
-    open_y = materialise(open_y.select(F.col("y").alias("a")), "line-open")
-    if open_y.count():
-        keys = rows.join(open_y, "a", "left_semi").select("key").distinct()
-        again = candidates(rows.join(keys, "key", "left_semi"), nearest=1 << 30)
-        again = materialise(again.join(open_y.withColumnRenamed("a", "y"), "y", "left_semi").join(pairs, ["x", "y"], "left_anti"), "line-pairs")
-        late = materialise(late.unionByName(_later(verified(named, again.select("x", "y")), firsts)).distinct(), "line-late")
+    # sets that none of their nearest candidates matches, though more were there: against more, at last against all
+    for nearest in ROUNDS:
+        open_y = pairs.groupBy("y").agg(F.max("more").alias("more")).where("more").join(late.select(F.col("a").alias("y")), "y", "left_anti")
+        open_y = materialise(open_y.select(F.col("y").alias("a")), "line-open")
+        if not open_y.count():
+            break
+        again = candidates(prefixes(lines, only=_keys_of(lines, open_y)), nearest, only=_bits(open_y))
+        again = materialise(again.join(open_y.withColumnRenamed("a", "y"), "y", "left_semi"), "line-pairs")
+        tried, pairs = pairs.select("x", "y"), again
+        late = materialise(late.unionByName(_later(verified(named, again.select("x", "y").join(tried, ["x", "y"], "left_anti")), firsts)).distinct(), "line-late")
     fate = materialise(firsts.join(late.withColumn("late", F.lit(True)), ["a", "b"], "left").where("late or rows > 1"), "line-fate")
     told = tables.join_hot(lines.select("id", "th", "line", "a", "b"), fate, ["a", "b"], "rows", ["first", "late"])
     gone = told.where(F.coalesce("late", F.lit(False)) | (place != F.col("first")))
     return gone.groupBy("id", "th").agg(F.array_sort(F.collect_set("line")).alias("gone"))
 
 
+def _keys_of(lines: DataFrame, sets: DataFrame) -> np.ndarray:
+    """A bitmap of the key words of some sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = np.frombuffer(b"".join(batch.column(0).to_pylist()), _KEY)["key"].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key)], ["key"])
+
+    return _bits(lines.where("keys is not null").join(sets, "a", "left_semi").select("keys").mapInArrow(run, "key long"))
+
+
 def _later(links: DataFrame, firsts: DataFrame) -> DataFrame:
     """(a, b) of the later set of each link."""
     for s in "xy":
