@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeline.operators.joins import join_above, partitions
 from gaugeline.scratch import materialise
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Point the neighbours of each node at the smallest of them (or itself)."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    if not large:
-        both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    moved = both.join(least, "a")
+def _star(edges: DataFrame, large: bool, hub: int) -> DataFrame:
+    """Point the neighbours of each node at the smallest of them (or itself); nodes of more than `hub` edges are joined by broadcast."""
+    if large:
+        rows = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    else:
+        rows = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = rows.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    moved = join_above(rows, least, ["a"], "n", ["m"], hub)
     if large:
         moved = moved.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -33,7 +35,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     now = materialise(edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct(), "components")
     before = None
     for _ in range(max_rounds):
-        now = materialise(_star(_star(now, True), False), "components")
+        hub = max(100, 2 * now.count() // (4 * partitions(now)))  # fewer nodes than 4 x partitions have more edges
+        now = materialise(_star(_star(now, True, hub), False, hub), "components")
         print_of = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if before == tuple(print_of):
             break
