@@ -42,9 +42,7 @@ SIMILARITY = 0.8
 BUCKETS = 1 << 20
 #: Passing earlier sets that a set is first paired with.
 NEAREST = 3
-#: The same for sets that are still open, round by round; the last has no bound.
-ROUNDS = (32, 1 << 30)
-#: Words from which a set has the wide bitmap.
+#: Words from which a set has the wide bitmap in the first round; in the second all have it.
 WIDE = 72
 #: Key buckets of a partition: a task holds the rows of one bucket at a time.
 SPLIT = 16
@@ -160,10 +158,10 @@ def line_sets(docs: DataFrame, counts: np.ndarray, kind: str) -> DataFrame:
                 keys, wide = [], []
                 for i in some.tolist():
                     fresh = at[i + 1] > at[i] and (node := int(a[i])) not in seen
-                    if fresh and len(seen) < 1 << 20:  # what it forgets is only found again
+                    if fresh and len(seen) < 1 << 17:  # what it forgets is only found again
                         seen.add(node)
                     keys.append(short[at[i] : at[i + 1]].tobytes() if fresh else None)
-                    wide.append(parity[i].tobytes() if fresh and size[i] >= WIDE else None)
+                    wide.append(parity[i].tobytes() if fresh else None)
                 rows = pa.array(lo + row[some])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(rows), batch.column(1).take(rows), *[pa.array(x[some]) for x in (number.astype(np.int32), textkit.signed(a), textkit.signed(b), size.astype(np.int32), textkit.signed(bits))], pa.array(wide, pa.binary()), pa.array(keys, pa.binary())],
@@ -191,7 +189,7 @@ def _bits(values: DataFrame) -> np.ndarray:
     return out
 
 
-def prefixes(sets: DataFrame, only: np.ndarray | None = None) -> DataFrame:
+def prefixes(sets: DataFrame, only: np.ndarray | None = None, wide_from: int = WIDE) -> DataFrame:
     """(bucket, rows, wide): the words by which sets meet, packed by bucket of the word; only: a bitmap of words."""
     buckets = tables.partitions(sets) * SPLIT
     shipped = sets.sparkSession.sparkContext.broadcast(None if only is None else np.packbits(only))
@@ -215,7 +213,7 @@ def prefixes(sets: DataFrame, only: np.ndarray | None = None) -> DataFrame:
                 for name, column in (("n", n), ("line", line), ("a", a), ("bits", bits)):
                     rows[name] = column.to_numpy(zero_copy_only=False)[of].astype(_ROW[name], casting="unsafe")
                 rows["order"] = _order(ids)[of]
-                bitmaps = [x or b"" for x in wide.to_pylist()]
+                bitmaps = [x if k >= wide_from else b"" for x, k in zip(wide.to_pylist(), n.to_pylist())]
                 edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
                 ends = np.append(edge[1:], len(bucket))
                 blobs = [rows[i:j].tobytes() for i, j in zip(edge, ends)]
@@ -245,10 +243,10 @@ def _by_place(rows: np.ndarray) -> np.ndarray:
     return np.lexsort((line, order, key))
 
 
-def _meet(rows: np.ndarray, wide: np.ndarray, nearest: int, only: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+def _meet(rows: np.ndarray, wide: np.ndarray, nearest: int, only: np.ndarray | None, wide_from: int) -> Iterator[pa.RecordBatch]:
     """(x, y, more) of one bucket's rows: each set with the nearest sets before it that pass the filters; only: a bitmap of sets to look for."""
     where = np.full(len(rows), -1)
-    long = np.flatnonzero(rows["n"] >= WIDE)
+    long = np.flatnonzero(rows["n"] >= wide_from)
     where[long] = np.arange(len(long))
     order = _by_place(rows)
     rows, where = rows[order], where[order]
@@ -286,7 +284,7 @@ def _meet(rows: np.ndarray, wide: np.ndarray, nearest: int, only: np.ndarray | N
         left = left[(before[left] >= lag) & (made[left] < nearest)]
 
 
-def candidates(packed: DataFrame, nearest: int = NEAREST, only: np.ndarray | None = None) -> DataFrame:
+def candidates(packed: DataFrame, nearest: int = NEAREST, only: np.ndarray | None = None, wide_from: int = WIDE) -> DataFrame:
     """(x, y, more): sets by first hash, x before y; more if earlier ones were left untried."""
     shipped = packed.sparkSession.sparkContext.broadcast(None if only is None else np.packbits(only))
 
@@ -295,7 +293,7 @@ def candidates(packed: DataFrame, nearest: int = NEAREST, only: np.ndarray | Non
         use = None if shipped.value is None else np.unpackbits(shipped.value).astype(bool)
 
         def done() -> Iterator[pa.RecordBatch]:
-            yield from _meet(np.frombuffer(b"".join(rows), _ROW), np.frombuffer(b"".join(wide), np.uint64).reshape(-1, 4), nearest, use)
+            yield from _meet(np.frombuffer(b"".join(rows), _ROW), np.frombuffer(b"".join(wide), np.uint64).reshape(-1, 4), nearest, use, wide_from)
 
         for batch in batches:
             for bucket, r, w in zip(*[c.to_pylist() for c in batch.columns]):
@@ -327,7 +325,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 a, b, size = _set_hash(w, of, len(row))
                 edge = np.concatenate([[0], np.cumsum(size)])
                 some = [i for i in np.flatnonzero((size > 0) & bits[(a % np.uint64(1 << FILTER)).astype(np.int64)]).tolist() if int(a[i]) not in seen]
-                if len(seen) < 1 << 20:
+                if len(seen) < 1 << 17:
                     seen.update(a[some].tolist())
                 yield pa.RecordBatch.from_arrays([pa.array(textkit.signed(a)[some]), pa.array(textkit.signed(b)[some]), pa.array([w[edge[i] : edge[i + 1]].tobytes() for i in some], pa.binary())], ["a", "b", "words"])
 
@@ -358,16 +356,14 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     firsts = materialise(lines.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("rows")), "line-firsts")
     pairs = materialise(candidates(prefixes(lines)), "line-pairs")
     late = _later(verified(named, pairs.select("x", "y")), firsts)
-    # sets that none of their nearest candidates matches, though more were there: against more, at last against all
-    for nearest in ROUNDS:
-        open_y = pairs.groupBy("y").agg(F.max("more").alias("more")).where("more").join(late.select(F.col("a").alias("y")), "y", "left_anti")
-        open_y = materialise(open_y.select(F.col("y").alias("a")), "line-open")
-        if not open_y.count():
-            break
-        again = candidates(prefixes(lines, only=_keys_of(lines, open_y)), nearest, only=_bits(open_y))
-        again = materialise(again.join(open_y.withColumnRenamed("a", "y"), "y", "left_semi"), "line-pairs")
-        tried, pairs = pairs.select("x", "y"), again
-        late = materialise(late.unionByName(_later(verified(named, again.select("x", "y").join(tried, ["x", "y"], "left_anti")), firsts)).distinct(), "line-late")
+    # sets that none of their nearest candidates matches, though more were there: against all, with the wide bitmap for every size
+    open_y = pairs.groupBy("y").agg(F.max("more").alias("more")).where("more").join(late.select(F.col("a").alias("y")), "y", "left_anti")
+    open_y = materialise(open_y.select(F.col("y").alias("a")), "line-open")
+    if open_y.count():
+        packed = prefixes(lines, _keys_of(lines, open_y), wide_from=0)
+        again = candidates(packed, 1 << 30, _bits(open_y), wide_from=0).select("x", "y").join(open_y.withColumnRenamed("a", "y"), "y", "left_semi")
+        again = materialise(again.join(pairs.select("x", "y"), ["x", "y"], "left_anti"), "line-pairs")
+        late = materialise(late.unionByName(_later(verified(named, again), firsts)).distinct(), "line-late")
     fate = materialise(firsts.join(late.withColumn("late", F.lit(True)), ["a", "b"], "left").where("late or rows > 1"), "line-fate")
     told = tables.join_hot(lines.select("id", "th", "line", "a", "b"), fate, ["a", "b"], "rows", ["first", "late"])
     gone = told.where(F.coalesce("late", F.lit(False)) | (place != F.col("first")))

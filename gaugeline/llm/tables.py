@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeline.operators.joins import join_hot, partitions
 from gaugeline.session import table
 
+__all__ = ["SPACE", "documents", "join_hot", "partitions", "remainder", "text_of"]
+
 #: The white space of all contracts, as it stands in a regular expression.
 SPACE = r"\x20\x09-\x0D"
 
@@ -23,23 +26,3 @@ def text_of(column: str = "text") -> Column:
 def remainder(doc_id: Column, by: int) -> Column:
     """crc32 of the id as text, modulo `by`: the folds of the contracts."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(by))
-
-
-def partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def join_hot(rows: DataFrame, known: DataFrame, keys: list[str], count: str, extra: list[str]) -> DataFrame:
-    """rows inner-joined with `known`, one row a key, where a key may hold any share of the rows.
-
-    `count` of known says how many rows a key has. Keys with above 1 / (4 x partitions)
-    of all rows are fewer than 4 x partitions: these are broadcast; the others are
-    joined by shuffle, where none can outgrow a task.
-    """
-    least = (known.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0] or 0) // (4 * partitions(rows))
-    hot = known.where(F.col(count) > least).select(*[F.col(k).alias(f"hot_{k}") for k in keys], *[F.col(c).alias(f"hot_{c}") for c in extra])
-    same = [F.col(k).eqNullSafe(F.col(f"hot_{k}")) for k in keys]
-    marked = rows.join(F.broadcast(hot.withColumn("is_hot", F.lit(True))), same, "left")
-    big = marked.where("is_hot").select(*rows.columns, *[F.col(f"hot_{c}").alias(c) for c in extra])
-    small = marked.where("is_hot is null").select(*rows.columns).join(known.where(F.col(count) <= least).select(*keys, *extra), keys)
-    return big.unionByName(small.select(*rows.columns, *extra))
