@@ -129,5 +129,5 @@ def tfidf_logreg_metrics(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     rows = docs.join(labels, "doc_id").withColumn("split", grouped_split(F.col("doc_id").cast("string"), "gaugeline-v1"))
     part = {s: rows.where(F.col("split") == s).select("text", "label") for s in ("train", "validation", "test")}
-    scores, _ = classify.select_and_score(part["train"], part["validation"], part["test"], strengths=(3.0,))
+    scores, _ = classify.select_and_score(part["train"], part["validation"], part["test"], strengths=(3.0,), characters=False, iterations=25, size=20_000)
     return scores

@@ -237,6 +237,6 @@ def source_records(rows: DataFrame, dialect: str, path: str) -> DataFrame:
     said = F.map_filter(F.map_from_arrays(F.array(*[F.lit(c) for c in targets]), F.array(*[F.coalesce(F.col(c), F.lit("")) for c in targets])), lambda k, v: F.trim(v) != "") if targets else F.expr("cast(map() as map<string,string>)")
     clean = T.prepare(T.nfkc(F.coalesce(F.col(columns["text"]), F.lit(""))))
     return numbered.select(
-        F.lit(dialect).alias("source_dataset"), F.when(T.blank_to_null(F.trim(key)).isNull(), F.raise_error(F.lit(f"{path}: a row has no id"))).otherwise(key).alias("source_record_id"), F.col("__row").cast("int").alias("source_row"), clean.alias("c"),
+        F.lit(dialect).alias("source_dataset"), F.when(T.blank_to_null(F.trim(key)).isNull(), F.raise_error(F.lit(f"{path}: a row has no id"))).otherwise(key).alias("source_record_id"), F.col("__row").alias("source_row"), clean.alias("c"),
         (F.col(columns["date"]) if columns["date"] and columns["date"] in rows.columns else F.lit(None).cast("string")).alias("report_date"), said.alias("structured"),
     ).select("source_dataset", "source_record_id", "source_row", F.col("c.text").alias("narrative"), F.col("c.sensitive").alias("sensitive"), "report_date", "structured", F.when(F.col("c.text") == "", "empty_narrative").otherwise("").alias("excluded"))
