@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gaugeline.functions import text as T
 from gaugeline.operators import corpus as C
 from gaugeline.plans.catalogue import register
-from gaugeline.session import table
+from gaugeline.session import spread, table
 
 SEED = "gaugeline-v1"
 # ASCII white space and words, so that both engines' classes agree; texts hold no other white space
@@ -20,7 +20,7 @@ UNIT = "('0x' || substr(sha256({}), 1, 8))::bigint / 4294967296.0::double"
 
 
 def docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    return spread(table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
 
 
 def keyed(spark, d):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeline.operators.extract import CATEGORIES, DOMAINS, GENERIC, LINKED, extract, findings
-from gaugeline.session import table
+from gaugeline.session import spread, table
 
 PARTS = {"COMPONENT": ["anvil", "widget", "ring", "bolt", "gear", "gizmo", "plate", "rod", "housing"]}
 MATERIALS, DEFECTS = ("Steel", "Copper", "Ceramic", "Brass"), ("cracked", "leaking", "corroded", "worn", "damaged")
@@ -20,7 +20,7 @@ _CHOOSE = "element_at(array({}), cast({} as int) + 1)"
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem joined to part, supplier and orders; only the columns that the narratives need are read."""
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_shipdate")
+    line = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_shipdate"))
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand")
     supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
