@@ -51,23 +51,21 @@ _ROW = np.dtype([("key", "<u4"), ("place", "<u2"), ("n", "<u4"), ("line", "<i4")
 #: Bits of the filter that tells which lines verification needs, in 2 ** FILTER bits.
 FILTER = 23
 LEAST = 4
-_FEED = np.zeros(256, bool)
-_FEED[10] = True
 
 
 def _lines(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(row from, to, row of each line, number of the line in its row, word hashes, first word of each line); lines without words are left out."""
     for lo, hi in textkit.chunks(texts):
         data, offsets = textkit.buffers(pc.utf8_lower(texts.slice(lo, hi - lo)))
-        feeds = np.flatnonzero(_FEED[data])
-        count = 1 + np.bincount(np.searchsorted(offsets, feeds, "right") - 1, minlength=hi - lo)
+        feed = data == 10
+        fed = np.concatenate([[0], np.cumsum(feed, dtype=np.int32)])  # feeds before each byte
+        count = 1 + fed[offsets[1:]] - fed[offsets[:-1]]
         row = np.repeat(np.arange(hi - lo), count)
         number = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        starts, ends, _ = textkit.words(data, offsets, textkit.NOT_ALNUM)
+        starts, ends, first = textkit.words(data, offsets, textkit.NOT_ALNUM)
         words = textkit.word_hashes(data, starts, ends)
-        of_row = np.searchsorted(offsets, starts, "right") - 1
-        before = np.searchsorted(feeds, starts)
-        line = before + of_row  # each row before adds one line that no feed counts
+        of_row = np.repeat(np.arange(hi - lo), np.diff(first))
+        line = fed[starts] + of_row  # each row before adds one line that no feed counts
         yield lo, hi, row, number, words, line
 
 
@@ -106,16 +104,22 @@ def rarity(texts: DataFrame) -> np.ndarray:
     """How often each bucket's words stand in all texts; a table of fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.int32)
+        counts, held, size = np.zeros(BUCKETS, np.int64), [], 0
         for batch in batches:
             for lo, hi in textkit.chunks(batch.column(0)):
                 data, offsets = textkit.buffers(pc.utf8_lower(batch.column(0).slice(lo, hi - lo)))
                 starts, ends, _ = textkit.words(data, offsets, textkit.NOT_ALNUM)
-                np.add.at(counts, (textkit.word_hashes(data, starts, ends) % np.uint64(BUCKETS)).astype(np.int64), 1)
+                held.append((textkit.word_hashes(data, starts, ends) % np.uint64(BUCKETS)).astype(np.int64))
+                size += len(starts)
+                if size >= BUCKETS:
+                    counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
+                    held, size = [], 0
+        if held:
+            counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
         used = np.flatnonzero(counts)
         for at in range(0, len(used), 1 << 16):
             some = used[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some].astype(np.int64))], ["bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["bucket", "n"])
 
     got = texts.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.least(F.sum("n"), F.lit(0xFFFF)).cast("int").alias("n")).toArrow()
     out = np.zeros(BUCKETS, np.uint16)
@@ -235,7 +239,6 @@ def _by_place(rows: np.ndarray) -> np.ndarray:
     """The order by key, id and line; by one number where these fit into 64 bits."""
     key, order, line = (np.ascontiguousarray(rows[c]) for c in ("key", "order", "line"))
     if len(rows):
-        _, key = np.unique(key, return_inverse=True)
         since = order - order.min()
         bits = [int(x.max()).bit_length() for x in (key, since, line)]
         if sum(bits) <= 63 and since.min() >= 0:
@@ -266,8 +269,10 @@ def _meet(rows: np.ndarray, wide: np.ndarray, nearest: int, only: np.ndarray | N
     if only is not None:
         left = left[only[(a[left] % np.uint64(1 << FILTER)).astype(np.int64)]]
     made = np.zeros(len(key), np.int64)
+    apart_most = np.minimum((1 - SIMILARITY) / (1 + SIMILARITY) * (1 + 1 / SIMILARITY) * n + 1, 65).astype(np.uint8)  # with any size that can match
     while len(left):
-        y, x = left, left - lag
+        y = left[np.bitwise_count(bits[left] ^ bits[left - lag]) <= apart_most[left]]
+        x = y - lag
         ok = _passes(n[x], place[x], n[y], place[y], bits[x], bits[y])
         y, x = y[ok], x[ok]
         both = (where[x] >= 0) & (where[y] >= 0)
@@ -310,26 +315,33 @@ def candidates(packed: DataFrame, nearest: int = NEAREST, only: np.ndarray | Non
     return at_home.mapInArrow(run, "x long, y long, more boolean").groupBy("x", "y").agg(F.max("more").alias("more"))
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(ax, bx, ay, by) of pairs whose full sets reach the similarity."""
+def verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(ax, bx, ay, by) of pairs whose full sets reach the similarity.
+
+    Only lines where a set of a pair first stands are read: two bitmaps of fixed
+    size tell which documents and lines may be such, and the join that follows is exact.
+    """
     spark = docs.sparkSession
     ends = pairs.select(F.col("x").alias("a")).unionByName(pairs.select(F.col("y").alias("a"))).distinct()
-    shipped = spark.sparkContext.broadcast(np.packbits(_bits(ends)))
+    wanted = materialise(ends.join(firsts, "a").select("a", "first.th", "first.line"), "line-wanted")
+    by_document, by_line = _bits(wanted.select("th")), _bits(wanted.select(F.col("th").bitwiseXOR(F.shiftleft(F.col("line").cast("long"), 7)).alias("at")))
+    shipped = spark.sparkContext.broadcast((np.packbits(by_document), np.packbits(by_line)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shipped.value).astype(bool)
-        seen: set[int] = set()
-        for batch in batches:
-            for _, _, row, _, words, line in _lines(batch.column(2)):
-                w, of = _sets(words, line)
+        in_document, in_line = (np.unpackbits(x).astype(bool) for x in shipped.value)
+        for whole in batches:
+            batch = whole.filter(pa.array(in_document[whole.column(1).to_numpy() % (1 << FILTER)]))
+            th = batch.column(1).to_numpy()
+            for lo, hi, row, number, words, line in _lines(batch.column(2)):
+                use = in_line[(th[lo:hi][row] ^ number << 7) % (1 << FILTER)]
+                some = use[line]
+                w, of = _sets(words[some], line[some])
                 a, b, size = _set_hash(w, of, len(row))
                 edge = np.concatenate([[0], np.cumsum(size)])
-                some = [i for i in np.flatnonzero((size > 0) & bits[(a % np.uint64(1 << FILTER)).astype(np.int64)]).tolist() if int(a[i]) not in seen]
-                if len(seen) < 1 << 17:
-                    seen.update(a[some].tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(textkit.signed(a)[some]), pa.array(textkit.signed(b)[some]), pa.array([w[edge[i] : edge[i + 1]].tobytes() for i in some], pa.binary())], ["a", "b", "words"])
+                full = np.flatnonzero(size)
+                yield pa.RecordBatch.from_arrays([pa.array(textkit.signed(a)[full]), pa.array(textkit.signed(b)[full]), pa.array([w[edge[i] : edge[i + 1]].tobytes() for i in full.tolist()], pa.binary())], ["a", "b", "words"])
 
-    sets = docs.mapInArrow(read, "a long, b long, words binary").join(ends, "a", "left_semi").dropDuplicates(["a", "b"])
+    sets = docs.mapInArrow(read, "a long, b long, words binary").join(wanted.select("a").distinct(), "a", "left_semi").dropDuplicates(["a", "b"])
     sets = materialise(sets, "line-words")
 
     def jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,7 +367,7 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     place = F.struct(F.col("id").isNull().alias("none"), "id", "th", "line")
     firsts = materialise(lines.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("rows")), "line-firsts")
     pairs = materialise(candidates(prefixes(lines)), "line-pairs")
-    late = _later(verified(named, pairs.select("x", "y")), firsts)
+    late = _later(verified(named, pairs.select("x", "y"), firsts), firsts)
     # sets that none of their nearest candidates matches, though more were there: against all, with the wide bitmap for every size
     open_y = pairs.groupBy("y").agg(F.max("more").alias("more")).where("more").join(late.select(F.col("a").alias("y")), "y", "left_anti")
     open_y = materialise(open_y.select(F.col("y").alias("a")), "line-open")
@@ -363,7 +375,7 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         packed = prefixes(lines, _keys_of(lines, open_y), wide_from=0)
         again = candidates(packed, 1 << 30, _bits(open_y), wide_from=0).select("x", "y").join(open_y.withColumnRenamed("a", "y"), "y", "left_semi")
         again = materialise(again.join(pairs.select("x", "y"), ["x", "y"], "left_anti"), "line-pairs")
-        late = materialise(late.unionByName(_later(verified(named, again), firsts)).distinct(), "line-late")
+        late = materialise(late.unionByName(_later(verified(named, again, firsts), firsts)).distinct(), "line-late")
     fate = materialise(firsts.join(late.withColumn("late", F.lit(True)), ["a", "b"], "left").where("late or rows > 1"), "line-fate")
     told = tables.join_hot(lines.select("id", "th", "line", "a", "b"), fate, ["a", "b"], "rows", ["first", "late"])
     gone = told.where(F.coalesce("late", F.lit(False)) | (place != F.col("first")))
@@ -410,7 +422,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables.documents(spark, sf_dir).select("doc_id", "text")
     gone = later_matches(docs).withColumnRenamed("id", "of").withColumnRenamed("th", "with")
     text = tables.text_of("text")
-    lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    lines = (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
     mine = docs.select("doc_id", F.xxhash64(text).alias("th"), lines.alias("n_lines"))
     found = mine.join(gone, F.col("th").eqNullSafe(F.col("with")) & F.col("doc_id").eqNullSafe(F.col("of")), "left")
     removed = F.coalesce("gone", F.expr("cast(array() as array<int>)"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeline.operators.joins import join_hot, partitions
-from gaugeline.session import table
+from gaugeline.session import spread, table
 
 __all__ = ["SPACE", "documents", "join_hot", "partitions", "remainder", "text_of"]
 
@@ -15,7 +15,7 @@ SPACE = r"\x20\x09-\x0D"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def text_of(column: str = "text") -> Column:

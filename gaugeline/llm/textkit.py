@@ -20,7 +20,7 @@ NOT_ALNUM = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
 def _tables(n: int) -> list[np.ndarray]:
     if len(_powers[0]) <= n:
-        size = max(n + 1, 1 << 20)
+        size = max(n + 1, 1 << 18)
         for k, base in enumerate((_BASE, _BASE_INVERSE)):
             table = np.full(size, base, np.uint64)
             table[0] = 1
@@ -50,8 +50,8 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Row ranges of about `most` bytes, so that temporary arrays stay small; a longer row stands alone."""
+def chunks(texts: pa.Array, most: int = 1 << 17) -> Iterator[tuple[int, int]]:
+    """Row ranges of about `most` bytes, so that temporary arrays stay in cache; a longer row stands alone."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     lo = 0
     while lo < len(ends):
@@ -84,9 +84,10 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return np.zeros(0, np.uint64)
     power, inverse = _tables(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
+    np.multiply(data, power[: len(data)], out=total[1:])  # zero bytes are told apart by the length
+    np.cumsum(total, out=total)
     h = (total[ends] - total[starts]) * inverse[starts]
-    return mix(h ^ ((ends - starts).astype(np.uint64) << np.uint64(56)))
+    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def combine(parts: list[np.ndarray]) -> np.ndarray:
