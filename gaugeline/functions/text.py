@@ -72,21 +72,26 @@ def prepare(text: Column) -> Column:
     return F.struct(found.alias("text"), (found != clean).alias("sensitive"))
 
 
-def find_spans(text: Column, pattern: Column | str) -> Column:
-    """array<struct<start, stop, text>> of all matches, from the lengths of what stands between them."""
-    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    between = F.split(text, pattern, -1)
-    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, p: F.struct(m.alias("m"), p.alias("p")))
+#: Stands around matches while they are found; in a text it counts as another control character.
+_MARK = "\x01"
+
+
+def find_spans(text: Column, pattern: str) -> Column:
+    """array<struct<start, stop, text>> of all matches (no empty ones), from the lengths of what stands between them.
+
+    Matches are marked by one replacement, whose pattern Spark compiles once, and cut at
+    the mark; splitting by the pattern itself would compile it again for every row.
+    """
+    marked = F.regexp_replace(F.translate(text, _MARK, "\x02"), pattern, f"{_MARK}$0{_MARK}")
+    parts = F.transform(F.split(marked, _MARK, -1), lambda p, i: F.struct(F.length(p).alias("n"), (i % 2 == 1).alias("hit")))
     begun = F.expr(f"struct(0 as at, cast(array() as array<{SPAN}>) as spans)")
 
     def step(known: Column, x: Column) -> Column:
-        start = known["at"] + F.length(x["p"])
-        stop = start + F.length(x["m"])
-        span = F.struct(start.alias("start"), stop.alias("stop"), x["m"].alias("text"))
-        return F.struct(stop.alias("at"), F.concat(known["spans"], F.array(span)).alias("spans"))
+        start, stop = known["at"], known["at"] + x["n"]
+        span = F.struct(start.alias("start"), stop.alias("stop"), F.substring(text, start + 1, x["n"]).alias("text"))
+        return F.struct(stop.alias("at"), F.when(x["hit"], F.concat(known["spans"], F.array(span))).otherwise(known["spans"]).alias("spans"))
 
-    return F.aggregate(pairs, begun, step)["spans"]
+    return F.aggregate(parts, begun, step)["spans"]
 
 
 def offset_map(text: Column) -> Column:
