@@ -39,9 +39,6 @@ def normalise_whitespace(spark, d):
     return docs(spark, d).select("doc_id", T.collapse(F.coalesce("text", F.lit(""))).alias("clean"))
 
 
-_R = [r"\b[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}\b"]
-
-
 @register("redaction_flags", "select doc_id, regexp_matches(t, '(?i)\\b[0-9A-Za-z_.+-]+@[0-9A-Za-z_.-]+\\.[A-Za-z]{2,}\\b') as email, regexp_matches(t, '(^|[^\\p{L}\\p{N}_])(?:\\+?1[ .-]?)?(?:\\(\\d{3}\\)|\\d{3})[ .-]?\\d{3}[ .-]?\\d{4}($|[^\\p{L}\\p{N}_])') as phone from (select doc_id, " + NORM + " as t from documents)")
 def redaction_flags(spark, d):
     text = T.collapse(F.coalesce("text", F.lit("")))
