@@ -10,8 +10,20 @@ from gaugeline.scratch import materialise
 from gaugeline.session import table
 
 
+#: Rows of texts that go to a Python worker at once; the session's own bound holds where it is lower.
+BATCH_ROWS = 2_000
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    """Long texts make wide batches: JVM and workers both hold one of them per task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; learnt from the labels outside its test fold."""
+    _bound_batches(spark)
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     voters = quality.fit(docs, labels, quality.held_in(F.col("doc_id")))
     scored = quality.score(docs, voters, name="__score")
@@ -25,6 +37,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
+    _bound_batches(spark)
     return near_dedup.drop_near_copies(docs)
 
 
@@ -35,6 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with the ids of their pieces."""
+    _bound_batches(spark)
     return pieces.encode(docs, name="ids")
 
 
