@@ -5,12 +5,16 @@ its occurrence number within the text, so a repeated one counts each time. Each
 SKETCHES orders of the labelled shingles picks the LEAST smallest ones and keeps
 them in text order: two texts share such a key more likely the nearer they are by
 edits, not only by content. Texts that share a key, with lengths that allow it,
-are linked to one leader of the key; a pair counts if the banded alignment of its
+are paired with one leader of the key; a pair counts if the banded alignment of its
 words finds an edit similarity of at least SIMILARITY (1 - edits / longer length).
 Classes are the connected components of these links.
 
 Texts with equal words are one node from the start: copies, however many, are
-never paired. A key's texts make one pair each with their leader, never all pairs.
+never paired. The leader of a key is the text that meets most others under all its
+keys: of a text and its edited copies nearly always the text. Keys whose texts are
+then not of one class go into a round with LEADERS more leaders, and what is still
+open into one with all pairs of different classes, so that no pair under a key is
+left untried. A bitmap of the parity of words, which edits bound, goes before texts.
 Even and odd sketches cut lengths into bands at different places, so that two
 texts whose lengths may match meet in half of the sketches at least. Texts of
 under five words have one shingle; texts without words are equal to each other
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -37,6 +41,10 @@ from gaugeline.scratch import materialise
 SHINGLE = 5
 SKETCHES, LEAST = 32, 2
 SIMILARITY = 0.8
+#: Leaders of a key in the second round.
+LEADERS = 16
+#: Words of 64 bits in the bitmap of parities.
+PARITY = 8
 #: Cells up to which alignment tabulates whole diagonals; beyond, it goes row by row.
 DENSE = 4_000_000
 #: Bits of the filter that tells which texts verification needs, in 2 ** FILTER bits: 1 MB, whatever the corpus.
@@ -180,8 +188,15 @@ def near(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     return edits(a, b, most) <= most
 
 
+def parity(words: np.ndarray) -> np.ndarray:
+    """64 * PARITY bits that tell which of as many hashed words stand an odd number of times."""
+    place = (words >> np.uint64(40)) % np.uint64(64 * PARITY)
+    odd = np.bincount(place.astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, a, b, n, keys): each row's node (a, b), number of words and keys."""
+    """(id, a, b, n, keys, bits): each row's node (a, b), number of words, keys and parities."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,21 +204,68 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for lo, hi, words, first in _words(batch.column(1)):
                 a, b = nodes(words, first)
                 keys = [textkit.signed(sketch(words[first[i] : first[i + 1]])) if first[i + 1] > first[i] else np.zeros(0, np.int64) for i in range(hi - lo)]
-                columns = [batch.column(0).slice(lo, hi - lo), *[pa.array(textkit.signed(x)) for x in (a, b)], pa.array(np.diff(first).astype(np.int32)), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "a", "b", "n", "keys"])
+                bits = [parity(words[first[i] : first[i + 1]]) for i in range(hi - lo)]
+                columns = [batch.column(0).slice(lo, hi - lo), *[pa.array(textkit.signed(x)) for x in (a, b)], pa.array(np.diff(first).astype(np.int32)), *[pa.array(x, pa.list_(pa.int64())) for x in (keys, bits)]]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "a", "b", "n", "keys", "bits"])
+
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, a long, b long, n int, keys array<long>, bits array<long>")
+
+
+def _fits(x: str, y: str) -> Column:
+    """Whether the lengths of two rows can match."""
+    return F.least(f"{x}.n", f"{y}.n") >= F.lit(SIMILARITY) * F.greatest(f"{x}.n", f"{y}.n") - 1e-9
+
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, a long, b long, n int, keys array<long>")
+def _alike(x: str, y: str) -> Column:
+    """Whether the parities of two rows can match: an insertion or deletion changes one bit at most, a substitution two."""
+    apart = sum((F.bit_count(F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])) for i in range(PARITY)), F.lit(0))
+    most = F.floor(F.lit(1 - SIMILARITY) * F.greatest(f"{x}.n", f"{y}.n") + 1e-9)
+    return apart <= 2 * most - F.abs(F.col(f"{x}.n") - F.col(f"{y}.n"))
 
 
-def candidates(known: DataFrame) -> DataFrame:
-    """(x, y) pairs of nodes: each node with the leader of each of its keys among lengths that can match."""
+def shared(known: DataFrame) -> DataFrame:
+    """(key, node, n, score) of keys with several nodes; score: how many nodes meet this one, counted under each of its keys."""
     log = F.log("n") / F.lit(math.log(1 / SIMILARITY))
     band = F.floor(F.when(F.col("i") % 2 == 0, log / 2).otherwise((log + 1) / 2))
-    keyed = known.select("node", "n", F.posexplode("keys").alias("i", "key")).select("node", "n", "key", band.cast("int").alias("band"))
-    led = keyed.groupBy("key", "band").agg(F.min_by(F.struct("node", "n"), "node").alias("lead"), F.count("*").alias("nodes")).where("nodes > 1")
-    pairs = keyed.join(led, ["key", "band"]).where("node <> lead.node")
-    fits = F.least("n", "lead.n") >= F.lit(SIMILARITY) * F.greatest("n", "lead.n") - 1e-9
-    return pairs.where(fits).select(F.col("lead.node").alias("x"), F.col("node").alias("y")).distinct()
+    keyed = known.select("node", "n", F.posexplode("keys").alias("i", "key")).select("node", "n", F.xxhash64("key", band.cast("int")).alias("key"))
+    many = keyed.groupBy("key").agg(F.count("*").alias("nodes")).where("nodes > 1")
+    rows = materialise(keyed.join(many, "key"), "near-keys")
+    return materialise(rows.join(rows.groupBy("node").agg(F.sum("nodes").alias("score")), "node").select("key", "node", "n", "score"), "near-shared")
+
+
+def candidates(known: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """(x, y) pairs of nodes: each node with the leader of each of its keys if their lengths can match."""
+    rows = shared(known) if rows is None else rows
+    led = rows.groupBy("key").agg(F.max(F.struct("score", "node", "n")).alias("x"))
+    pairs = rows.select("key", F.struct("score", "node", "n").alias("y")).join(led, "key")
+    return pairs.where(F.col("x.node") != F.col("y.node")).where(_fits("x", "y")).select(F.col("x.node").alias("x"), F.col("y.node").alias("y")).distinct()
+
+
+def possible(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs whose parities can match."""
+    for s in "xy":
+        pairs = pairs.join(known.select(F.col("node").alias(s), F.struct("n", "bits").alias(f"of_{s}")), s)
+    return pairs.where(_alike("of_x", "of_y")).select("x", "y")
+
+
+def untried(rows: DataFrame, known: DataFrame, tried: DataFrame, found: DataFrame, leaders: int | None) -> DataFrame | None:
+    """(x, y) pairs of nodes that share a key and stand in different components, with so many leaders of each key, or all; None if no key is open."""
+    now = rows.join(found, "node", "left").withColumn("alone", F.col("component").isNull()).withColumn("component", F.coalesce("component", "node"))
+    ends = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    now = materialise(now.join(ends, "key", "left_semi"), "near-open")
+    if now.isEmpty():
+        return None
+    now = now.join(known.select("node", "bits"), "node")
+    row = F.struct("score", "node", "n", "component", "bits")
+    led = now
+    if leaders is not None:
+        order = Window.partitionBy("key").orderBy(F.desc("alone"), F.desc("score"), "node")
+        led = now.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= leaders)
+    pairs = now.select("key", row.alias("y")).join(led.select("key", row.alias("x")), "key")
+    pairs = pairs.where(F.col("x.component") != F.col("y.component")).where(_fits("x", "y")).where(_alike("x", "y"))
+    above = F.struct("x.score", "x.node") > F.struct("y.score", "y.node")
+    ends = [F.when(above, F.col(f"{s}.node")).otherwise(F.col(f"{t}.node")).alias(s) for s, t in ("xy", "yx")]
+    return pairs.select(*ends).distinct().join(tried, ["x", "y"], "left_anti")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -262,11 +324,25 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = known.groupBy("id", "node").agg(F.count("*").alias("copies"))
     reps = materialise(rows.groupBy("node").agg(F.min("id").alias("id"), F.sum("copies").alias("copies")), "near-nodes")
     lone = known.join(reps.select("node", F.col("id").alias("of")), "node").where(F.col("id").eqNullSafe(F.col("of"))).dropDuplicates(["node"])
-    pairs = materialise(candidates(lone.select("node", "n", "keys")), "near-pairs")
+    lone = lone.select("node", "n", "keys", "bits")
+    rows_of = shared(lone)
+    pairs = materialise(possible(candidates(lone, rows_of), lone), "near-pairs")
     links = materialise(verified(docs, pairs, reps, id_col, text_col), "near-links")
+    components = materialise(connected_components(links), "near-round")
+    for leaders in (LEADERS, None):
+        more = untried(rows_of, lone, pairs, components, leaders)
+        if more is None:
+            break
+        more = materialise(more, "near-pairs")
+        if not more.isEmpty():
+            pairs = pairs.unionByName(more)
+            new = materialise(verified(docs, more, reps, id_col, text_col), "near-links")
+            if not new.isEmpty():
+                links = links.unionByName(new)
+                components = materialise(connected_components(links), "near-round")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
-    found = reps.join(connected_components(links), "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    found = reps.join(components, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
     found = materialise(found, "near-components")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node"))
     whole = found.groupBy("component").agg(least.alias("l"), F.sum("copies").alias("class_size"), F.count("*").alias("nodes"))

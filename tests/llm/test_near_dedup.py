@@ -99,3 +99,46 @@ def test_a_repeated_id_with_other_words_is_another_document(spark):
     docs = frame(spark, [" ".join(words(i, 50)) for i in (1, 2, 2, 3)], [1, 1, 1, 2])
     kept = sorted(r["text"] for r in nd.drop_near_copies(docs).collect())
     assert kept == sorted(" ".join(words(i, 50)) for i in (1, 2, 3))
+
+
+def star(seed, base, copies, least, most):
+    """Copies of a text by substitutions scattered anew in each, so that they match the text and hardly each other."""
+    pick, out = random.Random(seed), []
+    for i in range(copies):
+        w = list(base)
+        for at in pick.sample(range(len(w)), round((1 - pick.uniform(least, most)) * len(w))):
+            w[at] = f"new{i}x{at}"
+        out.append(w)
+    return out
+
+
+def test_copies_of_a_text_that_are_not_alike_find_it(spark):
+    base = words(11, 200)
+    copies = [w for w in star(12, base, 1000, 0.82, 0.88) if nd.near(*(np.array([hash(x) & 0xFFFFFFFF for x in y], np.uint32) for y in (base, w)))]
+    found = nd.classes(frame(spark, [" ".join(w) for w in (base, *copies)])).collect()
+    sizes = {r["class_id"]: r["class_size"] for r in found}
+    assert len(copies) == 1000 and sizes[0] >= 750  # the rest shares no key with the text
+
+
+def test_no_pair_under_a_key_is_left_untried(spark):
+    base = words(21, 120)
+    texts = [" ".join(w) for w in (base, *star(22, base, 60, 0.82, 0.9), *([*words(i, 25), *base[:95]] for i in range(60)))]
+    docs = frame(spark, texts)
+    split = {t: np.array([hash(x) & 0xFFFFFFFF for x in t.split()], np.uint32) for t in texts}
+    rows = nd.sketches(docs, "doc_id", "text").selectExpr("id", "id as node", "n", "keys", "bits")
+    keys = {}
+    for r in nd.shared(rows).collect():
+        keys.setdefault(r["key"], set()).add(r["node"])
+    above = {i: i for i in range(len(texts))}
+
+    def top(i):
+        while above[i] != i:
+            i = above[i]
+        return i
+
+    for nodes in keys.values():
+        for i in nodes:
+            for k in nodes:
+                if i < k and top(i) != top(k) and nd.near(split[texts[i]], split[texts[k]]):
+                    above[max(top(i), top(k))] = min(top(i), top(k))
+    assert {r["id"]: r["class_id"] for r in nd.classes(docs).collect()} == {i: top(i) for i in above}
