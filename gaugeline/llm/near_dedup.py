@@ -15,10 +15,12 @@ keys: of a text and its edited copies nearly always the text. Keys whose texts a
 then not of one class go into a round with LEADERS more leaders, and what is still
 open into one with all pairs of different classes, so that no pair under a key is
 left untried. A bitmap of the parity of words, which edits bound, goes before texts.
-Even and odd sketches cut lengths into bands at different places, so that two
-texts whose lengths may match meet in half of the sketches at least. Texts of
-under five words have one shingle; texts without words are equal to each other
-only if both have none. Null counts as empty. Of each class the smallest id
+Besides the sketches, the SINGLES smallest shingles of a text in one order are keys
+of their own; these are tried with the first leader only, since a common passage
+gives one to any number of texts. Texts of up to SHORT words have each three-word
+shingle as a key, those of up to five words each two-word shingle: texts so short
+that match always share one. Texts without words are equal to each other only if
+both have none. Null counts as empty. Of each class the smallest id
 stays (a null id only if alone); of repeated rows with one id, one stays.
 """
 
@@ -41,6 +43,10 @@ from gaugeline.scratch import materialise
 SHINGLE = 5
 SKETCHES, LEAST = 32, 2
 SIMILARITY = 0.8
+#: Smallest shingles of a text that are keys by themselves.
+SINGLES = 16
+#: Words up to which a text has all of its short shingles as keys.
+SHORT = 30
 #: Leaders of a key in the second round.
 LEADERS = 16
 #: Words of 64 bits in the bitmap of parities.
@@ -104,6 +110,22 @@ def sketch(words: np.ndarray) -> np.ndarray:
     return textkit.combine([keys, *[shingles[place[:, i]] for i in range(place.shape[1])]])
 
 
+def singles(words: np.ndarray) -> np.ndarray:
+    """The SINGLES smallest labelled shingles of one text, in an order that all texts share."""
+    h = np.unique(textkit.mix(_labelled(words)))
+    return h[:SINGLES]
+
+
+def short_keys(words: np.ndarray) -> np.ndarray:
+    """All short shingles of a short text; of longer texts none."""
+    n, out = len(words), []
+    for size in (2, 3):
+        if size <= n <= (5 if size == 2 else SHORT):
+            grams = textkit.combine([words[i : i + n - size + 1] for i in range(size)])
+            out.append(textkit.mix(grams + np.uint64(size)))
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+
+
 def edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Edit distance of two sequences if at most `most`, else most + 1; the band doubles until it holds the answer."""
     if len(a) > len(b):
@@ -196,19 +218,22 @@ def parity(words: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, a, b, n, keys, bits): each row's node (a, b), number of words, keys and parities."""
+    """(id, a, b, n, keys, singles, bits): each row's node (a, b), number of words, keys, keys of one shingle and parities."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, words, first in _words(batch.column(1)):
                 a, b = nodes(words, first)
-                keys = [textkit.signed(sketch(words[first[i] : first[i + 1]])) if first[i + 1] > first[i] else np.zeros(0, np.int64) for i in range(hi - lo)]
-                bits = [parity(words[first[i] : first[i + 1]]) for i in range(hi - lo)]
-                columns = [batch.column(0).slice(lo, hi - lo), *[pa.array(textkit.signed(x)) for x in (a, b)], pa.array(np.diff(first).astype(np.int32)), *[pa.array(x, pa.list_(pa.int64())) for x in (keys, bits)]]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "a", "b", "n", "keys", "bits"])
+                texts = [words[first[i] : first[i + 1]] for i in range(hi - lo)]
+                none = np.zeros(0, np.int64)
+                keys = [textkit.signed(np.concatenate([sketch(w), short_keys(w)])) if len(w) else none for w in texts]
+                alone = [textkit.signed(singles(w)) if len(w) else none for w in texts]
+                bits = [parity(w) for w in texts]
+                columns = [batch.column(0).slice(lo, hi - lo), *[pa.array(textkit.signed(x)) for x in (a, b)], pa.array(np.diff(first).astype(np.int32)), *[pa.array(x, pa.list_(pa.int64())) for x in (keys, alone, bits)]]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "a", "b", "n", "keys", "singles", "bits"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, a long, b long, n int, keys array<long>, bits array<long>")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, a long, b long, n int, keys array<long>, singles array<long>, bits array<long>")
 
 
 def _fits(x: str, y: str) -> Column:
@@ -224,20 +249,21 @@ def _alike(x: str, y: str) -> Column:
 
 
 def shared(known: DataFrame) -> DataFrame:
-    """(key, node, n, score) of keys with several nodes; score: how many nodes meet this one, counted under each of its keys."""
-    log = F.log("n") / F.lit(math.log(1 / SIMILARITY))
-    band = F.floor(F.when(F.col("i") % 2 == 0, log / 2).otherwise((log + 1) / 2))
-    keyed = known.select("node", "n", F.posexplode("keys").alias("i", "key")).select("node", "n", F.xxhash64("key", band.cast("int")).alias("key"))
-    many = keyed.groupBy("key").agg(F.count("*").alias("nodes")).where("nodes > 1")
-    rows = materialise(keyed.join(many, "key"), "near-keys")
-    return materialise(rows.join(rows.groupBy("node").agg(F.sum("nodes").alias("score")), "node").select("key", "node", "n", "score"), "near-shared")
+    """(key, one, node, n, score) of keys with several nodes; one: a single shingle; score: how many nodes meet this one, counted under each of its keys."""
+    keys = F.transform("keys", lambda k: F.struct(k.alias("key"), F.lit(False).alias("one")))
+    if "singles" in known.columns:
+        keys = F.concat(keys, F.transform("singles", lambda k: F.struct(k.alias("key"), F.lit(True).alias("one"))))
+    keyed = known.select("node", "n", F.explode(keys).alias("k")).select("node", "n", "k.*")
+    many = keyed.groupBy("key", "one").agg(F.count("*").alias("nodes")).where("nodes > 1")
+    rows = materialise(keyed.join(many, ["key", "one"]), "near-keys")
+    return materialise(rows.join(rows.groupBy("node").agg(F.sum("nodes").alias("score")), "node").select("key", "one", "node", "n", "score"), "near-shared")
 
 
 def candidates(known: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """(x, y) pairs of nodes: each node with the leader of each of its keys if their lengths can match."""
     rows = shared(known) if rows is None else rows
-    led = rows.groupBy("key").agg(F.max(F.struct("score", "node", "n")).alias("x"))
-    pairs = rows.select("key", F.struct("score", "node", "n").alias("y")).join(led, "key")
+    led = rows.groupBy("key", "one").agg(F.max(F.struct("score", "node", "n")).alias("x"))
+    pairs = rows.select("key", "one", F.struct("score", "node", "n").alias("y")).join(led, ["key", "one"])
     return pairs.where(F.col("x.node") != F.col("y.node")).where(_fits("x", "y")).select(F.col("x.node").alias("x"), F.col("y.node").alias("y")).distinct()
 
 
@@ -249,8 +275,8 @@ def possible(pairs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def untried(rows: DataFrame, known: DataFrame, tried: DataFrame, found: DataFrame, leaders: int | None) -> DataFrame | None:
-    """(x, y) pairs of nodes that share a key and stand in different components, with so many leaders of each key, or all; None if no key is open."""
-    now = rows.join(found, "node", "left").withColumn("alone", F.col("component").isNull()).withColumn("component", F.coalesce("component", "node"))
+    """(x, y) pairs of nodes that share a key, not of one shingle, and stand in different components, with so many leaders of each key, or all; None if no key is open."""
+    now = rows.where("not one").join(found, "node", "left").withColumn("alone", F.col("component").isNull()).withColumn("component", F.coalesce("component", "node"))
     ends = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     now = materialise(now.join(ends, "key", "left_semi"), "near-open")
     if now.isEmpty():
@@ -324,7 +350,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = known.groupBy("id", "node").agg(F.count("*").alias("copies"))
     reps = materialise(rows.groupBy("node").agg(F.min("id").alias("id"), F.sum("copies").alias("copies")), "near-nodes")
     lone = known.join(reps.select("node", F.col("id").alias("of")), "node").where(F.col("id").eqNullSafe(F.col("of"))).dropDuplicates(["node"])
-    lone = lone.select("node", "n", "keys", "bits")
+    lone = lone.select("node", "n", "keys", "singles", "bits")
     rows_of = shared(lone)
     pairs = materialise(possible(candidates(lone, rows_of), lone), "near-pairs")
     links = materialise(verified(docs, pairs, reps, id_col, text_col), "near-links")

@@ -142,3 +142,28 @@ def test_no_pair_under_a_key_is_left_untried(spark):
                 if i < k and top(i) != top(k) and nd.near(split[texts[i]], split[texts[k]]):
                     above[max(top(i), top(k))] = min(top(i), top(k))
     assert {r["id"]: r["class_id"] for r in nd.classes(docs).collect()} == {i: top(i) for i in above}
+
+
+def pair(rng, n, similarity, inserted):
+    """A text and a copy with scattered substitutions, or insertions, down to a similarity."""
+    a = rng.integers(1, 2**63, n, dtype=np.uint64)
+    if inserted:
+        more = int(n / similarity + 1e-9) - n
+        return a, np.insert(a, np.sort(rng.choice(n + 1, more)), rng.integers(1, 2**63, more, dtype=np.uint64))
+    b, at = a.copy(), rng.choice(n, int((1 - similarity) * n + 1e-9), replace=False)
+    b[at] = rng.integers(1, 2**63, len(at), dtype=np.uint64)
+    return a, b
+
+
+def test_pairs_at_the_bound_share_a_key():
+    rng, keys = np.random.default_rng(1), lambda w: {*nd.sketch(w).tolist(), *nd.short_keys(w).tolist(), *nd.singles(w).tolist()}
+    for inserted in (False, True):
+        pairs = [pair(rng, int(rng.integers(60, 600)), 0.8, inserted) for _ in range(150)]
+        assert sum(bool(keys(a) & keys(b)) for a, b in pairs) >= 145
+    for n in range(4, 31):  # one edit, wherever it stands
+        a = rng.integers(1, 2**63, n, dtype=np.uint64)
+        for at in range(n):
+            b = a.copy()
+            b[at] = 1
+            for c in (b, np.insert(a, at, np.uint64(1))):
+                assert not nd.near(a, c) or keys(a) & keys(c)
