@@ -16,7 +16,10 @@ lines in 256, differs in no more bits than the sets differ in words.
 Sets that share a key word are met in one sorted stream. A set needs one earlier
 match only, so it is paired with the NEAREST earlier ones that pass all filters,
 not with all; a set for which none of these holds although others were left
-untried is tried against all of them in a second round. Equal sets are one node
+untried is tried against all of them in a second round. Earlier is meant by where a
+set first stands, not by where a task read it; ids that are not integers are ordered
+by their first bytes only, and then late sets go into the second round as well.
+Equal sets are one node
 from the start, so a line that stands everywhere makes no pairs. Words that only
 one line has are no keys; sets of under four words match only equal ones.
 
@@ -34,6 +37,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from gaugeline.llm import tables, textkit
 from gaugeline.scratch import materialise
@@ -47,7 +51,7 @@ WIDE = 72
 #: Key buckets of a partition: a task holds the rows of one bucket at a time.
 SPLIT = 16
 _KEY = np.dtype([("key", "<u4"), ("place", "<u2")])
-_ROW = np.dtype([("key", "<u4"), ("place", "<u2"), ("n", "<u4"), ("line", "<i4"), ("a", "<u8"), ("bits", "<u8"), ("order", "<i8")])
+_ROW = np.dtype([("key", "<u4"), ("place", "<u2"), ("n", "<u4"), ("line", "<i4"), ("a", "<u8"), ("bits", "<u8"), ("order", "<i8"), ("th", "<i8")])
 #: Bits of the filter that tells which lines verification needs, in 2 ** FILTER bits.
 FILTER = 23
 LEAST = 4
@@ -193,7 +197,7 @@ def _bits(values: DataFrame) -> np.ndarray:
     return out
 
 
-def prefixes(sets: DataFrame, only: np.ndarray | None = None, wide_from: int = WIDE) -> DataFrame:
+def prefixes(sets: DataFrame, firsts: DataFrame, only: np.ndarray | None = None, wide_from: int = WIDE) -> DataFrame:
     """(bucket, rows, wide): the words by which sets meet, packed by bucket of the word; only: a bitmap of words."""
     buckets = tables.partitions(sets) * SPLIT
     shipped = sets.sparkSession.sparkContext.broadcast(None if only is None else np.packbits(only))
@@ -202,7 +206,7 @@ def prefixes(sets: DataFrame, only: np.ndarray | None = None, wide_from: int = W
         use = None if shipped.value is None else np.unpackbits(shipped.value).astype(bool)
         for whole in batches:
             for at in range(0, whole.num_rows, 5000):
-                a, n, bits, wide, ids, line, keys = (whole.column(i).slice(at, 5000) for i in range(7))
+                a, n, bits, wide, ids, th, line, keys = (whole.column(i).slice(at, 5000) for i in range(8))
                 packed = keys.to_pylist()
                 short = np.frombuffer(b"".join(packed), _KEY)
                 of = np.repeat(np.arange(len(packed)), [len(x) // _KEY.itemsize for x in packed])
@@ -214,7 +218,7 @@ def prefixes(sets: DataFrame, only: np.ndarray | None = None, wide_from: int = W
                 short, of, bucket = short[order], of[order], bucket[order]
                 rows = np.empty(len(short), _ROW)
                 rows["key"], rows["place"] = short["key"], short["place"]
-                for name, column in (("n", n), ("line", line), ("a", a), ("bits", bits)):
+                for name, column in (("n", n), ("line", line), ("a", a), ("bits", bits), ("th", th)):
                     rows[name] = column.to_numpy(zero_copy_only=False)[of].astype(_ROW[name], casting="unsafe")
                 rows["order"] = _order(ids)[of]
                 bitmaps = [x if k >= wide_from else b"" for x, k in zip(wide.to_pylist(), n.to_pylist())]
@@ -224,7 +228,9 @@ def prefixes(sets: DataFrame, only: np.ndarray | None = None, wide_from: int = W
                 wides = [b"".join(bitmaps[k] for k in of[i:j].tolist()) for i, j in zip(edge, ends)]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[edge].astype(np.int32)), pa.array(blobs, pa.binary()), pa.array(wides, pa.binary())], ["bucket", "rows", "wide"])
 
-    return sets.where("keys is not null").select("a", "n", "bits", "wide", "id", "line", "keys").mapInArrow(run, "bucket int, rows binary, wide binary")
+    first = firsts.select("a", "b", "first.id", "first.th", "first.line")
+    placed = sets.where("keys is not null").select("a", "b", "n", "bits", "wide", "keys").join(first, ["a", "b"])
+    return placed.select("a", "n", "bits", "wide", "id", "th", "line", "keys").mapInArrow(run, "bucket int, rows binary, wide binary")
 
 
 def _passes(nx, px, ny, py, bx, by) -> np.ndarray:
@@ -236,14 +242,17 @@ def _passes(nx, px, ny, py, bx, by) -> np.ndarray:
 
 
 def _by_place(rows: np.ndarray) -> np.ndarray:
-    """The order by key, id and line; by one number where these fit into 64 bits."""
-    key, order, line = (np.ascontiguousarray(rows[c]) for c in ("key", "order", "line"))
+    """The order by key, id, th and line; by one number where these fit into 64 bits and no id has two texts."""
+    key, order, th, line = (np.ascontiguousarray(rows[c]) for c in ("key", "order", "th", "line"))
     if len(rows):
         since = order - order.min()
         bits = [int(x.max()).bit_length() for x in (key, since, line)]
         if sum(bits) <= 63 and since.min() >= 0:
-            return np.argsort(key.astype(np.int64) << (bits[1] + bits[2]) | since << bits[2] | line)
-    return np.lexsort((line, order, key))
+            found = np.argsort(key.astype(np.int64) << (bits[1] + bits[2]) | since << bits[2] | line)
+            k, o, t = key[found], order[found], th[found]
+            if not ((k[1:] == k[:-1]) & (o[1:] == o[:-1]) & (t[1:] != t[:-1])).any():
+                return found
+    return np.lexsort((rows["a"], line, th, order, key))
 
 
 def _meet(rows: np.ndarray, wide: np.ndarray, nearest: int, only: np.ndarray | None, wide_from: int) -> Iterator[pa.RecordBatch]:
@@ -366,13 +375,15 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = materialise(line_sets(named, counts, kind), "lines")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "th", "line")
     firsts = materialise(lines.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("rows")), "line-firsts")
-    pairs = materialise(candidates(prefixes(lines)), "line-pairs")
+    pairs = materialise(candidates(prefixes(lines, firsts)), "line-pairs")
     late = _later(verified(named, pairs.select("x", "y"), firsts), firsts)
     # sets that none of their nearest candidates matches, though more were there: against all, with the wide bitmap for every size
-    open_y = pairs.groupBy("y").agg(F.max("more").alias("more")).where("more").join(late.select(F.col("a").alias("y")), "y", "left_anti")
+    open_y = pairs.groupBy("y").agg(F.max("more").alias("more")).where("more")
+    if isinstance(docs.schema[id_col].dataType, IntegralType):  # the order in which sets met is that of firsts
+        open_y = open_y.join(late.select(F.col("a").alias("y")), "y", "left_anti")
     open_y = materialise(open_y.select(F.col("y").alias("a")), "line-open")
     if open_y.count():
-        packed = prefixes(lines, _keys_of(lines, open_y), wide_from=0)
+        packed = prefixes(lines, firsts, _keys_of(lines, open_y), wide_from=0)
         again = candidates(packed, 1 << 30, _bits(open_y), wide_from=0).select("x", "y").join(open_y.withColumnRenamed("a", "y"), "y", "left_semi")
         again = materialise(again.join(pairs.select("x", "y"), ["x", "y"], "left_anti"), "line-pairs")
         late = materialise(late.unionByName(_later(verified(named, again, firsts), firsts)).distinct(), "line-late")

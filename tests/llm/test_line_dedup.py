@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from gaugeline.llm import line_dedup as ld
 
 from .conftest import ODD, frame, words
@@ -60,3 +62,15 @@ def test_repeated_rows_and_empty(spark, odd, empty):
     assert ld.drop_later_lines(empty).count() == 0
     twice = frame(spark, ["same line of five words", "same line of five words", None], [1, 1, None])
     assert sorted(r["text"] or "" for r in ld.drop_later_lines(twice).collect()) == ["", "same line of five words", "same line of five words"]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_rows_out_of_order(spark, monkeypatch, kind):
+    monkeypatch.setattr(ld, "NEAREST", 1)
+    texts, pick = corpus(), random.Random(4)
+    name = (lambda i: i) if kind == "long" else (lambda i: f"document {i:03d}")  # alike in their first bytes
+    rows = [(name(i), t) for i, t in enumerate(texts)]
+    pick.shuffle(rows)
+    docs = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(5)
+    found = {r["id"]: r["gone"] for r in ld.later_matches(docs).collect()}
+    assert found == {name(i): g for i, g in brute(texts).items() if g}
