@@ -280,6 +280,12 @@ def corpus_index(spark, d):
     return C.index(rows, "doc_id", "text", ["source"]).select("record_id", "source", "words", "excluded", "sample_rank")
 
 
+@register("corpus_index_all")
+def corpus_index_all(spark, d):
+    """Of all documents, with all columns; SQL cannot redact alike, so it has no twin."""
+    return C.index(docs(spark, d), "doc_id", "text", ["source"])
+
+
 @register("temporal_partition", f"with {GROUPS}, p as (select m.group_id, case when record_id::bigint % 10 = 0 then 'quarantine' when record_id::bigint % 10 <= 6 then 'train' when record_id::bigint % 10 <= 8 then 'validation' else 'test' end as s from members m) select group_id, case when min(s) = max(s) then min(s) else 'quarantine' end as split from p group by group_id")
 def temporal_partition(spark, d):
     date = F.when(F.expr("cast(record_id as bigint) % 10") == 0, "").otherwise(F.concat(F.lit("200"), F.expr("cast(record_id as bigint) % 10").cast("string"), F.lit("-01-01")))

@@ -32,6 +32,13 @@ def source_dialect_rows(spark, d):
     return readers.source_records(rows, "faa_sdr", "documents.csv").select("source_record_id", "narrative", F.size("structured").alias("targets"))
 
 
+@register("source_dialect_rows_all")
+def source_dialect_rows_all(spark, d):
+    """Of all documents, with all columns but the row number, which is not fixed; SQL cannot redact alike, so it has no twin."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("OperatorControlNumber"), F.col("text").alias("Discrepancy"), F.col("source").alias("PartName"), F.when(F.col("lang") != "en", F.col("lang")).otherwise(" ").alias("PartCondition"))
+    return readers.source_records(rows, "faa_sdr", "documents.csv").drop("source_row").withColumn("structured", F.to_json("structured"))
+
+
 EDITS = "edits as (select record_id, case when start % 9 = 4 then 'THING' else label end as label, (case when start % 4 = 1 then start - 3 else start end)::int as start, (case when start % 13 = 2 then stop + 500 else stop end)::int as stop, assertion from spans)"
 
 

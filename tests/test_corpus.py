@@ -115,3 +115,26 @@ def test_classifier_on_separable_text(spark):
     model = classify.train(rows, iterations=20)
     out = classify.predict(model, spark.createDataFrame([("an apple fruit",), ("a steel bolt",)], "text string")).collect()
     assert [r["predicted"] for r in out] == ["fruit", "metal"] and all(0.5 < r["confidence"] <= 1 for r in out)
+
+
+def test_whole_queries_keep_documents_that_redaction_touches(spark, tmp_path):
+    import hashlib
+
+    import __spark_entry__ as entry
+
+    texts = {1: "Plain  words here", 2: "Write to user1@example.com now", 3: None, 4: "room twelve", 5: "Seen 3 cracks"}
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    index = {r["record_id"]: r for r in entry.queries()["corpus_index_all"](spark, str(tmp_path)).collect()}
+    said = {r["source_record_id"]: r for r in entry.queries()["source_dialect_rows_all"](spark, str(tmp_path)).collect()}
+    assert set(index) == set(said) == {str(i) for i in texts}
+    for i, t in texts.items():
+        plain = " ".join((t or "").split())
+        a, b = index[str(i)], said[str(i)]
+        assert a["sensitive"] == b["sensitive"] == (i == 2)
+        assert a["excluded"] == b["excluded"] == ("empty_narrative" if not plain else "")
+        assert a["words"] == len(plain.split())
+        if i == 2:
+            assert "user1" not in b["narrative"]
+        else:
+            assert b["narrative"] == plain and a["exact"] == (hashlib.sha256(plain.lower().encode()).hexdigest() if plain else "")
