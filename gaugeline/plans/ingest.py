@@ -104,10 +104,27 @@ def token_alignment(spark, d):
 
 @register("perturbation_invariance", "select 0::bigint as changed")
 def perturbation_invariance(spark, d):
-    """Double spaces change no signature of single-word spans."""
-    rows = fx.reports(spark, d).where("template not in (0, 2)")
-    wide = rows.withColumn("narrative", F.regexp_replace("narrative", " ", "  "))
-    return review.changed(X.extract(rows, packs=[fx.PARTS]), X.extract(wide, packs=[fx.PARTS])).agg(F.count("*").alias("changed"))
+    """Another vendor in the metadata, double spaces and another vendor in the text change no signature."""
+    return perturbed(fx.reports(spark, d)).agg(F.coalesce(F.sum("changed"), F.lit(0)).cast("long").alias("changed"))
+
+
+def perturbed(rows):
+    """(kind, reports, changed) of three perturbations of reports; texts are collapsed before extraction, vendors replaced where they stand."""
+    named = (F.length("vendor") > 0) & F.contains(F.lower("narrative"), F.lower("vendor"))
+    swapped = F.regexp_replace("narrative", F.concat(F.lit(r"(?i)\Q"), F.col("vendor"), F.lit(r"\E")), F.lit("Unseen Vendor"))
+    wide = F.regexp_replace("narrative", r"[ \t]+", "  ")
+    collapsed = lambda text: F.trim(F.regexp_replace(text, r"\s+", " "))
+    kinds = {
+        "metadata": (rows, rows.withColumn("vendor", F.lit("unseen evaluation vendor"))),
+        "spaces": (rows, rows.withColumn("narrative", collapsed(wide))),
+        "text": (rows.where(named), rows.where(named).withColumn("narrative", collapsed(swapped))),
+    }
+    out = None
+    for kind, (before, after) in kinds.items():
+        wrong = review.changed(X.extract(before, packs=[fx.PARTS]), X.extract(after, packs=[fx.PARTS])).agg(F.count("*").alias("changed"))
+        tried = before.agg(F.count("*").alias("reports")).crossJoin(wrong).select(F.lit(kind).alias("kind"), "reports", "changed")
+        out = tried if out is None else out.unionByName(tried)
+    return out
 
 
 @register("extraction_comparison", f"with {fx.SPANS_SQL}, g as (select * from lexicon where scope = 'all' and label <> 'COMPONENT') select 'adapted' as mode, label, count(*) as spans from spans group by label union all select 'generic', label, count(*) from spans s where label <> 'COMPONENT' group by label")

@@ -119,3 +119,12 @@ def test_hybrid_keeps_rules_first(spark):
     tagged = R.tagged_spans(text, T.find_spans(text, "Steel valve|cracked"), "COMPONENT")
     got = rows.select(R.hybrid(F.col("entities"), tagged, 0.95).alias("e")).first()["e"]
     assert [(e["text"], e["method"]) for e in got] == [("Steel valve", "ner"), ("cracked", "ner")]
+
+
+def test_all_perturbations_run_over_all_reports(spark):
+    from gaugeline.plans import ingest
+
+    texts = [("a", "Steel ring cracked at 12 mm.", "Acme"), ("b", "Critical copper rod worn. Replace immediately.", "Acme"), ("c", "ACME bolt leaking.", "Acme"), ("d", "Cracked bolt leaking.", "Cracked bolt")]
+    rows = spark.createDataFrame([(i, t, v, "general") for i, t, v in texts], "record_id string, narrative string, vendor string, domain string")
+    found = {r["kind"]: (r["reports"], r["changed"]) for r in ingest.perturbed(rows).collect()}
+    assert found == {"metadata": (4, 0), "spaces": (4, 0), "text": (2, 1)}
