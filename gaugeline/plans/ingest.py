@@ -61,6 +61,12 @@ def human_entities(spark, d):
     return review.human_entities(spans(spark, d).where("start % 3 = 0").select("record_id", "label", "start", "stop", "assertion"), fx.reports(spark, d))
 
 
+@register("human_entities_all", f"with {fx.SPANS_SQL} select record_id, label, text, start::int as start, stop::int as stop, assertion, 1.0::double as confidence, 'human' as method from spans")
+def human_entities_all(spark, d):
+    """All spans as edits."""
+    return review.human_entities(spans(spark, d).select("record_id", "label", "start", "stop", "assertion"), fx.reports(spark, d))
+
+
 @register("edited_links", f"with {fx.FINDINGS_SQL}, e as (select record_id || ':defect:' || (defect_start + case when start % 5 = 0 then 1 else 0 end) as finding_id, record_id, label, start, stop from links), v as (select distinct e.finding_id, e.label, e.start, e.stop from e join findings f using (finding_id) join spans s on s.record_id = e.record_id and s.label = e.label and s.start = e.start and s.stop = e.stop) select finding_id, label, start::int as start, stop::int as stop, 'valid' as status from v union all select finding_id, label, start, stop, 'violation' from e where not exists (select 1 from v where v.finding_id = e.finding_id and v.label = e.label and v.start = e.start and v.stop = e.stop)")
 def edited_links(spark, d):
     found = fx.extracted(spark, d)

@@ -31,3 +31,7 @@ def test_rows_do_not_depend_on_partitions(spark):
         assert rows(entry.queries()["heatmap_component"](spark, D).toPandas()) == one
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_all_spans_pass_as_edits(spark):
+    test_query_equals_sql(spark, "human_entities_all")
