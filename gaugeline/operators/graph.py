@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from gaugeline.operators.joins import join_above, partitions
-from gaugeline.scratch import materialise
+from gaugeline.scratch import discard, materialise
 
 
-def _star(edges: DataFrame, large: bool, hub: int) -> DataFrame:
-    """Point the neighbours of each node at the smallest of them (or itself); nodes of more than `hub` edges are joined by broadcast."""
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """Point the neighbours of each node at the smallest of them (or itself)."""
     if large:
         rows = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         rows = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = rows.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-    moved = join_above(rows, least, ["a"], "n", ["m"], hub)
+    least = rows.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    moved = rows.join(least, "a")
     if large:
         moved = moved.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -28,19 +27,24 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(a, b) edges to (node, component): the component is its smallest node.
 
     Nodes without an edge do not appear. Loops and repeated edges are harmless;
-    an edge with a null end is ignored; no edges give no rows. Each round is
-    written to the shared folder, and only one number per round reaches the driver.
-    Stars keep a hub's edges as rows, so no group is ever collected.
+    an edge with a null end is ignored; no edges give no rows. Each round is one
+    job that writes to the shared folder and tells the driver two numbers on the way.
+    Stars keep a hub's edges as rows, so no group is ever collected, and the join
+    of a hub's edges is one that adaptive execution splits.
     """
-    now = materialise(edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct(), "components")
-    before = None
+    now = edges.where("a is not null and b is not null and a <> b").select("a", "b")
+    before, written = None, []
     for _ in range(max_rounds):
-        hub = max(100, 2 * now.count() // (4 * partitions(now)))  # fewer nodes than 4 x partitions have more edges
-        now = materialise(_star(_star(now, True, hub), False, hub), "components")
-        print_of = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if before == tuple(print_of):
+        seen = Observation()
+        step = _star(_star(now, True), False)
+        step = step.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s"))
+        now = materialise(step, "components")
+        discard(*written)
+        written = [now]
+        print_of = (seen.get["n"], seen.get["s"])
+        if before == print_of or not print_of[0]:
             break
-        before = tuple(print_of)
+        before = print_of
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
