@@ -1,26 +1,27 @@
 """Near-duplicate documents by Order MinHash and banded alignment.
 
-Words are lower-cased runs of letters and digits. Each five-word shingle carries
-its occurrence number within the text, so a repeated one counts each time. Each of
-SKETCHES orders of the labelled shingles picks the LEAST smallest ones and keeps
+Words are lower-cased runs of letters and digits. Each shingle carries its
+occurrence number within the text, so a repeated one counts each time. Each of a
+family's orders of the labelled shingles picks the LEAST smallest ones and keeps
 them in text order: two texts share such a key more likely the nearer they are by
-edits, not only by content. Texts that share a key, with lengths that allow it,
-are paired with one leader of the key; a pair counts if the banded alignment of its
-words finds an edit similarity of at least SIMILARITY (1 - edits / longer length).
-Classes are the connected components of these links.
+edits, not only by content. Shingles are of five words; texts too short for these
+to outlive scattered edits take shorter ones (FAMILIES). The families' lengths
+overlap, so that two texts whose lengths can match have one in common.
+
+Texts that share a key are paired with one leader of the key, the text that meets
+most others under all its keys: of a text and its edited copies nearly always the
+text. A pair counts if the banded alignment of its words finds an edit similarity of
+at least SIMILARITY (1 - edits / longer length). Classes are the connected components
+of these links. Keys whose texts are then not of one class go into a round with
+LEADERS more leaders, and what is still open is met in tiles of bounded size that
+compare all texts of different classes, so that no pair under a key is left untried.
+The tiles read a row of 64 * PARITY bits for each text and give out only the pairs
+that these leave possible: the parity of words, which edits bound.
 
 Texts with equal words are one node from the start: copies, however many, are
-never paired. The leader of a key is the text that meets most others under all its
-keys: of a text and its edited copies nearly always the text. Keys whose texts are
-then not of one class go into a round with LEADERS more leaders, and what is still
-open into one with all pairs of different classes, so that no pair under a key is
-left untried. A bitmap of the parity of words, which edits bound, goes before texts.
-Besides the sketches, the SINGLES smallest shingles of a text in one order are keys
-of their own; these are tried with the first leader only, since a common passage
-gives one to any number of texts. Texts of up to SHORT words have each three-word
-shingle as a key, those of up to five words each two-word shingle: texts so short
-that match always share one. Texts without words are equal to each other only if
-both have none. Null counts as empty. Of each class the smallest id
+never paired. Texts without words are equal to each other only if both have none.
+Null counts as empty; very long texts are read whole; an empty table gives no rows;
+extra columns, whatever their names, are not looked at. Of each class the smallest id
 stays (a null id only if alone); of repeated rows with one id, one stays.
 """
 
@@ -32,32 +33,30 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from gaugeline.llm import tables, textkit
 from gaugeline.operators.graph import connected_components
-from gaugeline.scratch import materialise
+from gaugeline.scratch import discard, materialise
 
-SHINGLE = 5
-SKETCHES, LEAST = 32, 2
+LEAST = 2
+#: (words from, words up to, words of a shingle, orders).
+FAMILIES = ((1, 12, 1, 32), (10, 63, 2, 32), (51, 1 << 40, 5, 112))
 SIMILARITY = 0.8
-#: Smallest shingles of a text that are keys by themselves.
-SINGLES = 16
-#: Words up to which a text has all of its short shingles as keys.
-SHORT = 30
 #: Leaders of a key in the second round.
 LEADERS = 16
+#: Rows of a block; a tile of the last round holds two blocks of a key at most, on average.
+TILE = 1024
 #: Words of 64 bits in the bitmap of parities.
 PARITY = 8
 #: Cells up to which alignment tabulates whole diagonals; beyond, it goes row by row.
 DENSE = 4_000_000
-#: Bits of the filter that tells which texts verification needs, in 2 ** FILTER bits: 1 MB, whatever the corpus.
-FILTER = 23
-#: (id, node) of rows that go are broadcast up to this count and joined by shuffle beyond.
-BROADCAST_ROWS = 200_000
-_SEEDS = textkit.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_SEEDS = textkit.mix(np.arange(1, max(f[3] for f in FAMILIES) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_FACTOR = (_SEEDS >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_FLIP = (_SEEDS & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
 def _words(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -78,11 +77,10 @@ def nodes(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out[0], out[1]
 
 
-def _labelled(words: np.ndarray) -> np.ndarray:
-    """Hashes of one text's shingles with their occurrence numbers, in text order."""
-    n = max(1, len(words) - SHINGLE + 1)
-    span = min(SHINGLE, len(words))
-    shingles = textkit.combine([words[i : i + n] for i in range(span)])
+def _labelled(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of one text's shingles of `size` words with their occurrence numbers, in text order."""
+    n = max(1, len(words) - size + 1)
+    shingles = textkit.combine([words[i : i + n] for i in range(min(size, len(words)))])
     order = np.argsort(shingles, kind="stable")
     ranked = shingles[order]
     new = np.ones(n, bool)
@@ -93,37 +91,33 @@ def _labelled(words: np.ndarray) -> np.ndarray:
     return textkit.mix(shingles + nth * np.uint64(0x9E3779B97F4A7C15))
 
 
+def _picked(shingles: np.ndarray, orders: int) -> np.ndarray:
+    """Places of the LEAST smallest shingles in each order, in text order; a row for each order."""
+    short = (shingles >> np.uint64(32)).astype(np.uint32)
+    out = []
+    for at in range(0, orders, 16):
+        h = (short[None, :] ^ _FLIP[at : at + 16, None]) * _FACTOR[at : at + 16, None]
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x846CA68B)
+        h ^= h >> np.uint32(16)
+        which, place = np.arange(len(h)), []
+        for _ in range(min(LEAST, len(shingles))):
+            place.append(h.argmin(1))
+            h[which, place[-1]] = np.uint32(0xFFFFFFFF)
+        out.append(np.sort(np.stack(place, 1), axis=1))
+    return np.concatenate(out)
+
+
 def sketch(words: np.ndarray) -> np.ndarray:
-    """SKETCHES keys of one text."""
-    shingles = _labelled(words)
-    keys = np.arange(SKETCHES, dtype=np.uint64)
-    parts = []
-    for at in range(0, SKETCHES, 8):
-        h = shingles[None, :] ^ _SEEDS[at : at + 8, None]
-        h = h * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0x94D049BB133111EB)
-        k = min(LEAST, h.shape[1])
-        place = np.argpartition(h, k - 1, axis=1)[:, :k] if h.shape[1] > k else np.tile(np.arange(h.shape[1]), (len(h), 1))
-        parts.append(np.sort(place, axis=1))  # text order
-    place = np.concatenate(parts)
-    return textkit.combine([keys, *[shingles[place[:, i]] for i in range(place.shape[1])]])
-
-
-def singles(words: np.ndarray) -> np.ndarray:
-    """The SINGLES smallest labelled shingles of one text, in an order that all texts share."""
-    h = np.unique(textkit.mix(_labelled(words)))
-    return h[:SINGLES]
-
-
-def short_keys(words: np.ndarray) -> np.ndarray:
-    """All short shingles of a short text; of longer texts none."""
-    n, out = len(words), []
-    for size in (2, 3):
-        if size <= n <= (5 if size == 2 else SHORT):
-            grams = textkit.combine([words[i : i + n - size + 1] for i in range(size)])
-            out.append(textkit.mix(grams + np.uint64(size)))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+    """The keys of one text, of each family that its length calls for."""
+    keys = []
+    for least, most, size, orders in FAMILIES:
+        if least <= len(words) <= most:
+            shingles = _labelled(words, size)
+            place = _picked(shingles, orders)
+            order = np.arange(orders, dtype=np.uint64) + np.uint64(size << 32)
+            keys.append(textkit.combine([order, *[shingles[place[:, i]] for i in range(place.shape[1])]]))
+    return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
 def edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -218,22 +212,22 @@ def parity(words: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, a, b, n, keys, singles, bits): each row's node (a, b), number of words, keys, keys of one shingle and parities."""
+    """(id, row, a, b, n, keys, bits): each row's number, its node (a, b), number of words, keys and parities."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 36  # the table is written, so a number stays with its row
         for batch in batches:
             for lo, hi, words, first in _words(batch.column(1)):
                 a, b = nodes(words, first)
                 texts = [words[first[i] : first[i + 1]] for i in range(hi - lo)]
-                none = np.zeros(0, np.int64)
-                keys = [textkit.signed(np.concatenate([sketch(w), short_keys(w)])) if len(w) else none for w in texts]
-                alone = [textkit.signed(singles(w)) if len(w) else none for w in texts]
-                bits = [parity(w) for w in texts]
-                columns = [batch.column(0).slice(lo, hi - lo), *[pa.array(textkit.signed(x)) for x in (a, b)], pa.array(np.diff(first).astype(np.int32)), *[pa.array(x, pa.list_(pa.int64())) for x in (keys, alone, bits)]]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "a", "b", "n", "keys", "singles", "bits"])
+                keys, bits = [textkit.signed(sketch(w)) for w in texts], [parity(w) for w in texts]
+                numbers = pa.array(np.arange(row, row + hi - lo))
+                row += hi - lo
+                columns = [batch.column(0).slice(lo, hi - lo), numbers, *[pa.array(textkit.signed(x)) for x in (a, b)], pa.array(np.diff(first).astype(np.int32)), *[pa.array(x, pa.list_(pa.int64())) for x in (keys, bits)]]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "row", "a", "b", "n", "keys", "bits"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, a long, b long, n int, keys array<long>, singles array<long>, bits array<long>")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, row long, a long, b long, n int, keys array<long>, bits array<long>")
 
 
 def _fits(x: str, y: str) -> Column:
@@ -248,172 +242,207 @@ def _alike(x: str, y: str) -> Column:
     return apart <= 2 * most - F.abs(F.col(f"{x}.n") - F.col(f"{y}.n"))
 
 
-def shared(known: DataFrame) -> DataFrame:
-    """(key, one, node, n, score) of keys with several nodes; one: a single shingle; score: how many nodes meet this one, counted under each of its keys."""
-    keys = F.transform("keys", lambda k: F.struct(k.alias("key"), F.lit(False).alias("one")))
-    if "singles" in known.columns:
-        keys = F.concat(keys, F.transform("singles", lambda k: F.struct(k.alias("key"), F.lit(True).alias("one"))))
-    keyed = known.select("node", "n", F.explode(keys).alias("k")).select("node", "n", "k.*")
-    many = keyed.groupBy("key", "one").agg(F.count("*").alias("nodes")).where("nodes > 1")
-    rows = materialise(keyed.join(many, ["key", "one"]), "near-keys")
-    return materialise(rows.join(rows.groupBy("node").agg(F.sum("nodes").alias("score")), "node").select("key", "one", "node", "n", "score"), "near-shared")
-
-
-def candidates(known: DataFrame, rows: DataFrame | None = None) -> DataFrame:
-    """(x, y) pairs of nodes: each node with the leader of each of its keys if their lengths can match."""
-    rows = shared(known) if rows is None else rows
-    led = rows.groupBy("key", "one").agg(F.max(F.struct("score", "node", "n")).alias("x"))
-    pairs = rows.select("key", "one", F.struct("score", "node", "n").alias("y")).join(led, ["key", "one"])
-    return pairs.where(F.col("x.node") != F.col("y.node")).where(_fits("x", "y")).select(F.col("x.node").alias("x"), F.col("y.node").alias("y")).distinct()
-
-
-def possible(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """The pairs whose parities can match."""
-    for s in "xy":
-        pairs = pairs.join(known.select(F.col("node").alias(s), F.struct("n", "bits").alias(f"of_{s}")), s)
-    return pairs.where(_alike("of_x", "of_y")).select("x", "y")
-
-
-def untried(rows: DataFrame, known: DataFrame, tried: DataFrame, found: DataFrame, leaders: int | None) -> DataFrame | None:
-    """(x, y) pairs of nodes that share a key, not of one shingle, and stand in different components, with so many leaders of each key, or all; None if no key is open."""
-    now = rows.where("not one").join(found, "node", "left").withColumn("alone", F.col("component").isNull()).withColumn("component", F.coalesce("component", "node"))
-    ends = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    now = materialise(now.join(ends, "key", "left_semi"), "near-open")
-    if now.isEmpty():
-        return None
-    now = now.join(known.select("node", "bits"), "node")
-    row = F.struct("score", "node", "n", "component", "bits")
-    led = now
-    if leaders is not None:
-        order = Window.partitionBy("key").orderBy(F.desc("alone"), F.desc("score"), "node")
-        led = now.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= leaders)
-    pairs = now.select("key", row.alias("y")).join(led.select("key", row.alias("x")), "key")
+def shared(lone: DataFrame) -> DataFrame:
+    """(key, node, n, bits, score) of keys with several nodes; score: how many nodes meet this one, counted under each of its keys."""
+    keyed = lone.select("node", F.explode("keys").alias("key"))
+    many = keyed.groupBy("key").agg(F.count("*").alias("nodes")).where("nodes > 1")
+    rows = materialise(keyed.join(many, "key"), "near-keys")
+    score = rows.groupBy("node").agg(F.sum("nodes").alias("score"))
+    out = materialise(rows.select("key", "node").join(lone.select("node", "n", "bits").join(score, "node"), "node"), "near-shared")
+    discard(rows)
+    return out
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """(x, y) pairs of nodes: each node with the leader of each of its keys if lengths and parities can match."""
+    row = F.struct("score", "node", "n", "bits")
+    led = rows.groupBy("key").agg(F.max(row).alias("x"))
+    pairs = rows.select("key", row.alias("y")).join(led, "key")
+    pairs = pairs.where(F.col("x.node") != F.col("y.node")).where(_fits("x", "y")).where(_alike("x", "y"))
+    return pairs.select(F.col("x.node").alias("x"), F.col("y.node").alias("y")).distinct()
+
+
+def still_open(rows: DataFrame, components: DataFrame) -> DataFrame:
+    """The rows of keys whose nodes are of several components, with component and alone (in no component of several nodes)."""
+    now = rows.join(components, "node", "left").withColumn("alone", F.col("component").isNull()).withColumn("component", F.coalesce("component", "node"))
+    ends = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("nodes")).where("lo <> hi")
+    return materialise(now.join(ends.select("key", "nodes"), "key"), "near-open")
+
+
+def with_leaders(rows: DataFrame) -> DataFrame:
+    """(x, y): the nodes of open keys with up to LEADERS leaders of each key, those in no class first."""
+    head = ("key", "node", "n", "bits", "score", "component")
+    order = Window.partitionBy("key").orderBy(F.desc("alone"), F.desc("score"), "node")
+    led = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= LEADERS)
+    row = F.struct(*head[1:])
+    pairs = rows.select("key", row.alias("y")).join(led.select("key", row.alias("x")), "key")
     pairs = pairs.where(F.col("x.component") != F.col("y.component")).where(_fits("x", "y")).where(_alike("x", "y"))
-    above = F.struct("x.score", "x.node") > F.struct("y.score", "y.node")
-    ends = [F.when(above, F.col(f"{s}.node")).otherwise(F.col(f"{t}.node")).alias(s) for s, t in ("xy", "yx")]
-    return pairs.select(*ends).distinct().join(tried, ["x", "y"], "left_anti")
+    return _ordered(pairs.select(F.struct("x.score", "x.node").alias("x"), F.struct("y.score", "y.node").alias("y")))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """(x, y) once each: of two (score, node) structs the greater one as x."""
+    return pairs.select(F.greatest("x", "y")["node"].alias("x"), F.least("x", "y")["node"].alias("y")).distinct()
+
+
+def tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, low, high, block, node, n, score, component, bits), sorted by tile (key, low, high), to the pairs of different
+    components whose lengths and parities can match; of a tile of two blocks only pairs across them."""
+    held: pa.Table | None = None
+
+    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, low, high, block, node, n, score, component = (rows[c].to_numpy() for c in ("key", "low", "high", "block", "node", "n", "score", "component"))
+        bits = np.ascontiguousarray(rows["bits"].combine_chunks().flatten().to_numpy().reshape(-1, PARITY)).view(np.uint64)
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        start = np.flatnonzero(new)
+        stop = np.repeat(np.append(start[1:], len(key)), np.diff(np.append(start, len(key))))
+        left = np.arange(len(key))
+        for shift in range(1, len(key)):
+            left = left[left + shift < stop[left]]
+            if not len(left):
+                break
+            i, k = left, left + shift
+            ok = (component[i] != component[k]) & ((low[i] == high[i]) | (block[i] != block[k]))
+            i, k = i[ok], k[ok]
+            longer = np.maximum(n[i], n[k])
+            most = np.floor((1 - SIMILARITY) * longer + 1e-9).astype(np.int64)
+            ok = longer - np.minimum(n[i], n[k]) <= most
+            i, k, most = i[ok], k[ok], most[ok]
+            apart = np.bitwise_count(bits[i] ^ bits[k]).sum(1, dtype=np.int64)
+            ok = apart <= 2 * most - np.abs(n[i] - n[k])
+            i, k = i[ok], k[ok]
+            first = (score[i] > score[k]) | ((score[i] == score[k]) & (node[i] > node[k]))
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(first, node[i], node[k])), pa.array(np.where(first, node[k], node[i]))], ["x", "y"])
+
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        held = now if held is None else pa.concat_tables([held, now])
+        last = pc.and_(pc.and_(pc.equal(held["key"], held["key"][-1]), pc.equal(held["low"], held["low"][-1])), pc.equal(held["high"], held["high"][-1]))
+        cut = pc.index(last, True).as_py()
+        if cut:
+            yield from pairs(held.slice(0, cut))
+            held = held.slice(cut).combine_chunks()
+    if held is not None and held.num_rows:
+        yield from pairs(held)
+
+
+def in_tiles(rows: DataFrame) -> DataFrame:
+    """(x, y): all pairs of nodes under an open key that lengths and parities leave possible, of different components.
+
+    A key of m nodes is dealt into m / TILE blocks, and each two blocks meet in one
+    tile: no task holds more than a tile, whatever a key's share of the rows.
+    """
+    blocks = F.ceil(F.col("nodes") / TILE).cast("int")
+    dealt = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "score", "component", "bits")
+    tiles = tiles.repartition(tables.partitions(rows), "key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return tiles.mapInArrow(tile_pairs, "x long, y long").distinct()
 
 
 def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(a, b): the pairs of nodes that alignment confirms.
 
-    Only the texts of nodes in a pair are shuffled: a bitmap of fixed size, built by
-    Spark, tells which rows may be such, and the join that follows is exact.
+    Only rows whose id stands among the wanted ones are read as words: marks of fixed
+    size tell which may be such, and the join that follows is exact.
     """
-    spark = docs.sparkSession
     wanted = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
-    wanted = materialise(wanted.join(reps, "node").select("node", "id"), "near-wanted")
-    place = F.pmod(F.xxhash64("node", "id"), F.lit(1 << FILTER))
-    bits = wanted.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    parts = {int(r["part"]): bytes(r["bits"]) for r in bits.collect()}  # at most 2 ** FILTER bits in all
-    bitmap = F.broadcast(spark.createDataFrame([(k, bytearray(v)) for k, v in parts.items()], "part long, bits binary"))
+    wanted = materialise(wanted.join(reps.select("node", "id", "a", "b"), "node"), "near-wanted")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, words, first in _words(batch.column(1)):
-                a, b = nodes(words, first)
-                low = (words & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                rows = [low[first[i] : first[i + 1]].tobytes() for i in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(_name(a, b)), pa.array(rows, pa.binary())], ["id", "node", "words"])
-
-    texts = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(read, f"id {kind}, node string, words binary")
-    texts = texts.withColumn("p", place).withColumn("part", F.bitmap_bucket_number("p")).join(bitmap, "part")
-    byte = F.bitmap_bit_position("p")
-    hit = F.conv(F.hex(F.substring("bits", (F.floor(byte / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    texts = texts.where(F.getbit(hit, (byte % 8).cast("int")) == 1).select("node", "id", "words")
-    texts = texts.join(wanted.withColumnRenamed("id", "of"), "node").where(F.col("id").eqNullSafe(F.col("of"))).select("node", "words").dropDuplicates(["node"])
+                a, b = (pa.array(textkit.signed(x)) for x in nodes(words, first))
+                rows = [words[first[i] : first[i + 1]].tobytes() for i in range(hi - lo)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), a, b, pa.array(rows, pa.binary())], ["id", "a", "b", "words"])
+
+    near_rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    near_rows = tables.marked(near_rows, F.xxhash64("id"), wanted.select(F.xxhash64("id").alias("mark"))).where("marked")
+    texts = near_rows.select("id", "text").mapInArrow(read, f"id {kind}, a long, b long, words binary")
+    texts = texts.join(wanted.withColumnRenamed("id", "of"), ["a", "b"]).where(F.col("id").eqNullSafe(F.col("of"))).select("node", "words").dropDuplicates(["node"])
     texts = materialise(texts, "near-texts")
     left, right = texts.select(F.col("node").alias("x"), F.col("words").alias("wx")), texts.select(F.col("node").alias("y"), F.col("words").alias("wy"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [near(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            ok = [near(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)) for a, b in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok, pa.bool_())) for i in (0, 1)], ["a", "b"])
 
     # the leader's words come last, so that a leader of many never gathers them
     joined = pairs.join(right, "y").join(left, "x").select("x", "y", "wx", "wy")
-    return joined.repartition(tables.partitions(docs), "y").mapInArrow(align, "a string, b string")
-
-
-def _name(a: np.ndarray, b: np.ndarray) -> list[str]:
-    return [f"{x:016x}{y:016x}" for x, y in zip(a.tolist(), b.tolist())]
+    links = materialise(joined.repartition(tables.partitions(docs), "y").mapInArrow(align, "a long, b long"), "near-links")
+    discard(wanted, texts)
+    return links
+
+
+def linked(docs: DataFrame, reps: DataFrame, lone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, component) of all nodes with a link."""
+    rows = shared(lone)
+    tried = materialise(candidates(rows), "near-pairs")
+    links = verified(docs, tried, reps, id_col, text_col)
+    components = connected_components(links)
+    for step in (with_leaders, in_tiles):
+        rows = still_open(rows.select("key", "node", "n", "bits", "score"), components)
+        more = materialise(step(rows).join(tried, ["x", "y"], "left_anti"), "near-pairs")
+        if more.isEmpty():
+            continue
+        tried = tried.unionByName(more)
+        found = verified(docs, more, reps, id_col, text_col)
+        links = links.unionByName(found)
+        components = connected_components(links)
+    return components
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, class_id (the smallest id of its class), class_size, n_links, kept, node.
-
-    n_links counts the verified links of the row's text to different texts.
-    """
-    node = F.lower(F.concat(F.lpad(F.hex("a"), 16, "0"), F.lpad(F.hex("b"), 16, "0")))
-    known = materialise(sketches(docs, id_col, text_col).withColumn("node", node).drop("a", "b"), "near-sketches")
-    rows = known.groupBy("id", "node").agg(F.count("*").alias("copies"))
-    reps = materialise(rows.groupBy("node").agg(F.min("id").alias("id"), F.sum("copies").alias("copies")), "near-nodes")
-    lone = known.join(reps.select("node", F.col("id").alias("of")), "node").where(F.col("id").eqNullSafe(F.col("of"))).dropDuplicates(["node"])
-    lone = lone.select("node", "n", "keys", "singles", "bits")
-    rows_of = shared(lone)
-    pairs = materialise(possible(candidates(lone, rows_of), lone), "near-pairs")
-    links = materialise(verified(docs, pairs, reps, id_col, text_col), "near-links")
-    components = materialise(connected_components(links), "near-round")
-    for leaders in (LEADERS, None):
-        more = untried(rows_of, lone, pairs, components, leaders)
-        if more is None:
-            break
-        more = materialise(more, "near-pairs")
-        if not more.isEmpty():
-            pairs = pairs.unionByName(more)
-            new = materialise(verified(docs, more, reps, id_col, text_col), "near-links")
-            if not new.isEmpty():
-                links = links.unionByName(new)
-                components = materialise(connected_components(links), "near-round")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
-    found = reps.join(components, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    found = materialise(found, "near-components")
-    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node"))
-    whole = found.groupBy("component").agg(least.alias("l"), F.sum("copies").alias("class_size"), F.count("*").alias("nodes"))
-    whole = whole.select("component", F.col("l.id").alias("class_id"), F.col("l.node").alias("keep_node"), "class_size", "nodes")
-    told = tables.join_hot(found.select("component", "node", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links")), materialise(whole, "near-whole"), ["component"], "nodes", ["class_id", "keep_node", "class_size"])
-    told = materialise(told.withColumnRenamed("copies", "of_node"), "near-classes")
-    out = tables.join_hot(rows, told, ["node"], "of_node", ["class_id", "keep_node", "class_size", "n_links"])
-    out = out.select("*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("nth"))
-    return out.select("id", "class_id", F.col("class_size").cast("long").alias("class_size"), F.col("n_links").cast("long").alias("n_links"), (F.col("id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("keep_node")) & (F.col("nth") == 1)).alias("kept"), "node")
-
-
-def _with_node(docs: DataFrame, text_col: str, name: str) -> DataFrame:
-    """The rows of docs with the name of their node."""
-    at = docs.columns.index(text_col)
+    """One row per row of docs: id, class_id (the smallest id of its class), class_size, kept, a, b (the hash of its words)."""
+    known = materialise(sketches(docs, id_col, text_col), "near-sketches")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    reps = known.groupBy("a", "b").agg(least.alias("r"), F.count("*").alias("copies"))
+    reps = materialise(reps.select("a", "b", "copies", F.col("r.id").alias("id"), F.col("r.row").alias("node")), "near-nodes")
+    lone = known.join(reps.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "n", "keys", "bits")
+    components = linked(docs, reps, lone, id_col, text_col)
+    members = components.join(reps, "node")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col("node").alias("row")))
+    whole = members.groupBy("component").agg(least.alias("r"), F.sum("copies").alias("class_size"))
+    told = members.select("node", "component").join(whole, "component").select("node", F.col("r.id").alias("class_id"), F.col("r.row").alias("keep_row"), "class_size")
+    told = reps.join(told, "node", "left").select("a", "b", F.when(F.col("keep_row").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("keep_row", "node").alias("keep_row"), F.coalesce("class_size", "copies").alias("class_size"))
+    out = known.select("id", "row", "a", "b").join(told, ["a", "b"])
+    return out.select("id", "class_id", "class_size", (F.col("row") == F.col("keep_row")).alias("kept"), "a", "b")
+
+
+def _with_node(docs: DataFrame, text_col: str) -> DataFrame:
+    """(row, a, b): the rows of docs as structs, with the hash of their words."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[str] = []
-            for _, _, words, first in _words(batch.column(at)):
-                found += _name(*nodes(words, first))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, name])
+            found = [nodes(words, first) for _, _, words, first in _words(batch.column(1))]
+            ends = [np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.uint64) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(textkit.signed(x)) for x in ends]], ["row", "a", "b"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, StringType())]))
+    shape = docs.select(row)
+    hashes = [StructField(x, LongType()) for x in "ab"]
+    return shape.withColumn("text", F.col("row").getField(text_col)).mapInArrow(run, StructType([*shape.schema.fields, *hashes]))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, one of each class, with all their columns and no others."""
     told = materialise(classes(docs, id_col, text_col), "near-told")
     fate = materialise(told.groupBy("id").agg(F.max("kept").alias("stays"), F.count("*").alias("copies")).where("not stays or copies > 1"), "near-fate")
-    few = fate.count() <= BROADCAST_ROWS
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-
-    def marked(rows: DataFrame, other: DataFrame) -> DataFrame:
-        return rows.join(F.broadcast(other) if few else other, F.col("id").eqNullSafe(F.col("of")), "left")
-
-    kept = marked(docs.select(row, F.col(id_col).alias("id")), fate.select(F.col("id").alias("of"), "stays")).where("stays is null").select("row")
-    repeated = fate.where("stays and copies > 1").select(F.col("id").alias("of"), F.lit(True).alias("again"))
-    if repeated.count():  # rows with a repeated id are told apart by their words
-        rows = marked(_with_node(docs, text_col, "__node").select(row, F.col(id_col).alias("id"), "__node"), repeated).where("again")
-        stay = told.where("kept").select(F.col("id").alias("kept_id"), F.col("node").alias("kept_node"))
-        rows = rows.join(stay, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("__node") == F.col("kept_node")))
-        nth = F.row_number().over(Window.partitionBy("id", "__node").orderBy(F.lit(1)))
-        kept = kept.unionByName(rows.withColumn("nth", nth).where("nth = 1").select("row"))
-    return kept.select("row.*")
+    kept, doubtful = tables.split(docs, id_col, fate.select("id"))
+    repeated = fate.where("stays").select("id")
+    if repeated.isEmpty():
+        return kept
+    # rows with a repeated id are told apart by their words
+    rows = _with_node(doubtful, text_col).withColumn("id", F.col("row").getField(id_col))
+    stay = told.where("kept").select(F.col("id").alias("kept_id"), F.col("a").alias("kept_a"), F.col("b").alias("kept_b"))
+    rows = rows.join(stay, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("a") == F.col("kept_a")) & (F.col("b") == F.col("kept_b")))
+    one = rows.groupBy("id", "a", "b").agg(F.first("row").alias("row"))
+    return kept.unionByName(one.select("row.*"))
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(tables.documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "class_id", "class_size", "n_links", "kept")
+    return classes(tables.documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept")
