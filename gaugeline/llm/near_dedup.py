@@ -8,15 +8,16 @@ edits, not only by content. Shingles are of five words; texts too short for thes
 to outlive scattered edits take shorter ones (FAMILIES). The families' lengths
 overlap, so that two texts whose lengths can match have one in common.
 
-Texts that share a key are paired with one leader of the key, the text that meets
-most others under all its keys: of a text and its edited copies nearly always the
-text. A pair counts if the banded alignment of its words finds an edit similarity of
-at least SIMILARITY (1 - edits / longer length). Classes are the connected components
-of these links. Keys whose texts are then not of one class go into a round with
-LEADERS more leaders, and what is still open is met in tiles of bounded size that
-compare all texts of different classes, so that no pair under a key is left untried.
-The tiles read a row of 64 * PARITY bits for each text and give out only the pairs
-that these leave possible: the parity of words, which edits bound.
+Each text is paired with the best leader of its keys, the text that meets most others
+under all its keys: of a text and its edited copies nearly always the text. A pair
+counts if the banded alignment of its words finds an edit similarity of at least
+SIMILARITY (1 - edits / longer length). Classes are the connected components of these
+links. Then come rounds for keys whose texts are not of one class, until no pair under
+a key is left untried: a text is compared with all members of a class of BIG texts that
+it shares a key with, in blocks, and texts of smaller classes with each other, in tiles.
+Blocks and tiles are of bounded size and read a bitmap of each text, the parities of its
+hashed words, whose difference edits bound; only pairs that this leaves possible come
+out, in the first of two rounds the nearest few of a text and a block.
 
 Texts with equal words are one node from the start: copies, however many, are
 never paired. Texts without words are equal to each other only if both have none.
@@ -34,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -46,12 +47,15 @@ LEAST = 2
 #: (words from, words up to, words of a shingle, orders).
 FAMILIES = ((1, 12, 1, 32), (10, 63, 2, 32), (51, 1 << 40, 5, 112))
 SIMILARITY = 0.8
-#: Leaders of a key in the second round.
-LEADERS = 16
-#: Rows of a block; a tile of the last round holds two blocks of a key at most, on average.
+#: Nodes from which a class is compared as a whole.
+BIG = 64
+#: Of a text and a block of a class, the pairs that the first round of these tries.
+NEAREST = 4
+#: Rows of a block; a tile holds two blocks of a key at most, on average.
 TILE = 1024
-#: Words of 64 bits in the bitmap of parities.
-PARITY = 8
+#: Bits of a bitmap for each word of the text, and bounds of its width in longs; widths are powers of two.
+DENSITY = 8
+NARROW, WIDE = 4, 2048
 #: Cells up to which alignment tabulates whole diagonals; beyond, it goes row by row.
 DENSE = 4_000_000
 _SEEDS = textkit.mix(np.arange(1, max(f[3] for f in FAMILIES) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -81,6 +85,9 @@ def _labelled(words: np.ndarray, size: int) -> np.ndarray:
     """Hashes of one text's shingles of `size` words with their occurrence numbers, in text order."""
     n = max(1, len(words) - size + 1)
     shingles = textkit.combine([words[i : i + n] for i in range(min(size, len(words)))])
+    ranked = np.sort(shingles)
+    if not (ranked[1:] == ranked[:-1]).any():
+        return textkit.mix(shingles)
     order = np.argsort(shingles, kind="stable")
     ranked = shingles[order]
     new = np.ones(n, bool)
@@ -98,8 +105,6 @@ def _picked(shingles: np.ndarray, orders: int) -> np.ndarray:
     for at in range(0, orders, 16):
         h = (short[None, :] ^ _FLIP[at : at + 16, None]) * _FACTOR[at : at + 16, None]
         h ^= h >> np.uint32(15)
-        h *= np.uint32(0x846CA68B)
-        h ^= h >> np.uint32(16)
         which, place = np.arange(len(h)), []
         for _ in range(min(LEAST, len(shingles))):
             place.append(h.argmin(1))
@@ -120,8 +125,8 @@ def sketch(words: np.ndarray) -> np.ndarray:
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
-def edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Edit distance of two sequences if at most `most`, else most + 1; the band doubles until it holds the answer."""
+def edits(a: np.ndarray, b: np.ndarray, most: int, least: int = 0) -> int:
+    """Edit distance of two sequences if at most `most`, else most + 1; the band doubles until it holds the answer, which is no less than `least`."""
     if len(a) > len(b):
         a, b = b, a
     same = a == b[: len(a)]
@@ -133,7 +138,7 @@ def edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
         a, b = a[: len(a) - tail], b[: len(b) - tail]
     if not len(a) or len(b) - len(a) > most:
         return min(len(b), most + 1)
-    width = max(8, len(b) - len(a))
+    width = max(8, len(b) - len(a), least + least // 8)
     while True:
         width = min(width, most)
         found = _reaching(a, b, width) if (2 * width + 1) * len(a) <= DENSE else _banded(a, b, width)
@@ -199,15 +204,22 @@ def near(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     ua, ca = np.unique(a, return_counts=True)
     ub, cb = np.unique(b, return_counts=True)
     _, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
-    if longer - np.minimum(ca[ia], cb[ib]).sum() > most:
-        return False
-    return edits(a, b, most) <= most
+    least = int(longer - np.minimum(ca[ia], cb[ib]).sum())
+    return least <= most and edits(a, b, most, least) <= most
+
+
+def width(n: int) -> int:
+    """Longs in the bitmap of a text of n words."""
+    return min(WIDE, max(NARROW, 1 << max(0, math.ceil(math.log2(max(1, n * DENSITY / 64))))))
 
 
 def parity(words: np.ndarray) -> np.ndarray:
-    """64 * PARITY bits that tell which of as many hashed words stand an odd number of times."""
-    place = (words >> np.uint64(40)) % np.uint64(64 * PARITY)
-    odd = np.bincount(place.astype(np.int64), minlength=64 * PARITY) & 1
+    """Bits that tell which hashed words, numbered by occurrence, stand an odd number of times."""
+    longs = width(len(words))
+    if not len(words):
+        return np.zeros(longs, np.int64)
+    place = (_labelled(words, 1) & np.uint64(64 * longs - 1)).astype(np.int64)  # the halves of a wide bitmap fold onto a narrow one
+    odd = np.bincount(place, minlength=64 * longs) & 1
     return np.packbits(odd.astype(bool)).view(np.int64)
 
 
@@ -235,92 +247,179 @@ def _fits(x: str, y: str) -> Column:
     return F.least(f"{x}.n", f"{y}.n") >= F.lit(SIMILARITY) * F.greatest(f"{x}.n", f"{y}.n") - 1e-9
 
 
-def _alike(x: str, y: str) -> Column:
-    """Whether the parities of two rows can match: an insertion or deletion changes one bit at most, a substitution two."""
-    apart = sum((F.bit_count(F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])) for i in range(PARITY)), F.lit(0))
-    most = F.floor(F.lit(1 - SIMILARITY) * F.greatest(f"{x}.n", f"{y}.n") + 1e-9)
-    return apart <= 2 * most - F.abs(F.col(f"{x}.n") - F.col(f"{y}.n"))
-
-
-def shared(lone: DataFrame) -> DataFrame:
-    """(key, node, n, bits, score) of keys with several nodes; score: how many nodes meet this one, counted under each of its keys."""
+def shared(lone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, node, n, score) of keys with several nodes, and (node, n, score, bits) of these nodes; score: how many nodes meet this one, counted under each of its keys."""
     keyed = lone.select("node", F.explode("keys").alias("key"))
     many = keyed.groupBy("key").agg(F.count("*").alias("nodes")).where("nodes > 1")
     rows = materialise(keyed.join(many, "key"), "near-keys")
     score = rows.groupBy("node").agg(F.sum("nodes").alias("score"))
-    out = materialise(rows.select("key", "node").join(lone.select("node", "n", "bits").join(score, "node"), "node"), "near-shared")
+    about = materialise(lone.select("node", "n", "bits").join(score, "node").select("node", "n", "score", "bits"), "near-about")
+    out = materialise(rows.select("key", "node").join(about.select("node", "n", "score"), "node"), "near-shared")
     discard(rows)
-    return out
+    return out, about
+
 
+def _folded(bits: Column) -> Column:
+    """A bitmap at half its width: the parities of its halves together."""
+    half = F.floor(F.size(bits) / 2).cast("int")
+    return F.zip_with(F.slice(bits, 1, half), F.slice(bits, half + 1, half), lambda p, q: p.bitwiseXOR(q))
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """(x, y) pairs of nodes: each node with the leader of each of its keys if lengths and parities can match."""
-    row = F.struct("score", "node", "n", "bits")
+
+def possible(pairs: DataFrame, about: DataFrame) -> DataFrame:
+    """The pairs whose parities can match: an insertion or deletion changes one bit at most, a substitution two."""
+    for s in "xy":
+        pairs = pairs.join(about.select(F.col("node").alias(s), F.struct("n", "bits").alias(f"of_{s}")), s)
+    p, q = F.col("of_x.bits"), F.col("of_y.bits")
+    left, right = F.when(F.size(p) > F.size(q), _folded(p)).otherwise(p), F.when(F.size(q) > F.size(p), _folded(q)).otherwise(q)
+    apart = F.aggregate(F.zip_with(left, right, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
+    most = F.floor(F.lit(1 - SIMILARITY) * F.greatest("of_x.n", "of_y.n") + 1e-9)
+    return pairs.where(apart <= 2 * most - F.abs(F.col("of_x.n") - F.col("of_y.n"))).drop("of_x", "of_y")
+
+
+def _at_widths(rows: DataFrame) -> DataFrame:
+    """rows with width, each at the width of its bitmap and, if short enough to match a text of half of it, folded to that.
+
+    Lengths that can match are of one width or of neighbouring ones, so texts that can match have one in common.
+    """
+    wide = F.size("bits")
+    own = F.struct(wide.alias("width"), F.col("bits"))
+    # the longest text of half the width has wide / 2 * 64 / DENSITY words
+    near = (wide > NARROW) & (F.col("n") * F.lit(SIMILARITY) <= wide * F.lit(32 / DENSITY))
+    both = F.when(near, F.array(own, F.struct((wide / 2).cast("int").alias("width"), _folded(F.col("bits")).alias("bits")))).otherwise(F.array(own))
+    return rows.withColumn("w", F.explode(both)).withColumns({"width": F.col("w.width"), "bits": F.col("w.bits")}).drop("w")
+
+
+def candidates(rows: DataFrame, about: DataFrame) -> DataFrame:
+    """(x, y) pairs of nodes: each node with the best of its keys' leaders whose length and parities can match."""
+    row = F.struct("score", "node", "n")
     led = rows.groupBy("key").agg(F.max(row).alias("x"))
     pairs = rows.select("key", row.alias("y")).join(led, "key")
-    pairs = pairs.where(F.col("x.node") != F.col("y.node")).where(_fits("x", "y")).where(_alike("x", "y"))
-    return pairs.select(F.col("x.node").alias("x"), F.col("y.node").alias("y")).distinct()
+    pairs = pairs.where(F.col("x.node") != F.col("y.node")).where(_fits("x", "y"))
+    pairs = pairs.select(F.col("x.node").alias("x"), F.col("x.score").alias("score"), F.col("y.node").alias("y")).distinct()
+    best = possible(pairs, about).groupBy("y").agg(F.max(F.struct("score", "x")).alias("best"))
+    return best.select(F.col("best.x").alias("x"), "y")
 
 
 def still_open(rows: DataFrame, components: DataFrame) -> DataFrame:
-    """The rows of keys whose nodes are of several components, with component and alone (in no component of several nodes)."""
-    now = rows.join(components, "node", "left").withColumn("alone", F.col("component").isNull()).withColumn("component", F.coalesce("component", "node"))
-    ends = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("nodes")).where("lo <> hi")
-    return materialise(now.join(ends.select("key", "nodes"), "key"), "near-open")
+    """The rows of keys whose nodes are of several components, with component and members, its size."""
+    sizes = components.groupBy("component").agg(F.count("*").alias("members"))
+    known = components.join(sizes, "component")
+    now = rows.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumn("members", F.coalesce("members", F.lit(1)))
+    ends = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    return materialise(now.join(ends.select("key"), "key"), "near-open")
+
+
+def _near_bits(n: np.ndarray, m: np.ndarray, bits: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of lengths n and these bits can match those of lengths m and other bits, and the distances of all."""
+    most = np.floor((1 - SIMILARITY) * np.maximum(n, m) + 1e-9).astype(np.int64)
+    gap = np.abs(n - m)
+    apart = np.bitwise_count(bits ^ other).sum(1, dtype=np.int64)
+    return (gap <= most) & (apart <= 2 * most - gap), apart
+
 
+def _bits_of(rows: pa.Table, longs: int) -> np.ndarray:
+    return np.ascontiguousarray(rows["bits"].combine_chunks().flatten().to_numpy().reshape(-1, longs)).view(np.uint64)
 
-def with_leaders(rows: DataFrame) -> DataFrame:
-    """(x, y): the nodes of open keys with up to LEADERS leaders of each key, those in no class first."""
-    head = ("key", "node", "n", "bits", "score", "component")
-    order = Window.partitionBy("key").orderBy(F.desc("alone"), F.desc("score"), "node")
-    led = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= LEADERS)
-    row = F.struct(*head[1:])
-    pairs = rows.select("key", row.alias("y")).join(led.select("key", row.alias("x")), "key")
-    pairs = pairs.where(F.col("x.component") != F.col("y.component")).where(_fits("x", "y")).where(_alike("x", "y"))
-    return _ordered(pairs.select(F.struct("x.score", "x.node").alias("x"), F.struct("y.score", "y.node").alias("y")))
 
+def _pair_batch(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    """(score, node) of both ends to (x, y): the greater end as x."""
+    ends = [max((s, a), (t, b))[1] for s, a, t, b in rows], [min((s, a), (t, b))[1] for s, a, t, b in rows]
+    return pa.RecordBatch.from_arrays([pa.array(e, pa.int64()) for e in ends], ["x", "y"])
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    """(x, y) once each: of two (score, node) structs the greater one as x."""
-    return pairs.select(F.greatest("x", "y")["node"].alias("x"), F.least("x", "y")["node"].alias("y")).distinct()
+
+def class_pairs(nearest: int | None):
+    """(component, block, width, query, node, n, score, bits), sorted so that members stand before queries, to possible pairs of a query and a member; of each query the nearest few, or all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []  # the members of the block at hand: never more than a block
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            component, block, longs, query, node, n, score = (rows[c].to_numpy() for c in ("component", "block", "width", "query", "node", "n", "score"))
+            out = []
+            new = np.zeros(len(node), bool)
+            new[:1] = True
+            for x in (component, block, longs, query):
+                new[1:] |= x[1:] != x[:-1]
+            edges = [*np.flatnonzero(new).tolist(), len(node)]
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                if at != (here := (component[lo], block[lo], longs[lo])):
+                    at, held = here, []
+                bits = _bits_of(rows.slice(lo, hi - lo), int(longs[lo]))
+                if not query[lo]:
+                    held.append((node[lo:hi].copy(), n[lo:hi].copy(), score[lo:hi].copy(), bits))
+                    continue
+                if len(held) > 1:
+                    held = [tuple(np.concatenate(x) for x in zip(*held))]
+                if not held:
+                    continue
+                nodes_, lengths, scores, known = held[0]
+                for q in range(lo, hi):
+                    ok, apart = _near_bits(lengths, n[q], known, bits[q - lo])
+                    found = np.flatnonzero(ok)
+                    if nearest is not None and len(found) > nearest:
+                        found = found[np.argsort(apart[found], kind="stable")[:nearest]]
+                    out += [(int(scores[m]), int(nodes_[m]), int(score[q]), int(node[q])) for m in found]
+            yield _pair_batch(out)
+
+    return run
+
+
+def with_classes(rows: DataFrame, components: DataFrame, about: DataFrame, nearest: int | None) -> DataFrame:
+    """(x, y): nodes of open keys with members of the big classes that they share a key with and are not of.
+
+    A class of m nodes is dealt into m / TILE blocks and each text is compared with every
+    block of it, so a pair is met once, however many keys it shares.
+    """
+    big = rows.where(F.col("members") >= BIG).select("key", F.col("component").alias("of"), F.col("members").alias("of_members")).distinct()
+    pairs = rows.join(big, "key").where(F.col("component") != F.col("of")).where((F.col("members") < BIG) | (F.col("component") > F.col("of")))
+    asked = materialise(pairs.select("node", "of", "of_members").distinct(), "near-asked")
+    blocks = F.ceil(F.col("of_members") / TILE).cast("int")
+    queries = asked.select("node", F.col("of").alias("component"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("query"))
+    classes_ = asked.select(F.col("of").alias("component"), blocks.alias("blocks")).distinct()
+    members = components.join(classes_, "component").select("node", "component", F.pmod(F.hash("node"), F.col("blocks")).alias("block"), F.lit(False).alias("query"))
+    dealt = _at_widths(queries.unionByName(members).join(about, "node")).select("component", "block", "width", "query", "node", "n", "score", "bits")
+    dealt = dealt.repartition(tables.partitions(rows), "component", "block", "width").sortWithinPartitions("component", "block", "width", "query")
+    return dealt.mapInArrow(class_pairs(nearest), "x long, y long").distinct()
 
 
 def tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, low, high, block, node, n, score, component, bits), sorted by tile (key, low, high), to the pairs of different
-    components whose lengths and parities can match; of a tile of two blocks only pairs across them."""
+    """(width, key, low, high, block, node, n, score, component, bits), sorted by tile (width, key, low, high), to the pairs of
+    different components whose lengths and parities can match; of a tile of two blocks only pairs across them."""
+    tile = ("width", "key", "low", "high")
     held: pa.Table | None = None
 
     def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, low, high, block, node, n, score, component = (rows[c].to_numpy() for c in ("key", "low", "high", "block", "node", "n", "score", "component"))
-        bits = np.ascontiguousarray(rows["bits"].combine_chunks().flatten().to_numpy().reshape(-1, PARITY)).view(np.uint64)
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        longs, key, low, high, block, node, n, score, component = (rows[c].to_numpy() for c in (*tile, "block", "node", "n", "score", "component"))
+        new = np.zeros(len(key), bool)
+        new[:1] = True
+        for x in (longs, key, low, high):
+            new[1:] |= x[1:] != x[:-1]
         start = np.flatnonzero(new)
         stop = np.repeat(np.append(start[1:], len(key)), np.diff(np.append(start, len(key))))
-        left = np.arange(len(key))
-        for shift in range(1, len(key)):
-            left = left[left + shift < stop[left]]
-            if not len(left):
-                break
-            i, k = left, left + shift
-            ok = (component[i] != component[k]) & ((low[i] == high[i]) | (block[i] != block[k]))
-            i, k = i[ok], k[ok]
-            longer = np.maximum(n[i], n[k])
-            most = np.floor((1 - SIMILARITY) * longer + 1e-9).astype(np.int64)
-            ok = longer - np.minimum(n[i], n[k]) <= most
-            i, k, most = i[ok], k[ok], most[ok]
-            apart = np.bitwise_count(bits[i] ^ bits[k]).sum(1, dtype=np.int64)
-            ok = apart <= 2 * most - np.abs(n[i] - n[k])
-            i, k = i[ok], k[ok]
-            first = (score[i] > score[k]) | ((score[i] == score[k]) & (node[i] > node[k]))
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(np.where(first, node[i], node[k])), pa.array(np.where(first, node[k], node[i]))], ["x", "y"])
+        edges = [*np.flatnonzero(np.concatenate([[True], longs[1:] != longs[:-1]])).tolist(), len(key)]
+        for lo, hi in zip(edges[:-1], edges[1:]):  # rows of one width
+            bits, left = _bits_of(rows.slice(lo, hi - lo), int(longs[lo])), np.arange(lo, hi)
+            for shift in range(1, hi - lo):
+                left = left[left + shift < stop[left]]
+                if not len(left):
+                    break
+                i, k = left, left + shift
+                ok = (component[i] != component[k]) & ((low[i] == high[i]) | (block[i] != block[k]))
+                i, k = i[ok], k[ok]
+                step = max(1, (1 << 20) // int(longs[lo]))
+                for at in range(0, len(i), step):
+                    x, y = i[at : at + step], k[at : at + step]
+                    ok, _ = _near_bits(n[x], n[y], bits[x - lo], bits[y - lo])
+                    if ok.any():
+                        x, y = x[ok], y[ok]
+                        first = (score[x] > score[y]) | ((score[x] == score[y]) & (node[x] > node[y]))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.where(first, node[x], node[y])), pa.array(np.where(first, node[y], node[x]))], ["x", "y"])
 
     for batch in batches:
         now = pa.Table.from_batches([batch])
         held = now if held is None else pa.concat_tables([held, now])
-        last = pc.and_(pc.and_(pc.equal(held["key"], held["key"][-1]), pc.equal(held["low"], held["low"][-1])), pc.equal(held["high"], held["high"][-1]))
-        cut = pc.index(last, True).as_py()
+        last = np.logical_and.reduce([held[c].to_numpy() == held[c][-1].as_py() for c in tile])
+        cut = int(np.argmax(last))  # the last tile may go on in the next batch
         if cut:
             yield from pairs(held.slice(0, cut))
             held = held.slice(cut).combine_chunks()
@@ -328,17 +427,21 @@ def tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pairs(held)
 
 
-def in_tiles(rows: DataFrame) -> DataFrame:
-    """(x, y): all pairs of nodes under an open key that lengths and parities leave possible, of different components.
+def in_tiles(rows: DataFrame, about: DataFrame) -> DataFrame:
+    """(x, y): all possible pairs of nodes under an open key, of different components that are not big.
 
     A key of m nodes is dealt into m / TILE blocks, and each two blocks meet in one
     tile: no task holds more than a tile, whatever a key's share of the rows.
     """
+    small = rows.where(F.col("members") < BIG)
+    ends = small.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("nodes")).where("lo <> hi")
     blocks = F.ceil(F.col("nodes") / TILE).cast("int")
-    dealt = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "score", "component", "bits")
-    tiles = tiles.repartition(tables.partitions(rows), "key", "low", "high").sortWithinPartitions("key", "low", "high")
+    dealt = small.join(ends.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
+    dealt = dealt.join(about.select("node", "bits"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tile = ("width", "key", "low", "high")
+    dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    tiles = _at_widths(dealt).select(*tile, "block", "node", "n", "score", "component", "bits")
+    tiles = tiles.repartition(tables.partitions(rows), *tile).sortWithinPartitions(*tile)
     return tiles.mapInArrow(tile_pairs, "x long, y long").distinct()
 
 
@@ -371,28 +474,27 @@ def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, id_col: str, te
             ok = [near(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)) for a, b in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok, pa.bool_())) for i in (0, 1)], ["a", "b"])
 
-    # the leader's words come last, so that a leader of many never gathers them
+    # the leader's words come last and pairs are dealt out anew, so that a leader of many never gathers them
     joined = pairs.join(right, "y").join(left, "x").select("x", "y", "wx", "wy")
-    links = materialise(joined.repartition(tables.partitions(docs), "y").mapInArrow(align, "a long, b long"), "near-links")
+    links = materialise(joined.repartition(tables.partitions(docs), "x", "y").mapInArrow(align, "a long, b long"), "near-links")
     discard(wanted, texts)
     return links
 
 
 def linked(docs: DataFrame, reps: DataFrame, lone: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, component) of all nodes with a link."""
-    rows = shared(lone)
-    tried = materialise(candidates(rows), "near-pairs")
-    links = verified(docs, tried, reps, id_col, text_col)
-    components = connected_components(links)
-    for step in (with_leaders, in_tiles):
-        rows = still_open(rows.select("key", "node", "n", "bits", "score"), components)
-        more = materialise(step(rows).join(tried, ["x", "y"], "left_anti"), "near-pairs")
-        if more.isEmpty():
-            continue
+    shared_rows, about = shared(lone)
+    tried = materialise(candidates(shared_rows, about), "near-pairs")
+    components = connected_components(verified(docs, tried, reps, id_col, text_col))
+    for nearest in (NEAREST, None):
+        rows = still_open(shared_rows, components)
+        more = with_classes(rows, components, about, nearest).unionByName(in_tiles(rows, about)).distinct()
+        more = materialise(more.join(tried, ["x", "y"], "left_anti"), "near-pairs")
+        discard(rows)
+        found = None if more.isEmpty() else verified(docs, more, reps, id_col, text_col)
+        if found is not None and not found.isEmpty():
+            components = connected_components(found.unionByName(components.select(F.col("node").alias("a"), F.col("component").alias("b"))))
         tried = tried.unionByName(more)
-        found = verified(docs, more, reps, id_col, text_col)
-        links = links.unionByName(found)
-        components = connected_components(links)
     return components
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gaugeline.operators.joins import join_hot, partitions
 from gaugeline.session import spread, table
 
-__all__ = ["SPACE", "documents", "join_hot", "marked", "partitions", "remainder", "split", "text_of"]
+__all__ = ["SPACE", "documents", "fresh", "join_hot", "marked", "partitions", "remainder", "split", "text_of", "without"]
 
 #: The white space of all contracts, as it stands in a regular expression.
 SPACE = r"\x20\x09-\x0D"
@@ -55,3 +55,19 @@ def split(docs: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame, Data
     ids = ids.select(F.col("id").alias("of"))
     out = clear.unionByName(other.join(ids, same, "left_anti").select("row"))
     return out.select("row.*"), other.join(ids, same, "left_semi").select("row.*")
+
+
+def without(docs: DataFrame, keep: str, *names: str) -> DataFrame:
+    """docs without the columns that an operator is about to write; `keep` is what it reads and may not be among them."""
+    taken = {n.lower() for n in names if n}
+    if keep.lower() in taken:
+        raise ValueError(f"{keep} is read and cannot be written")
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken])
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    known = {c.lower() for c in docs.columns}
+    while name.lower() in known:
+        name += "_"
+    return name

@@ -1,8 +1,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, n int, sha string, row string, score double, node string, line int"
+#: More names that an operator could use for itself.
+CLASHES = ("ids", "mark", "marked", "part", "bits", "h", "size", "copies", "times", "below", "stays", "full", "of", "norm", "head", "a", "b", "keys", "words", "key", "__score", "__node", "__lines", "__gone", "quality", "decoded", "nth")
 
 
 def words(seed: int, n: int) -> list[str]:
@@ -16,7 +19,7 @@ def frame(spark, texts, ids=None, sources=None):
         doc_id = ids[i] if ids else i
         source = sources[i] if sources else f"src{i % 3}"
         rows.append((doc_id, text, "en", source, None, 7, 1, "x", "y", 0.5, "z", 3))
-    return spark.createDataFrame(rows, SCHEMA)
+    return spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("clash") for c in CLASHES})
 
 
 ODD = [None, "", "   \n\t ", "a", "a", "漢字 😀 é", " ".join(words(1, 6000)), "x" * 50_000, "one two three four five six", "one  two\nthree four five six"]
@@ -30,7 +33,7 @@ def odd(spark):
 
 @pytest.fixture
 def empty(spark):
-    return spark.createDataFrame([], SCHEMA)
+    return frame(spark, [])
 
 
 @pytest.fixture

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.llm import near_dedup as nd
 
-from .conftest import ODD, frame, words
+from .conftest import CLASHES, ODD, frame, words
 
 
 def distance(a, b):
@@ -93,7 +93,7 @@ def test_a_large_group_makes_few_pairs(spark):
         texts.append(" ".join(w))
     docs = frame(spark, texts)
     known = nd.sketches(docs, "doc_id", "text").selectExpr("id node", "n", "keys", "bits")
-    assert nd.candidates(nd.shared(known)).count() < 200 * 20
+    assert nd.candidates(*nd.shared(known)).count() < 200
     assert {r["class_id"] for r in nd.classes(docs).collect()} == {0}
 
 
@@ -129,7 +129,7 @@ def test_no_pair_under_a_key_is_left_untried(spark):
     split = {t: np.array([hash(x) & 0xFFFFFFFF for x in t.split()], np.uint32) for t in texts}
     rows = nd.sketches(docs, "doc_id", "text").selectExpr("id", "id as node", "n", "keys", "bits")
     keys = {}
-    for r in nd.shared(rows).collect():
+    for r in nd.shared(rows)[0].collect():
         keys.setdefault(r["key"], set()).add(r["node"])
     above = {i: i for i in range(len(texts))}
 
@@ -207,15 +207,46 @@ def test_classes_equal_brute_force(spark):
 def test_tiles_leave_no_pair_out(spark, monkeypatch):
     """Many blocks of a key: every pair of different components that can match is met once."""
     monkeypatch.setattr(nd, "TILE", 4)
-    rows = [(key, i, 10, [0] * nd.PARITY, i, i % 3, 23) for key in (1, 2) for i in range(23)]
-    kind = "key long, node long, n int, bits array<long>, score long, component long, nodes long"
-    found = {(r["x"], r["y"]) for r in nd.in_tiles(spark.createDataFrame(rows, kind)).collect()}
+    rows = spark.createDataFrame([(key, i, 10, i, i % 3, 8) for key in (1, 2) for i in range(23)], "key long, node long, n int, score long, component long, members long")
+    about = spark.createDataFrame([(i, 10, i, [0] * nd.NARROW) for i in range(23)], "node long, n int, score long, bits array<long>")
+    found = {(r["x"], r["y"]) for r in nd.in_tiles(rows, about).collect()}
     assert found == {(i, k) for i in range(23) for k in range(i) if i % 3 != k % 3}
 
 
+def test_big_classes_meet_whole(spark, monkeypatch):
+    """Of two big classes and a lone node, every pair across them that can match is met once; at first the nearest of each block."""
+    monkeypatch.setattr(nd, "TILE", 4)
+    monkeypatch.setattr(nd, "BIG", 5)
+    of = {**dict.fromkeys(range(10), 0), **dict.fromkeys(range(10, 20), 10), 20: 20}
+    rows = [(key, i, 10, i, of[i], 10 if i < 20 else 1) for key in (1, 2) for i in range(21) if i % 4 == 0]  # not all members have the key
+    rows = spark.createDataFrame(rows, "key long, node long, n int, score long, component long, members long")
+    about = spark.createDataFrame([(i, 10, i, [0] * nd.NARROW) for i in range(21)], "node long, n int, score long, bits array<long>")
+    components = spark.createDataFrame([(i, of[i]) for i in range(20)], "node long, component long")
+    found = {(r["x"], r["y"]) for r in nd.with_classes(rows, components, about, None).collect()}
+    assert found == {(20, i) for i in range(20)} | {(i, k) for i in range(10, 20) if i % 4 == 0 for k in range(10)}
+    few = {(r["x"], r["y"]) for r in nd.with_classes(rows, components, about, 1).collect()}
+    assert few < found and {x for x, _ in few} == {x for x, _ in found}
+
+
+@pytest.mark.parametrize("inserted", [False, True])
+def test_parities_never_exclude_a_match(spark, inserted):
+    """Lengths around the edges of the widths, with words that repeat: folded or not, the bitmaps leave every match possible."""
+    rng, rows, pairs = np.random.default_rng(4), [], []
+    for n in (5, 25, 32, 33, 60, 64, 65, 120, 128, 129, 500, 512, 513, 600, 2000):
+        a, b = (np.where(x % 3 == 0, x % 7, x).astype(np.uint64) for x in pair(rng, n, 0.8, inserted))
+        assert nd.near(a, b)
+        for w in (a, b):
+            rows.append((len(rows), len(w), len(rows), nd.parity(w).tolist()))
+        pairs.append((len(rows) - 2, len(rows) - 1))
+    about = spark.createDataFrame(rows, "node long, n int, score long, bits array<long>")
+    assert nd.possible(spark.createDataFrame(pairs, "x long, y long"), about).count() == len(pairs)
+    keyed = spark.createDataFrame([(k, i, rows[i][1], i, i, 1) for k, p in enumerate(pairs) for i in p], "key long, node long, n int, score long, component long, members long")
+    assert {(r["y"], r["x"]) for r in nd.in_tiles(keyed, about).collect()} == set(pairs)
+
+
 def test_documents_of_repeated_ids_and_clashing_columns(spark):
     rows = [(1, "a b c d e f", 5), (1, "a b c d e f", 5), (1, "other words stand in this one", 6), (2, "a b c d e f", 7)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, row long").withColumns({c: F.lit(1) for c in ("id", "a", "b", "mark", "marked", "part", "bits", "node", "of", "__node")})
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row long").withColumns({c: F.lit(1) for c in CLASHES})
     kept = nd.drop_near_copies(docs)
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"], r["text"], r["row"]) for r in kept.collect()) == sorted({rows[0], rows[2]})
