@@ -12,7 +12,8 @@ Inside roles and texts `&`, `<`, `>` and `[` are written as `&amp;`, `&lt;`,
 and unescaping restores it exactly. Null roles and texts count as empty; null
 conversation ids form one conversation, null turns stand first. The loss mask
 lists half-open code-point spans of the output: the texts of the assistant's
-turns. One conversation must fit into one string, as its output does.
+turns. One conversation must fit into one string, as its output does. No rows give
+no conversations; extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -43,18 +44,15 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def _merged(turns: Column) -> Column:
-    """Sorted turns to messages (role, texts): a turn joins the last message if the role is the same."""
-    empty = F.expr("cast(array() as array<struct<role:string,texts:array<string>>>)")
+def _merged(turns: Column) -> tuple[Column, Column]:
+    """Where the runs of one role begin, and sorted turns to messages (role, texts): each run of one role is sliced out once, from its start to the next run's."""
+    begins = F.filter(F.sequence(F.lit(1), F.size(turns)), lambda i: (i == 1) | (F.get(turns, i - 1)["role"] != F.get(turns, i - 2)["role"]))
 
-    def step(messages: Column, turn: Column) -> Column:
-        last = F.element_at(messages, -1)
-        same = (F.size(messages) > 0) & (F.try_element_at(messages, F.lit(-1))["role"] == turn["role"])
-        joined = F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(turn["text"])).alias("texts"))
-        alone = F.struct(turn["role"].alias("role"), F.array(turn["text"]).alias("texts"))
-        return F.when(same, F.concat(F.slice(messages, 1, F.size(messages) - 1), F.array(joined))).otherwise(F.concat(messages, F.array(alone)))
+    def message(begin: Column, nth: Column) -> Column:
+        after = F.coalesce(F.get("begins", nth + 1), F.size(turns) + 1)
+        return F.struct(F.get(turns, begin - 1)["role"].alias("role"), F.transform(F.slice(turns, begin, after - begin), lambda t: t["text"]).alias("texts"))
 
-    return F.aggregate(turns, empty, step)
+    return begins, F.transform("begins", message)
 
 
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -63,7 +61,8 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         F.col(turn_col).alias("turn"), escape(F.coalesce(F.col(role_col), F.lit(""))).alias("role"), escape(F.coalesce(F.col(text_col), F.lit(""))).alias("text")
     )
     chats = turns.select(F.col(conv_col).alias("conv_id"), row.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    chats = chats.select("conv_id", _merged(F.col("turns")).alias("messages"))
+    begins, messages = _merged(F.col("turns"))
+    chats = chats.withColumn("begins", begins).select("conv_id", messages.alias("messages"))
     parts = F.flatten(
         F.transform(
             "messages",

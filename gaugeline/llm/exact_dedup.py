@@ -3,25 +3,25 @@
 Texts are equal when identical after replacing each run of ASCII white space by
 one space; null counts as empty. Of equal texts the row with the smallest doc_id
 stays (a null id is larger than all others; of repeated rows with one id, one stays).
-Empty texts are equal to each other. An empty table gives no rows.
-
-Every step groups with partial aggregation and joins narrow rows, so a group
-that holds a third of all rows never meets in one task; texts are never shuffled.
+Empty texts are equal to each other, very long ones are compared whole. An empty
+table gives no rows. Extra columns, whatever their names, are kept as they are.
+
+Every step groups narrow rows with partial aggregation, and joins them so that
+adaptive execution can split a hot key: a group that holds a third of all rows never
+meets in one task, and texts are never shuffled. Which texts length and prefix leave
+undecided is told by marks of fixed size: a mark set in vain costs one full hash
+and changes nothing, for the full hash decides.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeline.llm import tables
 from gaugeline.scratch import materialise
 
 PREFIX = 256
-#: Surviving (length, prefix) keys, 16 bytes each, are broadcast up to this count and joined by shuffle beyond.
-BROADCAST_KEYS = 500_000
-#: The same for (id, hash) of rows that go, about 100 bytes each.
-BROADCAST_ROWS = 200_000
 
 
 def normalised(text: Column) -> Column:
@@ -44,58 +44,51 @@ def _survivors(keyed: DataFrame) -> DataFrame:
     return counted.join(lengths, "n").where("rows > 1").select("n", "head")
 
 
-def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, head, norm, undecided): undecided is true for texts whose length and prefix are shared, else null."""
-    keyed = _keyed(docs, id_col, text_col)
+def _hashed(keyed: DataFrame, digest: bool) -> DataFrame:
+    """The rows of keyed with sha: the full hash of texts that length and prefix leave undecided, null for others unless digest."""
     left = materialise(_survivors(keyed), "exact-survivors")
-    if left.count() <= BROADCAST_KEYS:
-        left = F.broadcast(left)
-    return keyed.join(left.withColumn("undecided", F.lit(True)), ["n", "head"], "left")
+    rows = tables.marked(keyed, F.xxhash64("n", "head"), left.select(F.xxhash64("n", "head").alias("mark")))
+    full = F.sha2(F.col("norm").cast("binary"), 256)
+    return rows.withColumn("sha", full if digest else F.when(F.col("marked"), full)).drop("norm", "marked")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """One row per row of docs: id, keep_id, group_size, kept, sha (null for a text that no step hashed, unless digest)."""
-    full = F.sha2(F.col("norm").cast("binary"), 256)
-    sha = full if digest else F.when(F.col("undecided"), full)
-    keys = ["id", "n", "head", "undecided", "sha"]
-    hashed = _marked(docs, id_col, text_col).withColumn("sha", sha).groupBy(*keys).agg(F.count("*").alias("copies"))
+    keys = ["id", "n", "head", "sha"]
+    hashed = _hashed(_keyed(docs, id_col, text_col), digest).groupBy(*keys).agg(F.count("*").alias("copies"))
     hashed = materialise(hashed, "exact-hashes")
-    alone = hashed.where("undecided is null")
-    shared = hashed.where("undecided")
-    groups = shared.groupBy("sha").agg(
-        F.min("id").alias("keep_id"), F.sum("copies").alias("group_size")
-    )
-    groups = materialise(groups, "exact-groups")
-    # of groups above 1 / (4 x partitions) of the rows there are fewer than 4 x partitions: these are broadcast, the others joined by shuffle
-    hot_size = shared.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0] // (4 * tables.partitions(docs))
-    columns = ["id", "keep_id", "group_size", "sha", "copies"]
-    hot = F.broadcast(groups.where(F.col("group_size") > hot_size).select(F.col("sha").alias("hot_sha"), "keep_id", "group_size"))
-    marked = shared.join(hot, F.col("sha") == F.col("hot_sha"), "left")
-    told = (
-        marked.where("hot_sha is not null").select(*columns)
-        .unionByName(marked.where("hot_sha is null").select("id", "sha", "copies").join(groups.where(F.col("group_size") <= hot_size), "sha").select(*columns))
-        .unionByName(alone.select("id", F.col("id").alias("keep_id"), F.col("copies").alias("group_size"), "sha", "copies"))
-    )
-    return told.select("id", "keep_id", "group_size", "sha", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("nth")).select(
-        "id", "keep_id", F.col("group_size").cast("long").alias("group_size"), (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"), "sha"
-    )
+    groups = hashed.where("sha is not null").groupBy("sha").agg(F.min("id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    groups = materialise(groups.where("group_size > 1").withColumnRenamed("sha", "of"), "exact-groups")
+    told = hashed.join(groups, F.col("sha") == F.col("of"), "left")
+    lone = F.col("of").isNull()
+    told = told.select(
+        "id", F.when(lone, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.when(lone, F.col("copies")).otherwise(F.col("group_size")).alias("group_size"), "sha",
+        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("nth"),
+    )
+    return told.select("id", "keep_id", F.col("group_size").cast("long").alias("group_size"), (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"), "sha")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns and no others."""
+    """The rows of docs that stay, with all their columns and no others.
+
+    A row that length and prefix leave alone is never hashed in full; rows whose id no
+    dropped row has are never shuffled.
+    """
     told = exact_groups(docs, id_col, text_col)
-    fate = told.groupBy("id", "sha").agg(F.max("kept").alias("stays"), F.count("*").alias("copies"))
-    fate = materialise(fate.where("not stays or copies > 1"), "exact-fate")
-    few, repeats = fate.count() <= BROADCAST_ROWS, fate.where("stays").count()
+    gone = materialise(told.groupBy("id", "sha").agg(F.max("kept").alias("stays"), F.count("*").alias("copies")).where("not stays or copies > 1"), "exact-fate")
+    kept, doubtful = tables.split(docs, id_col, gone.select("id").distinct())
+    repeated = told.join(gone.select(F.col("id").alias("of")).distinct(), F.col("id").eqNullSafe(F.col("of")), "left_semi").where("kept").select("id", "sha")
+    repeated = materialise(repeated, "exact-repeated")
+    if repeated.isEmpty():
+        return kept
+    # of rows whose id stands several times, one of each text that stays
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    sha = F.sha2(normalised(tables.text_of(text_col)).cast("binary"), 256)
-    mine, other = docs.select(row, F.col(id_col).alias("id"), sha.alias("sha")), fate.select(F.col("id").alias("of"), F.col("sha").alias("with"), "stays")
-    marked = mine.join(F.broadcast(other) if few else other, F.col("sha").eqNullSafe(F.col("with")) & F.col("id").eqNullSafe(F.col("of")), "left")
-    kept = marked.where("stays is null")
-    if repeats:  # repeated rows of the one that stays
-        nth = F.row_number().over(Window.partitionBy("id", "sha").orderBy(F.lit(1)))
-        kept = kept.select("row").unionByName(marked.where("stays").withColumn("nth", nth).where("nth = 1").select("row"))
-    return kept.select("row.*")
+    norm = normalised(F.coalesce(F.col("row").getField(text_col), F.lit("")))
+    rows = doubtful.select(row).select("row", F.col("row").getField(id_col).alias("id"), F.sha2(norm.cast("binary"), 256).alias("full"))
+    rows = rows.groupBy("id", "full").agg(F.first("row").alias("row"))
+    stay = repeated.select(F.col("id").alias("of"), "sha")
+    rows = rows.join(stay, F.col("id").eqNullSafe(F.col("of")) & (F.col("sha").isNull() | (F.col("sha") == F.col("full"))), "left_semi")
+    return kept.unionByName(rows.select("row.*"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,8 @@ lines match if the Jaccard similarity of their sets is at least SIMILARITY; of
 matching lines the first in order of (id, line number) stays and every later one
 goes, whether or not the earlier one stays itself. Lines without words stay.
 
-Words are ordered by rarity - a count over all documents in BUCKETS hashed
-counters, then the word's hash, so the order is the same everywhere. Matching
+Words are ordered by rarity - the logarithm of a count over all documents in BUCKETS
+hashed counters, then the word's hash, so the order is the same everywhere. Matching
 sets must share a word among their first n - ceil(SIMILARITY n) + 1 in that
 order (prefix filter), have near sizes (length filter), and enough room behind
 the shared word (positional filter); what passes is verified on the full sets.
@@ -25,7 +25,8 @@ one line has are no keys; sets of under four words match only equal ones.
 
 Null texts count as empty; null ids are last; rows that repeat both id and text
 count as one document and get one result. Texts are split at line feeds, and the
-kept lines are joined by them again.
+kept lines are joined by them again. Very long texts and lines are read whole, an
+empty table gives no rows, and extra columns stay as they are.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ from gaugeline.scratch import materialise
 
 SIMILARITY = 0.8
 BUCKETS = 1 << 20
+#: Of a count's logarithm, for each doubling: small counts keep their order, and 2 ** 40 fits into 16 bits.
+STEPS = 1600
 #: Passing earlier sets that a set is first paired with.
 NEAREST = 3
 #: Words from which a set has the wide bitmap in the first round; in the second all have it.
@@ -105,7 +108,7 @@ def _set_hash(words: np.ndarray, line: np.ndarray, lines: int) -> tuple[np.ndarr
 
 
 def rarity(texts: DataFrame) -> np.ndarray:
-    """How often each bucket's words stand in all texts; a table of fixed size."""
+    """How often each bucket's words stand in all texts, as 0 or 1 + round(STEPS * log2 of it); a table of fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held, size = np.zeros(BUCKETS, np.int64), [], 0
@@ -125,7 +128,8 @@ def rarity(texts: DataFrame) -> np.ndarray:
             some = used[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["bucket", "n"])
 
-    got = texts.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.least(F.sum("n"), F.lit(0xFFFF)).cast("int").alias("n")).toArrow()
+    level = 1 + F.round(STEPS * F.log2(F.sum("n")))
+    got = texts.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(level.cast("int").alias("n")).toArrow()
     out = np.zeros(BUCKETS, np.uint16)
     out[got["bucket"].to_numpy()] = got["n"].to_numpy()
     return out
@@ -264,10 +268,11 @@ def _meet(rows: np.ndarray, wide: np.ndarray, nearest: int, only: np.ndarray | N
     rows, where = rows[order], where[order]
     new = np.ones(len(rows), bool)
     new[1:] = rows["key"][1:] != rows["key"][:-1]
-    packed = np.cumsum(new).astype(np.uint64) << np.uint64(40) | np.ascontiguousarray(rows["a"]) >> np.uint64(24)
-    same = np.argsort(packed)  # of equal sets under a word the first row stays
-    begins = np.flatnonzero(np.concatenate([[True], packed[same][1:] != packed[same][:-1]])) if len(same) else same
-    stays = np.sort(np.minimum.reduceat(same, begins)) if len(same) else same
+    under, of = np.cumsum(new), np.ascontiguousarray(rows["a"])
+    same = np.lexsort((of, under))  # stable: of equal sets under a word the first row stays
+    first = np.ones(len(same), bool)
+    first[1:] = (under[same][1:] != under[same][:-1]) | (of[same][1:] != of[same][:-1])
+    stays = np.sort(same[first])
     rows, where = rows[stays], where[stays]
     key, a, bits = (np.ascontiguousarray(rows[c]) for c in ("key", "a", "bits"))
     n, place = rows["n"].astype(np.int64), rows["place"].astype(np.int64)
@@ -338,6 +343,7 @@ def verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         in_document, in_line = (np.unpackbits(x).astype(bool) for x in shipped.value)
+        seen: set[tuple[int, int]] = set()  # copies of a line that this task has given out; what it forgets is dropped later
         for whole in batches:
             batch = whole.filter(pa.array(in_document[whole.column(1).to_numpy() % (1 << FILTER)]))
             th = batch.column(1).to_numpy()
@@ -347,10 +353,16 @@ def verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
                 w, of = _sets(words[some], line[some])
                 a, b, size = _set_hash(w, of, len(row))
                 edge = np.concatenate([[0], np.cumsum(size)])
-                full = np.flatnonzero(size)
+                new = []
+                for i in np.flatnonzero(size).tolist():
+                    if (node := (int(a[i]), int(b[i]))) not in seen:
+                        new.append(i)
+                        if len(seen) < 1 << 17:
+                            seen.add(node)
+                full = np.array(new, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(textkit.signed(a)[full]), pa.array(textkit.signed(b)[full]), pa.array([w[edge[i] : edge[i + 1]].tobytes() for i in full.tolist()], pa.binary())], ["a", "b", "words"])
 
-    sets = docs.mapInArrow(read, "a long, b long, words binary").join(wanted.select("a").distinct(), "a", "left_semi").dropDuplicates(["a", "b"])
+    sets = docs.mapInArrow(read, "a long, b long, words binary").dropDuplicates(["a", "b"]).join(wanted.select("a").distinct(), "a", "left_semi")
     sets = materialise(sets, "line-words")
 
     def jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,8 +424,12 @@ def _later(links: DataFrame, firsts: DataFrame) -> DataFrame:
     return materialise(links.select(later.alias("l")).select("l.*").distinct(), "line-late")
 
 
-def drop_later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", told: bool = False) -> DataFrame:
-    """The rows of docs with the kept lines as text; told adds __lines and __gone, numbers of lines before and of lines that went."""
+def drop_later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines_col: str | None = None, gone_col: str | None = None) -> DataFrame:
+    """The rows of docs with the kept lines as text; lines_col and gone_col name columns to add: how many lines there were and how many went.
+
+    Columns of docs that have these names are replaced.
+    """
+    docs = tables.without(docs, text_col, lines_col, gone_col)
     gone = materialise(later_matches(docs, id_col, text_col), "line-gone")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     mine = docs.select(row, F.col(id_col).alias("id"), F.xxhash64(tables.text_of(text_col)).alias("th"))
@@ -423,8 +439,9 @@ def drop_later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
     text = F.when(F.col("gone").isNull(), F.col(f"row.`{text_col}`")).otherwise(kept)
     columns = [(text if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
-    if told:
-        columns += [F.size(lines).cast("long").alias("__lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("__gone")]
+    for name, value in ((lines_col, F.size(lines)), (gone_col, F.coalesce(F.size("gone"), F.lit(0)))):
+        if name:
+            columns.append(value.cast("long").alias(name))
     return found.select(*columns)
 
 

@@ -8,9 +8,10 @@ by document, and a smaller budget's documents are all in a larger budget's mix.
 Sources stand in code-point order, null last, and weigh 3, 1, 2, repeating. They
 share 150 % of all sizes by weight; a target stops at twice its source's size and
 the excess is shared again by weight. A budget of r times a source's size takes
-every document floor(r) times and the rest by threshold. Documents of size 0 and
-null texts take 0 words. Repeated rows are documents of their own with one hash.
-An empty table gives no rows.
+every document floor(r) times and the rest by threshold, MOST times at most. Documents
+of size 0 and null texts take 0 words. Repeated rows are documents of their own with one
+hash; rows of one id, or of none, with different texts have different hashes. Very long
+texts count whole, an empty table gives no rows, extra columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -33,9 +34,10 @@ def size_of(text: Column) -> Column:
     return F.regexp_count(text, F.lit(rf"[^{tables.SPACE}]+")).cast("long")
 
 
-def hash_of(doc_id: Column) -> Column:
-    """48 bits from SHA-256 of the id as text, so that SQL elsewhere finds the same."""
-    digest = F.sha2(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"), 256)
+def hash_of(doc_id: Column, text: Column) -> Column:
+    """48 bits from SHA-256 of the id as text and the text's MD5, so that SQL elsewhere finds the same."""
+    said = F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    digest = F.sha2(said.cast("binary"), 256)
     return F.conv(F.substring(digest, 1, LEVELS * BITS // 4), 16, 10).cast("long")
 
 
@@ -91,21 +93,22 @@ def _with(rows: DataFrame, by_source: DataFrame) -> DataFrame:
 
 def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(id, source, size, h) of each row, and the thresholds of each source."""
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(tables.text_of(text_col)).alias("size"), hash_of(F.col(id_col)).alias("h"))
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(tables.text_of(text_col)).alias("size"), hash_of(F.col(id_col), F.col(text_col)).alias("h"))
     sized = materialise(sized, "mixing-sizes")
     goals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     return sized, thresholds(sized, materialise(goals, "mixing-goals"))
 
 
 def copies_of(h: str = "h") -> Column:
-    return F.col("times") + (F.col(h) < F.col("below")).cast("int")
+    """How often a row is taken; never above MOST, also where all of a source is taken and rows of size 0 pass any threshold."""
+    return F.least(F.col("times") + (F.col(h) < F.col("below")).cast("int"), F.lit(int(MOST)))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The rows of the mix with the columns of docs; a row that is taken twice stands twice."""
     _, limits = plan(docs, id_col, source_col, text_col)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(row, F.col(source_col).alias("source"), hash_of(F.col(id_col)).alias("h"))
+    rows = docs.select(row, F.col(source_col).alias("source"), hash_of(F.col(id_col), F.col(text_col)).alias("h"))
     chosen = _with(rows, limits).select("row", copies_of().alias("copies")).where("copies > 0")
     return chosen.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
@@ -118,7 +121,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = r"""
 with recursive
 d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
-      ('0x' || substr(sha256(coalesce(doc_id::varchar, '')), 1, 12))::bigint as h from documents),
+      ('0x' || substr(sha256(coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))), 1, 12))::bigint as h from documents),
 t as (select source, sum(size)::bigint as source_size from d group by source),
 w as (select *, [3.0, 1.0, 2.0][1 + (row_number() over (order by source nulls last) - 1) % 3]::double as weight, 2.0::double * source_size as full_at from t),
 b as (select *, full_at / weight as level, 1.5::double * sum(source_size) over () as budget, sum(weight) over () as all_weight from w),
@@ -131,5 +134,5 @@ u as (select d.doc_id, d.size, k.source_size, k.target, k.times,
       sum(d.size) over (partition by d.source order by d.h range between unbounded preceding and current row) as up_to
       from d join k on d.source is not distinct from k.source)
 select doc_id, size, source_size, target,
-       (size * (times + case when up_to <= target - times * source_size then 1 else 0 end))::bigint as taken from u
+       (size * (least(2, times + case when up_to <= target - times * source_size then 1 else 0 end)))::bigint as taken from u
 """

@@ -51,8 +51,8 @@ SIMILARITY = 0.8
 BIG = 64
 #: Of a text and a block of a class, the pairs that the first round of these tries.
 NEAREST = 4
-#: Rows of a block; a tile holds two blocks of a key at most, on average.
-TILE = 1024
+#: Nodes of a key's block, and of a class's and its queries' blocks: two blocks meet in a task at once, on average.
+TILE, BLOCK = 4096, 512
 #: Bits of a bitmap for each word of the text, and bounds of its width in longs; widths are powers of two.
 DENSITY = 8
 NARROW, WIDE = 4, 2048
@@ -367,16 +367,20 @@ def class_pairs(nearest: int | None):
 def with_classes(rows: DataFrame, components: DataFrame, about: DataFrame, nearest: int | None) -> DataFrame:
     """(x, y): nodes of open keys with members of the big classes that they share a key with and are not of.
 
-    A class of m nodes is dealt into m / TILE blocks and each text is compared with every
-    block of it, so a pair is met once, however many keys it shares.
+    A class and the texts that ask for it are each dealt into blocks, and each block of the
+    one meets each of the other, so a pair is met once, however many keys it shares.
     """
     big = rows.where(F.col("members") >= BIG).select("key", F.col("component").alias("of"), F.col("members").alias("of_members")).distinct()
     pairs = rows.join(big, "key").where(F.col("component") != F.col("of")).where((F.col("members") < BIG) | (F.col("component") > F.col("of")))
     asked = materialise(pairs.select("node", "of", "of_members").distinct(), "near-asked")
-    blocks = F.ceil(F.col("of_members") / TILE).cast("int")
-    queries = asked.select("node", F.col("of").alias("component"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("query"))
-    classes_ = asked.select(F.col("of").alias("component"), blocks.alias("blocks")).distinct()
-    members = components.join(classes_, "component").select("node", "component", F.pmod(F.hash("node"), F.col("blocks")).alias("block"), F.lit(False).alias("query"))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    sizes = asked.groupBy("of").agg(F.max("of_members").alias("of_members"), F.count("*").alias("queries"))
+    sizes = materialise(sizes.select(F.col("of").alias("component"), blocks("of_members").alias("rows"), blocks("queries").alias("columns")), "near-blocks")
+    deal = lambda df, own, other: df.withColumn(own, F.pmod(F.hash("node"), F.col(f"{own}s"))).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)))
+    queries = deal(asked.select("node", F.col("of").alias("component")).join(sizes, "component"), "column", "row")
+    members = deal(components.join(sizes, "component"), "row", "column")
+    place = ["node", "component", (F.col("row") * F.col("columns") + F.col("column")).alias("block")]
+    queries, members = queries.select(*place, F.lit(True).alias("query")), members.select(*place, F.lit(False).alias("query"))
     dealt = _at_widths(queries.unionByName(members).join(about, "node")).select("component", "block", "width", "query", "node", "n", "score", "bits")
     dealt = dealt.repartition(tables.partitions(rows), "component", "block", "width").sortWithinPartitions("component", "block", "width", "query")
     return dealt.mapInArrow(class_pairs(nearest), "x long, y long").distinct()

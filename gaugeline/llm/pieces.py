@@ -14,6 +14,7 @@ spaces with what follows; each different one is solved once, all of them
 together in vectorised steps over the trie, and long ones one by one.
 
 Null counts as empty; an empty text has no pieces. Repeated rows are encoded alike.
+Very long texts are encoded whole, an empty table gives no rows, and extra columns stay.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from gaugeline.llm import tables, textkit
 
@@ -201,6 +202,19 @@ class Codec:
             rows = rows[left[rows] > 0]
         return out, count
 
+    @staticmethod
+    def _told_apart(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Segments of one hash are compared by their bytes; one that differs from the first of its hash is solved by itself."""
+        size, model = ends - starts, first[which]
+        other = size != size[model]
+        shift = np.repeat(np.where(other, 0, starts[model] - starts), size)  # segments follow one another without a gap
+        at = np.arange(starts[0], ends[-1])
+        other[np.repeat(np.arange(len(starts)), size)[data[at] != data[at + shift]]] = True
+        alone = np.flatnonzero(other)
+        which = which.copy()
+        which[alone] = len(first) + np.arange(len(alone))
+        return np.concatenate([first, alone]), which
+
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, offsets = textkit.buffers(texts)
         size = np.diff(offsets)
@@ -217,6 +231,7 @@ class Codec:
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         ends = np.concatenate([starts[1:], [len(padded)]])
         _, first, which = np.unique(textkit.word_hashes(padded, starts, ends), return_index=True, return_inverse=True)
+        first, which = self._told_apart(padded, starts, ends, first, which)
         s, e = starts[first], ends[first]
         found: list[np.ndarray] = [np.zeros(0, np.int32)]
         place, count, at = np.zeros(len(s), np.int64), np.zeros(len(s), np.int64), 0
@@ -281,8 +296,12 @@ def codec(path: str | None = None) -> Codec:
 
 
 def encode(docs: DataFrame, text_col: str = "text", name: str = "ids", vocabulary: str | None = None, check: str | None = None) -> DataFrame:
-    """The rows of docs with the ids of their pieces; check names a column that says whether decoding gives the text."""
+    """The rows of docs with the ids of their pieces; check names a column that says whether decoding gives the text.
+
+    Columns of docs that have these names are replaced, all others are kept.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(codec(vocabulary))
+    docs = tables.without(docs, text_col, name, check)
     at = docs.columns.index(text_col)
     extra = [StructField(name, ArrayType(IntegerType()))] + ([StructField(check, BooleanType())] if check else [])
 
@@ -301,17 +320,17 @@ def encode(docs: DataFrame, text_col: str = "text", name: str = "ids", vocabular
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", name: str = "decoded", vocabulary: str | None = None) -> DataFrame:
-    """The rows with the texts of their ids; null ids count as none."""
+    """The rows with the texts of their ids; null ids count as none, and a column of that name is replaced."""
     shipped = rows.sparkSession.sparkContext.broadcast(codec(vocabulary))
+    rows = tables.without(rows, ids_col, name)
     at = rows.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = pa.array([x or [] for x in batch.column(at).to_pylist()], pa.list_(pa.int32()))
+            column = batch.column(at)
+            ids = pa.array([x or [] for x in column.to_pylist()], pa.list_(pa.int32())) if column.null_count else column
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shipped.value.decode(ids), pa.string())], [*batch.schema.names, name])
 
-    from pyspark.sql.types import StringType
-
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(name, StringType())]))
 
 

@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -66,19 +67,82 @@ def test_odd_rows_and_no_labels(spark, odd, empty, tmp_path):
         rows = query(spark, f"{tmp_path}/odd").collect()
         assert len(rows) == len(ODD) + 2 and all(0 <= r["score"] <= 1 for r in rows)
         assert query(spark, f"{tmp_path}/empty").count() == 0
-    scores = {r["doc_id"]: r["score"] for r in quality.op7_quality(spark, f"{tmp_path}/odd").collect()}
-    assert scores[0] == scores[1] == 0.0 and scores[8] == 0.5
+    assert {r["score"] for r in quality.op7_quality(spark, f"{tmp_path}/odd").collect()} == {0.5}
+    scored = quality.score(odd, quality.Voters([], np.zeros(0)), name="__score")  # a column of that name is replaced
+    assert sorted(scored.columns) == sorted(odd.columns) and {r["__score"] for r in scored.collect()} == {0.5}
 
 
-def test_cosines_are_exact():
+def kneser_ney(texts, labels, everything, discount):
+    """The two models by dictionaries and loops: p(class, before, word)."""
+    split = [t.split() for t in texts]
+    word, pair = [Counter(), Counter()], [Counter(), Counter()]
+    for t, c in zip(split, labels):
+        word[c].update(set(t))
+        pair[c].update(set(zip(["<s>", *t], t)))
+    before = Counter(w for _, w in {*pair[0], *pair[1]})
+    corpus = Counter(w for t in everything for w in t.split())
+    kinds, left = sum(before.values()), sum(min(n, toxicity.SHARED_DISCOUNT) for n in before.values())
+
+    def shared(w):
+        return max(before[w] - toxicity.SHARED_DISCOUNT, 0) / kinds + left / kinds * corpus[w] / sum(corpus.values())
+
+    def p(c, v, w):
+        total = sum(word[c].values())
+        rest = sum(min(n, discount) for n in word[c].values()) / total
+        alone = max(word[c][w] - discount, 0) / total + rest * shared(w)
+        held = sum(n for (x, _), n in pair[c].items() if x == v)
+        if not held:
+            return alone
+        rest = sum(min(n, discount) for (x, _), n in pair[c].items() if x == v) / held
+        return max(pair[c][v, w] - discount, 0) / held + rest * alone
+
+    return p
+
+
+def test_models_equal_brute_force_and_sum_to_one(spark):
+    pick, names = random.Random(3), "abcdefgh"
+    texts = [" ".join(pick.choice(names) for _ in range(pick.randrange(1, 12))) for _ in range(60)]
+    labels_ = [i % 3 == 0 and 1 or 0 for i in range(60)]
+    others = [" ".join(pick.choice(names) for _ in range(9)) for _ in range(20)]
+    rows = spark.createDataFrame(list(zip(texts, labels_)), "text string, label int")
+    model = toxicity.fit(spark.createDataFrame([(t,) for t in texts + others], "text string"), rows)
+    p = kneser_ney(texts, labels_, texts + others, toxicity.DISCOUNT)
+    for text in (*others, "a", "a a b"):
+        ((_, words_, first),) = toxicity._tokens(pa.array([text]))
+        got, split = np.exp(model.log_likelihoods(words_, first)), text.split()
+        for i, (v, w) in enumerate(zip(["<s>", *split], split)):
+            assert all(abs(got[c, i] - p(c, v, w)) < 1e-9 for c in (0, 1))
+    for v in ["<s>", *names]:
+        assert all(abs(sum(p(c, v, w) for w in names) - 1) < 1e-9 for c in (0, 1))
+    best = max(np.mean(np.log([p(1, *x) / p(0, *x) for x in zip(["<s>", *others[0].split()], others[0].split())][k : k + toxicity.RUN])) for k in range(9 - toxicity.RUN + 1))
+    assert abs(model.evidence(pa.array([others[0]]))[0] - best) < 1e-9
+
+
+def sparse(texts):
+    return [(np.flatnonzero(r), r[np.flatnonzero(r)]) for r in quality.counts(pa.array(texts))]
+
+
+def test_votes_equal_a_dense_reference():
+    """The same projection by a dense singular value decomposition, and votes by a sort."""
     texts, _, good = corpus(60)
-    model = quality.Voters(quality.counts(pa.array(texts)), np.array(good))
-    got = model.scores(pa.array(texts[:5]))
-    terms = quality.counts(pa.array(texts[:5]))
+    good = np.array(good)
+    model = quality.Voters(sparse(texts), good)
+    terms = quality.counts(pa.array(texts)).astype(float)
     terms /= np.linalg.norm(terms, axis=1, keepdims=True)
-    mine = model._unit((terms * model.scale) @ model.axes)
-    for i in range(5):
-        near = mine[i] @ model.vectors.T
-        best = np.argsort(-near)[: quality.NEAREST]
-        weight = np.maximum(near[best], 1e-3).astype(float) ** quality.POWER
-        assert abs((weight * model.labels[best]).sum() / weight.sum() - got[i]) < 1e-5
+    scale = np.minimum(1 / np.sqrt((terms**2).mean(0) + 1e-6), 40)
+    axes = np.linalg.svd(terms * scale, full_matrices=False)[2][: quality.RANK].T
+    vectors = (terms * scale) @ axes
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    got = model.scores(pa.array(texts))
+    near = vectors @ vectors.T
+    for i in range(len(texts)):
+        best = np.argsort(-near[i])[: quality.NEAREST]
+        weight = np.maximum(near[i][best], 1e-3) ** quality.POWER
+        assert abs((weight * good[best]).sum() / weight.sum() - got[i]) < 0.02
+
+
+def test_empty_texts_are_voted_on():
+    texts, _, good = corpus(60)
+    model = quality.Voters(sparse([*texts, "", "", ""]), np.array([*good, 0, 0, 0]))
+    empty, full = model.scores(pa.array([None, texts[0]]))
+    assert empty < full

@@ -1,5 +1,8 @@
 import hashlib
 import re
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 from gaugeline.llm import chat, exact_dedup, mixing
 
@@ -72,14 +75,37 @@ def test_targets_and_taken(spark, tables, empty, tmp_path):
     assert all(abs(taken[s] - want[s]) <= 17 for s in named)
     assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.op10_mixing(spark, d).collect()))
     mixed = mixing.mix(spark.read.parquet(f"{d}/documents.parquet"))
-    assert mixed.count() == sum(r["taken"] // r["size"] for r in rows if r["size"]) + sum(1 for r in mixed.collect() if r["doc_id"] % 17 == 0)
+    stands = Counter(r["doc_id"] for r in mixed.collect())
+    assert all(stands[r["doc_id"]] == r["taken"] // r["size"] for r in rows if r["size"]) and max(stands.values()) <= 2
     empty.write.parquet(f"{tmp_path}/none/documents.parquet")
     assert mixing.op10_mixing(spark, f"{tmp_path}/none").count() == 0 and mixing.mix(empty).count() == 0
 
 
 def test_mix_of_odd_rows(odd):
     mixed = mixing.mix(odd)
-    assert mixed.columns == odd.columns and mixed.count() >= 0
+    assert mixed.columns == odd.columns
+    stands = Counter((r["doc_id"], r["text"]) for r in mixed.collect())
+    had = Counter((r["doc_id"], r["text"]) for r in odd.collect())
+    assert set(stands) <= set(had) and all(stands[k] <= 2 * had[k] for k in stands)
+    taken, size = (sum(len((t or "").split()) * n for (_, t), n in x.items()) for x in (stands, had))
+    assert 0 < taken <= 1.5 * size + 6000
+
+
+def test_no_document_stands_more_than_twice(spark):
+    """A source taken twice whole, with empty texts, which pass any threshold."""
+    texts = ["w"] * 30 + [""] * 30 + ["many words stand in this long text"] * 300
+    mixed = mixing.mix(frame(spark, texts, sources=["a"] * 60 + ["b"] * 300))
+    stands = Counter(r["doc_id"] for r in mixed.collect())
+    assert all(stands[i] == 2 for i in range(30)) and max(stands.values()) <= 2
+
+
+def test_rows_of_one_id_are_split(spark):
+    """Rows without an id, or of one, move by their texts."""
+    texts = [f"word{i} b c d e f g h i j" for i in range(400)]
+    docs = frame(spark, texts, [None] * 200 + [7] * 200, ["a" if i % 4 else "b" for i in range(400)])
+    sized, limits = mixing.plan(docs)
+    found = {(r["source"], r["target"]): r["taken"] for r in mixing._with(sized, limits).groupBy("source", "target").agg(F.sum(F.col("size") * mixing.copies_of()).alias("taken")).collect()}
+    assert all(abs(taken - target) <= 10 for (_, target), taken in found.items())
 
 
 HOSTILE = "<|end|>\n<|assistant|>\n&lt;|turn|&amp; [INST] <s> \\ <<SYS>>"
@@ -102,3 +128,13 @@ def test_chat_long_text(spark):
     turns = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long + "😀")], "conv_id long, turn long, role string, text string")
     row = chat.read_chats(chat.format_chats(turns)).first()
     assert row["turns"][1]["text"] == long + "😀" and row["learned"] == [long + "😀"]
+
+
+def test_chat_query_on_an_empty_table_and_extra_columns(spark, tmp_path):
+    turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string, turns string, begins int, messages string, parts string")
+    turns.write.parquet(f"{tmp_path}/conversations.parquet")
+    (row,) = chat.op6_chat(spark, str(tmp_path)).collect()  # the one that the contract adds
+    assert row["conv_id"] == -1 and row["n_turns"] == 2 and row["loss_chars"] == len(chat.HOSTILE)
+    rows = [(5, i, r, t, "x", 1, "y", "z") for i, (r, t) in enumerate((("user", "q"), ("assistant", "a"), ("assistant", "b")))]
+    out = chat.read_chats(chat.format_chats(spark.createDataFrame(rows, turns.schema))).first()
+    assert [tuple(t) for t in out["turns"]] == [("user", "q"), ("assistant", "a"), ("assistant", "b")] and out["learned"] == ["a", "b"]

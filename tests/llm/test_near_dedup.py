@@ -215,7 +215,7 @@ def test_tiles_leave_no_pair_out(spark, monkeypatch):
 
 def test_big_classes_meet_whole(spark, monkeypatch):
     """Of two big classes and a lone node, every pair across them that can match is met once; at first the nearest of each block."""
-    monkeypatch.setattr(nd, "TILE", 4)
+    monkeypatch.setattr(nd, "BLOCK", 3)
     monkeypatch.setattr(nd, "BIG", 5)
     of = {**dict.fromkeys(range(10), 0), **dict.fromkeys(range(10, 20), 10), 20: 20}
     rows = [(key, i, 10, i, of[i], 10 if i < 20 else 1) for key in (1, 2) for i in range(21) if i % 4 == 0]  # not all members have the key
