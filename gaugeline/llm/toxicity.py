@@ -1,19 +1,31 @@
-"""Toxicity by class-conditional Kneser-Ney models of words and word pairs.
-
-Two interpolated models, one of toxic and one of ordinary labelled texts, count
-in how many texts an expression stands. Absolute discounts move the mass of rare
-expressions to shared backoff counts, taken over all documents, so that what is
-rare says nothing for either class. A text's evidence is its length-normalised
-log-likelihood ratio: over the whole text, over its best run of four words, and
-over its best one, two and three words, since a few words make a long text toxic.
-A logistic calibration turns these into a score; for it the labelled texts are
-scored by the models without their own counts.
-
-Labels are learnt from at most TRAIN toxic and TRAIN ordinary rows, chosen by
-hash; shared counts cover every document in BUCKETS hashed counters. With labels
-of one class only, or none, every score is 0.5. Null and empty texts have no
-evidence and get the score of that. Labels, ids, sources and languages are no
-inputs of a score; repeated rows score alike.
+"""Toxicity by class-conditional Kneser-Ney models of words in context.
+
+Two interpolated models, one of toxic and one of ordinary labelled texts, give each
+word a probability after the word before it. Counts are of texts that hold an
+expression, so that a word repeated in one text is no evidence. An absolute discount
+is taken from every pair's and word's count, and all of its mass is handed on:
+
+    p(w | v) = max(n(v w) - D, 0) / n(v .) + rest(v) * p(w)
+    p(w)     = max(n(w) - D, 0) / n(.) + rest * shared(w)
+
+rest is what the discounts left over, so the probabilities of all words sum to 1. What
+is rare falls back on shared(w), which is the same for both classes and so says nothing
+for either: continuation counts (how many different words precede w in labelled texts
+of both classes), discounted in turn towards w's share of the words of all documents.
+
+The logarithms of a passage's likelihoods under the two models, divided by its number of
+words, are compared; a text's evidence is that of its most toxic passage of RUN words
+(a shorter text is one passage), since a few words make a long text toxic. A
+logistic calibration on this one number turns it into a score; for it the labelled
+texts are read by the models without their own counts, and classes weigh by the square
+root of their sizes, midway between as they stand and alike.
+
+Labels are learnt from at most TRAIN toxic and TRAIN ordinary rows of TRAIN_CHARS
+characters in all, chosen by hash; shares of words are counted over every document.
+With labels of one class only, or none, every score is 0.5. Null and empty texts have no
+evidence and get the score of that. Labels, ids, sources and languages are no inputs of
+a score; repeated rows score alike. Very long texts are read whole, an empty table gives
+no rows, and extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -23,19 +35,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeline.llm import tables, textkit
 from gaugeline.scratch import materialise
 from gaugeline.session import table
 
-TRAIN = 8000
-BUCKETS = 1 << 19
+TRAIN, TRAIN_CHARS = 8000, 40_000_000
+#: Taken from the counts of a class: what three texts or fewer hold is left to the shared counts.
 DISCOUNT = 3.0
-RUN = 4
-SHARED, WORD, PAIR = 0, 1, 2
-FEATURES = ("whole", "run", "word", "two", "three")
+#: Taken from the shared continuation counts.
+SHARED_DISCOUNT = 0.75
+RUN = 2
+WORD, PAIR = 0, 1
+#: Stands before the first word of a text.
+START = np.uint64(0x5DEECE66D)
 
 
 def _tokens(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -47,166 +62,162 @@ def _tokens(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def _pairs(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word with the one before it, and whether there is one in the same row."""
-    known = np.ones(len(words), bool)
-    known[first[:-1][first[:-1] < len(words)]] = False
-    pair = np.zeros(len(words), np.uint64)
-    if len(words) > 1:
-        pair[1:] = textkit.combine([words[:-1], words[1:]])
-    return pair, known
+    """The word before each word, and a hash of both."""
+    before = np.concatenate([[START], words[:-1]]) if len(words) else words
+    before[first[:-1][first[:-1] < len(words)]] = START
+    return before, textkit.combine([before, words]) if len(words) else words
 
 
 def _once(row: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """The keys, each once for a row."""
+    """Where each key first stands in its row."""
     order = np.lexsort((key, row))
     row, key = row[order], key[order]
     new = np.ones(len(key), bool)
     new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
-    return key[new]
+    return order[new]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, label or null) to counters: shared by bucket, and by expression and class."""
-    shared = np.zeros(BUCKETS, np.int64)
-    seen: dict[tuple[int, int], list[np.ndarray]] = {(k, c): [] for k in (WORD, PAIR) for c in (0, 1)}
+    """(text, label) to (kind, key, before, word, toxic, ordinary): texts of each class that hold an expression."""
     for batch in batches:
-        labels = pc.fill_null(batch.column(1), -1).to_numpy(zero_copy_only=False)
-        at = 0
+        labels, at = batch.column(1).to_numpy(zero_copy_only=False), 0
         for n, words, first in _tokens(batch.column(0)):
             row = np.repeat(np.arange(n), np.diff(first))
-            shared += np.bincount(_once(row, words % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-            label = labels[at : at + n][row]
-            pair, known = _pairs(words, first)
-            for c in (0, 1):
-                for kind, key, m in ((WORD, words, label == c), (PAIR, pair, (label == c) & known)):
-                    if m.any():
-                        seen[kind, c].append(_once(row[m], key[m]))
+            before, pair = _pairs(words, first)
+            for kind, key in ((WORD, words), (PAIR, pair)):
+                some = _once(row, key)
+                toxic = labels[at : at + n][row[some]] == 1
+                columns = [np.full(len(some), kind, np.int8), *[textkit.signed(x[some]) for x in (key, before, words)], toxic.astype(np.int64), (~toxic).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "key", "before", "word", "toxic", "ordinary"])
             at += n
-    used = np.flatnonzero(shared)
-    yield _counters(SHARED, used, shared[used], used * 0)
-    for (kind, c), keys in seen.items():
-        if keys:
-            key, n = np.unique(np.concatenate(keys), return_counts=True)
-            for at in range(0, len(key), 1 << 16):
-                some, k = n[at : at + (1 << 16)], textkit.signed(key[at : at + (1 << 16)])
-                yield _counters(kind, k, some * (c == 1), some * (c == 0))
 
 
-def _counters(kind: int, key: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> pa.RecordBatch:
-    columns = [np.full(len(key), kind, np.int8), key.astype(np.int64), toxic.astype(np.int64), ordinary.astype(np.int64)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "key", "toxic", "ordinary"])
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted value stands among sorted keys, and whether it does."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
 
 
 class Model:
-    """Sorted expressions with their class probabilities, and the shared counts."""
-
-    def __init__(self, shared: np.ndarray, found: dict[int, tuple[np.ndarray, np.ndarray]], totals: np.ndarray):
-        """found: by kind, sorted keys and (2, n) counts, ordinary first; totals: of words, by class."""
-        self.shared = (shared / max(1, shared.sum())).astype(np.float64)
-        self.words, self.counts = found[WORD]
-        self.totals = np.maximum(totals.astype(float), 1.0)[:, None]
-        self.backoff = 1.0 - np.maximum(self.counts - DISCOUNT, 0.0).sum(1, keepdims=True) / self.totals
-        self.pairs, self.pair_counts = found[PAIR]
-
-    @staticmethod
-    def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return at, keys[at] == wanted
-
-    def ratios(self, words: np.ndarray, first: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
-        """log p(word | word before, toxic) - log p(word | word before, ordinary).
+    """Sorted expressions with counts by class (ordinary first), and the shared probabilities of the words."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, shared: np.ndarray, histories: np.ndarray, held: np.ndarray, kept: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, totals: np.ndarray, discount: float = DISCOUNT):
+        """held: pairs' counts by the word before (n(v .)); kept: the same after the discount. Rows are classes, columns follow the keys before."""
+        self.words, self.counts, self.shared = words, counts, shared
+        self.histories, self.held, self.kept = histories, held, kept
+        self.pairs, self.pair_counts = pairs, pair_counts
+        self.discount, self.totals = discount, np.maximum(totals.astype(float), 1.0)[:, None]
+        self.rest = 1.0 - np.maximum(counts - discount, 0.0).sum(1, keepdims=True) / self.totals
+
+    def log_likelihoods(self, words: np.ndarray, first: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
+        """log p(word | word before) under both models, a row each; a word of no labelled text counts as one of shared probability 1.
 
         label: of each word's text, if the text is among those counted; it then counts as left out.
         """
         if not len(words):
-            return np.zeros(0)
-        at, known = self._find(self.words, words)
+            return np.zeros((2, 0))
         own = np.zeros((2, len(words))) if label is None else np.stack([label == 0, label == 1]).astype(float)
-        p = self.backoff * self.shared[(words % np.uint64(BUCKETS)).astype(np.int64)]
-        if len(self.words):
-            p = p + np.where(known, np.maximum(self.counts[:, at] - own - DISCOUNT, 0.0) / self.totals, 0.0)
-        pair, inside = _pairs(words, first)
-        pat, pknown = self._find(self.pairs, pair)
-        pknown &= inside & np.concatenate([[False], known[:-1]])
-        which = np.flatnonzero(pknown)
-        if len(which):
-            before = np.maximum(self.counts[:, at[which - 1]] - own[:, which], 1.0)
-            share = np.minimum(np.maximum(self.pair_counts[:, pat[which]] - own[:, which] - DISCOUNT, 0.0) / before, 1.0)
-            p[:, which] = share + (1.0 - share) * p[:, which]
-        p = np.maximum(p, 1e-12)
-        return np.log(p[1]) - np.log(p[0])
-
-    def features(self, texts: pa.Array, labels: np.ndarray | None = None) -> np.ndarray:
-        """A row for each text, in the order of FEATURES."""
-        out, done = [], 0
+        at, known = _find(self.words, words)
+        counts, shared = (self.counts[:, at] * known, np.where(known, self.shared[at], 1.0)) if len(self.words) else (np.zeros((2, len(words))), np.ones(len(words)))
+        p = np.maximum(counts - own - self.discount, 0.0) / self.totals + self.rest * shared
+        before, pair = _pairs(words, first)
+        at, known = _find(self.histories, before)
+        if len(self.histories):
+            held = self.held[:, at]
+            seen = np.maximum(held - own, 0.0) * known
+            at, paired = _find(self.pairs, pair)
+            n = self.pair_counts[:, at] * paired if len(self.pairs) else np.zeros((2, len(words)))
+            rest = 1.0 - self.kept[:, _find(self.histories, before)[0]] / np.maximum(held, 1.0)
+            p = np.where(seen > 0, np.maximum(n - own * paired - self.discount, 0.0) / np.maximum(seen, 1.0) + rest * p, p)
+        return np.log(np.maximum(p, 1e-300))
+
+    def evidence(self, texts: pa.Array, labels: np.ndarray | None = None) -> np.ndarray:
+        """Of each text, the difference of the length-normalised log-likelihoods, toxic less ordinary, of its most toxic passage."""
+        out, done = [np.zeros(0)], 0
         for n, words, first in _tokens(texts):
             count = np.diff(first)
             row = np.repeat(np.arange(n), count)
-            x = self.ratios(words, first, None if labels is None else labels[done : done + n][row])
+            ordinary, toxic = self.log_likelihoods(words, first, None if labels is None else labels[done : done + n][row])
             done += n
-            total = np.concatenate([[0.0], np.cumsum(x)])
-            found = np.zeros((n, len(FEATURES)))
-            found[:, 0] = (total[first[1:]] - total[first[:-1]]) / np.maximum(count, 1)
-            some = np.flatnonzero(count)
+            found, some = np.zeros(n), np.flatnonzero(count)
             if len(some):
-                run = total[np.minimum(np.arange(len(x)) + RUN, np.repeat(first[1:], count))] - total[:-1]
-                found[some, 1] = np.maximum.reduceat(run, first[:-1][some]) / np.minimum(RUN, count[some])
-                ranked = x[np.lexsort((-x, row))]
-                best = np.zeros(n)
-                for k in range(3):
-                    has = np.flatnonzero(count > k)
-                    best[has] += ranked[first[:-1][has] + k]
-                    found[:, 2 + k] = best / (k + 1)
+                total = np.concatenate([[0.0], np.cumsum(toxic - ordinary)])
+                place = np.arange(len(words))
+                stop = np.minimum(place + RUN, first[1:][row])
+                whole = stop - place >= np.minimum(RUN, count[row])  # a passage ends with its text at the latest
+                passage = np.where(whole, (total[stop] - total[:-1]) / np.minimum(RUN, count[row]), -np.inf)
+                found[some] = np.maximum.reduceat(passage, first[:-1][some])
             out.append(found)
-        return np.concatenate(out) if out else np.zeros((0, len(FEATURES)))
+        return np.concatenate(out)
 
 
-def sample(labels: DataFrame, most: int = TRAIN) -> DataFrame:
-    """(doc_id, label): at most `most` rows of each label, chosen by hash among those not held out."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN, chars: int = TRAIN_CHARS) -> DataFrame:
+    """(text, label): at most `most` labelled rows of each class, chosen by hash among those not held out, as far as `chars` characters go."""
     rows = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
     rows = rows.where(tables.remainder(F.col("doc_id"), 5) != 0)
     toxic, ordinary = (rows.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for c in (1, 0))
-    return materialise(toxic.unionByName(ordinary), "toxicity-sample")
-
-
-def _sampled(docs: DataFrame, picked: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
-    """(text, label) of documents, with the bounded sample broadcast."""
-    known = picked.select(F.col("doc_id").alias("of"), F.col("label").cast("int").alias("label"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.join(F.broadcast(known), F.col("id") == F.col("of"), how).select("text", "label")
-
-
-def fit(docs: DataFrame, picked: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Counts over all documents; only fixed-size or sample-bounded tables reach the driver."""
-    counters = _sampled(docs, picked, id_col, text_col, "left").mapInArrow(_count, "kind byte, key long, toxic long, ordinary long")
-    counted = materialise(counters.groupBy("kind", "key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "toxicity-counts")
-    totals = counted.where(F.col("kind") == WORD).agg(F.coalesce(F.sum("ordinary"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    kept = counted.where((F.col("kind") == SHARED) | (F.greatest("toxic", "ordinary") > DISCOUNT)).toArrow()
-    kind, key = kept["kind"].to_numpy(), kept["key"].to_numpy()
-    counts = np.stack([kept["ordinary"].to_numpy(), kept["toxic"].to_numpy()]).astype(np.float64)
-    shared = np.zeros(BUCKETS)
-    shared[key[kind == SHARED]] = counts[1, kind == SHARED]
-    found = {}
-    for k in (WORD, PAIR):
-        keys = np.ascontiguousarray(key[kind == k]).view(np.uint64)
-        order = np.argsort(keys)
-        found[k] = keys[order], counts[:, kind == k][:, order]
-    return Model(shared, found, np.array(list(totals)))
-
-
-def evidence(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, features) of each row."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    known = materialise(toxic.unionByName(ordinary), "toxicity-sample").select(F.col("doc_id").alias("of"), F.col("label").cast("int").alias("label"))
+    mine = docs.select(F.col(id_col).alias("id"), tables.text_of(text_col).alias("text")).join(F.broadcast(known), F.col("id") == F.col("of"))
+    mine = mine.groupBy("id", "label").agg(F.min("text").alias("text"))  # of rows that repeat an id one counts
+    up_to = F.sum(F.length("text")).over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))
+    return materialise(mine.withColumn("up_to", up_to).where(F.col("up_to") <= chars).select("text", "label"), "toxicity-texts")
+
+
+def _classes(rows: pa.Table, *names: str) -> list[np.ndarray]:
+    """Sorted keys, and pairs of columns as rows in that order."""
+    key = np.ascontiguousarray(rows["key"].to_numpy()).view(np.uint64)
+    order = np.argsort(key)
+    return [key[order], *[np.stack([rows[f"{c}{n}"].to_numpy().astype(np.float64)[order] for c in ("ordinary", "toxic")]) for n in names]]
+
+
+def shares(docs: DataFrame, words: np.ndarray, text_col: str = "text") -> tuple[np.ndarray, int]:
+    """How often each of some words stands in all documents, and how many words these have."""
+    shipped = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shipped.value
+        counts = np.zeros(len(known) + 1, np.int64)
         for batch in batches:
-            x = shipped.value.features(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x[:, i]) for i in range(len(FEATURES))]], ["id", *FEATURES])
-
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, " + ", ".join(f"{x} double" for x in FEATURES))
+            for _, some, _ in _tokens(batch.column(0)):
+                at, found = _find(known, some)
+                counts += np.bincount(np.where(found, at, len(known)), minlength=len(counts))
+        used = np.flatnonzero(counts)
+        for at in range(0, len(used), 1 << 16):
+            part = used[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part])], ["at", "n"])
+
+    got = docs.select(F.col(text_col)).mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    shipped.destroy()
+    counts = np.zeros(len(words) + 1, np.int64)
+    counts[got["at"].to_numpy()] = got["n"].to_numpy()
+    return counts[:-1], int(counts.sum())
+
+
+def shared_probabilities(continuations: np.ndarray, counts: np.ndarray, total: int) -> np.ndarray:
+    """Discounted continuation counts, backed off to shares of all documents' words; with the words beyond these they sum to 1."""
+    kinds = max(1.0, float(continuations.sum()))
+    left = np.minimum(continuations, SHARED_DISCOUNT)
+    return (continuations - left) / kinds + left.sum() / kinds * counts / max(1, total)
+
+
+def fit(docs: DataFrame, texts: DataFrame, text_col: str = "text") -> Model:
+    """Counts of labelled texts (text, label) and shares over all documents; what reaches the driver is bounded by the sample's words."""
+    counters = texts.select("text", "label").mapInArrow(_count, "kind byte, key long, before long, word long, toxic long, ordinary long")
+    sums = [F.sum(c).alias(c) for c in ("toxic", "ordinary")]
+    counted = materialise(counters.groupBy("kind", "key").agg(F.first("before").alias("before"), F.first("word").alias("word"), *sums), "toxicity-counts")
+    pairs = counted.where(F.col("kind") == PAIR)
+    of_words = counted.where(F.col("kind") == WORD).join(pairs.groupBy("word").agg(F.count("*").alias("continuations")), "word")
+    of_words = of_words.select("key", "toxic", "ordinary", "continuations").toArrow()
+    left = [F.sum(F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))).alias(f"{c}_kept") for c in ("toxic", "ordinary")]
+    of_histories = pairs.groupBy(F.col("before").alias("key")).agg(*sums, *left).toArrow()
+    of_pairs = pairs.where(F.greatest("toxic", "ordinary") > DISCOUNT).select("key", "toxic", "ordinary").toArrow()
+    words, counts = _classes(of_words, "")
+    continuations = of_words["continuations"].to_numpy().astype(float)[np.argsort(np.ascontiguousarray(of_words["key"].to_numpy()).view(np.uint64))]
+    stand, total = shares(docs, words, text_col)
+    shared = shared_probabilities(continuations, stand, total)
+    return Model(words, counts, shared, *_classes(of_histories, "", "_kept"), *_classes(of_pairs, ""), counts.sum(1))
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float = 0.3, rounds: int = 30) -> np.ndarray:
@@ -221,34 +232,39 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float = 0
     return w
 
 
-def left_out(docs: DataFrame, picked: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the sampled texts, each scored without its own counts; bounded by the sample."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+def left_out(texts: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Evidence and labels of the sampled texts, each read without its own counts; bounded by the sample."""
+    shipped = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label = batch.column(1).to_numpy(zero_copy_only=False)
-            x = shipped.value.features(batch.column(0), label)
-            yield pa.RecordBatch.from_arrays([batch.column(1), *[pa.array(x[:, i]) for i in range(len(FEATURES))]], ["label", *FEATURES])
+            label = batch.column(1)
+            found = shipped.value.evidence(batch.column(0), label.to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([label, pa.array(found)], ["label", "evidence"])
 
-    got = _sampled(docs, picked, id_col, text_col, "inner").mapInArrow(run, "label int, " + ", ".join(f"{x} double" for x in FEATURES)).toArrow()
-    return np.stack([got[x].to_numpy() for x in FEATURES], 1), got["label"].to_numpy().astype(float)
+    got = texts.select("text", "label").mapInArrow(run, "label int, evidence double").toArrow()
+    shipped.destroy()
+    return got["evidence"].to_numpy(), got["label"].to_numpy().astype(float)
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of each row; labels: (doc_id, label)."""
-    picked = sample(labels)
-    model = fit(docs, picked, id_col, text_col)
-    x, y = left_out(docs, picked, model, id_col, text_col)
-    eligible = labels.where(F.col("label").isin(0, 1) & (tables.remainder(F.col("doc_id"), 5) != 0))
-    shares = {r["label"]: r["n"] for r in eligible.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    weight = np.array([shares[int(v)] / (y == v).sum() for v in y])
-    order = np.lexsort((*x.T, y))  # sums in one order, whatever order the rows came in
-    w = calibrate(x[order], y[order], weight[order] * (len(y) / weight.sum()) if len(y) else weight)
-    logit = F.lit(float(w[0]))
-    for name, v in zip(FEATURES, w[1:]):
-        logit = logit + F.lit(float(v)) * F.col(name)
-    return evidence(docs, model, id_col, text_col).select("id", (1 / (1 + F.exp(-logit))).alias("score"))
+    """(id, evidence, score) of each row; labels: (doc_id, label)."""
+    texts = sample(docs, labels, id_col, text_col)
+    model = fit(docs, texts, text_col)
+    x, y = left_out(texts, model)
+    order = np.lexsort((x, y))  # sums in one order, whatever order the rows came in
+    x, y = x[order], y[order]
+    weight = np.array([(y == v).sum() ** -0.5 for v in y])
+    w = calibrate(x[:, None], y, weight * (len(y) / weight.sum()) if len(y) else weight)
+    kind = docs.schema[id_col].dataType.simpleString()
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shipped.value.evidence(batch.column(1)))], ["id", "evidence"])
+
+    found = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, evidence double")
+    return found.select("id", "evidence", (1 / (1 + F.exp(-(F.lit(float(w[0])) + F.lit(float(w[1])) * F.col("evidence"))))).alias("score"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
