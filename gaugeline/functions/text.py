@@ -60,8 +60,9 @@ def tokens(text: Column) -> Column:
 
 
 def redact(text: Column) -> Column:
+    """Detectors in their order; words, digits and letter case are those of Unicode."""
     for pattern in REDACTIONS.values():
-        text = F.regexp_replace(text, f"(?i){pattern}", REDACTED.replace("[", r"\[").replace("]", r"\]"))
+        text = F.regexp_replace(text, f"(?iU){pattern}", REDACTED.replace("[", r"\[").replace("]", r"\]"))
     return text
 
 
@@ -72,6 +73,26 @@ def prepare(text: Column) -> Column:
     return F.struct(found.alias("text"), (found != clean).alias("sensitive"))
 
 
+def prepare_evidence(text: Column) -> Column:
+    """struct(display, clean, offsets, sensitive) of a text: its lines kept and redacted, the same collapsed, and the map between.
+
+    Line ends become line feeds before anything is redacted, and redaction comes before
+    collapsing, so that offsets[i] is where character i of clean stands in display; the last
+    one is display's length. Null stays null; a blank text has empty forms and one offset.
+    """
+    lines = F.replace(F.replace(nfkc(text), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+
+    def of(known: Column) -> Column:
+        display = F.regexp_replace(known["redacted"], r"(?U)^\s+|\s+$", "")
+        return let(F.struct(display.alias("display"), (known["redacted"] != known["lines"]).alias("sensitive")), mapped)
+
+    def mapped(known: Column) -> Column:
+        clean = F.regexp_replace(known["display"], r"(?U)\s+", " ")
+        return F.struct(known["display"].alias("display"), clean.alias("clean"), offset_map(known["display"]).alias("offsets"), known["sensitive"].alias("sensitive"))
+
+    return F.when(text.isNotNull(), let(let(lines, lambda x: F.struct(x.alias("lines"), redact(x).alias("redacted"))), of))
+
+
 #: Stands around matches while they are found; in a text it counts as another control character.
 _MARK = "\x01"
 
@@ -80,9 +101,14 @@ def find_spans(text: Column, pattern: str) -> Column:
     """array<struct<start, stop, text>> of all matches (no empty ones), from the lengths of what stands between them.
 
     Matches are marked by one replacement, whose pattern Spark compiles once, and cut at
-    the mark; splitting by the pattern itself would compile it again for every row.
+    the mark; splitting by the pattern itself would compile it again for every row. Texts
+    without a match are told by one search and go no further.
     """
-    marked = F.regexp_replace(F.translate(text, _MARK, "\x02"), pattern, f"{_MARK}$0{_MARK}")
+    return F.when(text.rlike(pattern), _marked_spans(text, F.regexp_replace(F.translate(text, _MARK, "\x02"), pattern, f"{_MARK}$0{_MARK}"))).when(text.isNotNull(), F.expr(f"cast(array() as array<{SPAN}>)"))
+
+
+def _marked_spans(text: Column, marked: Column) -> Column:
+    """Spans of a text from the same text with marks around them."""
     parts = F.transform(F.split(marked, _MARK, -1), lambda p, i: F.struct(F.length(p).alias("n"), (i % 2 == 1).alias("hit")))
     begun = F.expr(f"struct(0 as at, cast(array() as array<{SPAN}>) as spans)")
 
@@ -95,10 +121,15 @@ def find_spans(text: Column, pattern: str) -> Column:
 
 
 def offset_map(text: Column) -> Column:
-    """For each character of the collapsed form its offset in the (trimmed) text, and the text's length at the end."""
-    runs = find_spans(text, r"\S+|\s+")
-    each = F.transform(runs, lambda r: F.when(r["text"].rlike(r"^\s"), F.array(r["start"])).otherwise(F.sequence(r["start"], r["stop"] - 1)))
-    return F.concat(F.flatten(each), F.array(F.length(text)))
+    """For each character of the collapsed form its offset in the (trimmed) text, and the text's length at the end; in one pass over its characters."""
+
+    def kept(chars: Column) -> Column:
+        n = F.size(chars)
+        starts = F.filter(F.sequence(F.lit(0), n), lambda i: (i == 0) | (i == n) | (F.get(chars, i) != " ") | (F.get(chars, i - 1) != " "))
+        return F.when(n > 0, starts).otherwise(F.array(F.lit(0)))
+
+    plain = F.regexp_replace(text, r"(?U)\s", " ")
+    return let(F.when(plain == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(plain, "")), kept)
 
 
 def exact_key(text: Column) -> Column:
@@ -117,9 +148,9 @@ def template_key(text: Column) -> Column:
 def vendor_template_key(text: Column, vendor: Column) -> Column:
     """SHA-256 of the words, with the vendor's name and numbers as slots."""
     low = F.lower(text)
-    named = F.when(F.coalesce(vendor, F.lit("")) != "", F.regexp_replace(low, F.concat(F.lit(r"(?<!\w)\Q"), F.lower(vendor), F.lit(r"\E(?!\w)")), F.lit("<vendor>"))).otherwise(low)
+    named = F.when(F.coalesce(vendor, F.lit("")) != "", F.regexp_replace(low, F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.lower(vendor), F.lit(r"\E(?!\w)")), F.lit("<vendor>"))).otherwise(low)
     slots = F.regexp_replace(named, r"\d+(?:\.\d+)?", "<number>")
-    return F.sha2(F.array_join(F.regexp_extract_all(slots, F.lit(r"\w+|<number>|<vendor>"), F.lit(0)), " ").cast("binary"), 256)
+    return F.sha2(F.array_join(F.regexp_extract_all(slots, F.lit(r"(?U)\w+|<number>|<vendor>"), F.lit(0)), " ").cast("binary"), 256)
 
 
 def unit_hash(text: Column) -> Column:
@@ -152,6 +183,6 @@ def parse_date(value: Column, pattern: str = "yyyy-M-d") -> Column:
 
 def risks(text: Column) -> Column:
     """Sorted names of the detectors that find something, and whether redaction would change the text."""
-    named = [F.when(text.rlike(f"(?i){p}"), F.lit(n)) for n, p in REDACTIONS.items()] + [F.when(text.rlike(p), F.lit(n)) for n, p in RISKS.items()]
+    named = [F.when(text.rlike(f"(?iU){p}"), F.lit(n)) for n, p in REDACTIONS.items()] + [F.when(text.rlike(f"(?U){p}"), F.lit(n)) for n, p in RISKS.items()]
     changed = F.when(prepare(text)["sensitive"], F.lit("redaction_change"))
     return F.array_sort(F.array_compact(F.array(*named, changed)))

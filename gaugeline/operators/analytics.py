@@ -106,6 +106,30 @@ def monthly_trends(records: DataFrame, rows: DataFrame) -> DataFrame:
     )
 
 
+def _present(found: DataFrame, chosen) -> Column:
+    """How many findings of a record are present and chosen."""
+    return F.size(F.filter("findings", lambda f: (f["defect"]["assertion"] == "present") & (chosen(f) if chosen else F.lit(True))))
+
+
+def _by_report(found: DataFrame, group: Column, name: str, chosen) -> DataFrame:
+    """(name, inspected_reports, affected_reports, active_defects): records are summed by report, then reports by group, so each record is read once."""
+    rows = found.select(group.alias(name), report_key().alias("report_id"), _present(found, chosen).alias("active"))
+    reports = rows.groupBy(name, "report_id").agg(F.sum("active").alias("active"))
+    return reports.groupBy(name).agg(F.count("*").alias("inspected_reports"), F.count_if(F.col("active") > 0).alias("affected_reports"), F.sum("active").alias("active_defects"))
+
+
+def vendor_rates_of(found: DataFrame, chosen=None) -> DataFrame:
+    """vendor_rates() of extracted records in one pass; chosen filters findings (a struct to a condition), never the denominator."""
+    rates = _by_report(found, F.coalesce("vendor", F.lit("Unknown")), "vendor", chosen)
+    return rates.select("vendor", "inspected_reports", "affected_reports", rate(F.col("affected_reports"), F.col("inspected_reports")).alias("affected_report_rate"))
+
+
+def monthly_trends_of(found: DataFrame, chosen=None) -> DataFrame:
+    """monthly_trends() of extracted records in one pass."""
+    dated = found.where(blank_to_null(F.col("report_date")).isNotNull())
+    return _by_report(dated, F.substring("report_date", 1, 7), "month", chosen).withColumn("affected_report_rate", rate(F.col("affected_reports"), F.col("inspected_reports")))
+
+
 def undated_reports(records: DataFrame) -> DataFrame:
     return records.where(blank_to_null(F.col("report_date")).isNull()).agg(F.count_distinct(report_key()).alias("undated_reports"))
 
@@ -117,11 +141,17 @@ def heatmap(rows: DataFrame, field: str) -> DataFrame:
 
 
 def cooccurrence(found: DataFrame, label: str) -> DataFrame:
-    """Reports in which a value of a label and a defect both occur, under any assertion."""
-    key = report_key().alias("report_id")
-    values = found.select(key, F.explode(F.filter("entities", lambda e: e["label"] == label)).alias("e")).select("report_id", F.lower("e.text").alias("group")).distinct()
-    defects = finding_rows(found).select("report_id", "defect").distinct()
-    return values.join(defects, "report_id").groupBy("group", "defect").agg(F.count("*").alias("count"))
+    """Reports in which a value of a label and a defect both occur, under any assertion.
+
+    A report's values and defects are gathered as sets, which the lexicon bounds, and paired there.
+    """
+    values = F.transform(F.filter("entities", lambda e: e["label"] == label), lambda e: F.lower(e["text"]))
+    defects = F.transform("findings", lambda f: F.coalesce(f["category"], F.concat(F.lit("Uncategorized: "), F.lower(f["defect"]["text"]))))
+    rows = found.select(report_key().alias("report_id"), values.alias("values"), defects.alias("defects")).where((F.size("values") > 0) | (F.size("defects") > 0))
+    said = rows.select("report_id", F.explode(F.concat(F.transform("values", lambda v: F.struct(F.lit(0).alias("kind"), v.alias("said"))), F.transform("defects", lambda v: F.struct(F.lit(1).alias("kind"), v.alias("said"))))).alias("x"))
+    sides = said.groupBy("report_id").agg(*[F.collect_set(F.when(F.col("x.kind") == k, F.col("x.said"))).alias(n) for k, n in ((0, "groups"), (1, "defects"))])
+    pairs = sides.select(F.explode("groups").alias("group"), "defects").select("group", F.explode("defects").alias("defect"))
+    return pairs.groupBy("group", "defect").agg(F.count("*").alias("count"))
 
 
 def severity_distribution(rows: DataFrame, order: Sequence[str] = ("critical", "severe", "major", "minor", "Unknown")) -> DataFrame:
@@ -164,11 +194,12 @@ def priority_order() -> Column:
 def recurrence(found: DataFrame) -> DataFrame:
     """(finding_id, previous): earlier findings of the same vendor, asset (else batch) and category in other reports.
 
-    The self-join is on the whole key; only findings that are present or possible take part.
+    Only findings that are present or possible take part, and only of records with a vendor and
+    an asset or batch. The self-join is on the whole key.
     """
     date = blank_to_null(F.col("report_date"))
     asset, batch = blank_to_null(F.col("asset_id")), blank_to_null(F.col("batch"))
-    linkable = found.where((vendor_key(F.col("vendor")) != "") & asset.isNotNull() | batch.isNotNull()).where(date.isNotNull())
+    linkable = found.where((vendor_key(F.col("vendor")) != "") & (asset.isNotNull() | batch.isNotNull())).where(date.isNotNull())
     rows = linkable.select(
         vendor_key(F.col("vendor")).alias("vendor"), F.when(asset.isNotNull(), "asset").otherwise("batch").alias("kind"), F.coalesce(asset, batch).alias("thing"), date.alias("date"), report_key().alias("report_id"), F.explode("findings").alias("f"),
     ).where("f.category is not null and f.defect.assertion in ('present', 'possible')")
@@ -187,3 +218,11 @@ def export_scope(found: DataFrame, rows: DataFrame) -> DataFrame:
     keys = F.transform(evidence, lambda e: F.struct(e["label"], e["start"], e["stop"]))
     keep = lambda e: (F.size("picked") == F.size("findings")) | F.array_contains(keys, F.struct(e["label"], e["start"], e["stop"]))
     return out.withColumn("entities", F.filter("entities", keep)).withColumn("findings", F.col("picked")).drop("picked", "chosen")
+
+
+def integrity(found: DataFrame) -> DataFrame:
+    """(violations, loose): spans whose text is not what stands at their offsets, and evidence of findings that is no entity."""
+    wrong = F.filter("entities", lambda e: F.substring(F.col("narrative"), e["start"] + 1, e["stop"] - e["start"]) != e["text"])
+    loose = F.filter(F.flatten(F.transform("findings", lambda f: F.concat(F.array(f["defect"]), f["links"]))), lambda e: ~F.array_contains("entities", e))
+    zero = F.lit(0).cast("long")
+    return found.agg(F.coalesce(F.sum(F.size(wrong)), zero).alias("violations"), F.coalesce(F.sum(F.size(loose)), zero).alias("loose"))

@@ -74,3 +74,89 @@ def confidence_bands(rows: DataFrame) -> DataFrame:
     c = F.col("confidence")
     band = F.when(c < 0.5, "0-49%").when(c < 0.75, "50-74%").when(c < 0.95, "75-94%").otherwise("95-100%")
     return rows.groupBy(band.alias("band")).agg(F.count("*").alias("findings"), F.count_if("confirmed").alias("confirmed")).withColumn("confirmation_rate", F.bround(F.col("confirmed") / F.col("findings") * 100, 1))
+
+
+def paired(gold: DataFrame, predicted: DataFrame, key: str = "record_id") -> DataFrame:
+    """gold joined to predicted by key; a record that only one side has, or one has twice, fails the query when it is run."""
+    count = lambda df, n: df.groupBy(key).agg(F.count("*").alias(n))
+    both = count(gold, "g").join(count(predicted, "p"), key, "full")
+    bad = (F.coalesce("g", F.lit(0)) != 1) | (F.coalesce("p", F.lit(0)) != 1)
+    checked = both.select(F.when(bad, F.raise_error(F.concat(F.lit("not one prediction for "), key)).cast("string")).otherwise(F.col(key)).alias(key))
+    return checked.join(gold, key).join(predicted, key)
+
+
+def per_label(predicted: DataFrame, gold: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """metrics of each label of a fixed list, in its order (place); a label that neither side has scores 0."""
+    frame = predicted.sparkSession.createDataFrame([(x, i) for i, x in enumerate(labels)], "label string, place int")
+    found = metrics(predicted, gold, SPAN, ["label"])
+    zero = {**dict.fromkeys(("predicted", "reference", "correct"), 0), **dict.fromkeys(("precision", "recall", "f1"), 0.0)}
+    return F.broadcast(frame).join(found, "label", "left").fillna(zero)
+
+
+def errors(predicted: DataFrame, gold: DataFrame) -> DataFrame:
+    """(record_id, kind, start, stop, label): entities that were missed and such as the reference lacks."""
+    sides = predicted.select(*SPAN, F.lit(1).alias("p"), F.lit(0).alias("g")).unionByName(gold.select(*SPAN, F.lit(0).alias("p"), F.lit(1).alias("g")))
+    each = sides.groupBy(*SPAN).agg(F.max("p").alias("p"), F.max("g").alias("g")).where("p <> g")
+    return each.select("record_id", F.when(F.col("p") == 1, "extra_entity").otherwise("missed_entity").alias("kind"), "start", "stop", "label")
+
+
+def sliced(predicted: DataFrame, gold: DataFrame, records: DataFrame, slices: Sequence[str]) -> DataFrame:
+    """metrics by (field, value) for several slice columns of records in one pass: each record counts once in each field."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.coalesce(F.col(c).cast("string"), F.lit("Unknown")).alias("value")) for c in slices])
+    of = records.select("record_id", F.explode(pairs).alias("s")).select("record_id", "s.field", "s.value")
+    keys = [*SPAN, "field", "value"]
+    return metrics(predicted.select(*SPAN).distinct().join(of, "record_id"), gold.select(*SPAN).distinct().join(of, "record_id"), keys, ["field", "value"])
+
+
+def best_threshold(calibrated: DataFrame) -> DataFrame:
+    """The row of the largest f1; of equal ones the larger threshold."""
+    row = F.struct(*calibrated.columns)
+    return calibrated.agg(F.max_by(row, F.struct("f1", "threshold")).alias("r")).select("r.*")
+
+
+def held_out_scores(predicted: DataFrame, gold: DataFrame, domains: DataFrame, labels: DataFrame) -> DataFrame:
+    """metrics by domain over the labels (domain, label) that training for its test had; domains(record_id, domain)."""
+    known = F.broadcast(labels.distinct())
+    side = lambda x: x.select(*SPAN).join(domains, "record_id").join(known, ["domain", "label"], "left_semi")
+    found = metrics(side(predicted), side(gold), [*SPAN, "domain"], ["domain"])
+    names = labels.groupBy("domain").agg(F.array_join(F.array_sort(F.collect_set("label")), ",").alias("compatible_labels"))
+    counts = domains.groupBy("domain").agg(F.count("*").alias("records"))
+    return counts.join(names, "domain").join(found, "domain", "left").fillna(0)
+
+
+def isolation(test: DataFrame, seen: DataFrame | None, provenance: str | None = None, trained_on: str | None = None, manifest: str | None = None) -> str:
+    """What is known of a model that is to be scored on sealed test records; one that saw any of them is refused.
+
+    seen(record_id): what it was trained on or chosen by; None without a model.
+    """
+    if seen is None:
+        return "no_learned_model"
+    if not test.join(seen, "record_id", "left_semi").isEmpty():
+        raise ValueError("the model has seen test records")
+    if provenance == "human_adjudicated_gold" and trained_on != manifest:
+        raise ValueError("a model of gold annotations must be of this manifest")
+    return "verified_manifest" if trained_on else "unverified_model_training_isolation"
+
+
+def sealed(examples: DataFrame, assigned: DataFrame, seen: DataFrame | None = None, **known: str | None) -> tuple[str, DataFrame]:
+    """(isolation status, the test records): examples joined to their assignment; none is an error."""
+    test = examples.join(assigned.where("split = 'test'").select("record_id"), "record_id", "left_semi")
+    if test.isEmpty():
+        raise ValueError("the partition has no test records")
+    return isolation(test, seen, **known), test
+
+
+def measured(reports: DataFrame) -> DataFrame:
+    """(name, label, f1, support) of the classes in reports (name, report JSON) that were measured; averages go."""
+    each = "map<string,struct<`f1-score`:double,support:double>>"
+    status, mode = F.get_json_object("report", "$.status"), F.get_json_object("report", "$.partition_mode")
+    kept = reports.where((status == "measured") & mode.isNotNull()).select("name", F.explode(F.from_json(F.get_json_object("report", "$.test.per_class"), each)).alias("label", "v"))
+    return kept.where(F.col("v.`f1-score`").isNotNull() & ~F.col("label").isin("macro avg", "weighted avg")).select("name", "label", F.col("v.`f1-score`").alias("f1"), F.col("v.support").alias("support"))
+
+
+def summary_table(reports: DataFrame, rows: Sequence[tuple[str, str, str, str]]) -> DataFrame:
+    """(experiment, scope, metric, value) from reports (name, report JSON): rows name the experiment, its scope, the report and a JSON path."""
+    asked = reports.sparkSession.createDataFrame([(e, s, n, p, i) for i, (e, s, n, p) in enumerate(rows)], "experiment string, scope string, name string, path string, place int")
+    paths = sorted({p for _, _, _, p in rows})
+    value = F.coalesce(*[F.when(F.col("path") == p, F.get_json_object("report", p)) for p in paths])
+    return F.broadcast(asked).join(reports, "name", "left").select("place", "experiment", "scope", F.regexp_extract("path", r"([^.]+)$", 1).alias("metric"), value.cast("double").alias("value"))

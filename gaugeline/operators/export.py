@@ -13,18 +13,40 @@ from gaugeline.operators.analytics import workflow
 VERSION = 1
 
 
+def _known(found: DataFrame, name: str, default: str = "") -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit(default)) if name in found.columns else F.lit(default)
+
+
 def csv_rows(found: DataFrame) -> DataFrame:
-    """One row an entity, one with empty evidence for a record without; findings joined by '; '."""
+    """31 columns, one row an entity and one with blank evidence for a record without; findings joined by '; '.
+
+    Columns that the records lack are blank; linked evidence and provenance are JSON.
+    """
     hit = lambda f, e: F.exists(F.concat(F.array(f["defect"]), f["links"]), lambda x: (x["label"] == e["label"]) & (x["start"] == e["start"]) & (x["stop"] == e["stop"]))
-    rows = found.select("record_id", "domain", "report_id", "vendor", "report_date", "batch", "asset_id", workflow().alias("workflow"), "findings", F.explode_outer("entities").alias("e"))
+    flags = F.array_join(F.coalesce("quality_flags", F.expr("cast(array() as array<string>)")), "; ") if "quality_flags" in found.columns else F.lit("")
+    provenance = F.to_json(F.coalesce("provenance", F.expr("cast(map() as map<string,string>)"))) if "provenance" in found.columns else F.lit("{}")
+    metadata = ("source_document", "vendor", "report_number", "report_date", "product", "batch", "asset_id")
+    versions = {"run_id": "", "review_version": "", "extractor_version": "", "score_kind": "uncalibrated"}
+    rows = found.select(
+        "record_id", "domain", "mapping_status", F.coalesce(T.blank_to_null(F.col("report_id")), F.col("record_id")).alias("report_id"), *[_known(found, c).alias(c) for c in metadata], workflow().alias("workflow"),
+        *[_known(found, c, d).alias(c) for c, d in versions.items()], flags.alias("quality_flags"), provenance.alias("metadata_provenance"), "findings", F.explode_outer("entities").alias("e"),
+    )
     rows = rows.withColumn("hits", F.array_sort(F.filter("findings", lambda f: hit(f, F.col("e")))))
 
     def told(of) -> Column:
-        return F.nullif(F.array_join(F.transform("hits", of), "; "), F.lit(""))
+        return F.array_join(F.transform("hits", of), "; ")
+
+    def by_label(f: Column) -> Column:
+        item = lambda e: F.struct(*[e[c].alias(c) for c in ("text", "start", "stop", "assertion", "confidence", "method")])
+        labels = F.array_sort(F.array_distinct(F.transform(f["links"], lambda e: e["label"])))
+        return F.map_from_entries(F.transform(labels, lambda x: F.struct(x.alias("key"), F.transform(F.filter(f["links"], lambda e: e["label"] == x), item).alias("value"))))
 
+    linked = F.to_json(F.map_from_entries(F.transform("hits", lambda f: F.struct(f["finding_id"].alias("key"), by_label(f).alias("value")))))
     return rows.select(
-        "record_id", "domain", *[F.col(f"e.{c}").alias(c) for c in ("label", "text", "assertion", "start", "stop", "confidence", "method")], "report_id", "vendor", "report_date", "batch", "asset_id", "workflow",
+        "record_id", "domain", "mapping_status", *[F.col(f"e.{c}").alias(n) for n, c in (("label", "label"), ("text", "text"), ("assertion", "assertion"), ("start", "start"), ("end", "stop"), ("confidence", "confidence"), ("method", "method"))],
+        "report_id", *metadata, "workflow", *versions,
         told(lambda f: f["finding_id"]).alias("finding_ids"), told(lambda f: F.coalesce(f["category"], F.lit("Uncategorized"))).alias("categories"), told(lambda f: f["tier"]).alias("priorities"),
+        told(lambda f: F.array_join(f["reasons"], "; ")).alias("priority_reasons"), linked.alias("linked_evidence"), "metadata_provenance", "quality_flags", F.lit(str(VERSION)).alias("export_schema_version"),
     )
 
 
@@ -34,10 +56,31 @@ def write_csv(found: DataFrame, path: str) -> None:
     rows.select(*[T.spreadsheet_safe(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in rows.columns]).write.mode("errorifexists").option("header", True).csv(path)
 
 
-def write_json(found: DataFrame, path: str, versioned: bool = True) -> None:
-    """A line a record, nested; versioned lines carry the schema's number."""
-    record = F.struct(*found.columns)
-    (found.select(F.lit(VERSION).alias("export_schema_version"), record.alias("record")) if versioned else found).write.mode("errorifexists").json(path)
+def write_json(found: DataFrame, path: str, form: str = "lines") -> None:
+    """Nested records at a new path. lines: a folder with a line a record; list and envelope: one file, a list of records or
+    {export_schema_version, records}, into which records pass one by one in order of their id."""
+    if form == "lines":
+        found.write.mode("errorifexists").json(path)
+        return
+    if form not in ("list", "envelope"):
+        raise ValueError(f"unknown form {form}")
+    rows = found.orderBy("record_id").select(F.to_json(F.struct(*found.columns), {"ignoreNullFields": "false"}).alias("x"))
+    head, foot = ("[", "]") if form == "list" else (f'{{"export_schema_version": "{VERSION}", "records": [', "]}")
+    _write_file(rows, path, head, foot, ",\n")
+
+
+def _write_file(rows: DataFrame, path: str, head: str, foot: str, between: str = "\n") -> None:
+    """One file of the rows' column x in their order; a partition at a time passes through the driver, so any number fits."""
+    spark = rows.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, False)
+    try:
+        out.write(bytearray(head.encode()))
+        for i, r in enumerate(rows.toLocalIterator()):
+            out.write(bytearray(((between if i else "") + r["x"]).encode()))
+        out.write(bytearray(foot.encode()))
+    finally:
+        out.close()
 
 
 def highlight(text: Column, entities: Column) -> Column:
@@ -61,10 +104,29 @@ def blinded(records: DataFrame, approved: DataFrame, key: str, keep: Sequence[st
     return records.join(approved.select(key).distinct(), key, "left_semi").select(*keep)
 
 
-def html_report(found: DataFrame, rates: DataFrame, most: int = 1000) -> str:
-    """A standalone page: vendor rates and the first `most` records by id, which is what a page can show."""
+def html_sections(found: DataFrame) -> DataFrame:
+    """(record_id, html): a section a record with its metadata, findings, marked text and quality flags, all escaped."""
+    esc = T.escape_html
+    cell = lambda c: F.concat(F.lit("<td>"), esc(c), F.lit("</td>"))
+    links = lambda f: F.array_join(F.transform(f["links"], lambda e: F.concat_ws(": ", e["label"], e["text"])), "; ")
+    cells = lambda f: (f["defect"]["text"], F.coalesce(f["category"], F.lit("Uncategorized")), f["defect"]["assertion"], f["tier"], F.array_join(f["reasons"], "; "), links(f))
+    table = F.array_join(F.transform("findings", lambda f: F.concat(F.lit("<tr>"), *[cell(c) for c in cells(f)], F.lit("</tr>"))), "")
+    names = ("vendor", "report_number", "report_date", "product", "batch", "asset_id")
+    metadata = F.concat_ws("; ", *[F.when(_known(found, n) != "", F.concat_ws(": ", F.lit(n), _known(found, n))) for n in names])
+    flags = F.array_join(F.coalesce("quality_flags", F.expr("cast(array() as array<string>)")), ", ") if "quality_flags" in found.columns else F.lit("")
+    head = F.lit("</p><table><thead><tr><th>Defect</th><th>Category</th><th>Assertion</th><th>Priority</th><th>Reasons</th><th>Linked evidence</th></tr></thead><tbody>")
+    return found.select("record_id", F.concat(
+        F.lit("<section><h2>"), esc(F.col("record_id")), F.lit("</h2><p>"), esc(metadata), head, table, F.lit('</tbody></table><div class="evidence">'), highlight(F.col("narrative"), F.col("entities")),
+        F.lit("</div><p>Quality flags: "), esc(F.when(flags == "", "None").otherwise(flags)), F.lit("</p></section>"),
+    ).alias("html"))
+
+
+def write_html(found: DataFrame, summary: DataFrame, rates: DataFrame, path: str) -> None:
+    """A standalone page at a new path: one row of summary, vendor rates, and a section for every record in order of their id."""
     esc = T.escape_html
-    head = rates.orderBy("vendor").select(F.concat(F.lit("<tr><td>"), esc(F.col("vendor")), F.lit("</td><td>"), F.col("inspected_reports").cast("string"), F.lit("</td><td>"), F.col("affected_reports").cast("string"), F.lit("</td><td>"), F.col("affected_report_rate").cast("string"), F.lit("</td></tr>")).alias("x"))
-    body = found.orderBy("record_id").limit(most).select(F.concat(F.lit("<section><h2>"), esc(F.col("record_id")), F.lit("</h2><p>"), highlight(F.col("narrative"), F.col("entities")), F.lit("</p></section>")).alias("x"))
-    join = lambda rows: "".join(r["x"] for r in rows.collect())
-    return f"<!doctype html><meta charset=utf-8><title>Findings</title><table>{join(head)}</table>{join(body)}"
+    cells = lambda df: F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), esc(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit("</td>")) for c in df.columns], F.lit("</tr>"))
+    names = lambda df: "<tr>" + "".join(f"<th>{c}</th>" for c in df.columns) + "</tr>"
+    head = "<!doctype html><html lang=en><meta charset=utf-8><title>Findings</title><body>"
+    summary_, rates_ = summary.select(cells(summary).alias("x")), rates.orderBy("vendor").select(cells(rates).alias("x"))
+    tables = "".join(f"<table>{names(df)}{''.join(r['x'] for r in rows.toLocalIterator())}</table>" for df, rows in ((summary, summary_), (rates, rates_)))
+    _write_file(html_sections(found).orderBy("record_id").select(F.col("html").alias("x")), path, head + tables, f"<footer>{VERSION}</footer></body></html>")

@@ -77,10 +77,14 @@ def tagged_spans(text: Column, spans: Column, label: str) -> Column:
     )
 
 
+def terms_seen(spans: DataFrame, least: int = 2) -> DataFrame:
+    """(term, label, n) of all terms that reviewed spans have at least `least` times."""
+    return spans.groupBy(F.lower("text").alias("term"), "label").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
 def induce_terms(spans: DataFrame, least: int = 2, most: int = 5000) -> dict[str, list[str]]:
-    """A lexicon from reviewed spans, as a stand-in for a trained tagger: terms seen `least` times, the `most` frequent ones."""
-    counted = spans.groupBy(F.lower("text").alias("term"), "label").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    top = counted.orderBy(F.desc("n"), "term", "label").limit(most).collect()
+    """A lexicon from reviewed spans, as a stand-in for a trained tagger: a pack of the `most` frequent of terms_seen(), for patterns must be of bounded size."""
+    top = terms_seen(spans, least).orderBy(F.desc("n"), "term", "label").limit(most).collect()
     out: dict[str, list[str]] = {}
     for r in top:
         out.setdefault(r["label"], []).append(r["term"])
@@ -97,3 +101,39 @@ def changed(one: DataFrame, other: DataFrame, keys: Sequence[str] = ("record_id"
     """Keys whose signatures differ."""
     a, b = one.select(*keys, signature(F.col("entities")).alias("s")), other.select(*keys, signature(F.col("entities")).alias("t"))
     return a.join(b, list(keys)).where(F.to_json("s") != F.to_json("t")).select(*keys)
+
+
+# What a workflow, a priority and a threshold may be.
+WORKFLOWS = ("pending", "in_review", "reviewed")
+PRIORITIES = ("high", "normal", "low", "disabled")
+
+
+def settings_violations(rows: DataFrame) -> DataFrame:
+    """(record_id, field) of rows(record_id, workflow, priority, threshold) with a value out of range; null is out of range."""
+    good = {"workflow": F.col("workflow").isin(*WORKFLOWS), "priority": F.col("priority").isin(*PRIORITIES), "threshold": F.col("threshold").between(0.0, 1.0)}
+    bad = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in good.items()]))
+    return rows.select("record_id", F.explode(bad).alias("field"))
+
+
+def payload(found: DataFrame, edits: DataFrame, note: Column, packs: Sequence = (), text_col: str = "narrative", links: DataFrame | None = None) -> DataFrame:
+    """A review of each record that has edits: corrected entities in place of the extracted ones, and findings, candidates and statuses that follow from them.
+
+    found: extracted records with clauses; edits(record_id, label, start, stop, assertion); links
+    (finding_id, label, start, stop), where given, are the only links that stay.
+    """
+    from gaugeline.operators.extract import ENTITY, findings, statuses
+
+    spans = human_entities(edits, found, text_col)
+    kind = ENTITY.removeprefix("struct<").removesuffix(">")
+    entity = F.struct(*[F.col(f.split(":")[0]) for f in kind.split(",")]).cast(ENTITY)
+    corrected = spans.groupBy("record_id").agg(F.collect_list(entity).alias("corrected"))  # of one record, whose text bounds them
+    base = found.select("record_id", "domain", text_col, "clauses", F.col("entities").alias("original_entities"))
+    rows = base.join(corrected, "record_id").withColumn("entities", F.array_sort("corrected", lambda a, b: a["start"] - b["start"])).drop("corrected")
+    out = findings(statuses(rows, text_col))
+    if links is not None:
+        kept = links.groupBy("finding_id").agg(F.collect_set(F.struct("label", "start", "stop")).alias("kept"))
+        kept = kept.withColumn("record_id", F.regexp_extract("finding_id", "^(.*):defect:", 1)).groupBy("record_id").agg(F.map_from_entries(F.collect_list(F.struct("finding_id", "kept"))).alias("kept"))
+        none = F.expr("cast(array() as array<struct<label:string,start:int,stop:int>>)")
+        in_kept = lambda f: F.filter(f["links"], lambda e: F.array_contains(F.coalesce(F.try_element_at("kept", f["finding_id"]), none), F.struct(e["label"].alias("label"), e["start"].alias("start"), e["stop"].alias("stop"))))
+        out = out.join(kept, "record_id", "left").withColumn("findings", F.transform("findings", lambda f: f.withField("links", in_kept(f)))).drop("kept")
+    return out.select("record_id", "domain", text_col, "original_entities", F.col("entities").alias("corrected_entities"), F.col("findings").alias("corrected_findings"), F.col("review_candidates").alias("corrected_review_candidates"), "mapping_status", "assertion_status", F.trim(note).alias("note"), F.lit("human").alias("label_origin"))

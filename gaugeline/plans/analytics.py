@@ -140,13 +140,12 @@ def overview_kpis(spark, d):
 
 @register("vendor_rates", _with(fx.FINDINGS_SQL, f"select vendor, inspected_reports, coalesce(affected_reports, 0) as affected_reports, round_even(100.0::double * coalesce(affected_reports, 0) / inspected_reports, 4) as affected_report_rate from (select vendor, count(distinct {KEY}) as inspected_reports from reports group by vendor) left join (select vendor, count(distinct report_id) as affected_reports from findings where assertion = 'present' group by vendor) using (vendor)"))
 def vendor_rates(spark, d):
-    found = _found(spark, d)
-    return A.vendor_rates(fx.reports(spark, d), A.finding_rows(found))
+    return A.vendor_rates_of(_found(spark, d))
 
 
 @register("monthly_trends", _with(fx.FINDINGS_SQL, f"select month, inspected_reports, coalesce(affected_reports, 0) as affected_reports, coalesce(active_defects, 0) as active_defects, round_even(100.0::double * coalesce(affected_reports, 0) / inspected_reports, 4) as affected_report_rate from (select substr(report_date, 1, 7) as month, count(distinct {KEY}) as inspected_reports from reports where report_date is not null group by 1) left join (select substr(date, 1, 7) as month, count(distinct report_id) as affected_reports, count(*) as active_defects from findings where assertion = 'present' and date is not null group by 1) using (month)"))
 def monthly_trends(spark, d):
-    return A.monthly_trends(fx.reports(spark, d), _rows(spark, d))
+    return A.monthly_trends_of(_found(spark, d))
 
 
 @register("undated_reports", _with(fx.REPORTS_SQL, f"select count(distinct {KEY}) as undated_reports from reports where report_date is null"))
@@ -210,6 +209,21 @@ def review_queue_ranked(spark, d):
     return head.withColumn("position", F.row_number().over(Window.orderBy(A.priority_order(), "record_id", "evidence", "reasons")).cast("long"))
 
 
+_CREATED = "timestamp '2001-12-01' + interval (length(record_id)) day + interval (length(vendor)) hour"
+_AGED = f"select *, greatest(0, date_diff('second', {_CREATED}, timestamp '2002-01-01') // 86400)::int as age_days from ({_QUEUE})"
+
+
+@register("review_queue_by_age", _with(fx.FINDINGS_SQL + fx.CANDIDATES_SQL, f"select record_id, evidence, priority, age_days, row_number() over (partition by priority order by age_days desc, record_id, evidence, reasons) as place from ({_AGED})"))
+def review_queue_by_age(spark, d):
+    """The whole queue: by priority, then the oldest first; the place is within a priority."""
+    from pyspark.sql import Window
+
+    created = F.expr("timestamp '2001-12-01' + make_dt_interval(length(record_id), length(vendor))")
+    aged = _queue(spark, d).withColumn("age_days", A.age_days(created, F.lit("2002-01-01").cast("timestamp")).cast("int"))
+    order = Window.partitionBy("priority").orderBy(F.desc("age_days"), "record_id", "evidence", "reasons")
+    return aged.select("record_id", "evidence", "priority", "age_days", F.row_number().over(order).cast("long").alias("place"))
+
+
 @register("queue_records_semi", _with(fx.FINDINGS_SQL + fx.CANDIDATES_SQL, f"select record_id, narrative from reports where record_id in (select record_id from ({_QUEUE}))"))
 def queue_records_semi(spark, d):
     return fx.reports(spark, d).select("record_id", "narrative").join(_queue(spark, d), "record_id", "left_semi")
@@ -260,9 +274,12 @@ def priority_disabled(spark, d):
     return A.finding_rows(X.findings(X.extract(fx.reports(spark, d), packs=[fx.PARTS]), enabled=False)).select("finding_id", "priority", "reasons")
 
 
-@register("recurrence_prior_findings", _with(fx.FINDINGS_SQL + ", rows as (select lower(vendor) as v, asset_id, category, date, report_id, finding_id from findings where category is not null and assertion in ('present', 'possible') and date is not null) select a.finding_id, string_agg(distinct b.finding_id, '; ' order by b.finding_id) as previous from rows a join rows b using (v, asset_id, category) where b.date < a.date and b.report_id <> a.report_id group by a.finding_id", ""))
+@register("recurrence_prior_findings", _with(fx.FINDINGS_SQL + ", rows as materialized (select lower(vendor) as v, case when asset_id::bigint % 7 <> 0 then 'a' || asset_id when asset_id::bigint % 3 = 0 then 'b' || batch end as asset_id, category, date, report_id, finding_id from findings where asset_id::bigint % 5 <> 0 and category is not null and assertion in ('present', 'possible') and date is not null) select a.finding_id, string_agg(distinct b.finding_id, '; ' order by b.finding_id) as previous from rows a join rows b using (v, asset_id, category) where b.date < a.date and b.report_id <> a.report_id group by a.finding_id", ""))
 def recurrence_prior_findings(spark, d):
-    return A.recurrence(_found(spark, d)).select("finding_id", F.array_join("previous", "; ").alias("previous"))
+    """Some records have a blank vendor, a blank asset, or no batch either: these link to nothing."""
+    part = F.expr("cast(asset_id as bigint)")
+    found = _found(spark, d).withColumns({"vendor": F.when(part % 5 == 0, F.lit(" ")).otherwise(F.col("vendor")), "batch": F.when(part % 3 == 0, F.col("batch")), "asset_id": F.when(part % 7 == 0, F.lit("")).otherwise(F.col("asset_id"))})
+    return A.recurrence(found).select("finding_id", F.array_join("previous", "; ").alias("previous"))
 
 
 @register("clause_link_unique", _with(fx.FINDINGS_SQL, "select record_id || ':defect:' || defect_start as finding_id, label, text, start::int as start, stop::int as stop from links"))
@@ -283,10 +300,16 @@ def export_scope_entities(spark, d):
     return out.select("record_id", F.explode("entities").alias("e")).select("record_id", "e.label", "e.text", "e.start", "e.stop")
 
 
-@register("integrity_violations", "select 0 as violations")
+_PLANTED = "(length(narrative) * 7 + length(vendor) + report_id::bigint) % 11 = 0"
+
+
+@register("integrity_violations", _with(fx.FINDINGS_SQL + f", moved as (select record_id from reports where {_PLANTED}), wrong as (select * from spans where record_id in (select record_id from moved) and label <> 'DEFECT' and start > 0) select (select count(*) from wrong)::bigint as violations, (select count(*) from links l join wrong w on w.record_id = l.record_id and w.start = l.start and w.label = l.label)::bigint as loose", ""))
 def integrity_violations(spark, d):
-    """Spans whose text is not what stands at their offsets, and links without an entity: there are none."""
+    """Spans whose text is not what stands at their offsets, and links without an entity.
+
+    In some reports all spans but defects are planted one place too early, and one that stands first cannot move.
+    """
     found = _found(spark, d)
-    wrong = F.filter("entities", lambda e: F.substring(F.col("narrative"), e["start"] + 1, e["stop"] - e["start"]) != e["text"])
-    loose = F.filter(F.flatten(F.transform("findings", lambda f: F.concat(F.array(f["defect"]), f["links"]))), lambda e: ~F.array_contains("entities", e))
-    return found.agg(F.coalesce(F.sum(F.size(wrong) + F.size(loose)), F.lit(0)).cast("int").alias("violations"))
+    planted = F.expr(_PLANTED.replace("report_id::bigint", "cast(report_id as bigint)"))
+    moved = F.transform("entities", lambda e: F.when(planted & (e["label"] != "DEFECT") & (e["start"] > 0), e.withField("start", e["start"] - 1).withField("stop", e["stop"] - 1)).otherwise(e))
+    return A.integrity(found.withColumn("entities", moved))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Modules that register queries when imported.
-MODULES = ("analytics", "corpus", "review", "ingest")
+MODULES = ("analytics", "corpus", "review", "ingest", "partition", "scoring")
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 

@@ -15,6 +15,23 @@ SEED = "gaugeline-v1"
 NORM = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
 EXACT = f"case when {NORM} = '' then '' else sha256(lower({NORM})) end"
 _TEMPLATE = rf"list_transform(regexp_extract_all(lower({NORM}), '[\p{{L}}\p{{N}}_\p{{M}}]+(?:[.-][\p{{L}}\p{{N}}_\p{{M}}]+)*'), lambda t: case when regexp_full_match(t, '\d+(?:\.\d+)?') then '<NUMBER>' else t end)"
+_W = r"\p{L}\p{N}_\p{M}"
+#: The detectors without look-around, which DuckDB lacks: what may not stand before or after is matched and put back.
+DETECT = {
+    "email": rf"(?i)(^|[^{_W}])([{_W}.+-]+@[{_W}.-]+\.[A-Za-z]{{2,}})\b",
+    "phone": rf"(^|[^{_W}])((?:\+?1[ .-]?)?(?:\(\d{{3}}\)|\d{{3}})[ .-]?\d{{3}}[ .-]?\d{{4}})\b",
+    "coordinates": rf"(^|[^{_W}.])(-?\d{{1,3}}\.\d{{4,}}\s*[,;/]\s*-?\d{{1,3}}\.\d{{4,}})",
+    "named_coordinate": rf"(?i)(^|[^{_W}])((?:latitude|longitude|lat|lon|long)\s*[:=]?\s*-?\d{{1,3}}\.\d+)",
+    "street": rf"(?i)(^|[^{_W}])(\d{{1,6}}\s+(?:[{_W}.-]+\s+){{1,5}}(?:street|st|road|rd|avenue|ave|boulevard|blvd|lane|ln|drive|dr|court|ct|way)\b\.?)",
+    "registration": rf"(^|[^{_W}])((?:N\d{{1,5}}[A-Z]{{0,2}}|[A-Z]{{1,3}}-\d{{2,6}}))(?:$|[^{_W}])",
+    "personal_name": rf"(?i)(^|[^{_W}])((?:mr\.?|mrs\.?|ms\.?|dr\.?|inspector|reported by|contact)\s+[A-Z][a-z]+\s+[A-Z][a-z]+)(?:$|[^{_W}])",
+}
+CLEAN = NORM
+for _name in ("email", "phone", "coordinates", "named_coordinate", "street"):
+    CLEAN = rf"regexp_replace({CLEAN}, '{DETECT[_name]}', '\1[REDACTED]', 'g')"
+_HITS = ", ".join(f"case when regexp_matches(t, '{p}') then '{n}' end" for n, p in DETECT.items())
+RISKS = f"list_sort(list_filter([{_HITS}, case when r <> t then 'redaction_change' end], lambda x: x is not null))"
+RISKY = f"risky as (select doc_id, source, array_to_string({RISKS}, ',') as risks from (select doc_id, source, {NORM} as t, {CLEAN} as r from documents))"
 KEYS = f"keyed as (select doc_id::varchar as record_id, source, lang, n_chars, {EXACT} as exact, sha256('sample-v1:' || doc_id) as sample_rank from documents)"
 UNIT = "('0x' || substr(sha256({}), 1, 8))::bigint / 4294967296.0::double"
 
@@ -39,17 +56,25 @@ def normalise_whitespace(spark, d):
     return docs(spark, d).select("doc_id", T.collapse(F.coalesce("text", F.lit(""))).alias("clean"))
 
 
-@register("redaction_flags", "select doc_id, regexp_matches(t, '(?i)\\b[0-9A-Za-z_.+-]+@[0-9A-Za-z_.-]+\\.[A-Za-z]{2,}\\b') as email, regexp_matches(t, '(^|[^\\p{L}\\p{N}_])(?:\\+?1[ .-]?)?(?:\\(\\d{3}\\)|\\d{3})[ .-]?\\d{3}[ .-]?\\d{4}($|[^\\p{L}\\p{N}_])') as phone from (select doc_id, " + NORM + " as t from documents)")
+def risky(spark, d):
+    return docs(spark, d).select("doc_id", "source", F.array_join(T.risks(T.collapse(F.coalesce("text", F.lit("")))), ",").alias("risks"))
+
+
+@register("redaction_flags", f"with {RISKY} select doc_id, risks from risky")
 def redaction_flags(spark, d):
-    text = T.collapse(F.coalesce("text", F.lit("")))
-    return docs(spark, d).select("doc_id", *[text.rlike(f"(?iU){T.REDACTIONS[k]}").alias(k) for k in ("email", "phone")])
+    """Names of all detectors that find something in a document, and whether redaction changes it."""
+    return risky(spark, d).select("doc_id", "risks")
+
 
+@register("redacted_texts", f"select doc_id, {CLEAN} as clean, {CLEAN} <> {NORM} as sensitive from documents")
+def redacted_texts(spark, d):
+    found = docs(spark, d).select("doc_id", T.prepare(F.coalesce("text", F.lit(""))).alias("c"))
+    return found.select("doc_id", F.col("c.text").alias("clean"), F.col("c.sensitive").alias("sensitive"))
 
-@register("pii_by_source", "select source, count(*) as records, count(*) filter (regexp_matches(t, '(?i)\\b[0-9A-Za-z_.+-]+@[0-9A-Za-z_.-]+\\.[A-Za-z]{2,}\\b') or regexp_matches(t, '(^|[^\\p{L}\\p{N}_])(?:\\+?1[ .-]?)?(?:\\(\\d{3}\\)|\\d{3})[ .-]?\\d{3}[ .-]?\\d{4}($|[^\\p{L}\\p{N}_])')) as flagged from (select source, " + NORM + " as t from documents) group by source")
+
+@register("pii_by_source", f"with {RISKY} select source, count(*) as records, count(*) filter (risks <> '') as flagged, count(*) filter (contains(risks, 'redaction_change')) as redacted from risky group by source")
 def pii_by_source(spark, d):
-    text = T.collapse(F.coalesce("text", F.lit("")))
-    hit = text.rlike(f"(?iU){T.REDACTIONS['email']}") | text.rlike(f"(?iU){T.REDACTIONS['phone']}")
-    return docs(spark, d).select("source", hit.alias("hit")).groupBy("source").agg(F.count("*").alias("records"), F.count_if("hit").alias("flagged"))
+    return risky(spark, d).groupBy("source").agg(F.count("*").alias("records"), F.count_if(F.col("risks") != "").alias("flagged"), F.count_if(F.contains("risks", F.lit("redaction_change"))).alias("redacted"))
 
 
 @register("token_stats", f"with w as (select source, len(list_filter(string_split({NORM}, ' '), lambda x: x <> ''))::int as words from documents), r as (select *, row_number() over (partition by source order by words) as i, count(*) over (partition by source) as n from w) select source, count(*) as count, round_even(avg(words), 4) as mean, max(words) filter (i = n // 2 + 1) as median, min(words) as least, max(words) as most from r group by source")
@@ -140,10 +165,11 @@ def split_policy_updates(spark, d):
     return members.select("record_id", F.when(F.col("n_chars") < 100, "excluded").when(year == 2026, "demo").otherwise(C.grouped_split(F.col("group_id"), SEED)).alias("grouped"))
 
 
-@register("leakage_check", "select 0::bigint as leaking_groups")
+@register("leakage_check", f"with {GROUPS}, s as (select group_id, case when record_id::bigint % 50 = 0 then 'test' else 'train' end as split from members), g as (select group_id from s group by group_id having count(distinct split) > 1) select count(*) as leaking_groups from g")
 def leakage_check(spark, d):
+    """Split by record instead of group, so that groups leak; a split by group leaks none, which the tests check."""
     members = C.groups(keyed(spark, d), ["exact"])
-    return C.leaks(members.withColumn("split", C.grouped_split(F.col("group_id"), SEED)))
+    return C.leaks(members.withColumn("split", F.when(F.expr("cast(record_id as bigint) % 50 = 0"), "test").otherwise("train")))
 
 
 @register("label_conflicts_anti", f"with {LABELLED}, c as (select source from labelled where label <> '' and n_chars < 300 group by source having count(distinct label) > 2) select record_id, label from labelled where label <> '' and source not in (select source from c)")
@@ -248,15 +274,15 @@ def first_n_per_file(spark, d):
     return table(spark, d, "documents").select("doc_id", "source", F.row_number().over(w).alias("i")).where("i <= 3").drop("i")
 
 
-@register("verify_except_all", "select 0::bigint as missing, 0::bigint as extra")
+@register("verify_except_all", f"with {KEYS}, frozen as (select record_id, case when record_id::bigint % 101 = 0 then 'changed' else exact end as exact from keyed where record_id::bigint % 97 <> 1 union all select record_id || '-again', exact from keyed where record_id::bigint % 89 = 2), j as (select k.record_id as a, f.record_id as b, k.exact as x, f.exact as y from keyed k full join frozen f using (record_id)) select coalesce(a, b) as record_id, case when b is null then 'missing' when a is null then 'extra' else 'changed' end as kind from j where a is null or b is null or x <> y")
 def verify_except_all(spark, d):
-    """A frozen copy against its source, both ways; equal, so both counts are 0."""
-    from gaugeline.scratch import materialise
+    """A frozen copy against its source by record; rows are planted that it lacks, has besides, or has otherwise."""
+    from gaugeline.operators.snapshot import differences
 
-    left = keyed(spark, d)
-    right = materialise(left, "frozen")
-    missing = left.exceptAll(right).agg(F.count("*").alias("missing"))
-    return missing.join(F.broadcast(right.exceptAll(left).agg(F.count("*").alias("extra"))), F.lit(True))
+    left, n = keyed(spark, d).select("record_id", "exact"), F.expr("cast(record_id as bigint)")
+    frozen = left.where(n % 97 != 1).withColumn("exact", F.when(n % 101 == 0, "changed").otherwise(F.col("exact")))
+    again = left.where(n % 89 == 2).withColumn("record_id", F.concat("record_id", F.lit("-again")))
+    return differences(left, frozen.unionByName(again), "record_id")
 
 
 @register("benchmark_overlap", f"select count(*) as leaked from benchmark b where exists (select 1 from documents d where lower({NORM}) = lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g'))))")
@@ -266,24 +292,20 @@ def benchmark_overlap(spark, d):
     return items.join(keyed(spark, d).select("exact"), "exact", "left_semi").agg(F.count("*").alias("leaked"))
 
 
-@register("disjoint_ids", f"select 0::bigint as shared")
+@register("disjoint_ids", f"with s as (select doc_id, {UNIT.format(f"'{SEED}:' || doc_id")} as u from documents) select count(*) as shared from s where (u < 0.7 or doc_id % 40 = 0) and u >= 0.85")
 def disjoint_ids(spark, d):
+    """Ids that stand in training and test; some test ids are planted in training."""
     rows = table(spark, d, "documents").select("doc_id", C.grouped_split(F.col("doc_id").cast("string"), SEED).alias("split"))
-    train, test = (rows.where(F.col("split") == s).select("doc_id") for s in ("train", "test"))
+    train, test = rows.where("split = 'train' or doc_id % 40 = 0").select("doc_id"), rows.where("split = 'test'").select("doc_id")
     return train.intersect(test).agg(F.count("*").alias("shared"))
 
 
-@register("corpus_index", f"select doc_id::varchar as record_id, source, words, excluded, sha256('sample-v1:' || doc_id) as sample_rank from (select *, len(list_filter(string_split({NORM}, ' '), lambda x: x <> ''))::int as words, case when {NORM} = '' then 'empty_narrative' when not regexp_matches({NORM}, '[a-zA-Z]') then 'no_alphabetic_narrative' else '' end as excluded from documents) where not regexp_matches(text, '[0-9@]')")
-def corpus_index(spark, d):
-    """Of documents that redaction cannot touch, so that SQL finds the same."""
-    rows = docs(spark, d).where(~F.col("text").rlike("[0-9@]"))
-    return C.index(rows, "doc_id", "text", ["source"]).select("record_id", "source", "words", "excluded", "sample_rank")
+_CLEANED = f"cleaned as (select doc_id, source, {CLEAN} as clean, {NORM} as norm from documents)"
 
 
-@register("corpus_index_all")
-def corpus_index_all(spark, d):
-    """Of all documents, with all columns; SQL cannot redact alike, so it has no twin."""
-    return C.index(docs(spark, d), "doc_id", "text", ["source"])
+@register("corpus_index", f"with {_CLEANED} select doc_id::varchar as record_id, source, case when clean = '' then '' else sha256(lower(clean)) end as exact, len(list_filter(string_split(clean, ' '), lambda x: x <> ''))::int as words, clean <> norm as sensitive, case when clean = '' then 'empty_narrative' when not regexp_matches(replace(clean, '[REDACTED]', ''), '[a-zA-Z]') then 'no_alphabetic_narrative' else '' end as excluded, sha256('sample-v1:' || doc_id) as sample_rank from cleaned")
+def corpus_index(spark, d):
+    return C.index(docs(spark, d), "doc_id", "text", ["source"]).drop("template")
 
 
 @register("temporal_partition", f"with {GROUPS}, p as (select m.group_id, case when record_id::bigint % 10 = 0 then 'quarantine' when record_id::bigint % 10 <= 6 then 'train' when record_id::bigint % 10 <= 8 then 'validation' else 'test' end as s from members m) select group_id, case when min(s) = max(s) then min(s) else 'quarantine' end as split from p group by group_id")

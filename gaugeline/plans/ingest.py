@@ -9,6 +9,7 @@ from gaugeline.operators import classify, review
 from gaugeline.operators import extract as X
 from gaugeline.plans import fixtures as fx
 from gaugeline.plans.catalogue import register
+from gaugeline.plans.corpus import CLEAN, NORM
 from gaugeline.session import table
 from gaugeline.sources import readers
 
@@ -26,17 +27,10 @@ def parsed_dates(spark, d):
     return table(spark, d, "events").select("event_id", T.parse_date(said, "d/M/yyyy").alias("report_date"))
 
 
-@register("source_dialect_rows", "select doc_id::varchar as source_record_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) as narrative, case when lang = 'en' then 1 else 2 end as targets from documents where not regexp_matches(text, '[0-9@]')")
+@register("source_dialect_rows", f"select doc_id::varchar as source_record_id, {CLEAN} as narrative, {CLEAN} <> {NORM} as sensitive, (case when coalesce(trim(source), '') = '' then 0 else 1 end + case when lang <> 'en' then 1 else 0 end)::int as targets, case when {CLEAN} = '' then 'empty_narrative' else '' end as excluded from documents")
 def source_dialect_rows(spark, d):
-    rows = table(spark, d, "documents").where(~F.col("text").rlike("[0-9@]")).select(F.col("doc_id").cast("string").alias("OperatorControlNumber"), F.col("text").alias("Discrepancy"), F.col("source").alias("PartName"), F.when(F.col("lang") != "en", F.col("lang")).otherwise(" ").alias("PartCondition"))
-    return readers.source_records(rows, "faa_sdr", "documents.csv").select("source_record_id", "narrative", F.size("structured").alias("targets"))
-
-
-@register("source_dialect_rows_all")
-def source_dialect_rows_all(spark, d):
-    """Of all documents, with all columns but the row number, which is not fixed; SQL cannot redact alike, so it has no twin."""
     rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("OperatorControlNumber"), F.col("text").alias("Discrepancy"), F.col("source").alias("PartName"), F.when(F.col("lang") != "en", F.col("lang")).otherwise(" ").alias("PartCondition"))
-    return readers.source_records(rows, "faa_sdr", "documents.csv").drop("source_row").withColumn("structured", F.to_json("structured"))
+    return readers.source_records(rows, "faa_sdr", "documents.csv").select("source_record_id", "narrative", "sensitive", F.size("structured").alias("targets"), "excluded")
 
 
 EDITS = "edits as (select record_id, case when start % 9 = 4 then 'THING' else label end as label, (case when start % 4 = 1 then start - 3 else start end)::int as start, (case when start % 13 = 2 then stop + 500 else stop end)::int as stop, assertion from spans)"
@@ -56,13 +50,8 @@ def human_span_violations(spark, d):
     return review.edit_violations(edits(spans(spark, d)), fx.reports(spark, d))
 
 
-@register("human_entities", f"with {fx.SPANS_SQL} select record_id, label, text, start::int as start, stop::int as stop, assertion, 1.0::double as confidence, 'human' as method from spans where start % 3 = 0")
+@register("human_entities", f"with {fx.SPANS_SQL} select record_id, label, text, start::int as start, stop::int as stop, assertion, 1.0::double as confidence, 'human' as method from spans")
 def human_entities(spark, d):
-    return review.human_entities(spans(spark, d).where("start % 3 = 0").select("record_id", "label", "start", "stop", "assertion"), fx.reports(spark, d))
-
-
-@register("human_entities_all", f"with {fx.SPANS_SQL} select record_id, label, text, start::int as start, stop::int as stop, assertion, 1.0::double as confidence, 'human' as method from spans")
-def human_entities_all(spark, d):
     """All spans as edits."""
     return review.human_entities(spans(spark, d).select("record_id", "label", "start", "stop", "assertion"), fx.reports(spark, d))
 
@@ -108,10 +97,21 @@ def token_alignment(spark, d):
     return rows.select("record_id", "start", "stop", review.aligned(F.col("narrative"), cut, F.col("stop")).alias("aligned"))
 
 
-@register("perturbation_invariance", "select 0::bigint as changed")
+_VENDORED = "reports as materialized (select * replace (case when length(narrative) % 3 = 0 then 'Supplier ' || vendor || ' says: ' || narrative else narrative end as narrative, case when length(narrative) % 4 = 0 then 'cracked' else vendor end as vendor) from plain_reports)"
+_SHOWN = fx.SPANS_SQL.replace("reports as materialized (", "plain_reports as materialized (", 1).replace(",\ntexts as", f", {_VENDORED},\ntexts as", 1)
+
+
+@register("perturbation_invariance", f"with {_SHOWN}, hit as (select distinct record_id from reports where contains(lower(narrative), lower(vendor))), lost as (select distinct s.record_id from spans s join reports r using (record_id) where vendor = 'cracked' and lower(s.text) = 'cracked' and s.record_id in (select record_id from hit)) select 'metadata' as kind, (select count(*) from reports) as reports, 0::bigint as changed union all select 'spaces', (select count(*) from reports), 0 union all select 'text', (select count(*) from hit), (select count(*) from lost)")
 def perturbation_invariance(spark, d):
-    """Another vendor in the metadata, double spaces and another vendor in the text change no signature."""
-    return perturbed(fx.reports(spark, d)).agg(F.coalesce(F.sum("changed"), F.lit(0)).cast("long").alias("changed"))
+    """Another vendor in the metadata, double spaces, and another vendor in the text.
+
+    In some reports the vendor is named in the text; in some it has the name of a defect,
+    and replacing that does change what is extracted.
+    """
+    rows = fx.reports(spark, d)
+    n = F.length("narrative")
+    told = F.when(n % 3 == 0, F.concat(F.lit("Supplier "), "vendor", F.lit(" says: "), "narrative")).otherwise(F.col("narrative"))
+    return perturbed(rows.withColumns({"narrative": told, "vendor": F.when(n % 4 == 0, F.lit("cracked")).otherwise(F.col("vendor"))}))
 
 
 def perturbed(rows):
@@ -144,10 +144,7 @@ def extraction_comparison(spark, d):
 
 @register("induced_terms", f"with {fx.SPANS_SQL} select lower(text) as term, label, count(*) as n from spans where label <> 'MEASUREMENT' group by all having count(*) >= 2")
 def induced_terms(spark, d):
-    rows = spans(spark, d).where("label <> 'MEASUREMENT'")
-    known = review.induce_terms(rows)
-    pack = spark.createDataFrame([(t, label) for label, terms in known.items() for t in terms], "term string, label string")
-    return rows.groupBy(F.lower("text").alias("term"), "label").agg(F.count("*").alias("n")).join(F.broadcast(pack), ["term", "label"], "left_semi")
+    return review.terms_seen(spans(spark, d).where("label <> 'MEASUREMENT'"))
 
 
 @register("tfidf_logreg_metrics")

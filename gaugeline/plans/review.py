@@ -184,7 +184,20 @@ def macro_weighted_f1(spark, d):
     return E.macro_weighted(class_report(spark, d))
 
 
-@register("export_csv_rows", f"with {fx.FINDINGS_SQL}, hit as (select record_id, start, stop, 'DEFECT' as label, finding_id, category, priority from findings union all select l.record_id, l.start, l.stop, l.label, f.finding_id, f.category, f.priority from links l join findings f on f.record_id = l.record_id and f.start = l.defect_start) select r.record_id, r.domain, s.label, s.text, s.assertion, s.start::int as start, s.stop::int as stop, s.confidence, s.method, r.report_id, r.vendor, r.report_date, r.batch, r.asset_id, coalesce(r.report_status, 'pending') as workflow, string_agg(h.finding_id, '; ' order by h.finding_id) as finding_ids, string_agg(case when h.finding_id is not null then coalesce(h.category, 'Uncategorized') end, '; ' order by h.finding_id) as categories, string_agg(h.priority, '; ' order by h.finding_id) as priorities from reports r left join spans s using (record_id) left join hit h on h.record_id = r.record_id and h.start = s.start and h.stop = s.stop and h.label = s.label group by all")
+_ITEM = "'{\"text\":\"' || l.text || '\",\"start\":' || l.start || ',\"stop\":' || l.stop || ',\"assertion\":\"' || s.assertion || '\",\"confidence\":' || s.confidence || ',\"method\":\"' || s.method || '\"}'"
+_CSV = f"""with {fx.FINDINGS_SQL}{fx.CANDIDATES_SQL},
+items as materialized (select l.record_id, l.defect_start, string_agg('\"' || l.label || '\":[' || {_ITEM} || ']', ',' order by l.label) as js from links l join spans s on s.record_id = l.record_id and s.start = l.start and s.label = l.label group by all),
+hit as materialized (select record_id, start, stop, 'DEFECT' as label, finding_id, category, priority, reasons, start as ds from findings union all select l.record_id, l.start, l.stop, l.label, f.finding_id, f.category, f.priority, f.reasons, f.start from links l join findings f on f.record_id = l.record_id and f.start = l.defect_start),
+told as materialized (select h.record_id, h.start, h.label, string_agg(finding_id, '; ' order by finding_id) as finding_ids, string_agg(coalesce(category, 'Uncategorized'), '; ' order by finding_id) as categories, string_agg(priority, '; ' order by finding_id) as priorities, string_agg(reasons, '; ' order by finding_id) as priority_reasons,
+  '{{' || string_agg('\"' || finding_id || '\":{{' || coalesce(js, '') || '}}', ',' order by finding_id) || '}}' as linked_evidence from hit h left join items i on i.record_id = h.record_id and i.defect_start = h.ds group by all)
+select r.record_id, r.domain, case when r.record_id in (select record_id from spans where label = 'DEFECT') or r.record_id in (select record_id from candidates) then 'review_required' else 'unmapped' end as mapping_status,
+  s.label, s.text, s.assertion, s.start::int as start, s.stop::int as "end", s.confidence, s.method, r.report_id, '' as source_document, r.vendor, '' as report_number, coalesce(r.report_date, '') as report_date, '' as product, r.batch, r.asset_id,
+  coalesce(r.report_status, 'pending') as workflow, '' as run_id, '' as review_version, '' as extractor_version, 'uncalibrated' as score_kind, coalesce(finding_ids, '') as finding_ids, coalesce(categories, '') as categories, coalesce(priorities, '') as priorities,
+  coalesce(priority_reasons, '') as priority_reasons, coalesce(linked_evidence, '{{}}') as linked_evidence, '{{}}' as metadata_provenance, '' as quality_flags, '1' as export_schema_version
+from reports r left join spans s using (record_id) left join told t on t.record_id = s.record_id and t.start = s.start and t.label = s.label"""
+
+
+@register("export_csv_rows", _CSV)
 def export_csv_rows(spark, d):
     return O.csv_rows(fx.extracted(spark, d))
 

@@ -14,7 +14,7 @@ from datetime import date, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeline.functions import text as T
@@ -42,6 +42,16 @@ def delimited(spark: SparkSession, path: str, separator: str = ",", encoding: st
     return reader.csv(path)
 
 
+def numbered(rows: DataFrame, name: str = "source_row") -> DataFrame:
+    """Rows of delimited() with their number in their file, the first below the header being 2.
+
+    Such a file is read by one task from its beginning, so the order of that task is the file's.
+    """
+    place = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__at"))
+    nth = F.row_number().over(Window.partitionBy("__file").orderBy("__at")) + 1
+    return place.withColumn(name, nth).drop("__file", "__at")
+
+
 def headers(spark: SparkSession, path: str, separator: str = ",", encoding: str = "UTF-8") -> list[str]:
     return delimited(spark, path, separator, encoding).columns
 
@@ -175,7 +185,7 @@ def segments(found: DataFrame) -> DataFrame:
 
 
 def records(rows: DataFrame, text: str, metadata: Mapping[str, str] | None = None, given: Mapping[str, str] | None = None, date_format: str = "yyyy-M-d", aliases: dict[str, str] | None = None) -> DataFrame:
-    """Table rows to canonical records.
+    """Table rows to canonical records: display_text with its lines, narrative on one line, and offsets from this to that.
 
     metadata maps fields to columns, given holds values for all rows; a row's own
     value wins. Only the narrative and mapped columns are kept. Blank narratives go,
@@ -194,15 +204,15 @@ def records(rows: DataFrame, text: str, metadata: Mapping[str, str] | None = Non
     parsed = T.parse_date(raw, date_format)
     bad = raw.isNotNull() & parsed.isNull()
     values["report_date"] = F.when(bad, F.raise_error(F.lit("a report date is ambiguous or invalid; name its format"))).otherwise(parsed)
-    evidence = T.nfkc(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    evidence = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     out = rows.select(evidence.alias("raw"), *[c.alias(f) for f, c in values.items()], *[F.when(blank_to_null(F.col(f"`{metadata[f]}`")).isNotNull(), f"column:{metadata[f]}").otherwise("user").alias(f"__{f}") for f in metadata])
     empty = out.agg(F.count_if(F.trim("raw") == "").alias("empty"))
-    clean = T.prepare(F.col("raw"))
+    clean = T.prepare_evidence(F.col("raw"))
     out = out.where(F.trim("raw") != "").crossJoin(F.broadcast(empty)).withColumn("c", clean)
-    flags = F.array_compact(F.array(F.when(F.size(T.tokens(F.col("c.text"))) < 4, "sparse_text"), F.when(F.col("empty") > 0, F.concat(F.lit("empty_rows:"), F.col("empty").cast("string")))))
+    flags = F.array_compact(F.array(F.when(F.size(T.tokens(F.col("c.clean"))) < 4, "sparse_text"), F.when(F.col("empty") > 0, F.concat(F.lit("empty_rows:"), F.col("empty").cast("string")))))
     provenance = F.map_filter(F.map_from_arrays(F.array(*[F.lit(f) for f in metadata]), F.array(*[F.col(f"__{f}") for f in metadata])), lambda k, v: v.isNotNull()) if metadata else F.expr("cast(map() as map<string,string>)")
     return out.select(
-        F.col("c.text").alias("narrative"), F.col("c.sensitive").alias("sensitive"), flags.alias("quality_flags"), *FIELDS, T.vendor_key(F.col("vendor"), aliases).alias("vendor_key"), F.col("report_number").alias("report_id"), provenance.alias("provenance")
+        F.col("c.clean").alias("narrative"), F.col("c.display").alias("display_text"), F.col("c.offsets").alias("clean_to_display"), F.col("c.sensitive").alias("sensitive"), flags.alias("quality_flags"), *FIELDS, T.vendor_key(F.col("vendor"), aliases).alias("vendor_key"), F.col("report_number").alias("report_id"), provenance.alias("provenance")
     )
 
 
@@ -231,12 +241,14 @@ def source_records(rows: DataFrame, dialect: str, path: str) -> DataFrame:
     if lacking:
         raise ValueError(f"{path} lacks {sorted(lacking)}")
     stem = path.rpartition("/")[2].rpartition(".")[0]
-    numbered = rows.withColumn("__row", F.monotonically_increasing_id() + 2)
-    key: Column = F.col(columns["id"]) if columns["id"] else F.concat(F.lit(f"{stem}:"), F.col("__row").cast("string"))
+    if columns["id"] is None and "source_row" not in rows.columns:
+        raise ValueError(f"{path} names its records by row: number them first")
+    rows = rows if "source_row" in rows.columns else rows.withColumn("source_row", F.lit(None).cast("int"))
+    key: Column = F.col(columns["id"]) if columns["id"] else F.concat(F.lit(f"{stem}:"), F.col("source_row").cast("string"))
     targets = [c for c in columns["targets"] if c in rows.columns]
     said = F.map_filter(F.map_from_arrays(F.array(*[F.lit(c) for c in targets]), F.array(*[F.coalesce(F.col(c), F.lit("")) for c in targets])), lambda k, v: F.trim(v) != "") if targets else F.expr("cast(map() as map<string,string>)")
-    clean = T.prepare(T.nfkc(F.coalesce(F.col(columns["text"]), F.lit(""))))
-    return numbered.select(
-        F.lit(dialect).alias("source_dataset"), F.when(T.blank_to_null(F.trim(key)).isNull(), F.raise_error(F.lit(f"{path}: a row has no id"))).otherwise(key).alias("source_record_id"), F.col("__row").alias("source_row"), clean.alias("c"),
+    clean = T.prepare_evidence(F.coalesce(F.col(columns["text"]), F.lit("")))
+    return rows.select(
+        F.lit(dialect).alias("source_dataset"), F.when(T.blank_to_null(F.trim(key)).isNull(), F.raise_error(F.lit(f"{path}: a row has no id"))).otherwise(key).alias("source_record_id"), "source_row", clean.alias("c"),
         (F.col(columns["date"]) if columns["date"] and columns["date"] in rows.columns else F.lit(None).cast("string")).alias("report_date"), said.alias("structured"),
-    ).select("source_dataset", "source_record_id", "source_row", F.col("c.text").alias("narrative"), F.col("c.sensitive").alias("sensitive"), "report_date", "structured", F.when(F.col("c.text") == "", "empty_narrative").otherwise("").alias("excluded"))
+    ).select("source_dataset", "source_record_id", "source_row", F.col("c.clean").alias("narrative"), F.col("c.display").alias("display_text"), F.col("c.offsets").alias("clean_to_display"), F.col("c.sensitive").alias("sensitive"), "report_date", "structured", F.when(F.col("c.clean") == "", "empty_narrative").otherwise("").alias("excluded"))

@@ -138,3 +138,9 @@ def test_whole_queries_keep_documents_that_redaction_touches(spark, tmp_path):
             assert "user1" not in b["narrative"]
         else:
             assert b["narrative"] == plain and a["exact"] == (hashlib.sha256(plain.lower().encode()).hexdigest() if plain else "")
+
+
+def test_group_splits_do_not_leak(spark):
+    rows = spark.createDataFrame([(str(i), f"g{i // 3}") for i in range(60)], "record_id string, group_id string")
+    assert C.leaks(rows.withColumn("split", C.grouped_split(F.col("group_id"), "s"))).first()["leaking_groups"] == 0
+    assert C.leaks(rows.withColumn("split", F.when(F.col("record_id").cast("int") % 3 == 0, "test").otherwise("train"))).first()["leaking_groups"] == 20

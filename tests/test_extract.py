@@ -100,6 +100,23 @@ def test_recurrence(spark):
     assert [tuple(r) for r in A.recurrence(found).collect()] == [("r1:defect:5", ["r0:defect:6"])]
 
 
+def test_recurrence_needs_a_vendor(spark):
+    cols = {"vendor": F.lit(" "), "report_id": F.col("record_id"), "batch": F.lit("b1"), "report_status": F.lit(None).cast("string"), "asset_id": F.lit(None).cast("string")}
+    cols["report_date"] = F.when(F.col("record_id") == "r0", "2026-01-05").otherwise("2026-02-05")
+    rows = run(spark, "Valve cracked.", "Pipe cracked.", **cols)
+    assert A.recurrence(rows).count() == 0
+    assert A.recurrence(rows.withColumn("vendor", F.lit("V"))).count() == 1
+
+
+def test_rates_of_one_pass_equal_those_of_rows(spark):
+    cols = {"vendor": F.when(F.col("record_id") == "r2", "B").otherwise("A"), "report_id": F.col("record_id"), "report_date": F.lit("2024-01-01"), "report_status": F.lit(None).cast("string")}
+    found = run(spark, "Valve cracked.", "No crack found on the valve.", "Valve leaking.", **cols)
+    rows, crack = A.finding_rows(found, defect=["crack"]), lambda f: f["category"] == "crack"
+    same = lambda a, b: sorted(map(tuple, a.select(*sorted(a.columns)).collect())) == sorted(map(tuple, b.select(*sorted(b.columns)).collect()))
+    assert same(A.vendor_rates_of(found, crack), A.vendor_rates(found, rows))
+    assert same(A.monthly_trends_of(found, crack), A.monthly_trends(found, rows))
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([(" a  b\tc ", "Valve 12.5 leaks near the old pump house 7", "=1+1")], "a string, b string, c string")
     row = df.select(T.collapse(F.col("a")).alias("a"), T.template_key(F.col("b")).alias("t"), T.template_key(F.lit("Valve 99 leaks near the old pump house, 8")).alias("u"), T.template_key(F.lit("10 mm gap")).alias("n"), T.spreadsheet_safe(F.col("c")).alias("c"), T.nfkc(F.lit("ﬁne")).alias("k"), T.offset_map(F.lit("ab  c")).alias("o"), T.exact_key(F.lit("")).alias("e")).first()
@@ -113,6 +130,23 @@ def test_redaction_and_risks(spark):
     assert rows[0]["p"]["text"] == "mail [REDACTED] now" and rows[6]["r"] == ["personal_name", "registration"] and rows[0]["r"] == ["email", "redaction_change"]
 
 
+def test_redaction_knows_letters_beyond_ascii(spark):
+    texts = ["Call josé@example.com now", "12 Größe Straße road", "éN123 and ÉN45", "tel é555-123-4567"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(T.prepare(F.col("t")).alias("p"), T.risks(F.col("t")).alias("r")).collect()
+    assert rows[0]["p"]["text"] == "Call [REDACTED] now" and rows[0]["r"] == ["email", "redaction_change"]
+    assert rows[1]["p"]["text"] == "[REDACTED]" and rows[2]["r"] == [] and not rows[3]["p"]["sensitive"]
+
+
+def test_evidence_keeps_lines_and_offsets(spark):
+    raw = "\r\n Valve\r\n  cracked.\rMail josé@example.com  today \n"
+    row = spark.createDataFrame([(raw,), ("  ",), (None,)], "t string").select(T.prepare_evidence(F.col("t")).alias("p")).collect()
+    p = row[0]["p"]
+    assert p["display"] == "Valve\n  cracked.\nMail [REDACTED]  today" and p["clean"] == "Valve cracked. Mail [REDACTED] today" and p["sensitive"]
+    assert len(p["offsets"]) == len(p["clean"]) + 1 and p["offsets"][-1] == len(p["display"])
+    assert all(p["clean"][i] == p["display"][p["offsets"][i]] or p["clean"][i] == " " for i in range(len(p["clean"])))
+    assert row[1]["p"]["display"] == "" and row[1]["p"]["offsets"] == [0] and row[2]["p"] is None
+
+
 def test_hybrid_keeps_rules_first(spark):
     rows = run(spark, "Steel valve cracked")
     text = F.col("narrative")

@@ -89,10 +89,20 @@ def test_exports(spark, tmp_path):
     assert len(lines) == 3 and {r["vendor"] for r in lines} == {"'=EVIL()", "B"} and {r["asset_id"] for r in lines} == {"'@A"}
     with pytest.raises(Exception):
         O.write_csv(rows, str(tmp_path / "csv"))
+    assert len(lines[0].asDict()) == 31
     O.write_json(rows, str(tmp_path / "json"))
-    assert spark.read.json(str(tmp_path / "json")).where("export_schema_version = 1").count() == 2
-    page = O.html_report(rows, A.vendor_rates(rows, A.finding_rows(rows)))
+    assert spark.read.json(str(tmp_path / "json")).count() == 2
+    O.write_json(rows, str(tmp_path / "list.json"), "list")
+    O.write_json(rows, str(tmp_path / "envelope.json"), "envelope")
+    one, two = (json.loads((tmp_path / f"{n}.json").read_text()) for n in ("list", "envelope"))
+    assert [r["record_id"] for r in one] == ["r1", "r2"] and two["export_schema_version"] == "1" and two["records"] == one
+    with pytest.raises(Exception):
+        O.write_json(rows, str(tmp_path / "list.json"), "list")
+    found_rows = A.finding_rows(rows)
+    O.write_html(rows, A.overview(rows, found_rows), A.vendor_rates(rows, found_rows), str(tmp_path / "page.html"))
+    page = (tmp_path / "page.html").read_text()
     assert "&lt;<mark title=\"DEFECT · present\">cracked</mark>&gt;" in page and "<cracked>" not in page
+    assert page.count("<section>") == 2 and page.index("<h2>r1") < page.index("<h2>r2") and "=EVIL()" in page
 
 
 def test_arriving_files_are_stored_once(spark, tmp_path):
