@@ -7,13 +7,15 @@ expression or checksum, a gazetteer (top-level domains, issuer and area
 prefixes, address ranges), the words around it, and its edges. Expectation
 maximisation over the counts of vote patterns - a table whose size depends only
 on the number of labelers - estimates how reliable each labeler is, and its
-posteriors train a logistic span classifier. A loose candidate becomes a span if
+posteriors train a logistic span classifier. Matches that fail the contract's checks
+vote too, so that there is something to doubt. A loose candidate becomes a span if
 the classifier says so and it overlaps no base span; base spans always stay.
 
 The patterns are the contract's, with possessive quantifiers and look-behinds
 that change no match but keep the search linear on very long runs. Null texts
 count as empty; offsets are code points; repeated rows each get their result;
-an empty table gives no rows and trains nothing.
+an empty table gives no rows and trains nothing; very long texts are read whole, and
+extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeline.functions.text import let
 from gaugeline.llm import tables
 from gaugeline.scratch import materialise
 
@@ -53,32 +56,41 @@ CUES = {
 AGAINST = "version|release|isbn|order|invoice|serial|ticket|token|hash|part|model|build"
 LABELERS = ("form", "gazetteer", "context", "edge")
 BEFORE, AFTER = 40, 24
+#: Of base matches that fail the contract's check, beside 0 for those that pass and 1 for loose candidates.
+FAILED = 2
+
+
+#: Stands around matches while they are found; in a text it counts as another control character, which no pattern knows.
+_MARK = "\x01"
+_SPANS = "array<struct<start:int,stop:int,rank:int,kind:string,loose:int,m:string,before:string,after:string>>"
 
 
 def _matches(text: Column, kind: str, loose: int) -> Column:
-    """array<struct<start, stop, kind, loose, m, before, after>> of all matches, leftmost and not overlapping."""
-    pattern = (LOOSE if loose else BASE)[kind]
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.zip_with(found, between, lambda m, p: F.struct(m.alias("m"), p.alias("p")))  # one more text between than matches
-    nexts = F.slice(between, 2, F.size(between))
-    rows = F.zip_with(F.slice(pairs, 1, F.size(found)), nexts, lambda x, a: F.struct(x["m"].alias("m"), x["p"].alias("p"), a.alias("a")))
-    empty = "struct(0 as at, cast(array() as array<struct<start:int,stop:int,rank:int,kind:string,loose:int,m:string,before:string,after:string>>) as spans)"
+    """array<struct<start, stop, rank, kind, loose, m, before, after>> of all matches, leftmost and not overlapping.
+
+    One replacement puts marks around matches, and the text is cut there: what stands at odd
+    places is a match. The pattern is compiled once and runs once over the text.
+    """
+    marked = F.regexp_replace(F.translate(text, _MARK, "\x02"), (LOOSE if loose else BASE)[kind], f"{_MARK}$0{_MARK}")
+    begun = F.expr(f"struct(0 as at, false as hit, '' as before, cast(array() as {_SPANS}) as spans)")
 
     def step(known: Column, x: Column) -> Column:
-        start = known["at"] + F.length(x["p"])
-        stop = start + F.length(x["m"])
+        stop = known["at"] + F.length(x["p"])
         span = F.struct(
-            start.alias("start"), stop.alias("stop"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), F.lit(loose).alias("loose"),
-            x["m"].alias("m"), F.right(x["p"], F.lit(BEFORE)).alias("before"), F.left(x["a"], F.lit(AFTER)).alias("after"),
+            known["at"].alias("start"), stop.alias("stop"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), F.lit(loose).alias("loose"),
+            x["p"].alias("m"), F.right(known["before"], F.lit(BEFORE)).alias("before"), F.left(x["after"], F.lit(AFTER)).alias("after"),
         )
-        return F.struct(stop.alias("at"), F.concat(known["spans"], F.array(span)).alias("spans"))
+        return F.struct(stop.alias("at"), (~known["hit"]).alias("hit"), x["p"].alias("before"), F.when(known["hit"], F.concat(known["spans"], F.array(span))).otherwise(known["spans"]).alias("spans"))
+
+    def found(parts: Column) -> Column:
+        after = F.concat(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")))
+        return F.aggregate(F.zip_with(parts, after, lambda p, a: F.struct(p.alias("p"), a.alias("after"))), begun, step)["spans"]
 
-    spans = F.aggregate(rows, F.expr(empty), step)["spans"]
     hint = _HINT[kind, loose]
     likely = F.contains(text, F.lit(hint)) if hint else F.lit(True)
     if kind != "email":
         likely = likely & text.rlike("[0-9]")
-    return F.when(likely, spans).otherwise(F.expr("cast(array() as array<struct<start:int,stop:int,rank:int,kind:string,loose:int,m:string,before:string,after:string>>)"))
+    return F.when(likely, let(F.split(marked, _MARK, -1), found)).otherwise(F.expr(f"cast(array() as {_SPANS})"))
 
 
 def _digits(m: Column) -> Column:
@@ -108,6 +120,16 @@ def _passes(s: Column) -> Column:
     )
 
 
+def _checked(s: Column) -> Column:
+    """A base match that fails its check gets loose = FAILED: it is no span, but labelers learn from it."""
+    return s.withField("loose", F.when(_passes(s), 0).otherwise(FAILED))
+
+
+def _worth_a_vote(s: Column) -> Column:
+    """All that passes, and of what fails all but numbers far too short for a card."""
+    return (s["loose"] == 0) | (s["kind"] != "card") | (F.length(_digits(s["m"])) >= 12)
+
+
 def _vote(yes: Column, no: Column) -> Column:
     return F.when(no, -1).when(yes, 1).otherwise(0)
 
@@ -115,7 +137,7 @@ def _vote(yes: Column, no: Column) -> Column:
 def _votes(s: Column) -> Column:
     """The candidate with its votes, in the order of LABELERS, and a coarse length."""
     m, kind, digits = s["m"], s["kind"], _digits(s["m"])
-    form = F.when(s["loose"] == 0, F.lit(1)).when(kind == "phone", _vote(m.rlike(r"^(?:\([0-9]{3}\) |[0-9]{3}([.-])[0-9]{3}\1)"), F.lit(False))).otherwise(F.lit(0))
+    form = F.when(s["loose"] != 1, 1 - s["loose"]).when(kind == "phone", _vote(m.rlike(r"^(?:\([0-9]{3}\) |[0-9]{3}([.-])[0-9]{3}\1)"), F.lit(False))).otherwise(F.lit(0))
     gazetteer = (
         F.when(kind == "email", _vote(F.lower(m).rlike(rf"(?:\.|dot[)\]]\x20?)(?:{DOMAINS})$"), ~F.lower(m).rlike(r"[a-z]$")))
         .when(kind == "ip", _vote(m.rlike(r"^(?:[1-9]|[1-9][0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-4])\.|^[23][0-9A-Fa-f]{3}:"), m.rlike(r"^0+\.")))
@@ -136,10 +158,10 @@ def _votes(s: Column) -> Column:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, spans): every base span and loose candidate of each row, with votes; texts are read once."""
+    """(id, spans): every base match and loose candidate of each row, with votes; texts are read once."""
     text = tables.text_of(text_col)
     named = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    columns = {f"b_{k}": F.filter(_matches(F.col("text"), k, 0), _passes) for k in BASE} | {f"l_{k}": _matches(F.col("text"), k, 1) for k in LOOSE}
+    columns = {f"b_{k}": F.filter(F.transform(_matches(F.col("text"), k, 0), _checked), _worth_a_vote) for k in BASE} | {f"l_{k}": _matches(F.col("text"), k, 1) for k in LOOSE}
     wide = named.select("id", *[c.alias(n) for n, c in columns.items()])
     return wide.select("id", F.transform(F.concat(*[F.col(n) for n in columns]), _votes).alias("spans"))
 
