@@ -59,7 +59,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hashed = materialise(hashed, "exact-hashes")
     groups = hashed.where("sha is not null").groupBy("sha").agg(F.min("id").alias("keep_id"), F.sum("copies").alias("group_size"))
     groups = materialise(groups.where("group_size > 1").withColumnRenamed("sha", "of"), "exact-groups")
-    told = hashed.join(groups, F.col("sha") == F.col("of"), "left")
+    # of groups above 1 / (4 x partitions) of the rows there are fewer than 4 x partitions: these are broadcast, the others joined by shuffle
+    hot_size = hashed.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0] // (4 * tables.partitions(docs))
+    same, found = F.col("sha") == F.col("of"), [*hashed.columns, "of", "keep_id", "group_size"]
+    marked = hashed.join(F.broadcast(groups.where(F.col("group_size") > hot_size)), same, "left")
+    rest = marked.where("of is null").select(*hashed.columns).join(groups.where(F.col("group_size") <= hot_size), same, "left")
+    told = marked.where("of is not null").select(*found).unionByName(rest.select(*found))
     lone = F.col("of").isNull()
     told = told.select(
         "id", F.when(lone, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.when(lone, F.col("copies")).otherwise(F.col("group_size")).alias("group_size"), "sha",

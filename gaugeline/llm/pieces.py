@@ -307,7 +307,7 @@ def encode(docs: DataFrame, text_col: str = "text", name: str = "ids", vocabular
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo, hi in textkit.chunks(whole.column(at), 1 << 19):  # rows of ids are wide: small batches bound memory
+            for lo, hi in textkit.chunks(whole.column(at), 1 << 18):  # rows of ids are wide: small batches bound memory
                 batch = whole.slice(lo, hi - lo)
                 texts = batch.column(at)
                 ids = shipped.value.encode(texts)
@@ -315,6 +315,7 @@ def encode(docs: DataFrame, text_col: str = "text", name: str = "ids", vocabular
                 if check:
                     new.append(pa.array(shipped.value.restores(ids, texts)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *[f.name for f in extra]])
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, *extra]))
 

@@ -226,6 +226,7 @@ def score(docs: DataFrame, voters: Voters, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shipped.value.scores(batch.column(at)))], [*batch.schema.names, name])
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
