@@ -17,7 +17,8 @@ a key is left untried: a text is compared with all members of a class of BIG tex
 it shares a key with, in blocks, and texts of smaller classes with each other, in tiles.
 Blocks and tiles are of bounded size and read a bitmap of each text, the parities of its
 hashed words, whose difference edits bound; only pairs that this leaves possible come
-out, in the first of two rounds the nearest few of a text and a block.
+out. The first of two rounds takes one block of each class, a sample by hash, and of
+it the nearest few, so that the second finds few texts that still belong to the class.
 
 Texts with equal words are one node from the start: copies, however many, are
 never paired. Texts without words are equal to each other only if both have none.
@@ -49,7 +50,7 @@ FAMILIES = ((1, 12, 1, 32), (10, 63, 2, 32), (51, 1 << 40, 5, 112))
 SIMILARITY = 0.8
 #: Nodes from which a class is compared as a whole.
 BIG = 64
-#: Of a text and a block of a class, the pairs that the first round of these tries.
+#: Of a text and the first block of a class, the pairs that the first round of these tries.
 NEAREST = 4
 #: Nodes of a key's block, and of a class's and its queries' blocks: two blocks meet in a task at once, on average.
 TILE, BLOCK = 4096, 512
@@ -368,7 +369,8 @@ def with_classes(rows: DataFrame, components: DataFrame, about: DataFrame, neare
     """(x, y): nodes of open keys with members of the big classes that they share a key with and are not of.
 
     A class and the texts that ask for it are each dealt into blocks, and each block of the
-    one meets each of the other, so a pair is met once, however many keys it shares.
+    one meets each of the other, so a pair is met once, however many keys it shares. With
+    `nearest`, only the first block of a class is met, and only so many pairs of a text come out.
     """
     big = rows.where(F.col("members") >= BIG).select("key", F.col("component").alias("of"), F.col("members").alias("of_members")).distinct()
     pairs = rows.join(big, "key").where(F.col("component") != F.col("of")).where((F.col("members") < BIG) | (F.col("component") > F.col("of")))
@@ -380,6 +382,8 @@ def with_classes(rows: DataFrame, components: DataFrame, about: DataFrame, neare
     queries = deal(asked.select("node", F.col("of").alias("component")).join(sizes, "component"), "column", "row")
     members = deal(components.join(sizes, "component"), "row", "column")
     place = ["node", "component", (F.col("row") * F.col("columns") + F.col("column")).alias("block")]
+    if nearest is not None:
+        queries, members = queries.where("row = 0"), members.where("row = 0")
     queries, members = queries.select(*place, F.lit(True).alias("query")), members.select(*place, F.lit(False).alias("query"))
     dealt = _at_widths(queries.unionByName(members).join(about, "node")).select("component", "block", "width", "query", "node", "n", "score", "bits")
     dealt = dealt.repartition(tables.partitions(rows), "component", "block", "width").sortWithinPartitions("component", "block", "width", "query")
