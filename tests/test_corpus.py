@@ -125,8 +125,8 @@ def test_whole_queries_keep_documents_that_redaction_touches(spark, tmp_path):
     texts = {1: "Plain  words here", 2: "Write to user1@example.com now", 3: None, 4: "room twelve", 5: "Seen 3 cracks"}
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], schema).write.parquet(f"{tmp_path}/documents.parquet")
-    index = {r["record_id"]: r for r in entry.queries()["corpus_index_all"](spark, str(tmp_path)).collect()}
-    said = {r["source_record_id"]: r for r in entry.queries()["source_dialect_rows_all"](spark, str(tmp_path)).collect()}
+    index = {r["record_id"]: r for r in entry.queries()["corpus_index"](spark, str(tmp_path)).collect()}
+    said = {r["source_record_id"]: r for r in entry.queries()["source_dialect_rows"](spark, str(tmp_path)).collect()}
     assert set(index) == set(said) == {str(i) for i in texts}
     for i, t in texts.items():
         plain = " ".join((t or "").split())
