@@ -95,6 +95,14 @@ def take_quota(rows: DataFrame, quotas: DataFrame, by: Sequence[str], order: str
     return ranked.join(quotas.select(*by, "quota"), list(by)).where(F.col("place") <= F.col("quota")).drop("place", "quota")
 
 
+def training_sample(rows: DataFrame, group: str, strata: Sequence[str], budget: int) -> DataFrame:
+    """Of rows(record_id, label, split, sample_rank): representatives of training groups whose labels agree everywhere, by proportional quotas of the strata."""
+    clean = rows.join(conflicts(rows, [group]), group, "left_anti").where("split = 'train'")
+    one = representatives(clean, [group])
+    quotas = largest_remainder(one.groupBy(*strata).agg(F.count("*").alias("n")), budget, list(strata))
+    return take_quota(one, quotas, list(strata))
+
+
 def token_sets(rows: DataFrame, text_col: str, id_col: str = "record_id", least: int = 8) -> DataFrame:
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit("[a-z]+"), F.lit(0)))
     return rows.select(F.col(id_col).alias("record_id"), words.alias("words")).where(F.size("words") >= least)

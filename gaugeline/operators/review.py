@@ -137,3 +137,11 @@ def payload(found: DataFrame, edits: DataFrame, note: Column, packs: Sequence =
         in_kept = lambda f: F.filter(f["links"], lambda e: F.array_contains(F.coalesce(F.try_element_at("kept", f["finding_id"]), none), F.struct(e["label"].alias("label"), e["start"].alias("start"), e["stop"].alias("stop"))))
         out = out.join(kept, "record_id", "left").withColumn("findings", F.transform("findings", lambda f: f.withField("links", in_kept(f)))).drop("kept")
     return out.select("record_id", "domain", text_col, "original_entities", F.col("entities").alias("corrected_entities"), F.col("findings").alias("corrected_findings"), F.col("review_candidates").alias("corrected_review_candidates"), "mapping_status", "assertion_status", F.trim(note).alias("note"), F.lit("human").alias("label_origin"))
+
+
+def tagged_only(records: DataFrame, tagged: Column, text_col: str = "narrative") -> DataFrame:
+    """records as a tagger alone sees them: its spans as entities, and clauses, candidates, statuses and findings that follow."""
+    from gaugeline.operators.extract import clauses, findings, no_entities, statuses
+
+    ordered = F.array_sort(keep_first(F.coalesce(tagged, no_entities())), lambda a, b: a["start"] - b["start"])
+    return findings(statuses(records.withColumns({"entities": ordered, "clauses": clauses(F.col(text_col))}), text_col))

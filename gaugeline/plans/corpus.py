@@ -172,10 +172,10 @@ def leakage_check(spark, d):
     return C.leaks(members.withColumn("split", F.when(F.expr("cast(record_id as bigint) % 50 = 0"), "test").otherwise("train")))
 
 
-@register("label_conflicts_anti", f"with {LABELLED}, c as (select source from labelled where label <> '' and n_chars < 300 group by source having count(distinct label) > 2) select record_id, label from labelled where label <> '' and source not in (select source from c)")
+@register("label_conflicts_anti", f"with {LABELLED}, c as (select source from labelled where label <> '' group by source having count(distinct label) > 3) select record_id, label from labelled where label <> '' and source not in (select source from c)")
 def label_conflicts_anti(spark, d):
     rows = labelled(spark, d)
-    many = rows.where("label <> '' and n_chars < 300").groupBy("source").agg(F.count_distinct("label").alias("n")).where("n > 2")
+    many = rows.where("label <> ''").groupBy("source").agg(F.count_distinct("label").alias("n")).where("n > 3")
     return rows.where("label <> ''").join(many, "source", "left_anti").select("record_id", "label")
 
 
@@ -213,6 +213,13 @@ def sample_stratified_topk(spark, d):
     return C.take_quota(rows, quotas, ["label", "lang"]).select("record_id", "label", "lang")
 
 
+@register("training_sample", f"with {LABELLED}, s as (select *, {UNIT.format(f"'{SEED}:' || record_id")} as u from labelled where label <> '' and exact <> ''), k as (select exact from s group by exact having count(distinct label) > 1), one as (select * from (select *, row_number() over (partition by exact order by sample_rank, record_id) as i from s where exact not in (select exact from k) and u < 0.7) where i = 1), n as (select label, lang, count(*) as n from one group by all), t as (select *, sum(n) over () as total from n), q as (select *, least(90, total) * n // total as base, least(90, total) * n % total as rest from t), g as (select *, base + case when row_number() over (order by rest desc, label, lang) <= least(90, total) - sum(base) over () then 1 else 0 end as quota from q), r as (select *, row_number() over (partition by label, lang order by sample_rank, record_id) as j from one) select record_id, r.label, r.lang from r join g using (label, lang) where j <= quota")
+def training_sample(spark, d):
+    """One record of each group without a conflict of labels, of the training split, by proportional quotas."""
+    rows = labelled(spark, d).where("label <> '' and exact <> ''").withColumn("split", C.grouped_split(F.col("record_id"), SEED))
+    return C.training_sample(rows, "exact", ["label", "lang"], 90).select("record_id", "label", "lang")
+
+
 @register("allocate_near_equal", f"with {LABELLED}, s as (select distinct source, label from labelled where label <> ''), q as (select *, 10 // count(*) over (partition by source) + case when row_number() over (partition by source order by label) <= 10 % count(*) over (partition by source) then 1 else 0 end as quota from s), r as (select *, row_number() over (partition by source, label order by sample_rank, record_id) as i from labelled where label <> '') select record_id, r.source, r.label from r join q using (source, label) where i <= quota")
 def allocate_near_equal(spark, d):
     rows = labelled(spark, d).where("label <> ''")

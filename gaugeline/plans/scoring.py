@@ -193,3 +193,12 @@ def review_payloads(spark, d):
     out = R.payload(found, kept, F.lit(" checked "))
     links = F.aggregate("corrected_findings", F.lit(0), lambda n, f: n + F.size(f["links"]))
     return out.select("record_id", F.size("corrected_entities").alias("entities"), F.size("corrected_findings").alias("findings"), links.alias("links"))
+
+
+@register("tagger_only_findings", f"with {fx.REPORTS_SQL}, h as (select record_id, regexp_extract(narrative, '(cracked|leaking|corroded|worn|damaged)') as word, narrative from reports where regexp_matches(narrative, '(cracked|leaking|corroded|worn|damaged)')) select record_id, word as text, (strpos(narrative, word) - 1)::int as start, 'ner' as method, 0.5::double as confidence from h")
+def tagger_only_findings(spark, d):
+    """Findings from a tagger alone, here one that tags the first state of damage."""
+    text = F.col("narrative")
+    first = F.slice(R.tagged_spans(text, T.find_spans(text, "cracked|leaking|corroded|worn|damaged"), "DEFECT"), 1, 1)
+    rows = R.tagged_only(fx.reports(spark, d), first).select("record_id", F.explode("findings").alias("f"))
+    return rows.select("record_id", "f.defect.text", "f.defect.start", "f.defect.method", "f.defect.confidence")

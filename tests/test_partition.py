@@ -156,3 +156,24 @@ def test_display(spark):
     rows = spark.createDataFrame([("r0000000012", "f.csv", None, 3)], "record_id string, source_document string, vendor string, source_row int")
     assert D.choices(rows).first()["label"] == "f.csv · Unknown · 3 · 00000012"
     assert D.blank_predictions(rows.withColumn("entities", F.lit(1))).columns == rows.columns
+
+
+def test_partition_manifest_pilot_and_batch(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text("{}")
+    assigned = spark.createDataFrame([("1", "g", "test"), ("2", "h", "train")], "record_id string, group_id string, split string")
+    told = snapshot.write_partition(spark, str(tmp_path / "p"), assigned, "vendor", str(tmp_path / "in"), ["DEFECT"], ["acme"])
+    assert told["splits"] == {"test": 1, "train": 1} and json.loads((tmp_path / "p/manifest.json").read_text()) == told
+    assert snapshot.read_gold(spark, str(tmp_path / "in"), str(tmp_path / "p/manifest.json"), ["DEFECT"])[0]["mode"] == "vendor"
+    with pytest.raises(Exception):
+        snapshot.write_partition(spark, str(tmp_path / "p"), assigned, "vendor", str(tmp_path / "in"), [])
+    with pytest.raises(ValueError):
+        snapshot.write_partition(spark, str(tmp_path / "q"), assigned.withColumn("group_id", F.lit("g")), "vendor", str(tmp_path / "in"), [])
+    rows = spark.createDataFrame([("1", "d", "train", "f", True, ""), ("2", "d", "test", "f", False, "empty")], "record_id string, domain string, split string, file string, sensitive boolean, excluded string")
+    found = snapshot.write_pilot(rows, str(tmp_path / "pilot"))
+    assert {(a["column"], a["value"], a["records"], a["redacted"], a["excluded"]) for a in found["audit"]} == {("domain", "d", 2, 1, 1), ("file", "f", 2, 1, 1), ("split", "test", 1, 0, 1), ("split", "train", 1, 1, 0)}
+    picked = rows.select("record_id", F.lit("text").alias("clean_text"), F.lit(1).alias("prediction"))
+    with pytest.raises(ValueError):
+        snapshot.write_batch(picked, rows.where("record_id = 1"), str(tmp_path / "b"))
+    snapshot.write_batch(picked, rows, str(tmp_path / "b"))
+    assert spark.read.json(str(tmp_path / "b")).columns == ["clean_text", "record_id"]

@@ -65,6 +65,21 @@ def test_ragged_and_broken_lines_fail(spark, tmp_path):
         S.json_lines(spark, str(tmp_path / "a.json"), "a long").collect()
 
 
+def test_a_broken_table_stops_no_other_file(spark, tmp_path):
+    for name, text in (("a.csv", "x,y\n1,2\n"), ("b.csv", "x,y\n1,2,3\n"), ("c.csv", "x,x\n1,2\n"), ("d.tsv", "x\ty\n1\t2\n3\t4\n"), ("e.csv", "\n1,2\n")):
+        (tmp_path / name).write_text(text)
+    found = S.files(spark, str(tmp_path))
+    by = {}
+    for r in S.segments(found).collect():
+        by.setdefault(r["path"].rpartition("/")[2], []).append((r["cells"], r["error"]))
+    assert by["a.csv"] == [({"x": "1", "y": "2"}, None)] and len(by["d.tsv"]) == 2
+    assert "line 2" in by["b.csv"][0][1] and "more than once" in by["c.csv"][0][1] and "no header" in by["e.csv"][0][1]
+    times = {r["path"].rpartition("/")[2]: r for r in S.benchmark(found, found.select("path")).collect()}
+    assert times["d.tsv"]["segments"] == 2 and times["b.csv"]["error"] and times["a.csv"]["seconds"] >= 0
+    with pytest.raises(ValueError):
+        S.benchmark(found, found.select("path").limit(1))
+
+
 def test_dialects(spark):
     rows = spark.createDataFrame([("Leak at pipe", "7", "x", " "), ("", "8", None, "y")], "NARRATIVE string, REPORT_NUMBER string, CAUSE string, CAUSE_DETAILS string")
     got = S.source_records(rows, S.dialect_of("/d/incidents_2010.txt"), "/d/incidents_2010.txt").orderBy("source_record_id").collect()
