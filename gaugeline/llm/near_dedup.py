@@ -391,8 +391,11 @@ def with_classes(rows: DataFrame, components: DataFrame, about: DataFrame, neare
 
 
 def tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(width, key, low, high, block, node, n, score, component, bits), sorted by tile (width, key, low, high), to the pairs of
-    different components whose lengths and parities can match; of a tile of two blocks only pairs across them."""
+    """(width, key, low, high, block, node, n, score, component, bits, shares), sorted by tile (width, key, low, high), to the pairs of
+    different components whose lengths and parities can match; of a tile of two blocks only pairs across them.
+
+    shares are a node's keys that have tiles: a pair comes out under the least key that both share, and so once.
+    """
     tile = ("width", "key", "low", "high")
     held: pa.Table | None = None
 
@@ -407,6 +410,7 @@ def tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = [*np.flatnonzero(np.concatenate([[True], longs[1:] != longs[:-1]])).tolist(), len(key)]
         for lo, hi in zip(edges[:-1], edges[1:]):  # rows of one width
             bits, left = _bits_of(rows.slice(lo, hi - lo), int(longs[lo])), np.arange(lo, hi)
+            shares: dict[int, set[int]] = {}
             for shift in range(1, hi - lo):
                 left = left[left + shift < stop[left]]
                 if not len(left):
@@ -418,6 +422,10 @@ def tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for at in range(0, len(i), step):
                     x, y = i[at : at + step], k[at : at + step]
                     ok, _ = _near_bits(n[x], n[y], bits[x - lo], bits[y - lo])
+                    x, y = x[ok], y[ok]
+                    for i_ in {*x.tolist(), *y.tolist()} - shares.keys():
+                        shares[i_] = set(rows["shares"][i_].as_py())
+                    ok = np.array([min(shares[a] & shares[b]) == key[a] for a, b in zip(x.tolist(), y.tolist())], bool)
                     if ok.any():
                         x, y = x[ok], y[ok]
                         first = (score[x] > score[y]) | ((score[x] == score[y]) & (node[x] > node[y]))
@@ -444,11 +452,12 @@ def in_tiles(rows: DataFrame, about: DataFrame) -> DataFrame:
     small = rows.where(F.col("members") < BIG)
     ends = small.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("nodes")).where("lo <> hi")
     blocks = F.ceil(F.col("nodes") / TILE).cast("int")
-    dealt = small.join(ends.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
-    dealt = dealt.join(about.select("node", "bits"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    mine = small.join(ends.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
+    shares = mine.groupBy("node").agg(F.collect_list("key").alias("shares"))  # as many as a text has keys, at most
+    dealt = mine.join(about.select("node", "bits").join(shares, "node"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tile = ("width", "key", "low", "high")
     dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    tiles = _at_widths(dealt).select(*tile, "block", "node", "n", "score", "component", "bits")
+    tiles = _at_widths(dealt).select(*tile, "block", "node", "n", "score", "component", "bits", "shares")
     tiles = tiles.repartition(tables.partitions(rows), *tile).sortWithinPartitions(*tile)
     return tiles.mapInArrow(tile_pairs, "x long, y long").distinct()
 
