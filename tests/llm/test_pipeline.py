@@ -1,3 +1,5 @@
+import re
+
 import pyarrow as pa
 
 import corpus_pipeline
@@ -38,3 +40,28 @@ def test_stages_follow_each_other(spark, tables):
     assert len(kept[4]) == len(kept[3])
     assert pieces.codec().decode(pa.array([r["ids"] for r in kept[4]], pa.list_(pa.int32()))) == [r["text"] for r in kept[4]]
     assert corpus_pipeline.run(spark, d).count() == len(kept[4])
+
+
+def test_each_stage_on_odd_rows(spark, odd, empty, tables):
+    """Null, empty, very long, tied and repeated rows, columns with clashing names, an empty table: each stage against plain Python."""
+    d = tables(documents=odd, labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    had = odd.collect()
+    rows = {name: None for name, _ in corpus_pipeline.STAGES}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, odd, d)
+        want = odd.columns if k < 4 else [*[c for c in odd.columns if c != "ids"], "ids"]
+        assert out.columns == want
+        rows[name] = out.collect()
+        none = stage(spark, empty, d)
+        assert none.columns == want and none.count() == 0
+    assert len(rows["quality classifier"]) == len(had)  # without labels all stay
+    first = {}
+    for r in sorted(had, key=lambda r: (r["doc_id"] is None, r["doc_id"])):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or ""), r["doc_id"])
+    assert sorted(map(str, first.values())) == sorted(str(r["doc_id"]) for r in rows["exact dedup"])
+    words_of = lambda t: tuple(w for w in re.split(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (t or "").lower()) if w)
+    assert {words_of(r["text"]) for r in rows["near dedup"]} == {words_of(r["text"]) for r in had}
+    assert len(rows["near dedup"]) == len({words_of(r["text"]) for r in had})
+    assert all((r["doc_id"], r["text"]) in {(h["doc_id"], h["text"]) for h in had} for r in rows["mixing"])
+    ids = pa.array([r["ids"] for r in rows["pieces"]], pa.list_(pa.int32()))
+    assert sorted(pieces.codec().decode(ids)) == sorted(r["text"] or "" for r in had)
