@@ -7,7 +7,10 @@ digests adds, over buckets, the distance of these codes (6 from lowest to
 highest) and the bounded difference of lengths; likeness is 1 minus its share of
 the largest possible difference. Equal texts have equal digests and likeness 1.
 
-Null counts as empty. Texts of less than four bytes are padded with zero bytes.
+Null counts as empty. Texts of less than four bytes are padded with zero bytes, very long
+ones are read whole. Repeated rows each get their digest; of rows with one id the smaller
+text is first, and such rows stand in one block. An empty table gives no rows, and extra
+columns are not looked at.
 """
 
 from __future__ import annotations
