@@ -20,7 +20,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         moved = moved.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         moved = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return moved.where("a <> b").distinct()
+    moved = moved.where("a <> b")
+    return moved if large else moved.distinct()  # repeated edges are harmless to the next step
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
