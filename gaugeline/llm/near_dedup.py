@@ -491,9 +491,9 @@ def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, id_col: str, te
             ok = [near(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)) for a, b in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok, pa.bool_())) for i in (0, 1)], ["a", "b"])
 
-    # the leader's words come last and pairs are dealt out anew, so that a leader of many never gathers them
-    joined = pairs.join(right, "y").join(left, "x").select("x", "y", "wx", "wy")
-    links = materialise(joined.repartition(tables.partitions(docs), "x", "y").mapInArrow(align, "a long, b long"), "near-links")
+    # the leader's words come first, to pairs without words, so that only one text of a pair is shuffled with it and pairs end up dealt out by their other ends
+    joined = pairs.join(left, "x").repartition(tables.partitions(docs), "y").join(right, "y").select("x", "y", "wx", "wy")
+    links = materialise(joined.mapInArrow(align, "a long, b long"), "near-links")
     discard(wanted, texts)
     return links
 
@@ -503,11 +503,12 @@ def linked(docs: DataFrame, reps: DataFrame, lone: DataFrame, id_col: str, text_
     shared_rows, about = shared(lone)
     tried = materialise(candidates(shared_rows, about), "near-pairs")
     components = connected_components(verified(docs, tried, reps, id_col, text_col))
+    rows = shared_rows
     for nearest in (NEAREST, None):
-        rows = still_open(shared_rows, components)
+        before, rows = rows, still_open(rows.select("key", "node", "n", "score"), components)  # what is open was open before
+        discard(before)
         more = with_classes(rows, components, about, nearest).unionByName(in_tiles(rows, about)).distinct()
         more = materialise(more.join(tried, ["x", "y"], "left_anti"), "near-pairs")
-        discard(rows)
         found = None if more.isEmpty() else verified(docs, more, reps, id_col, text_col)
         if found is not None and not found.isEmpty():
             components = connected_components(found.unionByName(components.select(F.col("node").alias("a"), F.col("component").alias("b"))))
