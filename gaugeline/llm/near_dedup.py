@@ -366,7 +366,7 @@ def class_pairs(nearest: int | None):
 
 
 def with_classes(rows: DataFrame, components: DataFrame, about: DataFrame, nearest: int | None) -> DataFrame:
-    """(x, y): nodes of open keys with members of the big classes that they share a key with and are not of.
+    """(x, y), a pair perhaps at two widths: nodes of open keys with members of the big classes that they share a key with and are not of.
 
     A class and the texts that ask for it are each dealt into blocks, and each block of the
     one meets each of the other, so a pair is met once, however many keys it shares. With
@@ -387,7 +387,7 @@ def with_classes(rows: DataFrame, components: DataFrame, about: DataFrame, neare
     queries, members = queries.select(*place, F.lit(True).alias("query")), members.select(*place, F.lit(False).alias("query"))
     dealt = _at_widths(queries.unionByName(members).join(about, "node")).select("component", "block", "width", "query", "node", "n", "score", "bits")
     dealt = dealt.repartition(tables.partitions(rows), "component", "block", "width").sortWithinPartitions("component", "block", "width", "query")
-    return dealt.mapInArrow(class_pairs(nearest), "x long, y long").distinct()
+    return dealt.mapInArrow(class_pairs(nearest), "x long, y long")
 
 
 def tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -444,7 +444,7 @@ def tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def in_tiles(rows: DataFrame, about: DataFrame) -> DataFrame:
-    """(x, y): all possible pairs of nodes under an open key, of different components that are not big.
+    """(x, y), a pair perhaps at two widths: all possible pairs of nodes under an open key, of different components that are not big.
 
     A key of m nodes is dealt into m / TILE blocks, and each two blocks meet in one
     tile: no task holds more than a tile, whatever a key's share of the rows.
@@ -459,7 +459,7 @@ def in_tiles(rows: DataFrame, about: DataFrame) -> DataFrame:
     dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
     tiles = _at_widths(dealt).select(*tile, "block", "node", "n", "score", "component", "bits", "shares")
     tiles = tiles.repartition(tables.partitions(rows), *tile).sortWithinPartitions(*tile)
-    return tiles.mapInArrow(tile_pairs, "x long, y long").distinct()
+    return tiles.mapInArrow(tile_pairs, "x long, y long")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
