@@ -201,10 +201,10 @@ def _bits(values: DataFrame) -> np.ndarray:
     return out
 
 
-def prefixes(sets: DataFrame, firsts: DataFrame, only: np.ndarray | None = None, wide_from: int = WIDE) -> DataFrame:
+def prefixes(firsts: DataFrame, only: np.ndarray | None = None, wide_from: int = WIDE) -> DataFrame:
     """(bucket, rows, wide): the words by which sets meet, packed by bucket of the word; only: a bitmap of words."""
-    buckets = tables.partitions(sets) * SPLIT
-    shipped = sets.sparkSession.sparkContext.broadcast(None if only is None else np.packbits(only))
+    buckets = tables.partitions(firsts) * SPLIT
+    shipped = firsts.sparkSession.sparkContext.broadcast(None if only is None else np.packbits(only))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = None if shipped.value is None else np.unpackbits(shipped.value).astype(bool)
@@ -232,8 +232,7 @@ def prefixes(sets: DataFrame, firsts: DataFrame, only: np.ndarray | None = None,
                 wides = [b"".join(bitmaps[k] for k in of[i:j].tolist()) for i, j in zip(edge, ends)]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[edge].astype(np.int32)), pa.array(blobs, pa.binary()), pa.array(wides, pa.binary())], ["bucket", "rows", "wide"])
 
-    first = firsts.select("a", "b", "first.id", "first.th", "first.line")
-    placed = sets.where("keys is not null").select("a", "b", "n", "bits", "wide", "keys").join(first, ["a", "b"])
+    placed = firsts.where("keys is not null").select("a", "n", "bits", "wide", "first.id", "first.th", "first.line", "keys")
     return placed.select("a", "n", "bits", "wide", "id", "th", "line", "keys").mapInArrow(run, "bucket int, rows binary, wide binary")
 
 
@@ -386,8 +385,10 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     counts = rarity(named.select("text"))
     lines = materialise(line_sets(named, counts, kind), "lines")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "th", "line")
-    firsts = materialise(lines.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("rows")), "line-firsts")
-    pairs = materialise(candidates(prefixes(lines, firsts)), "line-pairs")
+    # where a set first stands, with its prefix from whichever task found it new: a set meets others once, and is shuffled with its prefix once
+    known = [F.max(c).alias(c) for c in ("n", "bits", "wide", "keys")]
+    firsts = materialise(lines.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("rows"), *known), "line-firsts")
+    pairs = materialise(candidates(prefixes(firsts)), "line-pairs")
     late = _later(verified(named, pairs.select("x", "y"), firsts), firsts)
     # sets that none of their nearest candidates matches, though more were there: against all, with the wide bitmap for every size
     open_y = pairs.groupBy("y").agg(F.max("more").alias("more")).where("more")
@@ -395,17 +396,17 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         open_y = open_y.join(late.select(F.col("a").alias("y")), "y", "left_anti")
     open_y = materialise(open_y.select(F.col("y").alias("a")), "line-open")
     if open_y.count():
-        packed = prefixes(lines, firsts, _keys_of(lines, open_y), wide_from=0)
+        packed = prefixes(firsts, _keys_of(firsts, open_y), wide_from=0)
         again = candidates(packed, 1 << 30, _bits(open_y), wide_from=0).select("x", "y").join(open_y.withColumnRenamed("a", "y"), "y", "left_semi")
         again = materialise(again.join(pairs.select("x", "y"), ["x", "y"], "left_anti"), "line-pairs")
         late = materialise(late.unionByName(_later(verified(named, again, firsts), firsts)).distinct(), "line-late")
-    fate = materialise(firsts.join(late.withColumn("late", F.lit(True)), ["a", "b"], "left").where("late or rows > 1"), "line-fate")
+    fate = materialise(firsts.select("a", "b", "first", "rows").join(late.withColumn("late", F.lit(True)), ["a", "b"], "left").where("late or rows > 1"), "line-fate")
     told = tables.join_hot(lines.select("id", "th", "line", "a", "b"), fate, ["a", "b"], "rows", ["first", "late"])
     gone = told.where(F.coalesce("late", F.lit(False)) | (place != F.col("first")))
     return gone.groupBy("id", "th").agg(F.array_sort(F.collect_set("line")).alias("gone"))
 
 
-def _keys_of(lines: DataFrame, sets: DataFrame) -> np.ndarray:
+def _keys_of(firsts: DataFrame, sets: DataFrame) -> np.ndarray:
     """A bitmap of the key words of some sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -413,7 +414,7 @@ def _keys_of(lines: DataFrame, sets: DataFrame) -> np.ndarray:
             key = np.frombuffer(b"".join(batch.column(0).to_pylist()), _KEY)["key"].astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(key)], ["key"])
 
-    return _bits(lines.where("keys is not null").join(sets, "a", "left_semi").select("keys").mapInArrow(run, "key long"))
+    return _bits(firsts.where("keys is not null").join(sets, "a", "left_semi").select("keys").mapInArrow(run, "key long"))
 
 
 def _later(links: DataFrame, firsts: DataFrame) -> DataFrame:
