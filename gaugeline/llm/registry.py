@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeline.llm import chat, digest, exact_dedup, line_dedup, mixing, near_dedup, pieces, pii, quality, toxicity
+from gaugeline.llm import chat, digest, embeddings, exact_dedup, line_dedup, mixing, near_dedup, pieces, pii, quality, runs, spelling, toxicity
 
 _QUERIES = {
     "op1_near_dedup": (near_dedup.op1_near_dedup, None),
@@ -15,6 +15,9 @@ _QUERIES = {
     "op8_line_dedup": (line_dedup.op8_line_dedup, None),
     "op9_exact_dedup": (exact_dedup.op9_exact_dedup, exact_dedup.OP9_SQL),
     "op10_mixing": (mixing.op10_mixing, mixing.OP10_SQL),
+    "op11_spelling": (spelling.op11_spelling, None),
+    "op12_embeddings": (embeddings.op12_embeddings, embeddings.OP12_SQL),
+    "op13_runs": (runs.op13_runs, None),
 }
 
 
