@@ -45,16 +45,20 @@ def _survivors(keyed: DataFrame) -> DataFrame:
 
 
 def _hashed(keyed: DataFrame, digest: bool) -> DataFrame:
-    """The rows of keyed with sha: the full hash of texts that length and prefix leave undecided, null for others unless digest."""
+    """The rows of keyed with sha, the full hash of texts that length and prefix leave undecided, and digest: the same, of all texts if asked for."""
     left = materialise(_survivors(keyed), "exact-survivors")
     rows = tables.marked(keyed, F.xxhash64("n", "head"), left.select(F.xxhash64("n", "head").alias("mark")))
     full = F.sha2(F.col("norm").cast("binary"), 256)
-    return rows.withColumn("sha", full if digest else F.when(F.col("marked"), full)).drop("norm", "marked")
+    rows = rows.withColumn("digest", full if digest else F.when(F.col("marked"), full))
+    return rows.withColumn("sha", F.when(F.col("marked"), F.col("digest"))).drop("norm", "marked")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
-    """One row per row of docs: id, keep_id, group_size, kept, sha (null for a text that no step hashed, unless digest)."""
-    keys = ["id", "n", "head", "sha"]
+    """One row per row of docs: id, keep_id, group_size, kept, sha (null for a text that no step hashed), digest (sha, of all texts if asked for).
+
+    Only texts that length and prefix leave undecided are grouped, by their full hashes.
+    """
+    keys = ["id", "n", "head", "sha", "digest"]
     hashed = _hashed(_keyed(docs, id_col, text_col), digest).groupBy(*keys).agg(F.count("*").alias("copies"))
     hashed = materialise(hashed, "exact-hashes")
     groups = hashed.where("sha is not null").groupBy("sha").agg(F.min("id").alias("keep_id"), F.sum("copies").alias("group_size"))
@@ -67,10 +71,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     told = marked.where("of is not null").select(*found).unionByName(rest.select(*found))
     lone = F.col("of").isNull()
     told = told.select(
-        "id", F.when(lone, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.when(lone, F.col("copies")).otherwise(F.col("group_size")).alias("group_size"), "sha",
+        "id", F.when(lone, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.when(lone, F.col("copies")).otherwise(F.col("group_size")).alias("group_size"), "sha", "digest",
         F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("nth"),
     )
-    return told.select("id", "keep_id", F.col("group_size").cast("long").alias("group_size"), (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"), "sha")
+    return told.select("id", "keep_id", F.col("group_size").cast("long").alias("group_size"), (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"), "sha", "digest")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,7 +102,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_groups(tables.documents(spark, sf_dir), digest=True)
-    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
 OP9_SQL = r"""

@@ -21,7 +21,8 @@ def test_exact_groups(spark, odd, empty):
         by.setdefault(norm(t), []).append(i)
     assert len(rows) == len(texts)
     for r in rows:
-        group = next(g for t, g in by.items() if hashlib.sha256(t.encode()).hexdigest() == r["sha"])
+        group = next(g for t, g in by.items() if hashlib.sha256(t.encode()).hexdigest() == r["digest"])
+        assert r["sha"] in (None, r["digest"]) and (r["sha"] or len(group) == 1)
         assert r["keep_id"] == min(i for i in group if i is not None) and r["group_size"] == len(group)
     assert sum(r["kept"] for r in rows) == len(by)
     lean = {(r["id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(odd).collect()}
@@ -38,6 +39,14 @@ def test_same_length_and_prefix_is_not_equal(spark):
     assert {r["id"] for r in rows if r["kept"]} == {0, 1, 3}
 
 
+def test_groups_come_from_what_length_and_prefix_leave(spark, monkeypatch):
+    texts = ["same"] * 5 + ["other", "alone one", "same text"]
+    groups = lambda: sorted((r["id"], r["keep_id"], r["group_size"]) for r in exact_dedup.exact_groups(frame(spark, texts), digest=True).collect())
+    assert [g for g in groups() if g[2] > 1] == [(i, 0, 5) for i in range(5)]
+    monkeypatch.setattr(exact_dedup, "_survivors", lambda keyed: keyed.select("n", "head").limit(0))
+    assert groups() == [(i, i, 1) for i in range(8)]
+
+
 def test_a_hot_group_is_whole(spark):
     rows = exact_dedup.exact_groups(frame(spark, ["same"] * 300 + [f"t{i}" for i in range(300)])).collect()
     assert sum(r["group_size"] == 300 for r in rows) == 300 and sum(r["kept"] for r in rows) == 301
