@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import tables
+from gaugeline.llm import tables, textkit
 from gaugeline.scratch import discard, materialise
 
 #: A word is a maximal run of these.
@@ -52,6 +52,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Different words that a task holds before it gives their sums out.
 HELD = 1 << 17
+#: Bytes of words that are worked on at a time.
+TOGETHER = 1 << 17
 
 
 def words_of(text: str) -> list[str]:
@@ -101,22 +103,36 @@ def powers(n: int) -> np.ndarray:
     return np.cumprod(steps)
 
 
-def _key(x: np.ndarray) -> np.uint64:
-    return (x * powers(len(x))[: len(x)]).sum(dtype=np.uint64)
+class _Batch:
+    """Words of a column as characters behind each other: code points and one, so that 0 is the end of a word."""
 
+    def __init__(self, words: pa.Array):
+        texts = words.to_pylist()
+        self.size = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.x = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+        self.first = np.cumsum(self.size) - self.size
+        place = np.arange(len(self.x)) - np.repeat(self.first, self.size)
+        steps = self.x * powers(int(self.size.max(initial=0)))[place]
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(steps, dtype=np.uint64)])
 
-def _characters(word: str) -> np.ndarray:
-    """Code points and one, so that 0 is the end of a word."""
-    return np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+    def keys(self) -> np.ndarray:
+        return self.sums[self.first + self.size] - self.sums[self.first]
+
+
+def _cut(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Slices of words of bounded length together; a longer word stands alone."""
+    for lo, hi in textkit.chunks(batch.column(column), TOGETHER):
+        yield batch.slice(lo, hi - lo)
 
 
 def keyed(words: DataFrame) -> DataFrame:
     """words with key, the sum of their characters times powers of BASE by place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = np.array([_key(_characters(w.as_py())) for w in batch.column(0)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys)], [*batch.schema.names, "key"])
+        for whole in batches:
+            for batch in _cut(whole, "word"):
+                keys = _Batch(batch.column("word")).keys()
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys.view(np.int64))], ["word", "n", "key"])
 
     return words.select("word", "n").mapInArrow(run, "word string, n long, key long")
 
@@ -128,17 +144,21 @@ def places(words: DataFrame) -> DataFrame:
     """(key, i, head, c, next, rest): a row for each place of a word and one for its end, where c is 0; head and rest are the sums before and behind the place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, word in zip(batch.column(0), batch.column(1)):
-                x = _characters(word.as_py())
-                n, ends = len(x), np.zeros(2, np.uint64)
-                head = np.concatenate([ends[:1], np.cumsum(x * powers(n)[:n], dtype=np.uint64)])
-                rest = head[-1] - np.concatenate([head[1:], head[-1:]])
-                c = np.concatenate([x, ends])
-                columns = [np.full(n + 1, key.as_py()), np.arange(n + 1, dtype=np.int32), head.view(np.int64), c[:-1].astype(np.int32), np.append(c[1:-1], 0).astype(np.int32), rest.view(np.int64)]
+        for whole in batches:
+            for batch in _cut(whole, "word"):
+                b = _Batch(batch.column("word"))
+                rows = b.size + 1
+                word = np.repeat(np.arange(len(rows)), rows)
+                i = np.arange(len(word)) - np.repeat(np.cumsum(rows) - rows, rows)
+                at, left = b.first[word] + i, b.size[word] - i
+                x = np.concatenate([b.x, np.zeros(2, np.uint64)])
+                c, following = np.where(left > 0, x[at], 0), np.where(left > 1, x[at + 1], 0)
+                head = b.sums[at] - b.sums[b.first[word]]
+                rest = np.where(left > 0, b.sums[b.first + b.size][word] - b.sums[np.minimum(at + 1, len(b.x))], np.uint64(0))
+                columns = [b.keys()[word].view(np.int64), i.astype(np.int32), head.view(np.int64), c.astype(np.int32), following.astype(np.int32), rest.view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], ["key", "i", "head", "c", "next", "rest"])
 
-    return words.select("key", "word").mapInArrow(run, _PLACE)
+    return words.select("word").mapInArrow(run, _PLACE)
 
 
 def light_rows(words: DataFrame) -> DataFrame:
