@@ -11,8 +11,8 @@ from gaugeline.functions import text as T
 from gaugeline.operators.extract import CONFIDENCE, LINKED, assertion, keep_first
 
 # Labels of spans and of their assertions.
-LABELS = ("DEFECT", "COMPONENT", "MATERIAL", "MEASUREMENT", "REPORTED_SEVERITY", "CAUSE", "CORRECTIVE_ACTION", "INSPECTION_METHOD", "LOCATION", "DATE", "VENDOR", "REGULATION")
-ASSERTIONS = ("present", "negated", "possible", "historical", "resolved", "unknown")
+LABELS = ("VENDOR", "PRODUCT", "COMPONENT", "MATERIAL", "DEFECT", "LOCATION", "MEASUREMENT", "INSPECTION_METHOD", "REPORTED_SEVERITY", "CAUSE", "CORRECTIVE_ACTION", "DATE")
+ASSERTIONS = ("present", "negated", "possible", "historical", "resolved")
 
 
 def edit_violations(edits: DataFrame, records: DataFrame, text_col: str = "narrative") -> DataFrame:
@@ -22,7 +22,7 @@ def edit_violations(edits: DataFrame, records: DataFrame, text_col: str = "narra
     rows = rows.withColumn("before", before)
     reason = (
         F.when(F.col("size").isNull(), "unknown_record").when((F.col("start") < 0) | (F.col("stop") > F.col("size")) | (F.col("stop") <= F.col("start")), "out_of_bounds")
-        .when(~F.col("label").isin(*LABELS), "unknown_label").when(F.col("start") < F.col("before"), "overlap")
+        .when(~F.col("label").isin(*LABELS), "unknown_label").when(~F.coalesce(F.col("assertion"), F.lit("present")).isin(*ASSERTIONS), "unknown_assertion").when(F.col("start") < F.col("before"), "overlap")
     )
     return rows.withColumn("violation", reason).where("violation is not null").select("record_id", "start", "stop", "violation")
 
@@ -104,7 +104,7 @@ def changed(one: DataFrame, other: DataFrame, keys: Sequence[str] = ("record_id"
 
 
 # What a workflow, a priority and a threshold may be.
-WORKFLOWS = ("pending", "in_review", "reviewed")
+WORKFLOWS = ("pending", "in_progress", "reviewed")
 PRIORITIES = ("high", "normal", "low", "disabled")
 
 

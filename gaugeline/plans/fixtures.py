@@ -47,7 +47,7 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("case when t = 6 then null else date_format(l_shipdate, 'yyyy-MM-dd') end").alias("report_date"),
         F.col("p_brand").alias("batch"),
         F.col("l_partkey").cast("string").alias("asset_id"),
-        F.expr("case when l_linenumber % 3 = 0 then 'reviewed' when l_linenumber % 3 = 1 then 'in_review' end").alias("report_status"),
+        F.expr("case when l_linenumber % 3 = 0 then 'reviewed' when l_linenumber % 3 = 1 then 'in_progress' end").alias("report_status"),
         F.expr("cast(t as int)").alias("template"),
     )
 
@@ -71,7 +71,7 @@ reports as materialized (
       when 6 then 'No defects were found.' else 'Possible leak near the ' || comp || ', contact user' || l_suppkey || '@example.com.' end as narrative,
     case o_orderpriority[1] when '1' then 'construction' when '2' then 'aviation' when '3' then 'pipeline' else 'general' end as domain,
     s_name as vendor, l_orderkey::varchar as report_id, case when t = 6 then null else strftime(l_shipdate, '%Y-%m-%d') end as report_date,
-    p_brand as batch, l_partkey::varchar as asset_id, case l_linenumber % 3 when 0 then 'reviewed' when 1 then 'in_review' end as report_status, t::int as template
+    p_brand as batch, l_partkey::varchar as asset_id, case l_linenumber % 3 when 0 then 'reviewed' when 1 then 'in_progress' end as report_status, t::int as template
   from (select *, (l_orderkey * 7 + l_linenumber * 3 + l_partkey) % 8 as t, {list(MATERIALS)}[1 + l_partkey % 4] as mat, {list(DEFECTS)}[1 + (l_orderkey + l_linenumber) % 5] as df,
     split_part(p_name, ' ', 2) as comp, l_quantity::int as q
     from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey join orders on l_orderkey = o_orderkey))

@@ -10,7 +10,8 @@ from gaugeline.operators import extract as X
 from gaugeline.plans import fixtures as fx
 from gaugeline.plans.catalogue import register
 from gaugeline.plans.corpus import CLEAN, NORM
-from gaugeline.session import table
+from gaugeline.scratch import materialise
+from gaugeline.session import spread, table
 from gaugeline.sources import readers
 
 
@@ -147,6 +148,31 @@ def induced_terms(spark, d):
     return review.terms_seen(spans(spark, d).where("label <> 'MEASUREMENT'"))
 
 
+_TERMS_SQL = r"""low as materialized (select doc_id, lower(coalesce(text, '')) as t from documents),
+words as materialized (select doc_id, regexp_extract_all(t, '[\p{L}\p{N}_]{2,}') as a from low),
+padded as materialized (select doc_id, ' ' || unnest(string_split_regex(t, '[\x09-\x0D\x1C-\x20\x{85}\p{Z}]+')) || ' ' as p from low),
+terms as (select doc_id, 'word' as kind, unnest(a) as term from words union all select doc_id, 'word', unnest(list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1])) from words),
+grams as (select doc_id, 'character' as kind, unnest(list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3))) as term from padded where p <> '  '
+  union all select doc_id, 'character', unnest(list_transform(range(1, length(p) - 2), lambda i: substr(p, i, 4))) from padded where length(p) > 3
+  union all select doc_id, 'character', unnest(list_transform(range(1, length(p) - 3), lambda i: substr(p, i, 5))) from padded where length(p) > 4)"""
+
+
+@register("tfidf_terms", f"with {_TERMS_SQL}, every as (select * from terms union all select * from grams) select kind, term, count(distinct doc_id) as df, count(*) as tf, round(ln((1 + (select count(*) from documents)) / (1 + count(distinct doc_id))::double) + 1, 9) as idf from every group by kind, term")
+def tfidf_terms(spark, d):
+    """All words, pairs and characters of all documents with their frequencies."""
+    docs = spread(table(spark, d, "documents"))
+    return classify.vocabulary(classify.term_counts(docs, "doc_id"), docs.count()).select("kind", "term", "df", "tf", F.round("idf", 9).alias("idf"))
+
+
+@register("tfidf_weights", f"with {_TERMS_SQL}, tf as (select doc_id, term, count(*) as tf from terms group by all), df as (select term, count(*) as df from tf group by term), w as (select doc_id, term, (1 + ln(tf)) * (ln((1 + (select count(*) from documents)) / (1 + df)::double) + 1) as w from tf join df using (term)), n as (select doc_id, sqrt(sum(w * w)) as norm from w group by doc_id) select doc_id, term, round(w / norm, 7) as weight from w join n using (doc_id)")
+def tfidf_weights(spark, d):
+    """The weight of every word and pair in every document."""
+    docs = spread(table(spark, d, "documents"))
+    counts = materialise(classify.term_counts(docs, "doc_id", characters=False), "tfidf-counts")
+    rows = classify.weights(counts, classify.vocabulary(counts, docs.count()))
+    return rows.select(F.col("id").alias("doc_id"), F.explode("features").alias("f")).select("doc_id", "f.term", F.round("f.weight", 7).alias("weight"))
+
+
 @register("tfidf_logreg_metrics")
 def tfidf_logreg_metrics(spark, d):
     """Train six candidates on documents whose hash says so, choose on validation, report on test."""
@@ -156,5 +182,5 @@ def tfidf_logreg_metrics(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     rows = docs.join(labels, "doc_id").withColumn("split", grouped_split(F.col("doc_id").cast("string"), "gaugeline-v1"))
     part = {s: rows.where(F.col("split") == s).select("text", "label") for s in ("train", "validation", "test")}
-    scores, _ = classify.select_and_score(part["train"], part["validation"], part["test"], iterations=100, size=1 << 18)
+    scores, _, _ = classify.select_and_score(part["train"], part["validation"], part["test"])
     return scores

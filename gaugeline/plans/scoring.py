@@ -19,7 +19,7 @@ from gaugeline.plans.catalogue import register
 from gaugeline.plans.review import PRF, SIDES, _prf, sides, spans
 from gaugeline.session import table
 
-_FRAME = "frame(label, place) as (values " + ", ".join(f"('{x}', {i})" for i, x in enumerate(R.LABELS)) + ")"
+_FRAME = "frame(label, place) as (values ('VENDOR', 0), ('PRODUCT', 1), ('COMPONENT', 2), ('MATERIAL', 3), ('DEFECT', 4), ('LOCATION', 5), ('MEASUREMENT', 6), ('INSPECTION_METHOD', 7), ('REPORTED_SEVERITY', 8), ('CAUSE', 9), ('CORRECTIVE_ACTION', 10), ('DATE', 11))"
 
 
 @register("label_frame_scores", f"with {fx.SPANS_SQL}, {SIDES}, {_FRAME}, m as ({'with ' + _prf('record_id, start, stop, label', 'label')}) select f.label, place, coalesce(predicted, 0) as predicted, coalesce(reference, 0) as reference, coalesce(correct, 0) as correct, coalesce(precision, 0) as precision, coalesce(recall, 0) as recall, coalesce(f1, 0) as f1 from frame f left join m using (label)")
@@ -131,7 +131,7 @@ def run_times(spark, d):
 def settings_violations(spark, d):
     i = F.col("event_id")
     pick = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (i % n + 1).cast("int"))
-    rows = table(spark, d, "events").select(i.cast("string").alias("record_id"), pick([*R.WORKFLOWS, "lost"], 4).alias("workflow"), pick([*R.PRIORITIES, "none"], 5).alias("priority"), (F.col("value") / 50).alias("threshold"))
+    rows = table(spark, d, "events").select(i.cast("string").alias("record_id"), pick(["pending", "in_progress", "reviewed", "in_review"], 4).alias("workflow"), pick([*R.PRIORITIES, "none"], 5).alias("priority"), (F.col("value") / 50).alias("threshold"))
     return R.settings_violations(rows)
 
 

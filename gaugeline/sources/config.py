@@ -146,12 +146,12 @@ def demo_records(rows: DataFrame) -> DataFrame:
 
 
 def load_model(spark: SparkSession, path: str, sha256: str | None = None):
-    """A saved pipeline; with a checksum, only if the files are those it names."""
-    from pyspark.ml import PipelineModel
+    """A saved text classifier; with a checksum, only if the files are those it names."""
+    from gaugeline.operators.classify import TextModel
 
     if sha256 is not None and snapshot.fingerprint(spark, path) != sha256:
         raise ValueError(f"the model at {path} is not the one that was asked for")
-    return PipelineModel.load(path)
+    return TextModel.load(spark, path)
 
 
 def save_model(model, path: str, about: Mapping[str, object]) -> dict:
@@ -161,7 +161,7 @@ def save_model(model, path: str, about: Mapping[str, object]) -> dict:
     spark = S.active()
     if snapshot.exists(spark, path):
         raise FileExistsError(f"{path} has a model")
-    model.write().save(f"{path}/model")
+    model.save(f"{path}/model")
     told = {**about, "sha256": snapshot.fingerprint(spark, f"{path}/model")}
     snapshot.write_new(spark, f"{path}/metadata.json", json.dumps(told, sort_keys=True, indent=1))
     return told
