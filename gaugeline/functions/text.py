@@ -38,8 +38,9 @@ def let(value: Column, body) -> Column:
 
 
 def nfkc(text: Column) -> Column:
-    """Unicode NFKC, the one thing here that Spark lacks; only texts beyond ASCII need it."""
-    return F.when(text.rlike(r"[^\x00-\x7F]"), _nfkc(text)).otherwise(text)
+    """Unicode NFKC, the one thing here that Spark lacks. Spark asks Python about every row, so texts within ASCII go there as null."""
+    beyond = text.rlike(r"[^\x00-\x7F]")
+    return F.when(beyond, _nfkc(F.when(beyond, text))).otherwise(text)
 
 
 def collapse(text: Column) -> Column:

@@ -177,3 +177,45 @@ def test_partition_manifest_pilot_and_batch(spark, tmp_path):
         snapshot.write_batch(picked, rows.where("record_id = 1"), str(tmp_path / "b"))
     snapshot.write_batch(picked, rows, str(tmp_path / "b"))
     assert spark.read.json(str(tmp_path / "b")).columns == ["clean_text", "record_id"]
+
+
+def test_what_contextual_evidence_refuses(spark):
+    """One sentence a case: the chunk is a word of it with a role, a lemma and a head, or leaves no words, or words apart."""
+    t = lambda text, word, kind="NOUN": X.Token(text.index(word), text.index(word) + len(word), kind)
+
+    def chunk(text, said, role="nsubj", lemma="flange", head="be", kinds=None):
+        at = text.index(said)
+        tokens = [t(text, w, (kinds or {}).get(w, "NOUN")) for w in said.split()]
+        return X.Chunk(at, at + len(said), role, lemma, head, tokens)
+
+    far = "The flange " + "is really " * 12 + "cracked."
+    cases = {
+        "kept": ("The flange is cracked.", [dict(said="The flange", kinds={"The": "DET"})], [("COMPONENT", "flange")]),
+        "two words": ("The top flange is cracked.", [dict(said="top flange", kinds={"top": "ADJ"})], [("COMPONENT", "top flange")]),
+        "role": ("One flange is cracked.", [dict(said="flange", role="attr")], []),
+        "lemma": ("The Report is cracked.", [dict(said="Report", lemma="Report")], []),
+        "reported": ("The flange found cracked.", [dict(said="flange", head="Find")], []),
+        "reported, but not as its subject": ("On the flange found cracked.", [dict(said="flange", head="Find", role="pobj")], [("COMPONENT", "flange")]),
+        "reported with the defect in it": ("The cracked flange noted.", [dict(said="cracked flange", head="note")], [("COMPONENT", "flange")]),
+        "no words of its own": ("It is cracked.", [dict(said="It", kinds={"It": "PRON"})], []),
+        "words apart": ("A flange of hub is cracked.", [dict(said="flange of hub", kinds={"of": "ADP"})], []),
+        "marked up before": ("See </flange is cracked.", [dict(said="flange")], []),
+        "marked up behind": ("See flange> is cracked.", [dict(said="flange")], []),
+        "far": (far, [dict(said="flange")], []),
+        "no defect": ("The flange is here.", [dict(said="flange")], []),
+        "material": ("Made of flange and cracked.", [dict(said="flange")], [("COMPONENT", "flange")]),
+    }
+    said = {text: [chunk(text, **c) for c in chunks] for text, chunks, _ in cases.values()}
+    trimmed = {text.rstrip("."): chunks for text, chunks in said.items()}
+
+    def parser(texts):
+        return [trimmed.get(x.strip().rstrip("."), []) if not x.startswith("flange and") else [X.Chunk(0, 6, "pobj", "flange", "of", [X.Token(0, 6, "NOUN")])] for x in texts]
+
+    rows = spark.createDataFrame([(name, text, "general") for name, (text, _, _) in cases.items()], "record_id string, narrative string, domain string")
+    out = X.add_contextual(EX.extract(rows), parser)
+    got = {r["record_id"]: [(e["label"], e["text"]) for e in r["entities"] if e["method"] == "contextual"] for r in out.collect()}
+    want = {name: found for name, (_, _, found) in cases.items()}
+    material = got.pop("material")
+    want.pop("material")
+    assert got == want
+    assert len(material) == 1 and material[0][1] == "flange"  # what both rules find stands once
