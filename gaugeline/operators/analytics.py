@@ -191,22 +191,39 @@ def priority_order() -> Column:
     return F.when(F.col("priority") == "high", 0).when(F.col("priority") == "normal", 1).when(F.col("priority") == "low", 2).otherwise(3)
 
 
+def _linkage() -> dict[str, Column]:
+    """What ties a finding to earlier ones: vendor, asset or else batch, and date; a missing part is null."""
+    asset, batch = blank_to_null(F.col("asset_id")), blank_to_null(F.col("batch"))
+    kind = F.when(asset.isNotNull(), "asset").when(batch.isNotNull(), "batch")
+    return {"vendor": blank_to_null(vendor_key(F.col("vendor"))), "kind": kind, "thing": F.coalesce(asset, batch), "date": blank_to_null(F.col("report_date"))}
+
+
+def recurrence_status() -> Column:
+    """Whether a record can be tied to others at all."""
+    known = [part.isNotNull() for part in _linkage().values()]
+    return F.when(known[0] & known[1] & known[2] & known[3], "linkage_available").otherwise("insufficient_linkage")
+
+
 def recurrence(found: DataFrame) -> DataFrame:
     """(finding_id, previous): earlier findings of the same vendor, asset (else batch) and category in other reports.
 
-    Only findings that are present or possible take part, and only of records with a vendor and
-    an asset or batch. The self-join is on the whole key.
+    Only findings that are present or possible take part, and only of records that
+    recurrence_status() calls linkable. Findings of a key come together by day and report, and a
+    running frame up to the day before gives each day what was found earlier, once: a key takes a
+    row a day into its window, however many findings it has, and never a row a pair.
     """
-    date = blank_to_null(F.col("report_date"))
-    asset, batch = blank_to_null(F.col("asset_id")), blank_to_null(F.col("batch"))
-    linkable = found.where((vendor_key(F.col("vendor")) != "") & (asset.isNotNull() | batch.isNotNull())).where(date.isNotNull())
-    rows = linkable.select(
-        vendor_key(F.col("vendor")).alias("vendor"), F.when(asset.isNotNull(), "asset").otherwise("batch").alias("kind"), F.coalesce(asset, batch).alias("thing"), date.alias("date"), report_key().alias("report_id"), F.explode("findings").alias("f"),
-    ).where("f.category is not null and f.defect.assertion in ('present', 'possible')")
-    rows = rows.select("vendor", "kind", "thing", F.col("f.category").alias("category"), "date", "report_id", F.col("f.finding_id").alias("finding_id"))
-    before = rows.select("vendor", "kind", "thing", "category", F.col("date").alias("d"), F.col("report_id").alias("r"), F.col("finding_id").alias("previous"))
-    pairs = rows.join(before, ["vendor", "kind", "thing", "category"]).where("d < date and r <> report_id")
-    return pairs.groupBy("finding_id").agg(F.array_sort(F.collect_set("previous")).alias("previous"))
+    parts = [part.alias(name) for name, part in _linkage().items()]
+    rows = found.where(recurrence_status() == "linkage_available").select(*parts, report_key().alias("report_id"), F.explode("findings").alias("f"))
+    rows = rows.where("f.category is not null and f.defect.assertion in ('present', 'possible')").withColumn("category", F.col("f.category"))
+    key = ["vendor", "kind", "thing", "category"]
+    reports = rows.groupBy(*key, "date", "report_id").agg(F.collect_set("f.finding_id").alias("ids"))
+    days = reports.groupBy(*key, "date").agg(F.collect_list(F.struct("report_id", "ids")).alias("reports"))
+    earlier = F.collect_list("reports").over(Window.partitionBy(*key).orderBy("date").rowsBetween(Window.unboundedPreceding, -1))
+    days = days.withColumn("earlier", F.flatten(earlier)).where(F.size("earlier") > 0)
+    own = days.select("earlier", F.explode("reports").alias("r"))
+    others = F.flatten(F.transform(F.filter("earlier", lambda e: e["report_id"] != F.col("r.report_id")), lambda e: e["ids"]))
+    told = own.select("r.ids", F.array_sort(F.array_distinct(others)).alias("previous")).where(F.size("previous") > 0)
+    return told.select(F.explode("ids").alias("finding_id"), "previous")
 
 
 def export_scope(found: DataFrame, rows: DataFrame) -> DataFrame:

@@ -277,9 +277,31 @@ def priority_disabled(spark, d):
 @register("recurrence_prior_findings", _with(fx.FINDINGS_SQL + ", rows as materialized (select lower(vendor) as v, case when asset_id::bigint % 7 <> 0 then 'a' || asset_id when asset_id::bigint % 3 = 0 then 'b' || batch end as asset_id, category, date, report_id, finding_id from findings where asset_id::bigint % 5 <> 0 and category is not null and assertion in ('present', 'possible') and date is not null) select a.finding_id, string_agg(distinct b.finding_id, '; ' order by b.finding_id) as previous from rows a join rows b using (v, asset_id, category) where b.date < a.date and b.report_id <> a.report_id group by a.finding_id", ""))
 def recurrence_prior_findings(spark, d):
     """Some records have a blank vendor, a blank asset, or no batch either: these link to nothing."""
+    return A.recurrence(_blanked(spark, d)).select("finding_id", F.array_join("previous", "; ").alias("previous"))
+
+
+def _blanked(spark, d):
+    part = F.expr("cast(asset_id as bigint)")
+    return _found(spark, d).withColumns({"vendor": F.when(part % 5 == 0, F.lit(" ")).otherwise(F.col("vendor")), "batch": F.when(part % 3 == 0, F.col("batch")), "asset_id": F.when(part % 7 == 0, F.lit("")).otherwise(F.col("asset_id"))})
+
+
+_HOT = "h as materialized (select finding_id, category, date, report_id, case when asset_id::bigint % 3 = 0 then 'one' else vendor end as v from findings where category is not null and assertion in ('present', 'possible') and date is not null), e as materialized (select v, category, date, count(*) as n from h group by all), w as (select *, coalesce(sum(n) over (partition by v, category order by date rows between unbounded preceding and 1 preceding), 0) as n_before from e), own as materialized (select v, category, report_id, date, count(*) as n from h group by all), same as (select h.finding_id, coalesce(sum(o.n), 0) as n from h left join own o on o.v = h.v and o.category = h.category and o.report_id = h.report_id and o.date < h.date group by h.finding_id)"
+
+
+@register("recurrence_hot_vendor", _with(fx.FINDINGS_SQL + f", {_HOT} select h.finding_id, (w.n_before - same.n)::bigint as n_previous from h join w using (v, category, date) join same using (finding_id) where w.n_before > same.n", ""))
+def recurrence_hot_vendor(spark, d):
+    """A third of all records is of one vendor and one batch, so most of these findings tie to thousands of others."""
+    part = F.expr("cast(asset_id as bigint) % 3 = 0")
+    found = _found(spark, d).withColumns({"vendor": F.when(part, F.lit("One")).otherwise(F.col("vendor")), "batch": F.lit("b"), "asset_id": F.lit("")})
+    return A.recurrence(found).select("finding_id", F.size("previous").cast("long").alias("n_previous"))
+
+
+@register("recurrence_statuses", f"with {fx.REPORTS_SQL} select record_id, case when asset_id::bigint % 5 <> 0 and (asset_id::bigint % 7 <> 0 or asset_id::bigint % 3 = 0) and report_date is not null then 'linkage_available' else 'insufficient_linkage' end as status from reports")
+def recurrence_statuses(spark, d):
+    """Every record says whether it can be tied to others."""
     part = F.expr("cast(asset_id as bigint)")
-    found = _found(spark, d).withColumns({"vendor": F.when(part % 5 == 0, F.lit(" ")).otherwise(F.col("vendor")), "batch": F.when(part % 3 == 0, F.col("batch")), "asset_id": F.when(part % 7 == 0, F.lit("")).otherwise(F.col("asset_id"))})
-    return A.recurrence(found).select("finding_id", F.array_join("previous", "; ").alias("previous"))
+    rows = fx.reports(spark, d).withColumns({"vendor": F.when(part % 5 == 0, F.lit(" ")).otherwise(F.col("vendor")), "batch": F.when(part % 3 == 0, F.col("batch")), "asset_id": F.when(part % 7 == 0, F.lit("")).otherwise(F.col("asset_id"))})
+    return rows.select("record_id", A.recurrence_status().alias("status"))
 
 
 @register("clause_link_unique", _with(fx.FINDINGS_SQL, "select record_id || ':defect:' || defect_start as finding_id, label, text, start::int as start, stop::int as stop from links"))
