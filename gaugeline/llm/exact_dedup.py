@@ -45,12 +45,11 @@ def _survivors(keyed: DataFrame) -> DataFrame:
 
 
 def _hashed(keyed: DataFrame, digest: bool) -> DataFrame:
-    """The rows of keyed with sha, the full hash of texts that length and prefix leave undecided, and digest: the same, of all texts if asked for."""
+    """The rows of keyed with marked, whether length and prefix leave a text undecided, and digest, the full hash of such texts, or of all if asked for."""
     left = materialise(_survivors(keyed), "exact-survivors")
     rows = tables.marked(keyed, F.xxhash64("n", "head"), left.select(F.xxhash64("n", "head").alias("mark")))
     full = F.sha2(F.col("norm").cast("binary"), 256)
-    rows = rows.withColumn("digest", full if digest else F.when(F.col("marked"), full))
-    return rows.withColumn("sha", F.when(F.col("marked"), F.col("digest"))).drop("norm", "marked")
+    return rows.withColumn("digest", full if digest else F.when(F.col("marked"), full)).drop("norm")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
@@ -58,17 +57,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Only texts that length and prefix leave undecided are grouped, by their full hashes.
     """
-    keys = ["id", "n", "head", "sha", "digest"]
+    keys = ["id", "digest", "marked"]
     hashed = _hashed(_keyed(docs, id_col, text_col), digest).groupBy(*keys).agg(F.count("*").alias("copies"))
     hashed = materialise(hashed, "exact-hashes")
-    groups = hashed.where("sha is not null").groupBy("sha").agg(F.min("id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    groups = hashed.where("marked").groupBy(F.col("digest").alias("sha")).agg(F.min("id").alias("keep_id"), F.sum("copies").alias("group_size"))
     groups = materialise(groups.where("group_size > 1").withColumnRenamed("sha", "of"), "exact-groups")
     # of groups above 1 / (4 x partitions) of the rows there are fewer than 4 x partitions: these are broadcast, the others joined by shuffle
     hot_size = hashed.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0] // (4 * tables.partitions(docs))
+    hashed = hashed.withColumn("sha", F.when(F.col("marked"), F.col("digest")))
+    alone, asked = hashed.where("not marked"), hashed.where("marked")  # only the latter are joined: the others have no key
     same, found = F.col("sha") == F.col("of"), [*hashed.columns, "of", "keep_id", "group_size"]
-    marked = hashed.join(F.broadcast(groups.where(F.col("group_size") > hot_size)), same, "left")
+    marked = asked.join(F.broadcast(groups.where(F.col("group_size") > hot_size)), same, "left")
     rest = marked.where("of is null").select(*hashed.columns).join(groups.where(F.col("group_size") <= hot_size), same, "left")
-    told = marked.where("of is not null").select(*found).unionByName(rest.select(*found))
+    told = marked.where("of is not null").select(*found).unionByName(rest.select(*found)).unionByName(alone, allowMissingColumns=True)
     lone = F.col("of").isNull()
     told = told.select(
         "id", F.when(lone, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.when(lone, F.col("copies")).otherwise(F.col("group_size")).alias("group_size"), "sha", "digest",
