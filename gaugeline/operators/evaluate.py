@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -160,3 +162,51 @@ def summary_table(reports: DataFrame, rows: Sequence[tuple[str, str, str, str]])
     paths = sorted({p for _, _, _, p in rows})
     value = F.coalesce(*[F.when(F.col("path") == p, F.get_json_object("report", p)) for p in paths])
     return F.broadcast(asked).join(reports, "name", "left").select("place", "experiment", "scope", F.regexp_extract("path", r"([^.]+)$", 1).alias("metric"), value.cast("double").alias("value"))
+
+
+TOLD = "struct<spans:array<struct<start:int,stop:int,label:string>>,seconds:double,failure:string>"
+
+
+def compared(rows: DataFrame, extractors: Mapping[str, Callable[[Sequence[str]], Sequence[Sequence[tuple[int, int, str]]]]], text_col: str = "narrative") -> DataFrame:
+    """(mode, record_id, format, spans, seconds, failure): what each plugged-in extractor makes of each record, how long it took, and how it failed.
+
+    An extractor is asked about an Arrow batch of texts at a time; seconds are a record's share.
+    If it fails, or gives another number of answers, the batch is asked again text by text, so a
+    text that fails has no spans and its error, and costs no other record anything. A null text is
+    asked about as an empty one. format is the suffix of source_document, in lower case.
+    """
+
+    def timed(extract) -> Column:
+        @F.pandas_udf(TOLD)
+        def run(texts: pd.Series) -> pd.DataFrame:
+            asked = texts.fillna("").tolist()
+            answer = lambda spans: [{"start": a, "stop": b, "label": label} for a, b, label in spans]
+
+            def ask(some: list[str]) -> tuple[list, float]:
+                began = time.perf_counter()
+                found = [answer(x) for x in extract(some)]
+                if len(found) != len(some):
+                    raise ValueError(f"{len(found)} answers to {len(some)} texts")
+                return found, (time.perf_counter() - began) / max(len(some), 1)
+
+            try:
+                found, each = ask(asked)
+                told = [(x, each, None) for x in found]
+            except Exception:  # which text it was is found by asking again
+                told = []
+                for text in asked:
+                    began = time.perf_counter()
+                    try:
+                        told.append((ask([text])[0][0], time.perf_counter() - began, None))
+                    except Exception as error:
+                        told.append(([], time.perf_counter() - began, f"{type(error).__name__}: {error}"))
+            return pd.DataFrame(told, columns=["spans", "seconds", "failure"])
+
+        return run.asNondeterministic()(F.col(text_col))
+
+    suffix = F.lower(F.regexp_extract("source_document", r"(\.[^./\\]+)$", 1)).alias("format") if "source_document" in rows.columns else F.lit("").alias("format")
+    out = None
+    for mode, extract in extractors.items():
+        part = rows.select("record_id", suffix, timed(extract).alias("t")).select(F.lit(mode).alias("mode"), "record_id", "format", "t.*")
+        out = part if out is None else out.unionByName(part)
+    return out

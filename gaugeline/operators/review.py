@@ -115,27 +115,38 @@ def settings_violations(rows: DataFrame) -> DataFrame:
     return rows.select("record_id", F.explode(bad).alias("field"))
 
 
+def corrected_entities(spans: DataFrame) -> DataFrame:
+    """(record_id, entities): spans of a record together, in order of start; its text bounds them."""
+    from gaugeline.operators.extract import ENTITY
+
+    kind = ENTITY.removeprefix("struct<").removesuffix(">")
+    entity = F.struct(*[F.col(f.split(":")[0]) for f in kind.split(",")]).cast(ENTITY)
+    return spans.groupBy("record_id").agg(F.array_sort(F.collect_list(entity), lambda a, b: a["start"] - b["start"]).alias("entities"))
+
+
+def recomputed(rows: DataFrame, links: DataFrame | None, text_col: str = "narrative") -> DataFrame:
+    """rows with entities and clauses, and the findings, candidates and statuses that follow; of links only those given stay."""
+    from gaugeline.operators.extract import findings, statuses
+
+    out = findings(statuses(rows, text_col))
+    if links is None:
+        return out
+    kept = links.groupBy("finding_id").agg(F.collect_set(F.struct("label", "start", "stop")).alias("kept"))
+    kept = kept.withColumn("record_id", F.regexp_extract("finding_id", "^(.*):defect:", 1)).groupBy("record_id").agg(F.map_from_entries(F.collect_list(F.struct("finding_id", "kept"))).alias("kept"))
+    none = F.expr("cast(array() as array<struct<label:string,start:int,stop:int>>)")
+    in_kept = lambda f: F.filter(f["links"], lambda e: F.array_contains(F.coalesce(F.try_element_at("kept", f["finding_id"]), none), F.struct(e["label"].alias("label"), e["start"].alias("start"), e["stop"].alias("stop"))))
+    return out.join(kept, "record_id", "left").withColumn("findings", F.transform("findings", lambda f: f.withField("links", in_kept(f)))).drop("kept")
+
+
 def payload(found: DataFrame, edits: DataFrame, note: Column, packs: Sequence = (), text_col: str = "narrative", links: DataFrame | None = None) -> DataFrame:
     """A review of each record that has edits: corrected entities in place of the extracted ones, and findings, candidates and statuses that follow from them.
 
     found: extracted records with clauses; edits(record_id, label, start, stop, assertion); links
     (finding_id, label, start, stop), where given, are the only links that stay.
     """
-    from gaugeline.operators.extract import ENTITY, findings, statuses
-
     spans = human_entities(edits, found, text_col)
-    kind = ENTITY.removeprefix("struct<").removesuffix(">")
-    entity = F.struct(*[F.col(f.split(":")[0]) for f in kind.split(",")]).cast(ENTITY)
-    corrected = spans.groupBy("record_id").agg(F.collect_list(entity).alias("corrected"))  # of one record, whose text bounds them
     base = found.select("record_id", "domain", text_col, "clauses", F.col("entities").alias("original_entities"))
-    rows = base.join(corrected, "record_id").withColumn("entities", F.array_sort("corrected", lambda a, b: a["start"] - b["start"])).drop("corrected")
-    out = findings(statuses(rows, text_col))
-    if links is not None:
-        kept = links.groupBy("finding_id").agg(F.collect_set(F.struct("label", "start", "stop")).alias("kept"))
-        kept = kept.withColumn("record_id", F.regexp_extract("finding_id", "^(.*):defect:", 1)).groupBy("record_id").agg(F.map_from_entries(F.collect_list(F.struct("finding_id", "kept"))).alias("kept"))
-        none = F.expr("cast(array() as array<struct<label:string,start:int,stop:int>>)")
-        in_kept = lambda f: F.filter(f["links"], lambda e: F.array_contains(F.coalesce(F.try_element_at("kept", f["finding_id"]), none), F.struct(e["label"].alias("label"), e["start"].alias("start"), e["stop"].alias("stop"))))
-        out = out.join(kept, "record_id", "left").withColumn("findings", F.transform("findings", lambda f: f.withField("links", in_kept(f)))).drop("kept")
+    out = recomputed(base.join(corrected_entities(spans), "record_id"), links, text_col)
     return out.select("record_id", "domain", text_col, "original_entities", F.col("entities").alias("corrected_entities"), F.col("findings").alias("corrected_findings"), F.col("review_candidates").alias("corrected_review_candidates"), "mapping_status", "assertion_status", F.trim(note).alias("note"), F.lit("human").alias("label_origin"))
 
 

@@ -202,3 +202,55 @@ def tagger_only_findings(spark, d):
     first = F.slice(R.tagged_spans(text, T.find_spans(text, "cracked|leaking|corroded|worn|damaged"), "DEFECT"), 1, 1)
     rows = R.tagged_only(fx.reports(spark, d), first).select("record_id", F.explode("findings").alias("f"))
     return rows.select("record_id", "f.defect.text", "f.defect.start", "f.defect.method", "f.defect.confidence")
+
+
+@register("saved_revisions", f"with {fx.FINDINGS_SQL}{fx.CANDIDATES_SQL}, rv as (select record_id, coalesce(report_status, 'pending') as workflow from reports where template <> 4 or report_status is not null), e as (select * from spans where start % 7 <> 1 and record_id in (select record_id from rv)), open_ as (select record_id from e where label = 'DEFECT' union select c.record_id from (select record_id, start, stop from clauses) c join reports r on r.record_id = c.record_id where regexp_matches(substr(narrative, c.start + 1, c.stop - c.start), '(?i)\\b(?:inspect\\w*|observ\\w*|detect\\w*|exhibits|shows|found|repair\\w*|replace\\w*|reject\\w*|abnormal\\w*|nonconform\\w*)\\b') and not regexp_matches(substr(narrative, c.start + 1, c.stop - c.start), '(?i)\\bno\\s+(?:material\\s+)?(?:defects?|deficiencies|damage)\\s+(?:(?:was|were)\\s+)?(?:found|observed|detected)\\b') and not exists (select 1 from e where e.record_id = c.record_id and e.label = 'DEFECT' and c.start <= e.start and e.start < c.stop)) select rv.record_id, workflow, case when workflow = 'reviewed' then 'mapped' when rv.record_id in (select record_id from open_) then 'review_required' else 'unmapped' end as mapping_status, (select count(*) from e where e.record_id = rv.record_id)::int as entities, (select count(*) from e where e.record_id = rv.record_id and label = 'DEFECT')::int as findings, 'human' as label_origin from rv")
+def saved_revisions(spark, d):
+    """Reviews that take some spans away, saved as revisions of a run and read back as the newest state of their records."""
+    import uuid
+
+    from gaugeline.operators import revise
+    from gaugeline.operators.store import Library
+    from gaugeline.scratch import materialise, shared_dir
+
+    found = materialise(EX.extract(fx.reports(spark, d), packs=[fx.PARTS]), "extracted")
+    library = Library(spark, f"{shared_dir(spark)}/library-{uuid.uuid4().hex}")
+    run = library.save_run(found.select("record_id", F.to_json(F.struct("record_id", "narrative")).alias("payload")), {"pack": "parts"})
+    reviews = fx.reports(spark, d).where("template <> 4 or report_status is not null").select("record_id", F.coalesce("report_status", F.lit("pending")).alias("workflow"), F.lit(" checked ").alias("note"))
+    edits = found.select("record_id", F.explode("entities").alias("e")).select("record_id", "e.label", "e.start", "e.stop", "e.assertion").where("start % 7 <> 1")
+    rows = revise.as_payload(revise.revisions(found, reviews, edits).join(run.select("run_id", "record_id"), "record_id").withColumn("base_id", F.lit(None).cast("bigint")))
+    library.save_reviews(rows)
+    shape = "record_id string, workflow string, mapping_status string, label_origin string, note string, entities array<struct<label:string>>, findings array<struct<finding_id:string>>"
+    saved = library.records().select(F.from_json("payload", shape).alias("p")).select("p.*").where("note = 'checked'")
+    return saved.select("record_id", "workflow", "mapping_status", F.size("entities").alias("entities"), F.size("findings").alias("findings"), "label_origin")
+
+
+@register("gold_line_checks", f"with {fx.FINDINGS_SQL}, g as (select *, length(narrative) % 5 as k, length(narrative) % 3 as m from reports), n as (select record_id, count(*) as n, count(*) filter (label = 'DEFECT') as d from spans group by 1) select record_id, array_to_string(list_filter([case when k = 1 and n > 0 then 'unknown_label' end, case when k = 2 and n > 0 then 'other_text' end, case when m = 1 and n > 0 then 'not_by_human' end, case when k = 1 and d > 0 then 'defects_without_finding' when k = 3 and d > 0 then 'defects_without_finding' end], lambda x: x is not null), ',') as violations from g join n using (record_id) where (k in (1, 2) and n > 0) or (m = 1 and n > 0) or (k = 3 and d > 0)")
+def gold_line_checks(spark, d):
+    """Gold lines made of reports; by the length of their text some have a label that is none, a text from elsewhere, a machine's span or no finding."""
+    from gaugeline.operators import revise
+
+    found, k, m = fx.extracted(spark, d), F.length("narrative") % 5, F.length("narrative") % 3
+    entity = lambda e: F.struct(F.when(k == 1, F.lit("REGULATION")).otherwise(e["label"]).alias("label"), F.when(k == 2, F.concat(e["text"], F.lit("?"))).otherwise(e["text"]).alias("text"), e["start"].alias("start"), e["stop"].alias("stop"), e["assertion"].alias("assertion"), F.when(m == 1, "ruler").otherwise("human").alias("method"))
+    places = F.transform("findings", lambda f: F.struct(f["defect"]["start"].alias("start"), f["defect"]["stop"].alias("stop")))
+    lines = found.select("record_id", F.col("narrative").alias("display_text"), F.transform("entities", entity).alias("entities"), F.when(k != 3, places).alias("findings"))
+    return revise.line_violations(lines).select("record_id", F.array_join("violations", ",").alias("violations"))
+
+
+@register("tagger_scores")
+def tagger_scores(spark, d):
+    """A tagger trained on reports of six components, and the terms seen there as a lexicon, on reports of the three others."""
+    from gaugeline.operators import tagger as G
+    from gaugeline.scratch import materialise
+
+    labels = ["COMPONENT", "MATERIAL", "DEFECT"]
+    found = EX.extract(fx.reports(spark, d), packs=[fx.PARTS])
+    named = F.filter("entities", lambda e: e["label"].isin(*labels))
+    rows = materialise(found.select("record_id", F.col("narrative").alias("text"), F.transform(named, lambda e: F.struct(e["start"], e["stop"], e["label"])).cast(G.SPANS).alias("spans"), F.col("narrative").rlike(r"(?i)\b(plate|rod|housing)\b").alias("held_out")), "tagger-reports")
+    seen, unseen = rows.where("not held_out"), rows.where("held_out")
+    long = lambda df: df.select("record_id", "text", F.explode("spans").alias("s")).select("record_id", F.col("s.start").alias("start"), F.col("s.stop").alias("stop"), F.col("s.label").alias("label"), F.expr("substring(text, s.start + 1, s.stop - s.start)").alias("text"))
+    known = R.terms_seen(long(seen)).select("term", "label")
+    lexicon = long(unseen).withColumn("term", F.lower("text")).join(F.broadcast(known), ["term", "label"], "left_semi")
+    keys = ["record_id", "start", "stop", "label"]
+    told = G.score(G.train(seen, labels, 3)[3], unseen).select(F.lit("tagger").alias("method"), "*")
+    return told.unionByName(E.metrics(lexicon, long(unseen), keys).select(F.lit("lexicon").alias("method"), "*"))
