@@ -315,7 +315,7 @@ def ambiguity_flags(spark, d):
     return _rows(spark, d).select("finding_id", "ambiguous")
 
 
-@register("export_scope_entities", _with(fx.FINDINGS_SQL + ", chosen as (select * from findings where defect = 'crack'), counts as (select record_id, count(*) as n from findings group by 1), picked as (select record_id, count(*) as n from chosen group by 1), keys as (select record_id, 'DEFECT' as label, start, stop from chosen union select l.record_id, l.label, l.start, l.stop from links l join chosen c on c.record_id = l.record_id and c.start = l.defect_start) select s.record_id, s.label, s.text, s.start::int as start, s.stop::int as stop from spans s left join counts c using (record_id) left join picked p using (record_id) where coalesce(c.n, 0) = coalesce(p.n, 0) or exists (select 1 from keys k where k.record_id = s.record_id and k.label = s.label and k.start = s.start and k.stop = s.stop)", ""))
+@register("export_scope_entities", _with(fx.FINDINGS_SQL + ", chosen as (select * from findings where defect = 'crack'), counts as (select record_id, count(*) as n from findings group by 1), picked as (select record_id, count(*) as n from chosen group by 1), keys as (select record_id, 'DEFECT' as label, start, stop from chosen union select l.record_id, l.label, l.start, l.stop from links l join chosen c on c.record_id = l.record_id and c.start = l.defect_start), whole as (select record_id from reports left join counts c using (record_id) left join picked p using (record_id) where coalesce(c.n, 0) = coalesce(p.n, 0)), evidence as (select s.* from spans s join whole using (record_id) union select s.* from spans s join keys k on k.record_id = s.record_id and k.label = s.label and k.start = s.start and k.stop = s.stop) select record_id, label, text, start::int as start, stop::int as stop from evidence", ""))
 def export_scope_entities(spark, d):
     found = _found(spark, d)
     out = A.export_scope(found, A.finding_rows(found, defect=["crack"]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeline.functions import text as T
-from gaugeline.operators import classify, review
+from gaugeline.operators import classify, evaluate, review
 from gaugeline.operators import extract as X
 from gaugeline.plans import fixtures as fx
 from gaugeline.plans.catalogue import register
@@ -15,9 +15,16 @@ from gaugeline.session import spread, table
 from gaugeline.sources import readers
 
 
-@register("canonical_records", "select html as narrative, url as report_id, lower(trim(regexp_replace(split_part(url, '/', 3), '\\s+', ' ', 'g'))) as vendor_key, 'B1' as batch from (select 'Page of ' || split_part(url, '/', 3) || ' inspected.' as html, url from pages)")
+_PAGE_TEXT = r"regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'g'), '<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+
+
+@register("canonical_records", f"select {CLEAN} as narrative, url as report_id, lower(trim(regexp_replace(split_part(url, '/', 3), '\\s+', ' ', 'g'))) as vendor_key, 'B1' as batch from (select {_PAGE_TEXT} as text, url from pages) where trim(text) <> ''")
 def canonical_records(spark, d):
-    rows = table(spark, d, "pages").select(F.concat(F.lit("Page of "), F.split("url", "/")[2], F.lit(" inspected.")).alias("note"), F.split("url", "/")[2].alias("host"), "url", F.lit("unused").alias("other"))
+    """The whole text of every page, without markup, as a canonical record."""
+    text = F.col("html")
+    for pattern in ("<script[^>]*>.*?</script>", "<style[^>]*>.*?</style>", "<[^>]*>"):
+        text = F.regexp_replace(text, pattern, " ")
+    rows = spread(table(spark, d, "pages")).select(text.alias("note"), F.split("url", "/")[2].alias("host"), "url", F.lit("unused").alias("other"))
     out = readers.records(rows, "note", {"vendor": "host", "report_number": "url"}, {"batch": "B1"})
     return out.select("narrative", "report_id", "vendor_key", "batch")
 
@@ -143,6 +150,21 @@ def extraction_comparison(spark, d):
     return one.unionByName(two).groupBy("mode", "label").agg(F.count("*").alias("spans"))
 
 
+@register("extraction_failures", f"with {fx.REPORTS_SQL} select mode, record_id, case when mode = 'parts' and contains(narrative, 'flensing') then 'ValueError: flensing' end as failure, case when mode = 'parts' and not contains(narrative, 'flensing') then len(regexp_extract_all(narrative, '\\b(?:anvil|widget|ring|bolt|gear|gizmo|plate|rod|housing)\\b')) else 0 end::int as spans from reports, (select unnest(['parts', 'none']) as mode)")
+def extraction_failures(spark, d):
+    """Two extractors over all reports; one of them fails on a word, and only the reports that have it are lost to it."""
+    return evaluate.compared(fx.reports(spark, d), {"parts": part_words, "none": lambda texts: [[] for _ in texts]}).select("mode", "record_id", "failure", F.size("spans").alias("spans"))
+
+
+def part_words(texts):
+    import re
+
+    if any("flensing" in t for t in texts):
+        raise ValueError("flensing")
+    words = re.compile(r"\b(?:" + "|".join(fx.PARTS["COMPONENT"]) + r")\b")
+    return [[(m.start(), m.end(), "COMPONENT") for m in words.finditer(t)] for t in texts]
+
+
 @register("induced_terms", f"with {fx.SPANS_SQL} select lower(text) as term, label, count(*) as n from spans where label <> 'MEASUREMENT' group by all having count(*) >= 2")
 def induced_terms(spark, d):
     return review.terms_seen(spans(spark, d).where("label <> 'MEASUREMENT'"))

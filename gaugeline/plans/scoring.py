@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from gaugeline.functions import text as T
@@ -72,34 +70,41 @@ def sealed_test(spark, d):
     return E.metrics(*kept, E.SPAN).select(F.lit(status).alias("isolation"), "*")
 
 
-@register("paired_predictions", f"with {fx.REPORTS_SQL} select domain, count(*) as n from reports group by domain")
+@register("paired_predictions", f"with {fx.SPANS_SQL} select domain, count(distinct r.record_id) as n, count(s.record_id) as spans from reports r left join spans s using (record_id) group by domain")
 def paired_predictions(spark, d):
     """Gold records joined to their predictions; one that is missing or doubled would fail the query."""
     gold = fx.reports(spark, d).select("record_id", "domain")
     found = EX.extract(fx.reports(spark, d), packs=[fx.PARTS]).select("record_id", F.size("entities").alias("n"))
-    return E.paired(D.blank_predictions(gold), found).groupBy("domain").agg(F.count("*").alias("n"))
+    return E.paired(D.blank_predictions(gold), found).groupBy("domain").agg(F.count("*").alias("n"), F.sum("n").cast("long").alias("spans"))
 
 
-_REPORTS = {
-    "a.json": {"status": "measured", "partition_mode": "vendor", "test": {"macro_f1": 0.5, "per_class": {"x": {"f1-score": 0.25, "support": 4}, "macro avg": {"f1-score": 0.5, "support": 9}}}},
-    "b.json": {"status": "planned", "partition_mode": "vendor", "test": {"macro_f1": 0.75, "per_class": {"y": {"f1-score": 1.0, "support": 1}}}},
-    "c.json": {"status": "measured", "test": {"macro_f1": 0.25, "per_class": {"z": {"f1-score": 1.0, "support": 1}}}},
-}
-_SAVED = "saved(name, report) as (values " + ", ".join(f"('{n}', '{json.dumps(r)}'::json)" for n, r in _REPORTS.items()) + ")"
+#: One stored report for each source of the documents: how well "long means English" does by language, and whether that was measured.
+_SAVED = "cells as (select source as name, lang as label, count(*) as support, round(count(*) filter (n_chars > 1000) / count(*)::double, 6) as f1 from documents where source is not null group by all), told as (select name, label, support, f1, hash_name % 3 = 0 as planned, hash_name % 2 = 0 as moded from (select *, length(name) + ascii(right(name, 1)) as hash_name from cells))"
 
 
-def saved(spark):
-    return spark.createDataFrame([(n, json.dumps(r)) for n, r in _REPORTS.items()], "name string, report string")
+def saved(spark, d):
+    """(name, report JSON): a report a source."""
+    cells = table(spark, d, "documents").where("source is not null").groupBy(F.col("source").alias("name"), F.col("lang").alias("label")).agg(F.count("*").alias("support"), F.round(F.count_if(F.col("n_chars") > 1000) / F.count("*"), 6).alias("f1"))
+    classes = F.map_from_entries(F.collect_list(F.struct("label", F.struct(F.col("f1").alias("f1-score"), F.col("support").cast("double").alias("support")))))  # of a source, one a language
+    each = cells.groupBy("name").agg(classes.alias("per_class"), F.round(F.avg("f1"), 6).alias("macro_f1"))
+    number = F.length("name") + F.ascii(F.right("name", F.lit(1)))
+    averages = F.create_map(F.lit("macro avg"), F.struct(F.col("macro_f1").alias("f1-score"), F.lit(0.0).alias("support")))
+    test = F.struct("macro_f1", F.map_concat("per_class", averages).alias("per_class"))
+    return each.select("name", F.to_json(F.struct(F.when(number % 3 == 0, "planned").otherwise("measured").alias("status"), F.when(number % 2 == 0, "vendor").alias("partition_mode"), test.alias("test"))).alias("report"))
 
 
-@register("measured_reports", f"with {_SAVED}, c as (select name, report, unnest(json_keys(report, '$.test.per_class')) as label from saved where report->>'$.status' = 'measured' and report->>'$.partition_mode' is not null) select name, label, (report->'test'->'per_class'->label->>'f1-score')::double as f1, (report->'test'->'per_class'->label->>'support')::double as support from c where label not in ('macro avg', 'weighted avg')")
+@register("measured_reports", f"with {_SAVED} select name, label, f1, support::double as support from told where not planned and moded")
 def measured_reports(spark, d):
-    return E.measured(saved(spark))
+    """Only reports that were measured on a partition are shown, by class and without averages."""
+    return E.measured(saved(spark, d))
 
 
-@register("report_summary", f"with {_SAVED} select case name when 'a.json' then 0 when 'b.json' then 1 else 2 end as place, 'experiment ' || name as experiment, 'one source' as scope, 'macro_f1' as metric, (report->'test'->>'macro_f1')::double as value from saved")
+@register("report_summary", f"with {_SAVED}, named as (select name, row_number() over (order by name) - 1 as place from (select distinct name from told) order by name limit 3) select place::int as place, 'experiment ' || name as experiment, 'one source' as scope, 'macro_f1' as metric, round(avg(f1), 6) as value from told join named using (name) group by all")
 def report_summary(spark, d):
-    return E.summary_table(saved(spark), [(f"experiment {n}", "one source", n, "$.test.macro_f1") for n in sorted(_REPORTS)])
+    """The table of a page that names three reports, in its order."""
+    reports = saved(spark, d)
+    names = [r.name for r in reports.select("name").orderBy("name").limit(3).collect()]
+    return E.summary_table(reports, [(f"experiment {n}", "one source", n, "$.test.macro_f1") for n in names])
 
 
 @register("evidence_display", f"with {fx.FINDINGS_SQL} select finding_id, f.vendor, coalesce(case when f.batch like '%1' then null else f.batch end, 'file-' || f.domain) as report, f.date, defect, evidence, assertion, priority, array_to_string(component, ', ') as component, array_to_string(material, ', ') as material, array_to_string(severity, ', ') as severity, reasons from findings f")
