@@ -8,20 +8,20 @@ from pyspark.sql import functions as F
 from gaugeline.scratch import discard, materialise
 
 
+#: A round's edges that go on in one task: so few that dealing them out would cost more than the work on them.
+SMALL = 1 << 16
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Point the neighbours of each node at the smallest of them (or itself)."""
-    if large:
-        rows = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    else:
-        rows = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    ways = lambda *pairs: F.explode(F.array(*[F.struct(x.alias("a"), y.alias("b")) for x, y in pairs]))
+    a, b, m = F.col("a"), F.col("b"), F.col("m")
+    rows = edges.select(ways((a, b), (b, a)) if large else ways((F.greatest("a", "b"), F.least("a", "b")))).select("col.*")
     least = rows.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     moved = rows.join(least, "a")
     if large:
-        moved = moved.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        moved = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    moved = moved.where("a <> b")
-    return moved if large else moved.distinct()  # repeated edges are harmless to the next step
+        return moved.where(b > a).select(b.alias("a"), m.alias("b")).where("a <> b")
+    return moved.select(ways((b, m), (a, m))).select("col.*").where("a <> b").distinct()  # repeated edges are harmless to the next step
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -45,6 +45,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         print_of = (seen.get["n"], seen.get["s"])
         if before == print_of or not print_of[0]:
             break
+        if print_of[0] <= SMALL:
+            now = now.coalesce(1)
         before = print_of
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeline.functions import text as T
+from gaugeline.operators import snapshot
 
 MOST_BYTES, MOST_ROWS = 20 * 2**20, 10_000
 FIELDS = ("vendor", "report_number", "report_date", "product", "batch", "asset_id")
@@ -35,7 +36,8 @@ def files(spark: SparkSession, path: str, *suffixes: str) -> DataFrame:
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
-    return files(spark, path).select("path", "sha256")
+    """(path, sha256) of all files below a folder; large ones are read as a stream."""
+    return snapshot.checksums(spark, path).select("path", "sha256")
 
 
 def delimited(spark: SparkSession, path: str, separator: str = ",", encoding: str = "UTF-8") -> DataFrame:

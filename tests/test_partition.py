@@ -219,3 +219,31 @@ def test_what_contextual_evidence_refuses(spark):
     want.pop("material")
     assert got == want
     assert len(material) == 1 and material[0][1] == "flange"  # what both rules find stands once
+
+
+def test_files_are_hashed_whole_or_as_streams(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    (tmp_path / "in" / "x").mkdir(parents=True)
+    (tmp_path / "in" / "y").mkdir()
+    contents = {"x/part": b"one", "y/part": b"two", "large": bytes(range(256)) * 40}
+    for name, content in contents.items():
+        (tmp_path / "in" / name).write_bytes(content)
+    told = lambda: {r.path.split("/in/")[1]: r.sha256 for r in snapshot.checksums(spark, str(tmp_path / "in")).collect()}
+    want = {name: hashlib.sha256(content).hexdigest() for name, content in contents.items()}
+    before = snapshot.fingerprint(spark, str(tmp_path / "in"))
+    assert told() == want
+    monkeypatch.setattr(snapshot, "WHOLE", 5)
+    assert told() == want and snapshot.fingerprint(spark, str(tmp_path / "in")) == before
+    assert snapshot.file_hash(spark, str(tmp_path / "in" / "large")) == want["large"]
+    (tmp_path / "in/x/part").write_bytes(b"two")
+    (tmp_path / "in/y/part").write_bytes(b"one")  # files of one name that change places are told apart
+    assert snapshot.fingerprint(spark, str(tmp_path / "in")) != before
+
+
+def test_a_file_is_replaced_in_one_step(spark, tmp_path):
+    path = str(tmp_path / "profile.json")
+    for text in ("first", "second"):
+        snapshot.replace_file(spark, path, text)
+        assert snapshot.read_text(spark, path) == text
+    assert not snapshot.exists(spark, f"{path}.new")
