@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -43,6 +44,23 @@ def nfkc(text: Column) -> Column:
     return F.when(beyond, _nfkc(F.when(beyond, text))).otherwise(text)
 
 
+@cache
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """All characters that full case folding changes: those that become one character, what these become, and those that become several. From Python's own table."""
+    changed = {c: f for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000 and (f := c.casefold()) != c}
+    one = {c: f for c, f in changed.items() if len(f) == 1}
+    return "".join(one), "".join(one.values()), {c: f for c, f in changed.items() if len(f) > 1}
+
+
+def casefold(text: Column) -> Column:
+    """Full Unicode case folding, as str.casefold() has it. Characters that become several are looked for only in texts that have one."""
+    before, after, several = _folds()
+    one = F.translate(text, before, after)
+    known = F.str_to_map(F.lit("\n".join(f"{c}\t{f}" for c, f in several.items())), F.lit("\n"), F.lit("\t"))
+    spelled = F.array_join(F.transform(F.split(one, ""), lambda c: F.coalesce(F.try_element_at(known, c), c)), "")
+    return F.when(text.rlike(f"[{''.join(several)}]"), spelled).otherwise(one)
+
+
 def collapse(text: Column) -> Column:
     """Runs of white space to one space, ends trimmed."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -170,8 +188,8 @@ def escape_html(value: Column) -> Column:
 
 
 def vendor_key(value: Column, aliases: dict[str, str] | None = None) -> Column:
-    """Collapsed and lower-cased; aliases are normalised on both sides."""
-    key = F.lower(collapse(F.coalesce(value, F.lit(""))))
+    """Collapsed and case-folded; aliases are normalised on both sides."""
+    key = casefold(collapse(F.coalesce(value, F.lit(""))))
     for name, target in (aliases or {}).items():
         key = F.when(key == " ".join(name.split()).casefold(), " ".join(target.split()).casefold()).otherwise(key)
     return key

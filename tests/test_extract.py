@@ -162,3 +162,14 @@ def test_all_perturbations_run_over_all_reports(spark):
     rows = spark.createDataFrame([(i, t, v, "general") for i, t, v in texts], "record_id string, narrative string, vendor string, domain string")
     found = {r["kind"]: (r["reports"], r["changed"]) for r in ingest.perturbed(rows).collect()}
     assert found == {"metadata": (4, 0), "spaces": (4, 0), "text": (2, 1)}
+
+
+def test_case_folding_equals_pythons_on_every_character(spark):
+    from gaugeline.functions import text as T
+
+    rows = spark.createDataFrame([(i, f"a{chr(i)}B") for i in range(1, 0x110000, 1) if not 0xD800 <= i < 0xE000 and (chr(i).casefold() != chr(i) or i % 97 == 0)], "i int, t string")
+    wrong = [(r.i, r.t, r.f) for r in rows.select("i", "t", T.casefold(F.col("t")).alias("f")).collect() if r.t.casefold() != r.f]
+    assert not wrong, wrong[:5]
+    odd = spark.createDataFrame([("Straße ﬁn İX",), ("",), (None,)], "t string").select("t", T.casefold(F.col("t")).alias("f")).collect()
+    assert all(r.f == (r.t and r.t.casefold()) if r.t is not None else r.f is None for r in odd)
+    assert spark.range(1).select(T.vendor_key(F.lit(" GROẞ  Straße "), {"gross strasse": "Gs"})).first()[0] == "gs"
