@@ -82,11 +82,10 @@ def terms_seen(spans: DataFrame, least: int = 2) -> DataFrame:
     return spans.groupBy(F.lower("text").alias("term"), "label").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def induce_terms(spans: DataFrame, least: int = 2, most: int = 5000) -> dict[str, list[str]]:
-    """A lexicon from reviewed spans, as a stand-in for a trained tagger: a pack of the `most` frequent of terms_seen(), for patterns must be of bounded size."""
-    top = terms_seen(spans, least).orderBy(F.desc("n"), "term", "label").limit(most).collect()
+def induce_terms(spans: DataFrame, least: int = 2) -> dict[str, list[str]]:
+    """A lexicon from reviewed spans: a pack of terms_seen() by frequency, as large as reviewers' own terms are many; tagger.train() is for more."""
     out: dict[str, list[str]] = {}
-    for r in top:
+    for r in terms_seen(spans, least).orderBy(F.desc("n"), "term", "label").toLocalIterator():
         out.setdefault(r["label"], []).append(r["term"])
     return out
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gaugeline.functions import text as T
 from gaugeline.operators import analytics as A
 from gaugeline.operators import extract as X
+from gaugeline.operators.order import indexed
 from gaugeline.plans import fixtures as fx
 from gaugeline.plans.catalogue import register
 
@@ -200,13 +201,12 @@ def review_queue(spark, d):
     return _queue(spark, d)
 
 
-@register("review_queue_ranked", _with(fx.FINDINGS_SQL + fx.CANDIDATES_SQL, f"select *, row_number() over (order by case priority when 'high' then 0 when 'normal' then 1 when 'low' then 2 else 3 end, record_id, evidence, reasons) as position from ({_QUEUE}) qualify position <= 100"))
+@register("review_queue_ranked", _with(fx.FINDINGS_SQL + fx.CANDIDATES_SQL, f"select *, row_number() over (order by case priority when 'high' then 0 when 'normal' then 1 when 'low' then 2 else 3 end, record_id, evidence, reasons) as position from ({_QUEUE})"))
 def review_queue_ranked(spark, d):
-    """The head of the queue, as its page shows it: a top-k, so ordering is bounded."""
-    head = _queue(spark, d).orderBy(A.priority_order(), "record_id", "evidence", "reasons").limit(100)
-    from pyspark.sql import Window
-
-    return head.withColumn("position", F.row_number().over(Window.orderBy(A.priority_order(), "record_id", "evidence", "reasons")).cast("long"))
+    """The whole queue with the place of each entry: range partitions number their own entries."""
+    keys = ["record_id", "evidence", "reasons"]
+    placed = indexed(_queue(spark, d).withColumn("level", A.priority_order()), "level", *keys)
+    return placed.withColumn("position", F.col("index") + 1).drop("index", "level")
 
 
 _CREATED = "timestamp '2001-12-01' + interval (length(record_id)) day + interval (length(vendor)) hour"
