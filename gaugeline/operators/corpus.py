@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.functions import text as T
 from gaugeline.operators.graph import connected_components
+from gaugeline.operators.order import mark_quota
 
 SPLITS = ("train", "validation", "test")
 
@@ -91,8 +92,7 @@ def near_equal(strata: DataFrame, per_domain: int, domain: str, label: str) -> D
 
 def take_quota(rows: DataFrame, quotas: DataFrame, by: Sequence[str], order: str = "sample_rank") -> DataFrame:
     """Of each stratum the first rows by rank."""
-    ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(order, "record_id")))
-    return ranked.join(quotas.select(*by, "quota"), list(by)).where(F.col("place") <= F.col("quota")).drop("place", "quota")
+    return mark_quota(rows, quotas, by, order=order).where("taken").drop("taken")
 
 
 def training_sample(rows: DataFrame, group: str, strata: Sequence[str], budget: int) -> DataFrame:

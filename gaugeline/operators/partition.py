@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from gaugeline.functions import text as T
 from gaugeline.operators import corpus as C
 from gaugeline.operators.graph import connected_components
+from gaugeline.operators.order import indexed, mark_quota
+from gaugeline.scratch import materialise
 
 #: Modes of a partition and the domains of hold-outs.
 MODES = ("grouped", "vendor", "template", "industry", "temporal")
@@ -118,7 +120,7 @@ def load_safe_splits(records: DataFrame, assigned: DataFrame, domain: str = "con
 def quota_with_refill(rows: DataFrame, quotas: DataFrame, by: Sequence[str], label: str = "label", order: str = "sample_rank") -> DataFrame:
     """The rows that fill each stratum's quota (by, quota): near-equal shares of its labels, then the rest by rank from what is left.
 
-    A stratum that has too few rows fails the query, when it is run.
+    A stratum that has too few rows fails. Rows with their marks are written once, since both parts read them.
     """
     keys = list(by)
     some = rows.join(F.broadcast(quotas), keys)
@@ -128,10 +130,11 @@ def quota_with_refill(rows: DataFrame, quotas: DataFrame, by: Sequence[str], lab
     share = F.floor(F.col("quota") / n) + (place <= F.pmod(F.col("quota"), n)).cast("int")
     enough = F.sum("have").over(whole) >= F.col("quota")
     told = labels.select(*keys, label, F.when(enough, share).otherwise(F.raise_error(F.concat_ws(" ", F.lit("too few rows for"), *keys)).cast("bigint")).alias("share"))
-    ranked = some.join(F.broadcast(told), [*keys, label]).withColumn("in_label", F.row_number().over(Window.partitionBy(*keys, label).orderBy(order, "record_id")))
-    first = F.col("in_label") <= F.col("share")
-    after = Window.partitionBy(*keys).orderBy(F.desc("first"), order, label, "record_id")
-    return ranked.withColumn("first", first).withColumn("nth", F.row_number().over(after)).where(F.col("nth") <= F.col("quota")).select(*rows.columns)
+    marked = materialise(mark_quota(some, told, [*keys, label], order=order, quota="share"), "quota")
+    first, rest = (marked.where(x).drop("taken") for x in ("taken", "not taken"))
+    missing = labels.join(told.drop("have"), [*keys, label]).groupBy(*keys, "quota").agg(F.sum(F.least("have", "share")).alias("had"))
+    refill = mark_quota(rest.drop("quota"), missing.select(*keys, (F.col("quota") - F.col("had")).alias("left")), keys, (label, "record_id"), order, "left")
+    return first.select(*rows.columns).unionByName(refill.where("taken").select(*rows.columns))
 
 
 def swap_risky(selected: DataFrame, pool: DataFrame, risky: DataFrame, by: Sequence[str], order: str = "sample_rank") -> DataFrame:
@@ -139,11 +142,11 @@ def swap_risky(selected: DataFrame, pool: DataFrame, risky: DataFrame, by: Seque
 
     risky(record_id); pool holds all candidates, the selected ones among them.
     """
-    keys = list(by)
+    keys, selected = list(by), materialise(selected, "selected")
     safe = selected.join(risky, "record_id", "left_anti")
     needed = selected.join(risky, "record_id", "left_semi").groupBy(*keys).agg(F.count("*").alias("needed"))
     spare = pool.join(selected.select("record_id"), "record_id", "left_anti").join(risky, "record_id", "left_anti").join(F.broadcast(needed), keys)
-    spare = spare.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(order, "record_id"))).where(F.col("nth") <= F.col("needed"))
+    spare = materialise(mark_quota(spare.drop("needed"), needed, keys, order=order, quota="needed").where("taken").drop("taken"), "spare")
     had = spare.groupBy(*keys).agg(F.count("*").alias("had"))
     short = needed.join(had, keys, "left").where(F.coalesce("had", F.lit(0)) < F.col("needed")).select(*keys).limit(5).collect()
     if short:
@@ -152,15 +155,8 @@ def swap_risky(selected: DataFrame, pool: DataFrame, risky: DataFrame, by: Seque
 
 
 def running_index(rows: DataFrame, file: str, row: str, name: str = "idx") -> DataFrame:
-    """rows with their number over all files in order of (file, row), from 0.
-
-    Rows are numbered within their file; where a file begins follows from the counts of the
-    files before it, a small table, so no task sees the rows of all files.
-    """
-    counts = rows.groupBy(file).agg(F.count("*").alias("n"))
-    begins = counts.select(F.col(file).alias("of"), (F.sum("n").over(Window.orderBy(file)) - F.col("n")).alias("begin"))
-    inside = F.row_number().over(Window.partitionBy(file).orderBy(row)) - 1
-    return rows.withColumn("inside", inside).join(F.broadcast(begins), F.col(file) == F.col("of")).select(*rows.columns, (F.col("begin") + F.col("inside")).alias(name))
+    """rows with their number over all files in order of (file, row), from 0; range partitions number their own rows, so no task sees a file whole."""
+    return indexed(rows, file, row).withColumnRenamed("index", name)
 
 
 def silver_labels(rows: DataFrame, allowed: Sequence[str], text_col: str = "clean_text") -> DataFrame:

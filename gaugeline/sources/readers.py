@@ -41,8 +41,8 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
 
 
 def delimited(spark: SparkSession, path: str, separator: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """A table of strings; a row with too few or too many cells fails the read."""
-    reader = spark.read.option("header", True).option("sep", separator).option("encoding", encoding).option("multiLine", True).option("mode", "FAILFAST").option("enforceSchema", False)
+    """A table of strings; within quotes a doubled quote stands for itself. A row with too few or too many cells fails the read."""
+    reader = spark.read.option("header", True).option("sep", separator).option("encoding", encoding).option("escape", "\"").option("multiLine", True).option("mode", "FAILFAST").option("enforceSchema", False)
     return reader.csv(path)
 
 
