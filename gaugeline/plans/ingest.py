@@ -10,9 +10,9 @@ from gaugeline.operators import extract as X
 from gaugeline.plans import fixtures as fx
 from gaugeline.plans.catalogue import register
 from gaugeline.plans.corpus import CLEAN, NORM
-from gaugeline.scratch import materialise
+from gaugeline.scratch import materialise, write
 from gaugeline.session import spread, table
-from gaugeline.sources import readers
+from gaugeline.sources import quoted, readers
 
 
 _PAGE_TEXT = r"regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'g'), '<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g')"
@@ -41,6 +41,20 @@ def source_dialect_rows(spark, d):
     return readers.source_records(rows, "faa_sdr", "documents.csv").select("source_record_id", "narrative", "sensitive", F.size("structured").alias("targets"), "excluded")
 
 
+_NOTE = "concat(replace(coalesce(text, ''), chr(13), ' '), chr(10), '\"', lang, '\", ', n_chars)"
+
+
+@register("quoted_csv_rows", f"select doc_id::varchar as doc_id, lang, length({_NOTE})::int as n_chars, sha256({_NOTE}) as digest, 1 as copies from documents")
+def quoted_csv_rows(spark, d):
+    """All documents through quoted files whose cells hold line feeds, quotes and separators; copies counts the rows that have one number in one file."""
+    told = F.concat(F.translate(F.coalesce("text", F.lit("")), "\r", " "), F.lit('\n"'), "lang", F.lit('", '), F.col("n_chars").cast("string"))
+    rows = spread(table(spark, d, "documents")).select("doc_id", "lang", told.alias("note"))
+    path = write(rows, "quoted", "csv", header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    got = quoted.table(spark, path, file="file")
+    numbers = got.groupBy("file", "source_row").agg(F.count("*").alias("copies"))
+    return got.join(numbers, ["file", "source_row"]).select("doc_id", "lang", F.length("note").alias("n_chars"), F.sha2("note", 256).alias("digest"), F.col("copies").cast("int").alias("copies"))
+
+
 EDITS = "edits as (select record_id, case when start % 9 = 4 then 'THING' else label end as label, (case when start % 4 = 1 then start - 3 else start end)::int as start, (case when start % 13 = 2 then stop + 500 else stop end)::int as stop, assertion from spans)"
 
 

@@ -259,3 +259,22 @@ def tagger_scores(spark, d):
     keys = ["record_id", "start", "stop", "label"]
     told = G.score(G.train(seen, labels, 3)[3], unseen).select(F.lit("tagger").alias("method"), "*")
     return told.unionByName(E.metrics(lexicon, long(unseen), keys).select(F.lit("lexicon").alias("method"), "*"))
+
+
+_BEFORE = r"len(regexp_extract_all(substring(narrative, 1, {}), '\w+|[^\w\s]'))"
+
+
+@register("stored_spans", f"with {fx.SPANS_SQL} select record_id, start, stop, label, assertion, {_BEFORE.format('start')}::int as first_token, {_BEFORE.format('stop')}::int as after_token from spans join reports using (record_id)")
+def stored_spans(spark, d):
+    """Silver spans of all reports, written as a sealed store and read back under its seal."""
+    from gaugeline.operators import spanstore
+    from gaugeline.scratch import new_path, until_exit
+
+    silver = {name: F.lit(value) for name, value in spanstore.SILVER.items()}
+    entity = lambda e: F.struct(e["label"].alias("label"), e["text"].alias("text"), e["start"].alias("start"), e["stop"].alias("stop"), e["assertion"].alias("assertion"))
+    lines = EX.extract(fx.reports(spark, d), packs=[fx.PARTS]).select("record_id", F.lit("aviation").alias("domain"), F.lit("train").alias("split"), F.col("narrative").alias("text"), F.transform("entities", entity).alias("entities")).withColumns(silver)
+    path = new_path(spark, "spans")
+    spanstore.store_spans(lines, path, "silver")
+    until_exit(spark, path)
+    rows = spanstore.open_spans(spark, path, "silver").select("record_id", F.explode(F.arrays_zip("spans", "assertions")).alias("s"))
+    return rows.select("record_id", "s.spans.start", "s.spans.stop", "s.spans.label", F.col("s.assertions").alias("assertion"), "s.spans.first_token", "s.spans.after_token")

@@ -36,14 +36,29 @@ def _file_system(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back; the files go at discard() or when the session ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A place in the shared folder where nothing is yet."""
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Have what was written there removed when the session ends."""
     where, files = _file_system(spark, path)
     files.deleteOnExit(where)
-    out = spark.read.schema(df.schema).parquet(path)
+
+
+def write(df: DataFrame, tag: str, kind: str = "parquet", **options) -> str:
+    """Write df to the shared folder and return the place; the files go when the session ends."""
+    path = new_path(df.sparkSession, tag)
+    df.write.format(kind).options(**options).save(path)
+    until_exit(df.sparkSession, path)
+    return path
+
+
+def materialise(df: DataFrame, tag: str) -> DataFrame:
+    """Write df to the shared folder and read it back; the files go at discard() or when the session ends."""
+    path = write(df, tag)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
 

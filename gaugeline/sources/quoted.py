@@ -138,13 +138,13 @@ def raw_records(spark: SparkSession, path: str, separator: str = ",") -> DataFra
     return found.where("piece is null").select("path", "record", "raw").unionByName(joined)
 
 
-def table(spark: SparkSession, path: str, separator: str = ",", name: str = "source_row") -> DataFrame:
-    """The files' rows as strings, with the number of each in its file: the first below the header is 2."""
+def table(spark: SparkSession, path: str, separator: str = ",", name: str = "source_row", file: str | None = None) -> DataFrame:
+    """The files' rows as strings, with the number of each in its file: the first below the header is 2; file names a column for the path."""
     columns = readers.headers(spark, path, separator)
     schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in columns)
     options = {"sep": separator, "escape": '"', "mode": "FAILFAST"}
     cells = F.from_csv(F.regexp_replace("raw", "^﻿", ""), schema, options)
-    rows = raw_records(spark, path, separator).select("record", cells.alias("cells"))
+    rows = raw_records(spark, path, separator).select("path", "record", cells.alias("cells"))
     other = F.exists(F.arrays_zip(F.array(*[F.col("cells")[c] for c in columns]).alias("a"), F.array(*[F.lit(c) for c in columns]).alias("b")), lambda x: ~x["a"].eqNullSafe(x["b"]))
     below = F.when(F.col("record") > 0, True).when(other, F.raise_error(F.lit("a file has another header")).cast("boolean")).otherwise(False)
-    return rows.where(below).select("cells.*", (F.col("record") + 1).cast("int").alias(name))
+    return rows.where(below).select("cells.*", (F.col("record") + 1).cast("long").alias(name), *([F.col("path").alias(file)] if file else []))
