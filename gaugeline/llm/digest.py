@@ -8,9 +8,9 @@ highest) and the bounded difference of lengths; likeness is 1 minus its share of
 the largest possible difference. Equal texts have equal digests and likeness 1.
 
 Null counts as empty. Texts of less than four bytes are padded with zero bytes, very long
-ones are read whole. Repeated rows each get their digest; of rows with one id the smaller
-text is first, and such rows stand in one block. An empty table gives no rows, and extra
-columns are not looked at.
+ones are read whole. Repeated rows each get their digest; the order of rows with one id is
+that of with_next(), and only rows that agree in id and text must stand in one block. An empty
+table gives no rows, and extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeline.llm import tables
@@ -92,29 +92,44 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, fingerprint string")
 
 
+def _block(key: Column, tie: Column, cuts: list[tuple[int, int]]) -> Column:
+    """How many cuts are at or above (key, tie). A row is compared with every root(n)-th cut, then with those between two of them."""
+    if not cuts:
+        return F.lit(0)
+    cuts, step = sorted(cuts, reverse=True), math.isqrt(len(cuts)) + 1
+    table = lambda some: F.arrays_zip(F.lit([k for k, _ in some]).cast("array<bigint>").alias("k"), F.lit([t for _, t in some]).cast("array<bigint>").alias("t"))
+    above = lambda c: (c["k"] > key) | ((c["k"] == key) & (c["t"] >= tie))
+    steps = cuts[step - 1 :: step]
+    whole = F.size(F.filter(table(steps), above)) if steps else F.lit(0)
+    return whole * step + F.size(F.filter(F.slice(table(cuts), whole * step + 1, F.lit(step)), above))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """(block, copy, key, doc_id, text) sorted within partitions so that each row's next document follows it.
 
-    Ids are cut into blocks at their quantiles, so no task gets all rows. The
-    first document of a block also stands, as a copy, behind the last of the block
-    before. Null ids come last; of rows with one id the smaller text is first.
+    Ids are cut into blocks at their quantiles, and an id that holds more rows than a block
+    should (null ids, repeated ones) is cut again by hashes of its texts, so no task gets all rows.
+    The first document of a block also stands, as a copy, behind the last of the block before.
+    Null ids come last; of rows with one id those with the larger hash of the text are first in
+    such an id, elsewhere the smaller text is.
     """
     n = 4 * tables.partitions(docs)
-    key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    cuts = sorted(set(docs.select("doc_id").stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (8 * n)))) if n > 1 else []
-    bounds = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else F.expr("cast(array() as array<bigint>)")
-    block = F.size(F.filter(bounds, lambda c: c >= F.col("key")))
-    rows = docs.select(key.alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("block", block)
-    heads = sorted((r["block"], r["head"]) for r in rows.groupBy("block").agg(F.max("key").alias("head")).collect())  # one row a block
-    behind = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}
-    own = F.struct(F.col("block").alias("block"), F.lit(0).alias("copy"))
-    where = F.array(own)
-    if behind:
-        lookup = F.create_map(*[F.lit(x) for pair in behind.items() for x in pair])
-        again = F.struct(F.try_element_at(lookup, F.col("key")).alias("block"), F.lit(1).alias("copy"))
-        where = F.when(F.col("key").isin(list(behind)), F.array(own, again)).otherwise(where)
-    placed = rows.select("key", "doc_id", "text", F.explode(where).alias("p")).select("p.block", "p.copy", "key", "doc_id", "text")
-    return placed.repartition(tables.partitions(docs), "block").sortWithinPartitions("block", "copy", F.desc("key"), "text")
+    rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    cuts = {(int(c), 2**63 - 1) for c in docs.select("doc_id").stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (8 * n))} if n > 1 else set()
+    most = F.greatest(F.lit(1), F.ceil(F.lit(docs.select("doc_id").count()) / n))
+    hot = rows.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > most).select("key", F.ceil(F.col("rows") / most).cast("int").alias("blocks")).collect()  # n rows at most
+    for key, blocks in hot:
+        cuts |= {(key, 2**63 - 1)} | {(key, -(2**63) + i * 2**64 // blocks) for i in range(1, blocks)}
+    tie = F.when(F.col("key").isin([r["key"] for r in hot]), F.xxhash64("text")).otherwise(F.lit(0)) if hot else F.lit(0)
+    rows = rows.withColumn("tie", tie.cast("long")).withColumn("block", _block(F.col("key"), F.col("tie"), list(cuts)))
+    heads = rows.groupBy("block").agg(F.max(F.struct("key", "tie")).alias("head"))  # one row a block
+    before = F.coalesce(F.lag("block").over(Window.orderBy("block")), F.max("block").over(Window.partitionBy()))
+    heads = heads.select(F.col("head.key").alias("key"), F.col("head.tie").alias("tie"), before.alias("behind"))
+    own, again = (F.struct(F.col(c).alias("block"), F.lit(i).alias("copy")) for i, c in enumerate(("block", "behind")))
+    where = F.when(F.col("behind").isNotNull(), F.array(own, again)).otherwise(F.array(own))
+    placed = rows.join(F.broadcast(heads), ["key", "tie"], "left").select("key", "tie", "doc_id", "text", F.explode(where).alias("p"))
+    placed = placed.select("p.block", "p.copy", "key", "doc_id", "text", "tie")
+    return placed.repartition(tables.partitions(docs), "block").sortWithinPartitions("block", "copy", F.desc("key"), F.desc("tie"), "text")
 
 
 def op2_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
