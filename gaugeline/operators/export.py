@@ -95,7 +95,7 @@ def highlight(text: Column, entities: Column) -> Column:
 
 
 def relationship_rows(found: DataFrame) -> DataFrame:
-    rows = found.select(F.explode("findings").alias("f")).select("f.finding_id", F.explode("f.links").alias("e"))
+    rows = T.unfold(found, "findings", "f").select("f.finding_id", F.explode("f.links").alias("e"))
     return rows.select("finding_id", *[F.col(f"e.{c}").alias(c) for c in ("label", "start", "stop", "text")])
 
 
