@@ -15,8 +15,15 @@ of both classes), discounted in turn towards w's share of the words of all docum
 
 The logarithms of a passage's likelihoods under the two models, divided by its number of
 words, are compared; a text's evidence is that of its most toxic passage of RUN words
-(a shorter text is one passage), since a few words make a long text toxic. A
-logistic calibration on this one number turns it into a score; for it the labelled
+(a shorter text is one passage), since a few words make a long text toxic.
+
+Beside passages stand the words alone and their beginnings of STEMS letters, which tell
+inflected words that no labelled text holds. Here a class gives an expression the
+discounted share of its texts that hold it, and half a discount to every expression; a
+text's second evidence is the largest log ratio of these shares, at least 0. Passages of
+copied texts outweigh real ones among pairs, which is why words are also asked alone.
+
+A logistic calibration on the two numbers turns them into a score; for it the labelled
 texts are read by the models without their own counts, and classes weigh by the square
 root of their sizes, midway between as they stand and alike.
 
@@ -48,17 +55,44 @@ DISCOUNT = 3.0
 #: Taken from the shared continuation counts.
 SHARED_DISCOUNT = 0.75
 RUN = 2
-WORD, PAIR = 0, 1
+#: Letters of a longer word that are looked at by themselves.
+STEMS = (4, 5, 6, 7)
+WORD, PAIR, STEM = 0, 1, 2
 #: Stands before the first word of a text.
 START = np.uint64(0x5DEECE66D)
+#: Tells a beginning from a word of the same letters.
+_BEGUN = np.uint64(0xA0761D6478BD642F)
+_SLOTS = 1 << 20
+#: Beginnings that a task holds until it sums them up.
+STEMS_HELD = 1 << 21
 
 
-def _tokens(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(rows, word hashes, each row's first word) by chunks of rows."""
+def _spelled(texts: pa.Array, stems: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, word hashes, each row's first word, hashes of words' beginnings, the word of each) by chunks of rows."""
     for lo, hi in textkit.chunks(texts):
         data, offsets = textkit.buffers(pc.utf8_lower(texts.slice(lo, hi - lo)))
         starts, ends, first = textkit.words(data, offsets, textkit.NOT_ALNUM)
-        yield hi - lo, textkit.word_hashes(data, starts, ends), first
+        of, stop = _beginnings(data, starts, ends) if stems else (np.zeros(0, np.int64),) * 2
+        h = textkit.word_hashes(data, np.concatenate([starts, starts[of]]), np.concatenate([ends, stop]))
+        yield hi - lo, h[: len(starts)], first, h[len(starts) :] ^ _BEGUN, of
+
+
+def _beginnings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words that have more letters than each of STEMS, and the byte where that beginning ends."""
+    letters = np.flatnonzero((data & 0xC0) != 0x80)
+    rank, found = np.searchsorted(letters, starts), []
+    for k in STEMS:
+        of = np.flatnonzero(rank + k < len(letters))
+        stop = letters[rank[of] + k]
+        longer = stop < ends[of]
+        found.append((of[longer], stop[longer]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _tokens(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(rows, word hashes, each row's first word) by chunks of rows."""
+    for n, words, first, _, _ in _spelled(texts, stems=False):
+        yield n, words, first
 
 
 def _pairs(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,15 +115,37 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, label) to (kind, key, before, word, toxic, ordinary): texts of each class that hold an expression."""
     for batch in batches:
         labels, at = batch.column(1).to_numpy(zero_copy_only=False), 0
-        for n, words, first in _tokens(batch.column(0)):
+        begun, held = [], 0
+        for n, words, first, stems, of in _spelled(batch.column(0)):
             row = np.repeat(np.arange(n), np.diff(first))
             before, pair = _pairs(words, first)
             for kind, key in ((WORD, words), (PAIR, pair)):
                 some = _once(row, key)
                 toxic = labels[at : at + n][row[some]] == 1
-                columns = [np.full(len(some), kind, np.int8), *[textkit.signed(x[some]) for x in (key, before, words)], toxic.astype(np.int64), (~toxic).astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "key", "before", "word", "toxic", "ordinary"])
+                yield _counters(kind, key[some], before[some], words[some], toxic, ~toxic)
+            some = _once(row[of], stems)
+            begun.append((stems[some], labels[at : at + n][row[of[some]]] == 1))
+            held += len(some)
+            if held >= STEMS_HELD:
+                yield _summed(begun)
+                begun, held = [], 0
             at += n
+        if begun:
+            yield _summed(begun)
+
+
+def _counters(kind: int, key: np.ndarray, before: np.ndarray, word: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> pa.RecordBatch:
+    columns = [np.full(len(key), kind, np.int8), *[textkit.signed(x) for x in (key, before, word)], toxic.astype(np.int64), ordinary.astype(np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "key", "before", "word", "toxic", "ordinary"])
+
+
+def _summed(begun: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """One row for each beginning of some texts."""
+    stems, toxic = (np.concatenate(x) for x in zip(*begun))
+    key, at = np.unique(stems, return_inverse=True)
+    of_toxic, of_both = np.bincount(at, toxic, len(key)), np.bincount(at, minlength=len(key))
+    none = np.zeros(len(key), np.uint64)
+    return _counters(STEM, key, none, none, of_toxic, of_both - of_toxic)
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,21 +193,65 @@ class Model:
         """Of each text, the difference of the length-normalised log-likelihoods, toxic less ordinary, of its most toxic passage."""
         out, done = [np.zeros(0)], 0
         for n, words, first in _tokens(texts):
-            count = np.diff(first)
-            row = np.repeat(np.arange(n), count)
-            ordinary, toxic = self.log_likelihoods(words, first, None if labels is None else labels[done : done + n][row])
+            out.append(self.passages(n, words, first, None if labels is None else labels[done : done + n]))
             done += n
-            found, some = np.zeros(n), np.flatnonzero(count)
-            if len(some):
-                total = np.concatenate([[0.0], np.cumsum(toxic - ordinary)])
-                place = np.arange(len(words))
-                stop = np.minimum(place + RUN, first[1:][row])
-                whole = stop - place >= np.minimum(RUN, count[row])  # a passage ends with its text at the latest
-                passage = np.where(whole, (total[stop] - total[:-1]) / np.minimum(RUN, count[row]), -np.inf)
-                found[some] = np.maximum.reduceat(passage, first[:-1][some])
-            out.append(found)
         return np.concatenate(out)
 
+    def passages(self, n: int, words: np.ndarray, first: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
+        """The same of n rows of words; label: of each row."""
+        count = np.diff(first)
+        row = np.repeat(np.arange(n), count)
+        ordinary, toxic = self.log_likelihoods(words, first, None if label is None else label[row])
+        found, some = np.zeros(n), np.flatnonzero(count)
+        if len(some):
+            total = np.concatenate([[0.0], np.cumsum(toxic - ordinary)])
+            place = np.arange(len(words))
+            stop = np.minimum(place + RUN, first[1:][row])
+            whole = stop - place >= np.minimum(RUN, count[row])  # a passage ends with its text at the latest
+            passage = np.where(whole, (total[stop] - total[:-1]) / np.minimum(RUN, count[row]), -np.inf)
+            found[some] = np.maximum.reduceat(passage, first[:-1][some])
+        return found
+
+
+class Expressions:
+    """Sorted words and beginnings of words that toxic texts favour, and how many texts of each class (ordinary first) hold them."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, texts: np.ndarray, discount: float = DISCOUNT):
+        self.discount, self.texts = discount, np.maximum(texts.astype(float), 1.0)[:, None]
+        less = np.maximum(counts - np.array([[1.0], [0.0]]), 0.0)  # an ordinary text's own count may be left out
+        order = np.argsort(keys)
+        order = order[(self.ratio(less) > 0)[order]]
+        self.keys, self.counts = keys[order], counts[:, order]
+        self.slots = np.zeros(_SLOTS, bool)
+        self.slots[self.keys % np.uint64(_SLOTS)] = True
+
+    def ratio(self, counts: np.ndarray) -> np.ndarray:
+        share = (np.maximum(counts - self.discount, 0.0) + self.discount / 2) / self.texts
+        return np.log(share[1]) - np.log(share[0])
+
+    def evidence(self, n: int, row: np.ndarray, keys: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
+        """The largest log ratio of each of n rows; label: of each row, if these are among the texts counted (they then count as left out)."""
+        best = np.zeros(n)
+        some = np.flatnonzero(self.slots[keys % np.uint64(_SLOTS)])
+        at, known = _find(self.keys, keys[some])
+        row, at = row[some[known]], at[known]
+        if len(at):
+            own = 0.0 if label is None else np.stack([label[row] == 0, label[row] == 1])
+            np.maximum.at(best, row, self.ratio(np.maximum(self.counts[:, at] - own, 0.0)))
+        return best
+
+
+def features(texts: pa.Array, model: Model, expressions: Expressions, labels: np.ndarray | None = None) -> np.ndarray:
+    """Of each text, the evidence of its passages and that of its words and their beginnings."""
+    out, done = [np.zeros((0, 2))], 0
+    for n, words, first, stems, of in _spelled(texts):
+        label = None if labels is None else labels[done : done + n]
+        row = np.repeat(np.arange(n), np.diff(first))
+        alone = expressions.evidence(n, np.concatenate([row, row[of]]), np.concatenate([words, stems]), label)
+        out.append(np.stack([model.passages(n, words, first, label), alone], 1))
+        done += n
+    return np.concatenate(out)
+
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN, chars: int = TRAIN_CHARS) -> DataFrame:
     """(text, label): at most `most` labelled rows of each class, chosen by hash among those not held out, as far as `chars` characters go."""
@@ -202,11 +302,24 @@ def shared_probabilities(continuations: np.ndarray, counts: np.ndarray, total: i
     return (continuations - left) / kinds + left.sum() / kinds * counts / max(1, total)
 
 
-def fit(docs: DataFrame, texts: DataFrame, text_col: str = "text") -> Model:
-    """Counts of labelled texts (text, label) and shares over all documents; what reaches the driver is bounded by the sample's words."""
+def count(texts: DataFrame) -> DataFrame:
+    """Expressions of labelled texts (text, label) with the number of texts of each class that hold them."""
     counters = texts.select("text", "label").mapInArrow(_count, "kind byte, key long, before long, word long, toxic long, ordinary long")
     sums = [F.sum(c).alias(c) for c in ("toxic", "ordinary")]
-    counted = materialise(counters.groupBy("kind", "key").agg(F.first("before").alias("before"), F.first("word").alias("word"), *sums), "toxicity-counts")
+    return materialise(counters.groupBy("kind", "key").agg(F.first("before").alias("before"), F.first("word").alias("word"), *sums), "toxicity-counts")
+
+
+def express(texts: DataFrame, counted: DataFrame) -> Expressions:
+    """Words and beginnings that more toxic texts hold than the discount takes away."""
+    found = counted.where((F.col("kind") != PAIR) & (F.col("toxic") > DISCOUNT)).select("key", "toxic", "ordinary").toArrow()
+    sizes = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
+    return Expressions(*_classes(found, ""), np.array([sizes.get(0, 0), sizes.get(1, 0)]))
+
+
+def fit(docs: DataFrame, texts: DataFrame, text_col: str = "text", counted: DataFrame | None = None) -> Model:
+    """Counts of labelled texts (text, label) and shares over all documents; what reaches the driver is bounded by the sample's words."""
+    counted = count(texts) if counted is None else counted
+    sums = [F.sum(c).alias(c) for c in ("toxic", "ordinary")]
     pairs = counted.where(F.col("kind") == PAIR)
     of_words = counted.where(F.col("kind") == WORD).join(pairs.groupBy("word").agg(F.count("*").alias("continuations")), "word")
     of_words = of_words.select("key", "toxic", "ordinary", "continuations").toArrow()
@@ -232,39 +345,42 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float = 0
     return w
 
 
-def left_out(texts: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+def left_out(texts: DataFrame, model: Model, expressions: Expressions) -> tuple[np.ndarray, np.ndarray]:
     """Evidence and labels of the sampled texts, each read without its own counts; bounded by the sample."""
-    shipped = texts.sparkSession.sparkContext.broadcast(model)
+    shipped = texts.sparkSession.sparkContext.broadcast((model, expressions))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label = batch.column(1)
-            found = shipped.value.evidence(batch.column(0), label.to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([label, pa.array(found)], ["label", "evidence"])
+            found = features(batch.column(0), *shipped.value, label.to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([label, *map(pa.array, found.T.copy())], ["label", "evidence", "alone"])
 
-    got = texts.select("text", "label").mapInArrow(run, "label int, evidence double").toArrow()
+    got = texts.select("text", "label").mapInArrow(run, "label int, evidence double, alone double").toArrow()
     shipped.destroy()
-    return got["evidence"].to_numpy(), got["label"].to_numpy().astype(float)
+    return np.stack([got[c].to_numpy() for c in ("evidence", "alone")], 1), got["label"].to_numpy().astype(float)
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, evidence, score) of each row; labels: (doc_id, label)."""
+    """(id, evidence, alone, score) of each row; labels: (doc_id, label)."""
     texts = sample(docs, labels, id_col, text_col)
-    model = fit(docs, texts, text_col)
-    x, y = left_out(texts, model)
-    order = np.lexsort((x, y))  # sums in one order, whatever order the rows came in
+    counted = count(texts)
+    model, expressions = fit(docs, texts, text_col, counted), express(texts, counted)
+    x, y = left_out(texts, model, expressions)
+    order = np.lexsort((*x.T, y))  # sums in one order, whatever order the rows came in
     x, y = x[order], y[order]
     weight = np.array([(y == v).sum() ** -0.5 for v in y])
-    w = calibrate(x[:, None], y, weight * (len(y) / weight.sum()) if len(y) else weight)
+    w = calibrate(x, y, weight * (len(y) / weight.sum()) if len(y) else weight)
     kind = docs.schema[id_col].dataType.simpleString()
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = docs.sparkSession.sparkContext.broadcast((model, expressions))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shipped.value.evidence(batch.column(1)))], ["id", "evidence"])
+            found = features(batch.column(1), *shipped.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found.T.copy())], ["id", "evidence", "alone"])
 
-    found = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, evidence double")
-    return found.select("id", "evidence", (1 / (1 + F.exp(-(F.lit(float(w[0])) + F.lit(float(w[1])) * F.col("evidence"))))).alias("score"))
+    found = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, evidence double, alone double")
+    logit = F.lit(float(w[0])) + F.lit(float(w[1])) * F.col("evidence") + F.lit(float(w[2])) * F.col("alone")
+    return found.select("id", "evidence", "alone", (1 / (1 + F.exp(-logit))).alias("score"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

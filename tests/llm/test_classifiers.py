@@ -146,3 +146,31 @@ def test_empty_texts_are_voted_on():
     model = quality.Voters(sparse([*texts, "", "", ""]), np.array([*good, 0, 0, 0]))
     empty, full = model.scores(pa.array([None, texts[0]]))
     assert empty < full
+
+
+def test_inflected_words_of_no_labelled_text_are_told(spark):
+    """Every toxic text has forms of its own; only their beginning comes again."""
+    pick, suffix = random.Random(5), iter(words(77, 4000))
+    texts, toxic = [], []
+    for i in range(300):
+        w = words(i % 57, 60) + words(1000 + i, 40)
+        if i % 5 == 0:
+            for _ in range(2):
+                w.insert(pick.randrange(len(w)), "zuvél" + next(suffix) + str(i))
+        texts.append(" ".join(w))
+        toxic.append(int(i % 5 == 0))
+    rows = {r["id"]: r for r in toxicity.score(frame(spark, texts), labels(spark, [1] * 300, toxic).select("doc_id", "toxic").withColumnRenamed("toxic", "label")).collect()}
+    held = [i for i in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert {rows[i]["score"] >= 0.5 for i in held if toxic[i]} == {True}
+    assert np.mean([rows[i]["score"] >= 0.5 for i in held if not toxic[i]]) < 0.05
+
+
+def test_expressions_count_letters_and_leave_a_text_out():
+    ((_, words_, _, stems, of),) = toxicity._spelled(pa.array(["ßßßßé abcde abcd"]))
+    assert len(words_) == 3 and of.tolist() == [0, 1]
+    counts = np.array([[1.0, 0.0], [5.0, 9.0]])
+    found = toxicity.Expressions(np.array([7, 9], np.uint64), counts, np.array([10, 10]))
+    keys = np.array([7, 9, 8], np.uint64)
+    ratio = lambda a, b: np.log((max(a - 3, 0) + 1.5) / (max(b - 3, 0) + 1.5))
+    assert np.allclose(found.evidence(3, np.arange(3), keys), [ratio(5, 1), ratio(9, 0), 0])
+    assert np.allclose(found.evidence(3, np.arange(3), keys, np.array([1, 1, 1])), [ratio(4, 1), ratio(8, 0), 0])
