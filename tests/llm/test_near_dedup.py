@@ -250,3 +250,14 @@ def test_documents_of_repeated_ids_and_clashing_columns(spark):
     kept = nd.drop_near_copies(docs)
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"], r["text"], r["row"]) for r in kept.collect()) == sorted({rows[0], rows[2]})
+
+
+def test_texts_under_a_common_passage_are_dealt_into_tiles_once(spark, monkeypatch):
+    common = words(4, 30)
+    texts = [" ".join(common + words(100 + i, 60)) for i in range(12)]
+    texts += [f"{texts[i]} more" for i in range(4)]
+    dealt, tiles = [], nd.in_tiles
+    monkeypatch.setattr(nd, "in_tiles", lambda rows, about: dealt.append(1) or tiles(rows, about))
+    found = {r["id"]: r["class_id"] for r in nd.classes(frame(spark, texts)).collect()}
+    assert found == {i: i % 12 if i >= 12 else i for i in range(16)}
+    assert len(dealt) == 1
