@@ -40,3 +40,25 @@ def test_once_a_text_equals_each_record(spark):
 
     X.once_a_text(rows, lambda r: r.withColumn("n", asked.asNondeterministic()("narrative"))).collect()
     assert 0 < calls.value <= 5 * 2 * X.SHARES
+
+
+def test_a_text_is_worked_on_once(spark):
+    rows, calls = reports(spark), spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def asked(text):
+        if text is not None:
+            calls.add(1)
+        return 0
+
+    got = X.once_a_text(rows, lambda r: r.withColumn("n", asked.asNondeterministic()("narrative"))).collect()
+    assert len(got) == 240 and 0 < calls.value <= 5 * 2
+
+
+def test_once_a_text_with_texts_of_both_kinds(spark, monkeypatch):
+    """Some texts are frequent, handed out by broadcast, the others joined by shuffle; null texts and domains too."""
+    monkeypatch.setattr(X, "SHARES", 12)
+    rows = reports(spark).withColumn("domain", F.when(F.col("record_id") != "r7", F.col("domain"))).unionByName(spark.createDataFrame([("x", "Rare dent.", "general", "p", "v", None, None)], COLUMNS))
+    work = lambda r: X.findings(X.extract(r))
+    shown = lambda df: sorted(df.select("record_id", "narrative", "domain", F.to_json("findings").alias("f"), F.to_json("entities").alias("e")).collect(), key=repr)
+    assert shown(X.once_a_text(rows, work)) == shown(work(rows))
