@@ -62,3 +62,27 @@ def test_once_a_text_with_texts_of_both_kinds(spark, monkeypatch):
     work = lambda r: X.findings(X.extract(r))
     shown = lambda df: sorted(df.select("record_id", "narrative", "domain", F.to_json("findings").alias("f"), F.to_json("entities").alias("e")).collect(), key=repr)
     assert shown(X.once_a_text(rows, work)) == shown(work(rows))
+
+
+def test_edited_links_ask_for_spans_and_findings_once(spark):
+    from gaugeline.operators.review import edited_links
+
+    calls = {n: spark.sparkContext.accumulator(0) for n in ("spans", "findings")}
+
+    def counting(name):
+        count = calls[name]
+
+        @F.udf("string")
+        def seen(x):
+            count.add(1)
+            return x
+
+        return seen.asNondeterministic()
+
+    spans = spark.createDataFrame([("r1", "MATERIAL", 0, 5, "Steel"), ("r1", "MATERIAL", 0, 5, "steel")], "record_id string, label string, start int, stop int, text string").withColumn("text", counting("spans")("text"))
+    found = spark.createDataFrame([("r1:defect:9",)], "finding_id string").withColumn("finding_id", counting("findings")("finding_id"))
+    edits = spark.createDataFrame([("r1:defect:9", "r1", "MATERIAL", 0, 5), ("r1:defect:9", "r1", "MATERIAL", 0, 5), ("r1:defect:8", "r1", "MATERIAL", 0, 5), ("r1:defect:9", "r1", "DATE", 0, 5)], "finding_id string, record_id string, label string, start int, stop int")
+    links, wrong = edited_links(edits, spans, found)
+    assert [(r.finding_id, r.label) for r in links.collect()] == [("r1:defect:9", "MATERIAL")]
+    assert sorted((r.finding_id, r.label) for r in wrong.collect()) == [("r1:defect:8", "MATERIAL"), ("r1:defect:9", "DATE")]
+    assert calls["spans"].value == 2 and calls["findings"].value == 1
