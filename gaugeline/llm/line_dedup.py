@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from gaugeline.llm import tables, textkit
-from gaugeline.scratch import materialise
+from gaugeline.scratch import discard, materialise
 
 SIMILARITY = 0.8
 BUCKETS = 1 << 20
@@ -201,8 +201,17 @@ def _bits(values: DataFrame) -> np.ndarray:
     return out
 
 
-def prefixes(firsts: DataFrame, only: np.ndarray | None = None, wide_from: int = WIDE) -> DataFrame:
-    """(bucket, rows, wide): the words by which sets meet, packed by bucket of the word; only: a bitmap of words."""
+def tied(lines: DataFrame) -> bool:
+    """Whether some id has two texts or is null, so that ids alone do not order documents."""
+    texts = lines.groupBy("id").agg(F.min("th").alias("least"), F.max("th").alias("most"))
+    return not texts.where("id is null or least <> most").isEmpty()
+
+
+def prefixes(firsts: DataFrame, only: np.ndarray | None = None, wide_from: int = WIDE, with_texts: bool = True) -> DataFrame:
+    """(bucket, rows, wide): the words by which sets meet, packed by bucket of the word; only: a bitmap of words.
+
+    Without texts their hashes are left at zero, which a shuffle compresses away: for ids that are whole numbers, none of them tied.
+    """
     buckets = tables.partitions(firsts) * SPLIT
     shipped = firsts.sparkSession.sparkContext.broadcast(None if only is None else np.packbits(only))
 
@@ -220,9 +229,9 @@ def prefixes(firsts: DataFrame, only: np.ndarray | None = None, wide_from: int =
                 bucket = short["key"] % buckets
                 order = np.argsort(bucket, kind="stable")
                 short, of, bucket = short[order], of[order], bucket[order]
-                rows = np.empty(len(short), _ROW)
+                rows = np.zeros(len(short), _ROW)
                 rows["key"], rows["place"] = short["key"], short["place"]
-                for name, column in (("n", n), ("line", line), ("a", a), ("bits", bits), ("th", th)):
+                for name, column in (("n", n), ("line", line), ("a", a), ("bits", bits), *([("th", th)] if with_texts else [])):
                     rows[name] = column.to_numpy(zero_copy_only=False)[of].astype(_ROW[name], casting="unsafe")
                 rows["order"] = _order(ids)[of]
                 bitmaps = [x if k >= wide_from else b"" for x, k in zip(wide.to_pylist(), n.to_pylist())]
@@ -388,20 +397,25 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # where a set first stands, with its prefix from whichever task found it new: a set meets others once, and is shuffled with its prefix once
     known = [F.max(c).alias(c) for c in ("n", "bits", "wide", "keys")]
     firsts = materialise(lines.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("rows"), *known), "line-firsts")
-    pairs = materialise(candidates(prefixes(firsts)), "line-pairs")
+    whole = lines
+    lines = materialise(whole.select("id", "th", "line", "a", "b"), "lines")
+    discard(whole)  # prefixes and bitmaps are in firsts now
+    numbered = isinstance(docs.schema[id_col].dataType, IntegralType)
+    with_texts = not numbered or tied(lines)
+    pairs = materialise(candidates(prefixes(firsts, with_texts=with_texts)), "line-pairs")
     late = _later(verified(named, pairs.select("x", "y"), firsts), firsts)
     # sets that none of their nearest candidates matches, though more were there: against all, with the wide bitmap for every size
     open_y = pairs.groupBy("y").agg(F.max("more").alias("more")).where("more")
-    if isinstance(docs.schema[id_col].dataType, IntegralType):  # the order in which sets met is that of firsts
+    if numbered:  # the order in which sets met is that of firsts
         open_y = open_y.join(late.select(F.col("a").alias("y")), "y", "left_anti")
     open_y = materialise(open_y.select(F.col("y").alias("a")), "line-open")
     if open_y.count():
-        packed = prefixes(firsts, _keys_of(firsts, open_y), wide_from=0)
+        packed = prefixes(firsts, _keys_of(firsts, open_y), wide_from=0, with_texts=with_texts)
         again = candidates(packed, 1 << 30, _bits(open_y), wide_from=0).select("x", "y").join(open_y.withColumnRenamed("a", "y"), "y", "left_semi")
         again = materialise(again.join(pairs.select("x", "y"), ["x", "y"], "left_anti"), "line-pairs")
         late = materialise(late.unionByName(_later(verified(named, again, firsts), firsts)).distinct(), "line-late")
     fate = materialise(firsts.select("a", "b", "first", "rows").join(late.withColumn("late", F.lit(True)), ["a", "b"], "left").where("late or rows > 1"), "line-fate")
-    told = tables.join_hot(lines.select("id", "th", "line", "a", "b"), fate, ["a", "b"], "rows", ["first", "late"])
+    told = tables.join_hot(lines, fate, ["a", "b"], "rows", ["first", "late"])
     gone = told.where(F.coalesce("late", F.lit(False)) | (place != F.col("first")))
     return gone.groupBy("id", "th").agg(F.array_sort(F.collect_set("line")).alias("gone"))
 

@@ -74,3 +74,22 @@ def test_rows_out_of_order(spark, monkeypatch, kind):
     docs = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(5)
     found = {r["id"]: r["gone"] for r in ld.later_matches(docs).collect()}
     assert found == {name(i): g for i, g in brute(texts).items() if g}
+
+
+def test_hashes_of_texts_travel_only_where_ids_are_tied(spark):
+    import numpy as np
+
+    def sent(texts, ids):
+        docs = frame(spark, texts, ids).select("doc_id", "text").selectExpr("doc_id as id", "xxhash64(coalesce(text, '')) as th", "text")
+        lines = ld.line_sets(docs, np.full(ld.BUCKETS, 2, np.uint16), "bigint")
+        firsts = lines.groupBy("a", "b").agg(*[ld.F.max(c).alias(c) for c in ("n", "bits", "wide", "keys")], ld.F.min(ld.F.struct("id", "th", "line")).alias("first"))
+        tied = ld.tied(lines)
+        got = [np.frombuffer(bytes(r["rows"]), ld._ROW) for r in ld.prefixes(firsts, with_texts=tied).collect()]
+        return tied, {int(x) for r in got for x in r["th"]}, sum(map(len, got))
+
+    plain, other = "one two three four five six", "seven eight nine ten eleven"
+    tied, hashes, n = sent([plain, other], [1, 2])
+    assert not tied and hashes == {0} and n > 2
+    for ids in ([1, 1], [1, None]):
+        tied, hashes, _ = sent([plain, other], ids)
+        assert tied and 0 not in hashes and len(hashes) == 2
