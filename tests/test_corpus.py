@@ -144,3 +144,46 @@ def test_group_splits_do_not_leak(spark):
     rows = spark.createDataFrame([(str(i), f"g{i // 3}") for i in range(60)], "record_id string, group_id string")
     assert C.leaks(rows.withColumn("split", C.grouped_split(F.col("group_id"), "s"))).first()["leaking_groups"] == 0
     assert C.leaks(rows.withColumn("split", F.when(F.col("record_id").cast("int") % 3 == 0, "test").otherwise("train"))).first()["leaking_groups"] == 20
+
+
+def test_jaccard_pairs_of_long_and_short_sets_and_few_verified(spark, monkeypatch):
+    """Families of near copies: all their pairs are found; grouping compares a few of them, and ties what no first candidate ties."""
+    import random
+
+    rng = random.Random(3)
+    names = [f"{a}{b}{c}" for a in "bcdfgk" for b in "aeiou" for c in "lmnprst"]
+    sets = []
+    for n in (8, 20, 60, 150):
+        base = rng.sample(names, n)
+        for k in range(12):
+            spare = [w for w in names if w not in base]
+            sets.append((f"{n:03d}-{k:02d}", sorted(base[: n - n // 20 * (k > 0)] + rng.sample(spare, n // 20 * (k > 0)))))
+    chain = rng.sample(names, 40)
+    sets += [(f"c{i}", sorted(chain[i * 2 : i * 2 + 30])) for i in range(5)]  # neighbours alone are near
+    like = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y))
+    want = {(a, b) for a, x in sets for b, y in sets if a < b and like(x, y) >= 0.8}
+    rows = spark.createDataFrame(sets, "record_id string, words array<string>")
+    assert {(r.a, r.b) for r in C.jaccard_pairs(rows, 0.8).collect()} == want
+    asked, verified = [], C.jaccard_verified
+    monkeypatch.setattr(C, "jaccard_verified", lambda pairs, *rest: asked.append(pairs.count()) or verified(pairs, *rest))
+    found = {r.node: r.component for r in C.jaccard_groups(rows, spark.createDataFrame([("003", "c0")], "a string, b string"), 0.8).collect()}
+    parent = {x: x for x, _ in [*sets, ("003", None)]}
+
+    def top(x):
+        return x if parent[x] == x else top(parent[x])
+
+    for a, b in sorted(want | {("003", "c0")}):
+        lo, hi = sorted((top(a), top(b)))
+        parent[hi] = lo
+    assert found == {x: top(x) for x in parent if any(x in p for p in want | {("003", "c0")})}
+    assert sum(asked) < len(want) / 2
+
+
+def test_partition_shuffles_no_text(spark):
+    """A mode's value is read before records are joined to their groups."""
+    from gaugeline.operators import partition as P
+
+    text = "the pump leaks near weld number seven again today " * 200
+    rows = spark.createDataFrame([(f"r{i}", None, "", "v", "aviation", None, f"{text}{i % 3}") for i in range(12)], "record_id string, event string, report_id string, vendor string, domain string, report_date string, narrative string")
+    out = P.partition(rows, "industry", ["aviation"])
+    assert {r.split for r in out.collect()} == {"test"} and "narrative" not in out._jdf.queryExecution().optimizedPlan().toString()
