@@ -86,3 +86,16 @@ def test_edited_links_ask_for_spans_and_findings_once(spark):
     assert [(r.finding_id, r.label) for r in links.collect()] == [("r1:defect:9", "MATERIAL")]
     assert sorted((r.finding_id, r.label) for r in wrong.collect()) == [("r1:defect:8", "MATERIAL"), ("r1:defect:9", "DATE")]
     assert calls["spans"].value == 2 and calls["findings"].value == 1
+
+
+def test_work_is_planned_once_and_rows_are_made_once_a_text(spark):
+    rows, calls = reports(spark), []
+
+    def work(r):
+        calls.append(1)
+        return A.with_shown(X.findings(X.extract(r)))
+
+    found = X.once_a_text(rows, work)
+    shown = lambda df: sorted(map(tuple, A.finding_rows(df).collect()), key=repr)
+    assert len(calls) == 1 and "shown" in found.columns
+    assert shown(found) == shown(X.findings(X.extract(rows))) and "shown" not in A.export_scope(found, A.finding_rows(found)).columns
