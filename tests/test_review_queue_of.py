@@ -33,3 +33,8 @@ def plan(spark, name):
 
 def test_the_queue_is_no_union_of_three(spark):
     assert plan(spark, "review_queue").count("explode") == 1
+
+
+def test_records_of_the_queue_are_told_without_it(spark):
+    text = plan(spark, "queue_records_semi")
+    assert "LeftSemi" not in text and not [x for x in text.splitlines() if "Filter" in x and "size(" in x]
