@@ -38,3 +38,8 @@ def test_the_queue_is_no_union_of_three(spark):
 def test_records_of_the_queue_are_told_without_it(spark):
     text = plan(spark, "queue_records_semi")
     assert "LeftSemi" not in text and not [x for x in text.splitlines() if "Filter" in x and "size(" in x]
+
+
+def test_places_by_age_take_no_window_over_a_priority(spark):
+    text = plan(spark, "review_queue_by_age")
+    assert "row_number" not in text
